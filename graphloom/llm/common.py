@@ -60,6 +60,12 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def limit_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Bounds what one Arrow batch holds, so that a Python worker's memory follows neither row counts nor table size."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def ascii_lower(column):
     """Lower-cases A-Z and nothing else."""
     return F.translate(column, ASCII_UPPER, ASCII_UPPER.lower())

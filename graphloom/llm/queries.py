@@ -5,13 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, license_scan, sharding, url_filter, winnow
+from . import bpe_chunks, chat, id_coder, jaccard_join, license_scan, sharding, url_filter, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    blocks = id_coder.write_id_blocks(docs, tokenizer_file("word_bpe_49k.json"), end_id=1)
+    return id_coder.read_id_blocks(blocks, digest=True)
+
+
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("byte_bpe_50k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe_chunks.decode_ids(bpe_chunks.encode_texts(docs, path, keep_text=False), path)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", "fired")
@@ -37,13 +58,17 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.read_chats(chat.format_chats(chat.fold_messages(log))))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op4_url_filters, op5_sharding, op6_license_scans, op7_chat_formatting, op10_document_fingerprints)
+    for f in (op1_token_id_output, op2_bpe_round_trip, op4_url_filters, op5_sharding, op6_license_scans, op7_chat_formatting, op9_jaccard_join, op10_document_fingerprints)
 }
 ORACLES = {
     "op4_url_filters": url_filter.ORACLE_OP4,
