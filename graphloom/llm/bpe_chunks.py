@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import limit_batches
+from .common import limit_batches, map_arrow
 
 WINDOW = 16
 CUT_BITS = 10
@@ -213,10 +213,14 @@ def encoder(path: str, bits: int, cache_bytes: int) -> ChunkEncoder:
     return _encoders[key]
 
 
-def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array, place: int | None) -> pa.RecordBatch:
-    if place is not None:
-        return batch.set_column(place, name, values)
-    return batch.append_column(name, values)
+def _with_column(batch: pa.RecordBatch, values: pa.Array, place: int | None, drop: int | None = None) -> pa.RecordBatch:
+    columns = list(batch.columns)
+    if place is None:
+        columns.append(values)
+    else:
+        columns[place] = values
+    kept = [c for i, c in enumerate(columns) if i != drop]
+    return pa.RecordBatch.from_arrays(kept, names=[f"c{i}" for i in range(len(kept))])
 
 
 def _schema_with(df: DataFrame, name: str, kind: T.DataType) -> tuple[T.StructType, int | None]:
@@ -242,23 +246,21 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
     bounded by its document.
     """
     limit_batches(df.sparkSession)
-    source = next(c for c in df.columns if c.lower() == text.lower())
-    kept = df if keep_text else df.select(*[c for c in df.columns if c != source], source)
-    schema, place = _schema_with(kept, ids, T.ArrayType(T.IntegerType()))
-    if not keep_text:
-        schema = T.StructType([f for f in schema.fields if f.name != source])
+    source = [c.lower() for c in df.columns].index(text.lower())
+    schema, place = _schema_with(df, ids, T.ArrayType(T.IntegerType()))
+    drop = None if keep_text or place == source else source
+    schema = T.StructType([f for i, f in enumerate(schema.fields) if i != drop])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, bits, cache_bytes)
         for batch in batches:
-            lists = [enc.encode(t) if t else [] for t in batch.column(batch.schema.get_field_index(source)).to_pylist()]
+            lists = [enc.encode(t) if t else [] for t in batch.column(source).to_pylist()]
             offsets = np.zeros(len(lists) + 1, np.int32)
             np.cumsum([len(x) for x in lists], out=offsets[1:])
             flat = np.fromiter((i for x in lists for i in x), np.int32, offsets[-1])
-            out = _with_column(batch, ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), place)
-            yield out if keep_text else out.drop_columns([source])
+            yield _with_column(batch, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), place, drop)
 
-    return kept.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -269,15 +271,16 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
     """
     limit_batches(df.sparkSession)
     schema, place = _schema_with(df, text, T.StringType())
+    source = [c.lower() for c in df.columns].index(ids.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = vocabulary(path).table
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids))
+            column = batch.column(source)
             out = []
             for i in range(len(column)):
                 own = column[i].values
                 out.append("" if own is None else b"".join([table[k] for k in own.to_numpy(zero_copy_only=False).tolist()]).decode("utf-8", "replace"))
-            yield _with_column(batch, text, pa.array(out, pa.string()), place)
+            yield _with_column(batch, pa.array(out, pa.string()), place)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)

@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -75,3 +76,9 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """Drops columns of the input that an operator's own columns would clash with, whatever their case."""
     taken = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
+def map_arrow(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any names, dots and duplicates too: batches hold them as c0, c1, ..."""
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, plain).toDF(*schema.names)

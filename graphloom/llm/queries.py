@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, chat, id_coder, jaccard_join, license_scan, sharding, url_filter, winnow
+from . import bpe_chunks, chat, decontaminate, id_coder, jaccard_join, language_id, license_scan, sharding, url_filter, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("contaminated", F.lit(True))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", "fired")
@@ -58,6 +63,12 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.read_chats(chat.format_chats(chat.fold_messages(log))))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out(F.col("doc_id")))
+    model = language_id.learn(docs.where("NOT held_out AND doc_id IS NOT NULL"))
+    return language_id.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -68,7 +79,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_id_output, op2_bpe_round_trip, op4_url_filters, op5_sharding, op6_license_scans, op7_chat_formatting, op9_jaccard_join, op10_document_fingerprints)
+    for f in (op1_token_id_output, op2_bpe_round_trip, op3_benchmark_decontamination, op4_url_filters, op5_sharding, op6_license_scans, op7_chat_formatting, op8_language_id, op9_jaccard_join, op10_document_fingerprints)
 }
 ORACLES = {
     "op4_url_filters": url_filter.ORACLE_OP4,

@@ -61,13 +61,22 @@ def _hash_part(data: np.ndarray, inside: np.ndarray, first: np.ndarray) -> np.nd
         return mix(np.add.reduceat(_BYTE[own] * powers(int(lengths.max()))[place], starts) + lengths.astype(np.uint64))
 
 
-def word_hashes(data: np.ndarray, ends: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (runs of bytes that are not ASCII white space, A-Z lower-cased) and the n + 1 offsets of each text's words.
+def fold_latin(data: np.ndarray) -> np.ndarray:
+    """Lower-cases A-Z and the accented capitals U+00C0 to U+00DE in UTF-8 bytes."""
+    out = LOWER[data]
+    if len(data) > 1:
+        capital = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        out[1:][capital] += 32
+    return out
+
+
+def word_hashes(data: np.ndarray, ends: np.ndarray, lower: bool = True, spaces: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (runs of bytes outside ``spaces``, A-Z lower-cased) and the n + 1 offsets of each text's words.
 
     Worked off in parts of 2 MB, cut at white space, so memory beside the
     hashes stays bounded unless one word is longer.
     """
-    inside = ~SPACES[data]
+    inside = ~spaces[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     edges = ends[:-1][ends[:-1] < len(data)]
