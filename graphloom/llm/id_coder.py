@@ -11,9 +11,8 @@ starts empty in each block and learns after each step:
 
 Both guesses carry a confidence (0 to 7). How often guesses of such a pair
 of confidences were right sets the weights of the mixture, in which each
-guess adds its weight to its id and order 0 gets the rest. A lane's interval
-is narrowed by the mixture's cumulative share of its id: one arithmetic-coding
-step an id, whatever its length. A step is a few dozen numpy operations over
+guess has its weight and order 0 the rest. A lane's interval is narrowed to
+the part of the mixture that has its id: one arithmetic-coding step an id. A step is a few dozen numpy operations over
 the lanes, so no Python runs for each id. The decoder repeats the same steps.
 
 Layout of a block (little-endian): magic ``GLI1``, ids in the vocabulary,
@@ -46,86 +45,94 @@ MAX_FILES_BROADCAST = 1_000_000
 
 
 class Model:
-    """The adaptive mixture; ``guess`` then ``learn``, step by step, alike when coding and decoding."""
+    """The adaptive mixture; ``guess`` then ``learn``, step by step, alike when coding and decoding.
+
+    An interval of 2**24 holds the order-2 guess, the order-1 guess and all
+    ids by order 0, in this order; an id is coded in the first part that has
+    it.
+    """
+
+    RISE = np.array([min(k + 1, 7) for k in range(8)], np.uint8)
+    FALL = np.array([k >> 1 for k in range(8)], np.uint8)
 
     def __init__(self, n_ids: int):
         self.n = n_ids
-        self.guess1 = np.zeros(n_ids, np.int32)
+        self.guess1 = np.zeros(n_ids, np.int64)
         self.sure1 = np.zeros(n_ids, np.uint8)
-        self.guess2 = np.zeros(1 << HASH_BITS, np.int32)
+        self.guess2 = np.zeros(1 << HASH_BITS, np.int64)
         self.sure2 = np.zeros(1 << HASH_BITS, np.uint8)
         self.seen = np.ones(64)
         self.right1 = np.full(64, 0.1)
         self.right2 = np.full(64, 0.1)
         self.counts = np.zeros(n_ids, np.int64)
+        self.recent: list[tuple[np.ndarray, ...]] = []
         self.step, self.due = 0, 1
         self._settle()
 
     def _settle(self) -> None:
-        """Order 0 as cumulative slots, at least one an id; weights of the guesses."""
+        """Counts what was seen since the last time; order 0 as cumulative slots, at least one an id; the guesses' weights."""
+        if self.recent:
+            ids, k, hit1, hit2 = (np.concatenate(x) for x in zip(*self.recent, strict=True))
+            self.recent = []
+            self.counts += np.bincount(ids, minlength=self.n)
+            self.seen += np.bincount(k, minlength=64)
+            self.right1 += np.bincount(k[hit1 & ~hit2], minlength=64)
+            self.right2 += np.bincount(k[hit2], minlength=64)
         slots = (1 << SLOT_BITS) - self.n
         sums = np.zeros(self.n + 1, np.int64)
         np.cumsum(self.counts, out=sums[1:])
-        total = max(1, int(sums[-1]))
-        self.cum = (sums * slots // total if sums[-1] else np.arange(self.n + 1) * slots // self.n) + np.arange(self.n + 1)
+        self.cum = (sums * slots // sums[-1] if sums[-1] else np.arange(self.n + 1) * slots // self.n) + np.arange(self.n + 1)
         self.owner = None
+        most = (1 << TOTAL_BITS) * 0.85
+        self.weight2 = np.minimum(most, most * self.right2 / self.seen).astype(np.int64) + 1
+        self.weight1 = np.minimum(most - self.weight2, most * self.right1 / self.seen).astype(np.int64) + 1
 
     def owners(self) -> np.ndarray:
         if self.owner is None:
-            self.owner = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.cum))
+            self.owner = np.repeat(np.arange(self.n), np.diff(self.cum))
         return self.owner
 
     def guess(self, one: np.ndarray, two: np.ndarray) -> None:
-        """For each lane the guesses after ``one`` (the id before; -1 at the start) and ``two`` (that before it)."""
-        self.at2 = ((two * 0x9E3779B1 + one) * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - HASH_BITS)
-        self.at1 = one
+        """For each lane the guesses after ``one`` (the id before) and ``two`` (that before it), and the parts of the interval."""
+        self.at1, self.at2 = one, ((two * 0x9E3779B1 + one) * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - HASH_BITS)
         self.g1, self.g2 = self.guess1[one], self.guess2[self.at2]
         self.k1, self.k2 = self.sure1[one], self.sure2[self.at2]
-        self.k = self.k1 * np.uint8(8) + self.k2
-        most = (1 << TOTAL_BITS) * 0.85
-        share2 = self.right2 / self.seen
-        w2 = np.minimum(most, most * share2).astype(np.int64)
-        w1 = np.minimum(most - w2, most * self.right1 / self.seen).astype(np.int64)
-        self.w1, self.w2 = w1[self.k], w2[self.k]
-        self.w0 = (1 << TOTAL_BITS) - self.w1 - self.w2
+        self.k = (self.k1 << 3) | self.k2
+        self.w2 = self.weight2[self.k]
+        self.guessed = self.w2 + self.weight1[self.k]
+        self.w0 = (1 << TOTAL_BITS) - self.guessed
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        below = (self.cum[ids] * self.w0) >> SLOT_BITS
-        above = (self.cum[ids + 1] * self.w0) >> SLOT_BITS
-        low = below + (self.g1 < ids) * self.w1 + (self.g2 < ids) * self.w2
-        return low, above - below + (self.g1 == ids) * self.w1 + (self.g2 == ids) * self.w2
+        self.hit1, self.hit2 = ids == self.g1, ids == self.g2
+        low = (self.cum[ids] * self.w0) >> SLOT_BITS
+        width = ((self.cum[ids + 1] * self.w0) >> SLOT_BITS) - low
+        low += self.guessed
+        np.copyto(low, self.w2, where=self.hit1)
+        np.copyto(width, self.guessed - self.w2, where=self.hit1)
+        np.copyto(low, 0, where=self.hit2)
+        np.copyto(width, self.w2, where=self.hit2)
+        return low, width
 
     def find(self, value: np.ndarray) -> np.ndarray:
-        """The ids whose intervals hold ``value``."""
-        first = self.g1 <= self.g2
-        a, b = np.where(first, self.g1, self.g2), np.where(first, self.g2, self.g1)
-        wa, wb = np.where(first, self.w1, self.w2), np.where(first, self.w2, self.w1)
-        start_a = (self.cum[a] * self.w0) >> SLOT_BITS
-        end_b = (self.cum[b + 1] * self.w0) >> SLOT_BITS
-        end_a = (self.cum[a + 1] * self.w0) >> SLOT_BITS
-        start_b = (self.cum[b] * self.w0) >> SLOT_BITS
-        # Order 0's own value, once the guesses' weights below it are taken off.
-        past_a, past_b = value >= end_a + wa, value >= end_b + wa + wb
-        plain = value - past_a * wa - past_b * wb
-        slot = (((plain + 1) << SLOT_BITS) - 1).astype(np.float64) / self.w0
-        ids = self.owners()[np.minimum(slot.astype(np.int64), (1 << SLOT_BITS) - 1)]
-        ids = np.where((value >= start_a) & ~past_a, a, ids)
-        return np.where((value >= start_b + wa) & ~past_b & (past_a | (a == b)), b, ids)
+        """The ids whose parts hold ``value``."""
+        slot = ((np.maximum(value - self.guessed, 0) + 1) << SLOT_BITS) - 1
+        # Exact: the quotient is below 2**24 and its fraction is a multiple of 1 / w0.
+        ids = self.owners()[np.minimum((slot / self.w0).astype(np.int64), (1 << SLOT_BITS) - 1)]
+        np.copyto(ids, self.g1, where=value < self.guessed)
+        np.copyto(ids, self.g2, where=value < self.w2)
+        return ids
 
     def learn(self, ids: np.ndarray) -> None:
-        hit1, hit2 = ids == self.g1, ids == self.g2
-        n = np.bincount(self.k, minlength=64)
-        self.seen += n
-        self.right1 += np.bincount(self.k[hit1 & ~hit2], minlength=64)
-        self.right2 += np.bincount(self.k[hit2], minlength=64)
+        """Takes in ``ids``, whose ``interval`` was asked for last."""
+        hit1, hit2 = self.hit1, self.hit2
         self.guess1[self.at1] = np.where(hit1 | (self.k1 > 1), self.g1, ids)
-        self.sure1[self.at1] = np.where(hit1, np.minimum(self.k1 + 1, 7), self.k1 >> 1)
+        self.sure1[self.at1] = np.where(hit1, self.RISE[self.k1], self.FALL[self.k1])
         self.guess2[self.at2] = np.where(hit2 | (self.k2 > 1), self.g2, ids)
-        self.sure2[self.at2] = np.where(hit2, np.minimum(self.k2 + 1, 7), self.k2 >> 1)
-        self.counts += np.bincount(ids, minlength=self.n)
+        self.sure2[self.at2] = np.where(hit2, self.RISE[self.k2], self.FALL[self.k2])
+        self.recent.append((ids, self.k, hit1, hit2))
         self.step += 1
         if self.step >= self.due:
-            self.due = self.step + min(32, max(1, self.step))
+            self.due = self.step + min(64, max(1, self.step))
             self._settle()
 
 
@@ -145,8 +152,9 @@ def code_ids(ids: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray]:
     model = Model(n_ids)
     low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
     words = np.zeros((lanes, 2 * steps + 2), np.uint32)
-    place = np.zeros(lanes, np.int64)
-    one, two = np.full(lanes, 0, np.int64), np.full(lanes, 0, np.int64)
+    flat, place = words.reshape(-1), np.arange(lanes) * (2 * steps + 2)
+    begin = place.copy()
+    one, two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     last = n - (lanes - 1) * steps
     for t in range(steps):
         m = lanes if t < last else lanes - 1
@@ -160,43 +168,48 @@ def code_ids(ids: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray]:
         two, one = one, grid[t]
         small = np.flatnonzero(span[:m] < 1 << 32)
         while len(small):
-            words[small, place[small]] = low[small] >> 32
-            place[small] += 1
-            low[small] = (low[small] & 0xFFFFFFFF) << 16
-            span[small] <<= 16
-            small = small[span[small] < 1 << 32]
-    every = np.arange(lanes)
-    words[every, place] = (low + 0xFFFFFFFF) >> 32
-    place += 1
-    for j in range(words.shape[1] - 1, 0, -1):
+            at, own = place[small], low[small]
+            flat[at] = own >> 32
+            place[small] = at + 1
+            low[small] = (own & 0xFFFFFFFF) << 16
+            left = span[small] << 16
+            span[small] = left
+            small = small[left < 1 << 32]
+    flat[place] = (low + 0xFFFFFFFF) >> 32
+    used = place + 1 - begin
+    # Carries run from the last word to the first.
+    for j in range(int(used.max()) - 1, 0, -1):
         words[:, j - 1] += words[:, j] >> 16
         words[:, j] &= 0xFFFF
-    taken = np.arange(words.shape[1])[None, :] < place[:, None]
-    return place.astype(np.uint32), words[taken].astype("<u2")
+    taken = np.arange(words.shape[1])[None, :] < used[:, None]
+    return used.astype(np.uint32), words[taken].astype("<u2")
 
 
 def decode_lanes(n: int, n_ids: int, sizes: np.ndarray, words: np.ndarray) -> np.ndarray:
     steps, lanes = _lanes(n)
-    padded = np.concatenate([words.astype(np.int64), np.zeros(3, np.int64)])
+    padded = np.concatenate([words, np.zeros(3, words.dtype)])
     ends = np.cumsum(sizes.astype(np.int64))
     at = ends - sizes
     nothing = len(words)
-    take = lambda lane, k: padded[np.where(k < ends[lane], k, nothing)]
+
+    def take(lane: np.ndarray, k: np.ndarray) -> np.ndarray:
+        return padded[np.where(k < ends[lane], k, nothing)].astype(np.int64)
+
     every = np.arange(lanes)
     code = (take(every, at) << 32) | (take(every, at + 1) << 16) | take(every, at + 2)
     at = at + 3
     span = np.full(lanes, 1 << 48, np.int64)
     model = Model(n_ids)
     out = np.zeros((steps, lanes), np.int64)
-    one, two = np.full(lanes, 0, np.int64), np.full(lanes, 0, np.int64)
+    one, two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     last = n - (lanes - 1) * steps
     top = (1 << TOTAL_BITS) - 1
     for t in range(steps):
         m = lanes if t < last else lanes - 1
         model.guess(one[:m], two[:m])
         r = span[:m] >> TOTAL_BITS
-        value = np.minimum((code[:m] / r).astype(np.int64), top)
-        x = model.find(value).astype(np.int64)
+        # Exact, as in ``find``: both are below 2**53 and the quotient is small.
+        x = model.find(np.minimum((code[:m] / r).astype(np.int64), top))
         start, width = model.interval(x)
         code[:m] -= r * start
         span[:m] = r * width
@@ -205,10 +218,12 @@ def decode_lanes(n: int, n_ids: int, sizes: np.ndarray, words: np.ndarray) -> np
         two, one = one, out[t]
         small = np.flatnonzero(span[:m] < 1 << 32)
         while len(small):
-            code[small] = (code[small] << 16) | take(small, at[small])
-            at[small] += 1
-            span[small] <<= 16
-            small = small[span[small] < 1 << 32]
+            k = at[small]
+            code[small] = (code[small] << 16) | take(small, k)
+            at[small] = k + 1
+            left = span[small] << 16
+            span[small] = left
+            small = small[left < 1 << 32]
     return out.T.reshape(-1)[:n]
 
 
@@ -241,56 +256,75 @@ _LETTER = "a-zA-ZªµºÀ-ÖØ-öø-ſ"
 _NUMBER = "0-9²³¹¼-¾"
 _SPACE = "\t-\r \u0085 "
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
-_PLAIN = re.compile("[\u0000-įı-ſ]*")
+_PLAIN = re.compile("[\u0000-\u001b -įı-ſ]*")
 
 
 class WordEncoder:
-    """Ids as the tokenizers library gives them, with the ids of words kept.
+    """Ids as the tokenizers library gives them for a lower-casing vocabulary with word ends.
 
-    The vocabulary encodes each piece of a text by itself, so equal pieces
-    have equal ids. Texts with characters from U+0180 on, dotted I or the
-    strings of special tokens are encoded whole by the library. ``keep``
-    bounds the pieces kept.
+    The vocabulary encodes each piece of a text by itself. Plain texts, those
+    below U+0180 without dotted I, the strings of special tokens and the
+    separators FS to US, are cut into pieces here, each followed by a blank as
+    its end, and go through the rank-based encoder as one string. Other texts,
+    and vocabularies of another form, go to the library.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
-        import json
-
         with open(path, encoding="utf-8") as f:
             raw = json.load(f)
         self.n_ids = self.whole.get_vocab_size(with_added_tokens=True)
         self.special = re.compile("|".join(re.escape(t["content"]) for t in raw.get("added_tokens", [])) or r"(?!)")
-        self.by_piece = "end_of_word_suffix" in raw["model"] and raw["model"]["end_of_word_suffix"] == "</w>" and "'s|'t|'re|'ve|'m|'ll|'d|" in json.dumps(raw["pre_tokenizer"])
-        self.kept: dict[str, bytes] = {}
-        self.limit = keep
+        known = raw["model"].get("end_of_word_suffix") == "</w>" and json.dumps(raw["pre_tokenizer"]).count("'s|'t|'re|'ve|'m|'ll|'d|") == 1
+        self.ranks = self._ranked(raw) if known else None
+
+    @staticmethod
+    def _ranked(raw: dict):
+        """The vocabulary as ranks of byte strings, and the id of each rank; None if it has another form.
+
+        A blank, which no piece has, stands for a word's end. It joins the
+        byte before it ahead of all merges, as the library starts from such
+        units. Ranks give the same ids as merges: two neighbours that make up a
+        token can only be the pair that the token's own merge names.
+        """
+        import tiktoken
+
+        from .bpe_chunks import _byte_of_char
+
+        vocab, chars = raw["model"]["vocab"], _byte_of_char()
+
+        def as_bytes(token: str) -> bytes:
+            end = token.endswith("</w>")
+            return bytes(chars[c] for c in (token[:-4] if end else token)) + b" " * end
+
+        merges = [m.split(" ") if isinstance(m, str) else m for m in raw["model"]["merges"]]
+        one = {b: c for c, b in chars.items()}
+        try:
+            order = [one[b] for b in range(256)] + [one[b] + "</w>" for b in range(256)] + ["".join(m) for m in merges]
+            ids = [vocab[t] for t in order]
+            names = [as_bytes(t) for t in order]
+        except KeyError:
+            return None
+        if len(set(names)) != len(names):
+            return None
+        return tiktoken._tiktoken.CoreBPE({b: i for i, b in enumerate(names)}, {}, "[^ ]+ "), np.array(ids, "<u4")
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
-        split: list[list[str]] = []
-        which: list[int] = []
         whole: list[int] = []
         for i, t in enumerate(texts):
-            if self.by_piece and _PLAIN.fullmatch(t) and not self.special.search(t):
-                split.append(_PIECES.findall(t.lower()))
-                which.append(i)
+            if self.ranks and _PLAIN.fullmatch(t) and not self.special.search(t):
+                core, ids = self.ranks
+                pieces = _PIECES.findall(t.lower())
+                out[i] = ids[np.frombuffer(core.encode_to_tiktoken_buffer(" ".join(pieces) + " ", set()), np.uint32)] if pieces else ids[:0]
             else:
                 whole.append(i)
-        if len(self.kept) > self.limit:
-            self.kept.clear()
-        kept = self.kept
-        new = list({p for pieces in split for p in pieces}.difference(kept))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for p, e in zip(part, self.whole.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                kept[p] = np.array(e.ids, "<u4").tobytes()
-        get = kept.__getitem__
-        for i, pieces in zip(which, split, strict=True):
-            out[i] = np.frombuffer(b"".join(map(get, pieces)), "<u4")
         if whole:
             for i, e in zip(whole, self.whole.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
                 out[i] = np.array(e.ids, "<u4")
