@@ -42,8 +42,20 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+def bucket(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Writes ``df`` to the shared folder in buckets of ``key``, so that joins on it do not shuffle this side."""
+    spark, n = df.sparkSession, shuffle_width(df.sparkSession)
+    path, name = new_path(spark, label), f"graphloom_{uuid.uuid4().hex}"
+    df.repartition(n, key).dropDuplicates([key]).write.bucketBy(n, key).option("path", path).saveAsTable(name)
+    back = spark.table(name)
+    back._graphloom_path, back._graphloom_table = path, name
+    return back
+
+
 def drop_cut(df: DataFrame) -> None:
-    """Removes what ``cut`` wrote, once nothing lazy refers to it."""
+    """Removes what ``cut`` or ``bucket`` wrote, once nothing lazy refers to it."""
+    if getattr(df, "_graphloom_table", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._graphloom_table}")
     path = getattr(df, "_graphloom_path", None)
     if path is None:
         return
