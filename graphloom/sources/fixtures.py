@@ -83,7 +83,7 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     kind = F.when(F.col("p_size") % 3 == 0, "class").when(F.col("p_size") % 3 == 1, "function").otherwise("method")
     return p.select(
-        F.col("p_partkey").alias("id"), F.lit("p").alias("project_id"), F.concat("p_brand", F.lit("/"), F.replace("p_type", F.lit(" "), F.lit("_")), F.lit(".py")).alias("file_path"),
+        (F.col("p_partkey") + 1).alias("id"), F.lit("p").alias("project_id"), F.concat("p_brand", F.lit("/"), F.replace("p_type", F.lit(" "), F.lit("_")), F.lit(".py")).alias("file_path"),
         F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey") % 97).alias("symbol_name"), kind.alias("symbol_type"), F.lit("python").alias("language"), kind.alias("kind"),
         F.col("p_size").alias("start_line"), (F.col("p_size") + 5).alias("end_line"), F.concat(F.lit("def "), F.col("p_name")).alias("signature"), F.col("p_brand").alias("docstring"))
 
@@ -91,8 +91,8 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Call edges by id: from the part of line 1 of an order, if returned, to that of line 2."""
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")  # noqa: E741
-    a = l.where("l_linenumber = 1 AND l_returnflag = 'R'").select("l_orderkey", F.col("l_partkey").alias("from_symbol_id"))
-    b = l.where("l_linenumber = 2").select("l_orderkey", F.col("l_partkey").alias("to_symbol_id"))
+    a = l.where("l_linenumber = 1 AND l_returnflag = 'R'").select("l_orderkey", (F.col("l_partkey") + 1).alias("from_symbol_id"))
+    b = l.where("l_linenumber = 2").select("l_orderkey", (F.col("l_partkey") + 1).alias("to_symbol_id"))
     return a.join(b, "l_orderkey").select(F.col("l_orderkey").alias("order_id"), "from_symbol_id", "to_symbol_id")
 
 
@@ -120,9 +120,9 @@ CTE = {
     "nodes": """nodes AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, p_name || ' ' || p_brand || ' ' || p_type AS content, p_type AS node_type, string_split(p_name, ' ') AS keywords, p_size / 10 AS weight FROM part)""",
     "edges": """edges AS (SELECT DISTINCT a.l_partkey AS from_id, b.l_partkey AS to_id, a.l_returnflag AS edge_type FROM lineitem a JOIN lineitem b
       ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey)""",
-    "symbols": """symbols AS (SELECT p_partkey AS id, p_brand || '/' || replace(p_type, ' ', '_') || '.py' AS file_path, replace(p_name, ' ', '_') || '_' || (p_partkey % 97) AS symbol_name,
+    "symbols": """symbols AS (SELECT p_partkey + 1 AS id, p_brand || '/' || replace(p_type, ' ', '_') || '.py' AS file_path, replace(p_name, ' ', '_') || '_' || (p_partkey % 97) AS symbol_name,
       CASE p_size % 3 WHEN 0 THEN 'class' WHEN 1 THEN 'function' ELSE 'method' END AS symbol_type, 'python' AS language, p_size AS start_line, p_size + 5 AS end_line, 'def ' || p_name AS signature, p_brand AS docstring FROM part)""",
-    "calls": """calls AS (SELECT a.l_partkey AS from_symbol_id, b.l_partkey AS to_symbol_id FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey
+    "calls": """calls AS (SELECT a.l_partkey + 1 AS from_symbol_id, b.l_partkey + 1 AS to_symbol_id FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey
       WHERE a.l_linenumber = 1 AND a.l_returnflag = 'R' AND b.l_linenumber = 2)""",
     "call_edges": """call_edges AS (SELECT from_symbol_id, to_symbol_id, f.symbol_name AS from_name, t.symbol_name AS to_name, f.file_path, f.start_line AS line_number
       FROM calls JOIN symbols f ON from_symbol_id = f.id JOIN symbols t ON to_symbol_id = t.id)""",
