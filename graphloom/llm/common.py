@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import shutil
 import tempfile
 import uuid
@@ -64,6 +65,12 @@ def drop_cut(df: DataFrame) -> None:
     where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of plans that are done: it does so once the driver has collected their garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remove_local_root() -> None:
     if _local_root:
         shutil.rmtree(_local_root.pop(), ignore_errors=True)

@@ -1,10 +1,11 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Items are grouped by length into classes of a ratio of 1.2. A class of items
-of n to 1.2 n words has windows of w = 3n/4 words. Documents are read at
-every s-th word, s = n - w + 1, and items at each of their first s words; so
-wherever an item stands, some window of the document and one of the item
-cover the same words. A window's 64-bit SimHash is the sign of the sums of its
+of n to 1.2 n words has windows of w = n/2 words. Documents are read at every
+s-th word, s = n/4, and items at every word; so wherever w + s - 1 words of an
+item stand unchanged, some window of the document and one of the item cover
+the same words, and their fingerprints are equal. Changed words are left to
+the radius. A window's 64-bit SimHash is the sign of the sums of its
 words' bits, each word weighted by its rarity among the items.
 
 Fingerprints are cut into four blocks of 16 bits. Two fingerprints within
@@ -84,11 +85,11 @@ class Items:
         at = 0
         while at < len(order):
             n = len(own[order[at]])
-            window = min(-(-3 * n // 4), 8000)
+            window = min(-(-n // 2), 8000)
             members = [i for i in order[at:] if len(own[i]) <= RATIO * n]
             at += len(members)
-            c = LengthClass(window, min(n - window + 1, MAX_STRIDE))
-            rows = [(i, o) for i in members for o in range(c.stride)]
+            c = LengthClass(window, max(1, min(n // 4, MAX_STRIDE)))
+            rows = [(i, o) for i in members for o in range(len(own[i]) - window + 1)]
             c.owner, c.offset = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
             joined = np.concatenate([own[i] for i in members])
             starts = np.cumsum([0] + [len(own[i]) for i in members[:-1]])

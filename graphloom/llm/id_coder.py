@@ -1,7 +1,7 @@
 """Token-ID output: a context-mixing range coder over independently reset, checksummed blocks.
 
-A block holds whole documents in order: about 2**20 ids. Its ids are dealt to
-up to 4096 lanes, consecutive runs of them, which are coded in step: step t
+A block holds whole documents in order: about 2**21 ids. Its ids are dealt to
+up to 8192 lanes, consecutive runs of them, which are coded in step: step t
 codes the t-th id of every lane. All lanes share one adaptive model, which
 starts empty in each block and learns after each step:
 
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import cut, limit_batches, shuffle_width
 
 MAGIC = b"GLI1"
-BLOCK_IDS = 1 << 20
-LANES, MIN_STEPS = 4096, 48
+BLOCK_IDS = 1 << 21
+LANES, MIN_STEPS = 8192, 48
 TOTAL_BITS, SLOT_BITS, HASH_BITS = 24, 20, 18
 MAX_FILES_BROADCAST = 1_000_000
 
@@ -264,12 +264,14 @@ class WordEncoder:
 
     The vocabulary encodes each piece of a text by itself. Plain texts, those
     below U+0180 without dotted I, the strings of special tokens and the
-    separators FS to US, are cut into pieces here, each followed by a blank as
-    its end, and go through the rank-based encoder as one string. Other texts,
-    and vocabularies of another form, go to the library.
+    separators FS to US, are split at white space; the ids of their words are
+    kept, at most ``keep`` words and one batch more. New words are cut into
+    pieces, each followed by a blank as its end, and go through the rank-based
+    encoder as one string. Other texts, and vocabularies of another form, go to
+    the library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int = 600_000):
         import json
 
         from tokenizers import Tokenizer
@@ -283,6 +285,11 @@ class WordEncoder:
         self.special = re.compile("|".join(re.escape(t["content"]) for t in raw.get("added_tokens", [])) or r"(?!)")
         known = raw["model"].get("end_of_word_suffix") == "</w>" and json.dumps(raw["pre_tokenizer"]).count("'s|'t|'re|'ve|'m|'ll|'d|") == 1
         self.ranks = self._ranked(raw) if known else None
+        self.kept: dict[str, bytes] = {}
+        self.keep = keep
+        if self.ranks:
+            self.is_end = np.array([b" " == self.ranks[0].decode_single_token_bytes(i)[-1:] for i in range(len(self.ranks[1]))])
+            self.is_end[32] = False  # the byte itself
 
     @staticmethod
     def _ranked(raw: dict):
@@ -315,16 +322,37 @@ class WordEncoder:
             return None
         return tiktoken._tiktoken.CoreBPE({b: i for i, b in enumerate(names)}, {}, "[^ ]+ "), np.array(ids, "<u4")
 
+    def _encode_words(self, new: list[str]) -> None:
+        """Encodes words (runs between white space) in one call and keeps their ids."""
+        core, ids = self.ranks
+        pieces = [_PIECES.findall(w) for w in new]
+        flat = np.frombuffer(core.encode_to_tiktoken_buffer("".join([" ".join(p) + " " for p in pieces if p]), set()), np.uint32)
+        # A piece ends where a rank holds its blank; a word ends with its last piece.
+        ends = np.concatenate([[0], np.flatnonzero(self.is_end[flat]) + 1])[np.cumsum([len(p) for p in pieces])]
+        raw, at = ids[flat].tobytes(), 0
+        for w, to in zip(new, (4 * ends).tolist(), strict=True):
+            self.kept[w] = raw[at:to]
+            at = to
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         whole: list[int] = []
+        plain: list[int] = []
+        split: list[list[str]] = []
         for i, t in enumerate(texts):
             if self.ranks and _PLAIN.fullmatch(t) and not self.special.search(t):
-                core, ids = self.ranks
-                pieces = _PIECES.findall(t.lower())
-                out[i] = ids[np.frombuffer(core.encode_to_tiktoken_buffer(" ".join(pieces) + " ", set()), np.uint32)] if pieces else ids[:0]
+                plain.append(i)
+                split.append(t.lower().split())
             else:
                 whole.append(i)
+        if len(self.kept) > self.keep:
+            self.kept = {}
+        new = list(set().union(*split).difference(self.kept))
+        if new:
+            self._encode_words(new)
+        get = self.kept.__getitem__
+        for i, own in zip(plain, split, strict=True):
+            out[i] = np.frombuffer(b"".join(map(get, own)), "<u4")
         if whole:
             for i, e in zip(whole, self.whole.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
                 out[i] = np.array(e.ids, "<u4")
