@@ -45,7 +45,7 @@ class TableStore:
         have = self.versions(name)
         version = (have[-1] if have else 0) + 1
         migrate(name, df).write.mode("overwrite").parquet(f"{self.root}/{name}/v={version}")
-        for old in have[: -self.keep] if self.keep else []:
+        for old in [*have, version][: -self.keep] if self.keep else []:
             p, fs = self._path(f"{self.root}/{name}/v={old}")
             fs.delete(p, True)
         return version
