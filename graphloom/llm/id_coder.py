@@ -40,7 +40,7 @@ from .common import cut, limit_batches, shuffle_width
 MAGIC = b"GLI1"
 BLOCK_IDS = 1 << 21
 LANES, MIN_STEPS = 8192, 48
-TOTAL_BITS, SLOT_BITS, HASH_BITS = 24, 20, 18
+TOTAL_BITS, SLOT_BITS, HASH_BITS = 24, 20, 16
 MAX_FILES_BROADCAST = 1_000_000
 
 
@@ -271,7 +271,7 @@ class WordEncoder:
     the library.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 1_200_000):
         import json
 
         from tokenizers import Tokenizer
@@ -325,14 +325,13 @@ class WordEncoder:
     def _encode_words(self, new: list[str]) -> None:
         """Encodes words (runs between white space) in one call and keeps their ids."""
         core, ids = self.ranks
-        pieces = [_PIECES.findall(w) for w in new]
-        flat = np.frombuffer(core.encode_to_tiktoken_buffer("".join([" ".join(p) + " " for p in pieces if p]), set()), np.uint32)
+        pieces = _PIECES.findall
+        parted = [w if w.isalpha() else " ".join(pieces(w)) for w in new]
+        flat = np.frombuffer(core.encode_to_tiktoken_buffer(" ".join(parted) + " ", set()), np.uint32)
         # A piece ends where a rank holds its blank; a word ends with its last piece.
-        ends = np.concatenate([[0], np.flatnonzero(self.is_end[flat]) + 1])[np.cumsum([len(p) for p in pieces])]
-        raw, at = ids[flat].tobytes(), 0
-        for w, to in zip(new, (4 * ends).tolist(), strict=True):
-            self.kept[w] = raw[at:to]
-            at = to
+        ends = (4 * np.flatnonzero(self.is_end[flat]) + 4)[np.cumsum([p.count(" ") + 1 for p in parted]) - 1].tolist()
+        raw = ids[flat].tobytes()
+        self.kept.update(zip(new, [raw[a:b] for a, b in zip([0, *ends], ends)], strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -386,7 +385,12 @@ def write_id_blocks(df: DataFrame, path: str, key: str = "doc_id", text: str = "
     spark = df.sparkSession
     limit_batches(spark)
     docs = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    ranged = docs.repartitionByRange(files or shuffle_width(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    width = files or shuffle_width(spark)
+    place = F.coalesce("doc_id", F.lit(-(2**63)))
+    # Bounds come from the keys alone: a range exchange would read the texts twice to draw its own.
+    cuts = docs.agg(F.percentile_approx(place, [i / width for i in range(1, width)] or [0.5], 10000)).first()[0] or []
+    below = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))[: width - 1]]).cast("array<long>"), lambda c: c < place))
+    ranged = docs.repartitionById(width, below).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
