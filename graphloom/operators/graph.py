@@ -29,6 +29,20 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, key: str, name: str = "id") -> DataFrame:
+    """Adds ``name``: 1, 2, ... in the order of a unique ``key``, without one task seeing all rows.
+
+    Rows are dealt out by ranges of the key and sorted within them; each
+    range begins after the sizes of those before, one number a partition.
+    """
+    placed = cut(df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_start"))
+    return placed.join(F.broadcast(starts), part == F.col("_part")).select(*df.columns, (F.col("_start") + place + 1).cast("long").alias(name))
+
+
 def undirected(edges: DataFrame, a: str = "from_id", b: str = "to_id", *carry: str) -> DataFrame:
     there = edges.select(F.col(a).alias("src"), F.col(b).alias("dst"), *carry)
     return there.unionByName(edges.select(F.col(b).alias("src"), F.col(a).alias("dst"), *carry))

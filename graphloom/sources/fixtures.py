@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-T0 = "2024-01-01 00:00:00"
+from ..operators.graph import numbered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +46,8 @@ def planets_of(notes: DataFrame) -> DataFrame:
     """A planet a topic of ``notes``."""
     first = F.min_by("content", F.struct("created_at", "id"))
     by_topic = notes.groupBy("topic").agg(F.max("created_at").alias("updated_at"), F.min("created_at").alias("created_at"), first.alias("_goal"))
-    rank = F.row_number().over(Window.orderBy("topic")).cast("long")
-    return by_topic.select(
-        rank.alias("id"), "topic", F.col("topic").alias("display_topic"), F.lit("active").alias("status"), F.substring("_goal", 1, 120).alias("goal"), F.lit("").alias("current_state"),
+    return numbered(by_topic, "topic").select(
+        "id", "topic", F.col("topic").alias("display_topic"), F.lit("active").alias("status"), F.substring("_goal", 1, 120).alias("goal"), F.lit("").alias("current_state"),
         F.lit(None).cast("string").alias("next_step"), F.array(F.concat(F.lit("review "), F.col("topic"))).alias("next_steps"), F.array().cast("array<string>").alias("files"),
         F.array().cast("array<string>").alias("commands"), F.lit("").alias("handoff"), F.array("topic").alias("aliases"), F.lit("hot").alias("memory_state"), "created_at", "updated_at")
 
