@@ -31,8 +31,8 @@ from .common import limit_batches, map_arrow
 
 WINDOW = 16
 CUT_BITS = 10
-CACHE_BYTES = 64 << 20
-SEGMENT = 1 << 20
+CACHE_BYTES = 32 << 20
+SEGMENT = 1 << 18
 
 # Fixed value: the byte-level pre-tokenizer's pattern.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -69,19 +69,25 @@ class ByteBpe:
         ids = [vocab["".join(m)] for m in merges]
         plain = raw["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         self.ranked = plain and raw.get("normalizer") is None and ids == sorted(ids) and (not ids or ids[0] >= 256)
+        self.path, self.special, self._rank, self._whole = path, special, None, None
+
+    def _load(self) -> None:
+        """The encoder itself; workers that only decode never need it."""
         if self.ranked:
             import tiktoken
 
-            self._rank = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks={b: i for i, b in as_bytes.items()}, special_tokens=special)
-            self._special = set(special)
+            ranks = {b: i for i, b in enumerate(self.table) if b and i not in self.special.values()}
+            self._rank, self._special = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=self.special), set(self.special)
         else:
             from tokenizers import Tokenizer
 
-            self._whole = Tokenizer.from_file(path)
+            self._whole = Tokenizer.from_file(self.path)
             self._whole.no_truncation()
             self._whole.no_padding()
 
     def encode(self, text: str) -> list[int]:
+        if self._rank is None and self._whole is None:
+            self._load()
         if self.ranked:
             return self._rank.encode(text, allowed_special=self._special, disallowed_special=())
         return self._whole.encode(text, add_special_tokens=False).ids

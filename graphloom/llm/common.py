@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -69,6 +70,7 @@ def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of plans that are done: it does so once the driver has collected their garbage."""
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(0.5)  # the cleaner works beside us
 
 
 def remove_local_root() -> None:

@@ -36,7 +36,7 @@ MIN_WORDS = 6
 ITEMS_PER_PASS = 20_000
 RATIO = 1.2
 MAX_STRIDE = 256
-ROWS = 1 << 15
+ROWS = 1 << 14
 # White space and ASCII punctuation part words.
 SPLIT = np.zeros(256, bool)
 SPLIT[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
@@ -101,7 +101,7 @@ class Items:
                 value = ((c.prints >> U(16 * b)) & U(0xFFFF)).astype(np.int64)
                 near = (value[:, None] ^ near_masks(16, radius // BLOCKS)[None, :]).ravel()
                 order_of = np.argsort(near, kind="stable")
-                owner = np.repeat(np.arange(len(value)), len(near) // max(1, len(value)))[order_of]
+                owner = np.repeat(np.arange(len(value), dtype=np.int32), len(near) // max(1, len(value)))[order_of]
                 c.tables.append((np.searchsorted(near[order_of], np.arange(65537)), owner))
             self.classes.append(c)
 

@@ -27,7 +27,7 @@ HASH_BITS = 16
 NONE = 1 << HASH_BITS
 SAMPLE_ROWS, CURVE_ROWS = 6000, 1500
 AMBIGUOUS = 0.8
-PART = 1 << 20
+PART = 1 << 18
 
 # 0: not a letter; 1 to 26: a to z; 27 on: bytes of other characters.
 CLASS = np.zeros(256, np.uint32)

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-PART = 2 << 20
+PART = 1 << 19
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -73,7 +73,7 @@ def fold_latin(data: np.ndarray) -> np.ndarray:
 def word_hashes(data: np.ndarray, ends: np.ndarray, lower: bool = True, spaces: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (runs of bytes outside ``spaces``, A-Z lower-cased) and the n + 1 offsets of each text's words.
 
-    Worked off in parts of 2 MB, cut at white space, so memory beside the
+    Worked off in parts of half a megabyte, cut at white space, so memory beside the
     hashes stays bounded unless one word is longer.
     """
     inside = ~spaces[data]
