@@ -2,7 +2,7 @@
 
 Every rule names literal tokens that each URL it can match must hold. The
 rule is filed under the one of them that the fewest URLs hold, counted over
-all URLs. The tokens of a URL fetch the rules filed under them, and only
+all URLs. A rule of alternatives is filed under a token of each. The tokens of a URL fetch the rules filed under them, and only
 those rules run their regular expressions. All of it is one projection of
 built-in functions: the index is a literal of hash buckets, so no URL is
 exploded, shuffled or joined.
@@ -26,8 +26,10 @@ class UrlRule:
     """``pattern`` runs on host + path (``scope`` place) or on the whole URL (``scope`` url).
 
     ``tokens``: lower-case alphanumeric runs that stand, as whole runs, in
-    every URL that the pattern fits. ``kind`` site: the longest fitting name
-    decides; pattern: asked where no site rule fits.
+    every URL that the pattern fits. Where the pattern has alternatives,
+    ``any_of`` has a run of each instead: one of them stands in every such
+    URL, and the rule is filed under all. ``kind`` site: the longest fitting
+    name decides; pattern: asked where no site rule fits.
     """
 
     name: str
@@ -36,6 +38,7 @@ class UrlRule:
     tokens: tuple[str, ...]
     kind: str = "pattern"
     scope: str = "url"
+    any_of: tuple[str, ...] = ()
 
 
 def site_rule(verdict: str, host: str, path: str) -> UrlRule:
@@ -54,7 +57,7 @@ SITE_RULES = (
 )
 
 PATTERN_RULES = (
-    UrlRule("ad-host", "block", r"(?i)://(?:[^/?#]*\.)?(?:ads|adserver|doubleclick)\.", ("ads",)),
+    UrlRule("ad-host", "block", r"(?i)://(?:[^/?#]*\.)?(?:ads|adserver|doubleclick)\.", (), any_of=("ads", "adserver", "doubleclick")),
     UrlRule("adserver-host", "block", r"(?i)://(?:[^/?#]*\.)?adserver\.", ("adserver",)),
     UrlRule("archive-file", "block", r"(?i)\.(?:zip)(?:$|[?#])", ("zip",)),
     UrlRule("binary-file", "block", r"(?i)\.(?:exe)(?:$|[?#])", ("exe",)),
@@ -81,22 +84,24 @@ def token_counts(urls: DataFrame, url: str, tokens: list[str]) -> dict[str, int]
     return {r["token"]: r["n"] for r in found.groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
-def _entry(rule: UrlRule, token: str) -> Column:
-    parts = {"token": token, "name": rule.name, "verdict": rule.verdict, "pattern": rule.pattern, "kind": rule.kind, "scope": rule.scope}
+def _entry(rule: UrlRule, token: str, number: int) -> Column:
+    parts = {"token": token, "number": number, "name": rule.name, "verdict": rule.verdict, "pattern": rule.pattern, "kind": rule.kind, "scope": rule.scope}
     return F.struct(*[F.lit(v).alias(k) for k, v in parts.items()])
 
 
 def rule_index(rules: tuple[UrlRule, ...], counts: dict[str, int]) -> tuple[Column, int]:
-    """Hash buckets of rules by their rarest token (ties: the alphabetically first)."""
+    """Hash buckets of rules by their rarest token (ties: the alphabetically first), or by each of ``any_of``."""
     n = max(16, 2 * len(rules))
     buckets: list[list[Column]] = [[] for _ in range(n)]
-    by_token: dict[str, list[UrlRule]] = {}
-    for rule in rules:
-        by_token.setdefault(min(rule.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(rule)
+    by_token: dict[str, list[tuple[UrlRule, int]]] = {}
+    for number, rule in enumerate(rules):
+        filed = (min(rule.tokens, key=lambda t: (counts.get(t, 0), t)),) if rule.tokens else dict.fromkeys(rule.any_of)
+        for token in filed:
+            by_token.setdefault(token, []).append((rule, number))
     # The same hash in Python and in the plan: a sum of code points by place.
     for token, own in by_token.items():
-        buckets[_place(token, n)] += [_entry(r, token) for r in own]
-    empty = F.filter(F.array(_entry(rules[0], "")), lambda _: F.lit(False))
+        buckets[_place(token, n)] += [_entry(r, token, number) for r, number in own]
+    empty = F.filter(F.array(_entry(rules[0], "", 0)), lambda _: F.lit(False))
     return F.array(*[F.array(*b) if b else empty for b in buckets]), n
 
 
@@ -119,7 +124,7 @@ def judge_urls(df: DataFrame, url: str = "url", rules: tuple[UrlRule, ...] = SIT
     others, repeated rows and ties pass through; an empty table gives an
     empty result. At most ``MAX_RULES`` rules; each needs a token.
     """
-    if len(rules) > MAX_RULES or not all(r.tokens for r in rules):
+    if len(rules) > MAX_RULES or not all(r.tokens or r.any_of for r in rules):
         raise ValueError(f"at most {MAX_RULES} rules, each with a literal token")
     if counts is None:
         counts = token_counts(df, url, sorted({t for r in rules for t in r.tokens}))
@@ -130,7 +135,9 @@ def judge_urls(df: DataFrame, url: str = "url", rules: tuple[UrlRule, ...] = SIT
     out = base.withColumns({"_url": F.coalesce(u, F.lit("")), "_host": host, "_path": path})
     fetched = F.flatten(F.transform(F.filter(url_tokens(F.col("_url")), lambda t: t != ""), lambda t: F.filter(F.get(index, _place_column(t, n)), lambda e: e["token"] == t)))
     fits = lambda e: F.regexp_like(F.when(e["scope"] == "url", F.col("_url")).otherwise(F.concat("_host", "_path")), e["pattern"])
-    out = out.withColumn("_fired", F.filter(fetched, fits))
+    # A rule filed under several tokens of the URL is fetched by each and counts once.
+    once = F.array_distinct(F.transform(fetched, lambda e: e.dropFields("token")))
+    out = out.withColumn("_fired", F.filter(once, fits))
     site = F.array_max(F.transform(F.filter("_fired", lambda e: e["kind"] == "site"), lambda e: F.struct(F.length(e["name"]).alias("n"), e["name"].alias("name"), e["verdict"].alias("verdict"))))
     other = F.transform(F.filter("_fired", lambda e: e["kind"] != "site"), lambda e: e["verdict"])
     out = out.withColumns({"_site": site, "_other": other})

@@ -177,6 +177,16 @@ def test_url_filter_against_brute_force(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_rules_of_alternatives_are_fetched_by_each(spark):
+    urls = ["http://ad.doubleclick.net/x", "http://DoubleClick.net", "http://adserver.site.org/", "http://a.ads.b.doubleclick.adserver.org/login", "http://ads.com/x", "http://doubleclicks.org/ads.", "http://x.org/doubleclick.net", "http://x.org/?a=://ads.b"]
+    out = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    for r in out:
+        host, path = re.search(r"://([^/?#]*)([^?#]*)", r.url).groups()
+        names = [u.name for u in url_filter.SITE_RULES + url_filter.PATTERN_RULES if re.search(u.pattern, r.url if u.scope == "url" else host.lower() + path)]
+        assert r.fired == ",".join(sorted(names))
+    assert [(r.verdict, r.fired) for r in sorted(out, key=lambda r: r.page_id)][:4] == [("block", "ad-host"), ("block", "ad-host"), ("block", "ad-host,adserver-host"), ("block", "ad-host,adserver-host,login-page")]
+
+
 # ---- op5
 
 
