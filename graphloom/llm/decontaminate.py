@@ -13,6 +13,12 @@ Fingerprints are cut into four blocks of 16 bits. Two fingerprints within
 block values that near an item's block find every item fingerprint within the
 radius. Candidates are verified exactly: the weighted share of the item's
 word shingles that stand in the document around the aligned place.
+
+Fingerprints alone would miss items whose passages are edited or cut, by how
+they fall on the stride. So items are looked up by their shingles as well: the
+rarest that together weigh more than what an item may lack. A text without
+any of them cannot reach the similarity, and for each that has one the
+greatest share is computed over all places.
 """
 
 from __future__ import annotations
@@ -66,8 +72,8 @@ def near_masks(bits: int, most: int) -> np.ndarray:
 class Items:
     """Everything that executors need of one pass of items; bounded by ``ITEMS_PER_PASS``."""
 
-    def __init__(self, ids: list[int], texts: list[str], radius: int = RADIUS, shingle: int = SHINGLE, min_words: int = MIN_WORDS):
-        self.radius, self.shingle = radius, shingle
+    def __init__(self, ids: list[int], texts: list[str], radius: int = RADIUS, shingle: int = SHINGLE, min_words: int = MIN_WORDS, least: float = SIMILARITY):
+        self.radius, self.shingle, self.least = radius, shingle, least
         words, ends = words_of(pa.array(texts, pa.string()))
         own = {i: words[ends[i] : ends[i + 1]] for i in range(len(ids)) if ends[i + 1] - ends[i] >= min_words}
         self.ids = ids
@@ -80,6 +86,7 @@ class Items:
         self.parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for i, w in own.items():
             self.parts[i] = self.weighted_shingles(w)
+        self.sought, self.sought_at, self.sought_of = self.needed_shingles()
         self.classes: list[LengthClass] = []
         order = sorted(own, key=lambda i: (len(own[i]), i))
         at = 0
@@ -119,6 +126,24 @@ class Items:
         hashes, first = np.unique(shingle_hashes(words, self.shingle), return_index=True)
         return hashes, total[first]
 
+    def needed_shingles(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shingles, sorted, of which a text has one at least for each item that reaches ``least``; the owners of shingle i are from place i to i + 1."""
+        if not self.parts:
+            return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        every, held = np.unique(np.concatenate([h for h, _ in self.parts.values()]), return_counts=True)
+        taken, owners = [], []
+        for i, (hashes, weight) in self.parts.items():
+            order = np.lexsort((hashes, -weight, held[np.searchsorted(every, hashes)]))
+            # Those before and the last one weigh more than 1 - least of all, with room for rounding.
+            before = np.cumsum(weight[order]) - weight[order]
+            own = hashes[order[before <= (1 - self.least) * weight.sum() + 1e-6]]
+            taken.append(own)
+            owners.append(np.full(len(own), i, np.int64))
+        joined = np.concatenate(taken)
+        order = np.argsort(joined, kind="stable")
+        sought, first = np.unique(joined[order], return_index=True)
+        return sought, np.append(first, len(joined)), np.concatenate(owners)[order]
+
     def bit_sums(self, words: np.ndarray) -> np.ndarray:
         """Running sums of the words' weighted bits; 16 bits wrap around, which differences undo."""
         bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1).view(np.int8)
@@ -153,6 +178,64 @@ class Items:
         near = shingle_hashes(words[max(0, start - n // 4) : max(0, start) + n + n // 4], self.shingle)
         return float(weight[np.isin(hashes, near)].sum() / weight.sum())
 
+    def sharing(self, words: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+        """(text, item), sorted and distinct, where the text has a needed shingle of the item."""
+        k, pairs = self.shingle, []
+        if not len(self.sought):
+            return []
+        for lo in range(0, len(words), ROWS):
+            own = words[lo : lo + ROWS + k - 1]
+            if len(own) < k:
+                break
+            hashes = shingle_hashes(own, k)
+            at = np.minimum(np.searchsorted(self.sought, hashes), len(self.sought) - 1)
+            place = np.flatnonzero(self.sought[at] == hashes)
+            at, place = at[place], place + lo
+            text = np.searchsorted(ends, place, "right") - 1
+            inside = place + k <= ends[text + 1]
+            # A text meets a shingle once however often it has it.
+            met = np.unique(text[inside] * len(self.sought) + at[inside])
+            text, at = met // len(self.sought), met % len(self.sought)
+            n = self.sought_at[at + 1] - self.sought_at[at]
+            owner = self.sought_of[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.sought_at[at], n)]
+            pairs.append(np.unique(np.repeat(text, n) * len(self.ids) + owner))
+        found = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        return [divmod(int(x), len(self.ids)) for x in found]
+
+    def greatest(self, item: int, words: np.ndarray, grams: np.ndarray, known: float) -> tuple[float, int] | None:
+        """The greatest similarity over all places of a text and where the item begins there, if it exceeds ``known`` and reaches ``least``."""
+        n = len(self.words[item])
+        hashes, weight = self.parts[item]
+        total = weight.sum()
+        at = np.minimum(np.searchsorted(hashes, grams), len(hashes) - 1)
+        place = np.flatnonzero(hashes[at] == grams)
+        which = at[place]
+        there = np.bincount(which, minlength=len(hashes)) > 0
+        if float(weight[there].sum() / total) < max(self.least, np.nextafter(known, 2)):
+            return None
+        # A shingle at p counts for the places from which p is seen but its last occurrence before p is not.
+        seen = n + 2 * (n // 4) - self.shingle
+        order = np.argsort(which, kind="stable")
+        last = np.full(len(place), -1, np.int64)
+        again = which[order[1:]] == which[order[:-1]]
+        last[order[1:][again]] = place[order[:-1][again]]
+        begin = np.maximum(np.maximum(last + 1, place - seen), 0)
+        steps = np.bincount(begin, weight[which], len(grams) + 1) - np.bincount(place + 1, weight[which], len(grams) + 1)
+        score = np.rint(np.cumsum(steps)).astype(np.int64)
+        best = int(score.argmax())
+        value = float(score[best] / total)
+        if value < self.least or value <= known:
+            return None
+        inside = (place >= best) & (place <= best + seen)
+        offset = np.searchsorted(hashes, shingle_hashes(self.words[item], self.shingle))
+        first = np.zeros(len(hashes), np.int64)
+        first[offset[::-1]] = np.arange(len(offset))[::-1]
+        starts, counts = np.unique(np.maximum(0, place[inside] - first[which[inside]]), return_counts=True)
+        for start in starts[np.argsort(-counts, kind="stable")].tolist():
+            if self.similarity(item, words, start) == value:
+                return value, start
+        return value, best + n // 4
+
     def find(self, words: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], tuple[float, int]]:
         """(text, item) to (greatest similarity, word where the item begins) of all verified candidates."""
         tried: dict[tuple[int, int, int], float] = {}
@@ -177,6 +260,12 @@ class Items:
                     if (t, item, start) not in tried:
                         tried[t, item, start] = value = self.similarity(item, words[ends[t] : ends[t + 1]], start)
                         best[t, item] = max(best.get((t, item), (0.0, 0)), (value, -max(0, start)))
+        text, grams = -1, words[:0]
+        for t, item in self.sharing(words, ends):
+            if t != text:
+                text, grams = t, shingle_hashes(words[ends[t] : ends[t + 1]], self.shingle)
+            if more := self.greatest(item, words[ends[t] : ends[t + 1]], grams, best.get((t, item), (0.0, 0))[0]):
+                best[t, item] = (more[0], -more[1])
         return best
 
 
@@ -194,7 +283,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     Words part at ASCII white space and punctuation; ASCII and Latin-1
     capitals count as small letters. similarity: the greatest weighted share of
     the item's 3-word shingles found in one place of the text, at least
-    ``similarity``; start_word: where that is (ties: the first). Items of fewer
+    ``similarity``, and no place that reaches it is missed; start_word: where that
+    is (ties: the first aligned one). Items of fewer
     than ``min_words`` words and null items are left out: chance would find
     them. Items pass in blocks of ``ITEMS_PER_PASS``. Null and empty texts hold
     nothing. Repeated rows give repeated results; other columns are dropped.
@@ -209,7 +299,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     for p in range(passes):
         block = listed if passes == 1 else listed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p)
         rows = sorted(block.collect(), key=lambda r: (r["item_id"] is None, r["item_id"], r["text"]))
-        known = spark.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows], radius, min_words=min_words))
+        known = spark.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows], radius, min_words=min_words, least=similarity))
 
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             table = known.value

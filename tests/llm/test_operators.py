@@ -157,6 +157,39 @@ def test_hamming_blocks_find_all_within_radius():
     assert set(zip(at.tolist(), to.tolist())) == brute
 
 
+@pytest.mark.parametrize("least", [0.5, 0.8])
+def test_edited_and_cut_items_against_every_place(least):
+    rng = random.Random(31)
+    vocab = ["w%d" % i for i in range(2000)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [text(n) for n in (6, 7, 14, 20, 21, 40, 59, 120) for _ in range(3)]
+    items[1] = items[0][:3] * 3
+    table = decontaminate.Items(list(range(len(items))), [" ".join(i) for i in items], least=least)
+    texts = []
+    for i in items:
+        for _ in range(12):
+            n = len(i)
+            some = rng.choice([0.1, 0.15, 0.2])
+            edited = [rng.choice(vocab) if rng.random() < some else w for w in i]
+            at = rng.randrange(n - (n * 55 // 100) + 1)
+            split = i[: n // 2] + text(rng.randint(1, n // 2)) + i[n // 2 :]
+            for own in (edited, i[at : at + n * 55 // 100 + rng.randint(0, 2)], split, i + i):
+                texts.append(text(rng.randint(0, 60)) + own + text(rng.randint(0, 60)))
+    texts += [[], text(1), items[2]]
+    words, ends = decontaminate.words_of(pa.array([" ".join(t) for t in texts]))
+    got = {k: v for k, v in table.find(words, ends).items() if v[0] >= least}
+    want = {}
+    for t in range(len(texts)):
+        own = words[ends[t] : ends[t + 1]]
+        for i in range(len(items)):
+            if np.isin(table.parts[i][0], shingles.shingle_hashes(own, 3)).any():
+                value = max(table.similarity(i, own, s) for s in range(max(1, len(own))))
+                if value >= least:
+                    want[t, i] = value
+    assert len(want) > 300 and {k: v[0] for k, v in got.items()} == want
+    assert sum(table.similarity(i, words[ends[t] : ends[t + 1]], -v[1]) == v[0] for (t, i), v in got.items()) == len(got)
+
+
 # ---- op4
 
 
