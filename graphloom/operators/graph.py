@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,14 +89,14 @@ def subgraph(links: DataFrame, seeds: DataFrame, depth: int = 2, min_weight: int
     return rows.groupBy("seed", F.col("via").alias("source"), F.col("id").alias("target")).agg(F.max("weight_milli").alias("weight_milli"))
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, longest: int = 20) -> DataFrame:
-    """(from_id, to_id, length, path): fewest steps between the ends of each pair, in either direction; of equal ones the least array. Unreached pairs have nulls."""
+def shortest_paths(edges: DataFrame, pairs: DataFrame, longest: int | None = None) -> DataFrame:
+    """(from_id, to_id, length, path): fewest steps between the ends of each pair, in either direction; of equal ones the least array. Unreached pairs have nulls, as have those further apart than ``longest``, if it is given."""
     steps = undirected(edges).select("src", "dst").distinct()
     ends = pairs.select("from_id", "to_id").distinct()
     paths = cut(ends.select("from_id").distinct().select("from_id", F.col("from_id").alias("id"), F.array("from_id").alias("path")))
     seen, frontier = paths, paths
     wanted = ends.select("from_id", F.col("to_id").alias("id"))
-    for _ in range(longest):
+    for _ in count() if longest is None else range(longest):
         if wanted.join(seen, ["from_id", "id"], "left_anti").limit(1).count() == 0:
             break
         grown = frontier.withColumnRenamed("id", "src").join(steps, "src").select("from_id", F.col("dst").alias("id"), F.array_append("path", F.col("dst")).alias("path"))

@@ -168,3 +168,11 @@ def test_paths_and_components(spark):
     triangle = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "from_id long, to_id long")
     row = graph.clustering(triangle, spark.range(1, 5)).first()
     assert (row.vertices, row.triangles, row.mean_milli) == (4, 1, round(1000 * (1 + 1 + 1 / 3) / 4, 6))
+
+
+def test_paths_have_no_longest(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(26)], "from_id long, to_id long")
+    pairs = spark.createDataFrame([(26, 0), (0, 99)], "from_id long, to_id long")
+    got = {(r.from_id, r.to_id): (r.length, r.path) for r in graph.shortest_paths(edges, pairs).collect()}
+    assert got == {(26, 0): (26, list(range(26, -1, -1))), (0, 99): (None, None)}
+    assert {r.length for r in graph.shortest_paths(edges, pairs, longest=20).collect()} == {None}
