@@ -320,11 +320,17 @@ def join_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     drop_cut(keyed)
     release(spark)
     active = regions.select("node").distinct()
-    reps = table.join(active, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    reps = cut(reps, "representatives")
+    least = cut(table.join(active, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "representatives")
     release(spark)
+    reps = least.where("doc_id IS NOT NULL").select("doc_id").distinct()
     wanted = F.broadcast(reps) if reps.count() <= MAX_BROADCAST_ROWS else reps
-    sets = bucket(sets_of(own.join(wanted, "doc_id", "left_semi"), k), "node", "shingles")
+    fetched = sets_of(own.join(wanted, "doc_id", "left_semi"), k)
+    # Nodes that stand under null ids only are fetched by node: no id finds them.
+    nameless = least.where("doc_id IS NULL").select("node")
+    if n_nameless := nameless.count():
+        missing = F.broadcast(nameless) if n_nameless <= MAX_BROADCAST_ROWS else nameless
+        fetched = fetched.unionByName(sets_of(own.where("doc_id IS NULL"), k).join(missing, "node", "left_semi"))
+    sets = bucket(fetched, "node", "shingles")
     release(spark)
     placed = cut(first_pivots(regions), "placed")
     drop_cut(regions)
@@ -364,7 +370,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     key that links reach; class_id: that of documents with an equal set.
     n_links: links found from the class to other classes (enough to connect
     all that link). Repeated rows each get a row; other columns are dropped;
-    an empty table gives none. A null key is never the smallest.
+    an empty table gives none. A null key is never the smallest, but its text
+    links as any other; where all keys are null, component_id and class_id are.
     """
     table, links = join_sets(docs, key, text, k, num, den)
     classes = table.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("class_id"))

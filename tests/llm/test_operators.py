@@ -359,6 +359,18 @@ def test_jaccard_components(spark, monkeypatch, k, num, den):
     assert got == brute_components(docs, k, num, den)
 
 
+def test_jaccard_links_texts_under_null_ids(spark):
+    rng = random.Random(2)
+    base = ["v%d" % i for i in range(100)]
+    change = lambda *at: " ".join("new%d" % rng.randrange(10**6) if i in at else w for i, w in enumerate(base))
+    # 1 and 2 are linked only through the text under a null id; 7 has no near text.
+    docs = [(1, change(0, 1, 2, 3)), (None, change()), (2, change(96, 97, 98, 99)), (7, words(rng, 50)), (None, "all of its own"), (None, None)]
+    out = jaccard_join.jaccard_components(spark.createDataFrame(docs, DOCS)).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in out) == [(0, 0), (0, 0), (0, 1), (1, 1), (2, 1), (7, 7)]
+    nameless = jaccard_join.jaccard_components(spark.createDataFrame([(None, t) for _, t in docs[:3]], DOCS)).collect()
+    assert [(r.component_id, r.n_links > 0) for r in nameless] == [(None, True)] * 3
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
     assert [tuple(r)[:3] for r in jaccard_join.jaccard_components(spark.createDataFrame([(4, None)], DOCS)).collect()] == [(4, 0, 4)]
