@@ -36,6 +36,14 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in out.collect()} == kept[2] and out.where(~F.col("round_trip")).count() == 0
 
 
+def test_null_ids_are_judged_by_their_texts(spark, tmp_path):
+    item = " ".join(f"item{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, f"before {item} after"), (2, "clean one"), (None, f"null {item} id"), (None, "clean too"), (None, None)]
+    out = corpus_pipeline.remove_benchmark_passages(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, ""), (0, "clean too"), (2, "clean one")]
+
+
 def test_each_operator_is_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
