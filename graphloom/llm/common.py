@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import shutil
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_root: list[str] = []
 
 
@@ -35,10 +37,22 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/graphloom/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark removes the shuffle files of a write once the write is done."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again, so that no later loss repeats its lineage."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._graphloom_path = path
     return back
@@ -48,7 +62,12 @@ def bucket(df: DataFrame, key: str, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder in buckets of ``key``, so that joins on it do not shuffle this side."""
     spark, n = df.sparkSession, shuffle_width(df.sparkSession)
     path, name = new_path(spark, label), f"graphloom_{uuid.uuid4().hex}"
-    df.repartition(n, key).dropDuplicates([key]).write.bucketBy(n, key).option("path", path).saveAsTable(name)
+    try:
+        with shuffles_removed(spark):
+            df.repartition(n, key).dropDuplicates([key]).write.bucketBy(n, key).option("path", path).saveAsTable(name)
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        raise
     back = spark.table(name)
     back._graphloom_path, back._graphloom_table = path, name
     return back
@@ -66,13 +85,6 @@ def drop_cut(df: DataFrame) -> None:
     where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of plans that are done: it does so once the driver has collected their garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-    time.sleep(0.5)  # the cleaner works beside us
-
-
 def remove_local_root() -> None:
     if _local_root:
         shutil.rmtree(_local_root.pop(), ignore_errors=True)

@@ -1,37 +1,47 @@
-"""Exact n-gram Jaccard join by pivots, triangle-inequality windows and recursion.
+"""Exact n-gram Jaccard join by pivots, Voronoi regions, triangle-inequality windows and recursion.
 
-Sets with J(x, y) >= 9/10 are at Jaccard distance <= 1/10, and this holds
+Sets with J(x, y) >= 9/10 are at Jaccard distance <= r = 1/10, and this holds
 just when 19 |x - y| <= |x| + |y|, where x - y is the symmetric difference.
-
-*Regions.* Documents with equal sets are one node. Almost all other documents
-share no shingle, so they are at distance 1 from any pivot document and no
-choice of pivots could tell them apart. Regions therefore begin as follows:
-in a band of sizes, shingles fall into m classes by hash, where m exceeds the
-largest symmetric difference of a linked pair; so a linked pair agrees in
-whole classes, and nodes that agree in one class are a region. Nodes near the
-lower edge of a band are replicated into the band below (sizes of linked sets
-differ by a tenth at most).
-
-*Pivots.* Each region's pivot is the node that shares most regions with
-others. Exact distances to the pivot link the nodes of its ball; they are one
-component, so no pair within the ball needs a look.
-
-*Windows and recursion.* Let D(x) be the symmetric difference of x and the
-pivot. For a linked pair that is not within the ball the triangle inequality
-bounds how much D(x) and D(y) must have in common: at least
-o(x) = max(1, |D| - |x| / 9, (19 |D| - |x| +- |p| + 1) / 38) elements (the
-sign is + in the ball). So x is replicated to the first |D| - o + 1 elements
-of D(x), those that the pivot lacks first, and nodes that share (pivot,
-element) are a region of the next round. Only nodes that may still link with
-another of their region are: two outside the ball, or one in it and one within
-twice the radius. Regions whose nodes are one component
-by now are done. A region of up to 64 nodes is joined directly: pairs of
-different components whose distances to the pivot differ by no more than a
-link allows. A larger one gets a new pivot, from its smallest component, and
-is divided again by D; it loses its pivot at least, so the recursion ends. A
-group of near copies costs a star, not its pairs.
-
-Hashes of 64 bits stand for shingles and for sets.
+Documents with equal sets are one node.
+
+*First division.* Almost all documents share no shingle, so they are at
+distance 1 from any pivot, and no choice of pivots could part them. So nodes
+are first divided by shingles: in one order of all shingles, linked sets share
+one of the first |x| - ceil(9/10 |x|) + 1 of each, and those that share such a
+shingle are a region. More exactly, a linked pair shares at least
+min over both of (ceil(9/19 (|x| + |y|)) - ceil(9/10 |x|) + 1) of them, and
+pairs are counted on that. Any order is exact; rare shingles first keep regions small.
+Shingles in the lowest part of the hash range (twice as wide as the prefixes)
+are counted over all documents. Those that stand in more than ``RARE``
+documents are listed, the most frequent ``LISTED`` if there are more, and come
+after the other counted ones, by count; shingles beyond that part come last.
+
+*Voronoi regions.* A region of up to ``DIRECT`` nodes is joined directly. A
+larger one gets ``PIVOTS`` pivots: its first nodes in an order of all nodes, by
+how many large regions hold them. Exact distances to all of them are measured.
+Each node belongs to the Voronoi region of its nearest pivot.
+
+*Windows.* If y's nearest pivot is q and d(x, y) <= r, then d(x, q) <= d(y, q) + r
+<= d(y, p) + r <= d(x, p) + 2 r, where p is x's nearest. So x is replicated to
+the regions of all pivots q with d(x, q) <= d(x, p) + 2 r, and each linked pair
+meets in a region. Nodes within r of the pivot link with it; they are one
+component, so no pair among them needs a look.
+
+*Recursion.* Let D(x) be the symmetric difference of x and the region's pivot.
+The triangle inequality bounds how much D(x) and D(y) of a linked pair must
+have in common: at least o(x) = max(1, |D| - |x| / 9, (19 |D| - |x| +- |p| + 1) / 38)
+elements (the sign is + within r of the pivot). So x goes on with the first
+|D| - o + 1 elements of D(x), those that the pivot lacks first, and nodes that
+share (pivot, element) are a region of the next round. Regions whose nodes are
+one component by now are done; small ones are joined directly, pairs whose
+distances to the pivot differ by more than r left out; larger ones get new
+pivots. All nodes of a pivot's region come after it in the order of pivots, so
+the recursion ends, and a node has one row for each pivot and element however
+many regions they come from. A group of near copies costs a star, not its
+pairs, and no step holds a region in one task.
+
+A set's name has 64 bits, checked against 64 more: names that two sets share
+are replaced. Hashes of 64 bits stand for shingles.
 """
 
 from __future__ import annotations
@@ -40,14 +50,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket, cut, drop_cut, limit_batches, release
+from .common import bucket, cut, drop_cut, limit_batches
 from .shingles import U, mix, shingle_hashes, text_buffers, word_hashes
 
 MAX_BROADCAST_ROWS = 500_000
-DIRECT = 64
+DIRECT = 32
+PIVOTS = 4
+RARE, LISTED = 8, 1_000_000
 
 
 class Threshold:
@@ -63,13 +75,23 @@ class Threshold:
     def linked(self, both: int, x: int, y: int) -> bool:
         return self.den * both >= self.num * (x + y - both)
 
-    def near(self, both: int, x: int, y: int) -> bool:
-        """Whether the distance is at most twice that of a link."""
-        return self.den * both >= (2 * self.num - self.den) * (x + y - both)
+    def alone(self, n: int) -> bool:
+        """Whether a set of n elements can link with no other set than itself."""
+        return self.b * n < self.num
+
+    def prefix(self, n: int) -> int:
+        """Of how many first elements linked sets share one."""
+        return n + 1 - -(-self.num * n // self.den)
 
-    def most_apart(self, largest: int) -> int:
-        """Largest symmetric difference of a linked pair of which the smaller set has up to ``largest`` elements."""
-        return self.b * largest // self.num
+    def shared_prefix(self, x: Column, y: Column) -> Column:
+        """How many elements the prefixes of linked sets of x and y elements share at least."""
+        x, y = x.cast("long"), y.cast("long")
+        up = lambda top, by: (top + by - 1 - F.pmod(top + by - 1, F.lit(by))) / by  # noqa: E731  the quotient rounded up
+        return up(self.num * (x + y), self.a) + 1 - F.greatest(up(self.num * x, self.den), up(self.num * y, self.den))
+
+    def sizes_fit(self, x: Column, y: Column) -> Column:
+        x, y = x.cast("long"), y.cast("long")
+        return (self.den * x >= self.num * y) & (self.den * y >= self.num * x)
 
     def shared(self, d: int, x: int, p: int, ball: bool) -> int:
         """The least part of D(x) that a linked partner outside the ball shares (in it: a partner not in it)."""
@@ -78,119 +100,130 @@ class Threshold:
         return max(1, by_pivot, d - self.b * x // self.num)
 
 
-class Bands:
-    """Bands of sizes, and how many classes a band has.
-
-    m exceeds the largest symmetric difference of a linked pair of the band
-    by 1 and by ``spare``, so many classes as are likely empty in its smallest
-    sets. A pair agrees in more than ``spare`` classes; so if only empty ones
-    are among them, both sets have more than ``spare`` empty ones, and only
-    such sets get keys of empty classes.
-    """
-
-    def __init__(self, t: Threshold):
-        self.t, self.known = t, {}
-        # Loose thresholds need many small classes; narrow bands keep them few.
-        self.ratio = 1.5 if 20 * t.num >= 17 * t.den else 1.25
-
-    def edges(self, b: int) -> tuple[int, int]:
-        """Sizes lo to hi of band b."""
-        low = lambda k: 1 if k == 0 else int(np.ceil(9 * self.ratio ** (k - 1) - 1e-9))
-        return low(b), low(b + 1) - 1
-
-    def classes(self, b: int) -> tuple[int, int]:
-        """(m, spare) of band b."""
-        if b not in self.known:
-            lo, hi = self.edges(b)
-            apart = self.t.most_apart(hi)
-            m = apart + 1
-            while lo > 1:
-                empty = m * np.exp(-lo / m)
-                if m - apart - 1 >= empty + 2 * np.sqrt(empty) or m > 4 * hi:
-                    break
-                m += 1
-            self.known[b] = (m, m - apart - 1)
-        return self.known[b]
-
-    def of(self, n: int) -> list[int]:
-        """The band of size n and the bands below that a linked set can have as its own."""
-        b = 0
-        while self.edges(b)[1] < n:
-            b += 1
-        return [b] + [k for k in range(b - 1, -1, -1) if -(-self.t.num * n // self.t.den) <= self.edges(k)[1]]
-
-
-def region_keys(own: np.ndarray, bands: Bands) -> list[np.ndarray]:
-    """Keys of the regions of a set: its classes in its band and, near the lower edge, in the bands below."""
-    if not len(own):
-        return []
-    keys = []
-    spread = mix(own)
-    for k in bands.of(len(own)):
-        m, spare = bands.classes(k)
-        place = (own % U(m)).astype(np.int64)
-        sums = np.zeros(m, np.uint64)
-        with np.errstate(over="ignore"):
-            np.add.at(sums, place, spread)
-            named = mix(sums + mix(np.arange(m, dtype=np.uint64) + U((k + 1) << 32)))
-        full = np.bincount(place, minlength=m) > 0
-        keys.append(named if m - full.sum() > spare else named[full])
-    return keys
-
-
-def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, int]]:
+def _sets(batch: pa.RecordBatch, k: int, name_bits: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """The distinct shingles of each text, in order, and the two halves of the set's name."""
     data, ends = text_buffers(batch.column("text"))
     words, offsets = word_hashes(data, ends)
     for i in range(len(offsets) - 1):
         own = np.unique(shingle_hashes(words[offsets[i] : offsets[i + 1]], k))
         with np.errstate(over="ignore"):
-            yield own, int(mix(own ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)) if len(own) else 0
-
+            one, two = (int(mix(own ^ U(seed)).sum(dtype=np.uint64).astype(np.int64)) for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+        yield own, one >> (64 - name_bits), two
 
-def describe(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
-    """(doc_id, node, n, keys): keys only where a task meets a node first."""
 
-    bands = Bands(t)
+def describe(docs: DataFrame, k: int, t: Threshold, name_bits: int) -> DataFrame:
+    """(doc_id, text_hash, h1, h2, n, low): low holds the elements in the lowest part of the hash range, the prefix at least, only where a task meets a set first."""
+    top = U(_counted(t))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            nodes, sizes, keys = [], [], []
-            for own, node in _sets(batch, k):
-                nodes.append(node)
+            ones, twos, sizes, low, ends = [], [], [], [], [0]
+            for own, one, two in _sets(batch, k, name_bits):
+                ones.append(one)
+                twos.append(two)
                 sizes.append(len(own))
-                keys.append(np.zeros(0, np.int64) if node in seen or not len(own) else np.concatenate(region_keys(own, bands)).view(np.int64))
-                seen.add(node)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "n", "keys"])
+                keep = 0 if t.alone(len(own)) or (one, two) in seen else max(int(np.searchsorted(own, top, "right")), t.prefix(len(own)))
+                seen.add((one, two))
+                low.append(own[:keep])
+                ends.append(ends[-1] + keep)
+            flat = np.concatenate(low).view(np.int64) if low else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+                names=["doc_id", "text_hash", "h1", "h2", "n", "low"])
+
+    return docs.mapInArrow(run, "doc_id long, text_hash long, h1 long, h2 long, n int, low array<long>")
+
 
-    return docs.mapInArrow(run, "doc_id long, node long, n long, keys array<long>")
+def _counted(t: Threshold) -> int:
+    """The greatest hash of the part of the range in which shingles are counted."""
+    return min((1 << 64) - 1, (2 * t.b << 64) // t.den)
 
 
-def sets_of(docs: DataFrame, k: int) -> DataFrame:
+def clashes(described: DataFrame) -> DataFrame | None:
+    """(h1, h2, other): sets that share h1 with another set, and another name for each; None if there are none."""
+    held = described.groupBy("h1").agg(F.min("h2").alias("_lo"), F.max("h2").alias("_hi")).where("_lo <> _hi").select("h1")
+    found = cut(described.select("h1", "h2").join(held, "h1", "left_semi").distinct().withColumn("other", F.xxhash64("h1", "h2")), "clashes")
+    if found.limit(1).count():
+        return found
+    drop_cut(found)
+    return None
+
+
+def named(rows: DataFrame, clash: DataFrame | None) -> DataFrame:
+    """h1 and h2 give way to node."""
+    if clash is not None:
+        rows = rows.join(clash, ["h1", "h2"], "left").withColumn("h1", F.coalesce("other", "h1")).drop("other")
+    return rows.withColumnRenamed("h1", "node").drop("h2")
+
+
+def frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of more than ``RARE`` documents, sorted, and their counts; of more than a power of two where these would exceed ``LISTED``."""
+    sizes = {r["_b"]: r["_n"] for r in counts.where(F.col("c") > RARE).groupBy(F.ceil(F.log2("c")).alias("_b")).agg(F.count("*").alias("_n")).collect()}
+    least, total = RARE, 0
+    for b in sorted(sizes, reverse=True):  # c is above 2 ** (b - 1)
+        total += sizes[b]
+        if total > LISTED:
+            least = max(RARE, 1 << int(b))
+            break
+    got = counts.where(F.col("c") > least).toArrow()
+    hashes, n = got.column("element").to_numpy().view(np.uint64), got.column("c").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def prefixes(described: DataFrame, t: Threshold, listed: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(h1, h2, n, keys): the first elements of each set in the order of all shingles."""
+    sent, top = described.sparkSession.sparkContext.broadcast(listed), U(_counted(t))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = sent.value
+        for batch in batches:
+            column, sizes, keys, ends = batch.column("low"), batch.column("n").to_pylist(), [], [0]
+            flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            at = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            rank = np.zeros(len(flat), np.int64)
+            if len(hashes):
+                place = np.minimum(np.searchsorted(hashes, flat), len(hashes) - 1)
+                rank = np.where(hashes[place] == flat, counts[place], 0)
+            rank[flat > top] = 1 << 62
+            for i, n in enumerate(sizes):
+                own, by = flat[at[i] : at[i + 1]], rank[at[i] : at[i + 1]]
+                if by.any():
+                    own = own[np.argsort(by, kind="stable")]
+                keys.append(own[: t.prefix(n)])
+                ends.append(ends[-1] + len(keys[-1]))
+            joined = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), batch.column("n"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(joined))], names=["h1", "h2", "n", "keys"])
+
+    return described.where(F.size("low") > 0).select("h1", "h2", "n", "low").mapInArrow(run, "h1 long, h2 long, n int, keys array<long>")
+
+
+def sets_of(docs: DataFrame, k: int, name_bits: int, clash: DataFrame | None) -> DataFrame:
     """(node, shingles): sorted 64-bit hashes as bytes; a task gives each node once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             got = []
-            for own, node in _sets(batch, k):
-                if node not in seen:
-                    seen.add(node)
-                    got.append((node, own.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary())], names=["node", "shingles"])
+            for own, one, two in _sets(batch, k, name_bits):
+                if (one, two) not in seen:
+                    seen.add((one, two))
+                    got.append((one, two, own.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary())], names=["h1", "h2", "shingles"])
 
-    return docs.mapInArrow(run, "node long, shingles binary")
+    return named(docs.mapInArrow(run, "h1 long, h2 long, shingles binary"), clash)
 
 
-def measure(pairs: DataFrame, sets: DataFrame, t: Threshold, divide: bool = True) -> DataFrame:
-    """(node, pivot) to (node, pivot, linked, near, d, n, elements): whether they link or are within twice the radius, |D|, |x|, and the elements that x is replicated to."""
+def measure(pairs: DataFrame, sets: DataFrame, t: Threshold, divide: bool = False) -> DataFrame:
+    """(node, pivot) to (node, pivot, linked, d, n, p, elements): whether they link, |D|, |x|, |pivot|, and the elements with which x goes on (only if ``divide``)."""
     left = sets.withColumnRenamed("shingles", "x")
     right = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("p"))
     full = pairs.join(left, "node").join(right, "pivot").select("node", "pivot", "x", "p")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, close, ds, ns, elements = [], [], [], [], []
+            linked, ds, ns, ps, elements = [], [], [], [], []
             for bx, bp in zip(batch.column("x"), batch.column("p"), strict=True):
                 x, p = np.frombuffer(bx.as_py(), np.uint64), np.frombuffer(bp.as_py(), np.uint64)
                 at = np.searchsorted(p, x)
@@ -199,9 +232,9 @@ def measure(pairs: DataFrame, sets: DataFrame, t: Threshold, divide: bool = True
                 ok = t.linked(both, len(x), len(p))
                 d = len(x) + len(p) - 2 * both
                 linked.append(ok)
-                close.append(t.near(both, len(x), len(p)))
                 ds.append(d)
                 ns.append(len(x))
+                ps.append(len(p))
                 if divide:
                     first = d - t.shared(d, len(x), len(p), ok) + 1
                     more = x[~there]
@@ -213,68 +246,68 @@ def measure(pairs: DataFrame, sets: DataFrame, t: Threshold, divide: bool = True
                 else:
                     elements.append(np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("pivot"), pa.array(linked, pa.bool_()), pa.array(close, pa.bool_()), pa.array(ds, pa.int64()), pa.array(ns, pa.int64()), pa.array(elements, pa.list_(pa.int64()))],
-                names=["node", "pivot", "linked", "near", "d", "n", "elements"])
-
-    return full.mapInArrow(run, "node long, pivot long, linked boolean, near boolean, d long, n long, elements array<long>")
-
-
-def shared_regions(rows: DataFrame) -> DataFrame:
-    """(region, node) where a region has several nodes."""
-    whole = Window.partitionBy("region")
-    return rows.withColumns({"_lo": F.min("node").over(whole), "_hi": F.max("node").over(whole)}).where("_lo <> _hi").select("region", "node").distinct()
-
+                [batch.column("node"), batch.column("pivot"), pa.array(linked, pa.bool_()), pa.array(ds, pa.int64()), pa.array(ns, pa.int64()), pa.array(ps, pa.int64()), pa.array(elements, pa.list_(pa.int64()))],
+                names=["node", "pivot", "linked", "d", "n", "p", "elements"])
 
-def without_repeats(rows: DataFrame) -> DataFrame:
-    """One of all regions that hold the same nodes: a group of near copies agrees in many places, and all its regions are alike."""
-    held = rows.groupBy("region").agg(F.bit_xor(F.xxhash64("node")).alias("_x"), F.count("*").alias("_c"))
-    kept = held.groupBy("_x", "_c").agg(F.min("region").alias("region")).select("region")
-    return rows.join(kept, "region", "left_semi")
+    return full.mapInArrow(run, "node long, pivot long, linked boolean, d long, n long, p long, elements array<long>")
 
 
-def several_nodes(rows: DataFrame) -> DataFrame:
-    """Rows of regions of several nodes."""
-    whole = Window.partitionBy("region")
-    return rows.withColumns({"_lo": F.min("node").over(whole), "_hi": F.max("node").over(whole)}).where("_lo <> _hi").drop("_lo", "_hi")
+def small_pairs(regions: DataFrame, large: DataFrame | None, t: Threshold) -> DataFrame:
+    """(node, pivot): pairs that share as many prefix elements as a link needs; those in large regions, which are not joined here, count as shared."""
+    small = regions.where(F.col("size") <= DIRECT)
+    other = small.select("region", F.col("node").alias("pivot"), F.col("n").alias("m"))
+    met = small.join(other, (small["region"] == other["region"]) & (F.col("node") < F.col("pivot")) & t.sizes_fit(F.col("n"), F.col("m")))
+    pairs = met.groupBy("node", "pivot").agg(F.count("*").alias("_c"), F.first(t.shared_prefix(F.col("n"), F.col("m"))).alias("_need"))
+    if large is None:
+        return pairs.where("_c >= _need").select("node", "pivot")
+    held = cut(large.groupBy("node").agg(F.count("*").alias("_h")), "held")
+    few = held.count() <= MAX_BROADCAST_ROWS
+    one, two = held.withColumnRenamed("_h", "_h1"), held.select(F.col("node").alias("pivot"), F.col("_h").alias("_h2"))
+    pairs = pairs.join(F.broadcast(one) if few else one, "node", "left").join(F.broadcast(two) if few else two, "pivot", "left")
+    return pairs.where(F.col("_c") + F.least(F.coalesce("_h1", F.lit(0)), F.coalesce("_h2", F.lit(0))) >= F.col("_need")).select("node", "pivot")
+
+
+def pivots_of(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """(region, pivot): the ``PIVOTS`` nodes of most weight, then of greatest number; a task keeps no more of a region before rows are dealt out."""
+    known = F.broadcast(weights) if weights.count() <= MAX_BROADCAST_ROWS else weights
+    order = Window.partitionBy("region").orderBy(F.desc("weight"), F.desc("node"))
+    ranked = rows.select("region", "node").join(known, "node").withColumn("_k", F.row_number().over(order))
+    return ranked.where(F.col("_k") <= PIVOTS).select("region", F.col("node").alias("pivot"))
+
+
+def voronoi(rows: DataFrame, sets: DataFrame, weights: DataFrame, t: Threshold) -> tuple[DataFrame, DataFrame]:
+    """Links of large regions with their pivots, and (region, node, d, n) of the next round.
+
+    Each node is measured with all pivots of its regions and goes on in the
+    Voronoi regions of its nearest pivot and of those within the window. A
+    Voronoi region all of whose nodes link with its pivot is done. The next
+    regions are named by (pivot, element), whatever region the pivot was
+    chosen in; all their nodes come after the pivot in the order of weights.
+    """
+    chosen = cut(pivots_of(rows, weights), "pivots")
+    known = F.broadcast(chosen) if chosen.count() <= MAX_BROADCAST_ROWS else chosen
+    placed = cut(rows.select("region", "node").join(known, "region").where("node <> pivot"), "placed")
+    stars = cut(measure(placed.select("node", "pivot").distinct(), sets, t).drop("elements"), "stars")
+    apart = 2 * F.col("d") / (F.col("n") + F.col("p") + F.col("d"))
+    near = placed.join(stars.select("node", "pivot", "linked", apart.alias("apart")), ["node", "pivot"])
+    home = near.groupBy("region", "node").agg(F.min("apart").alias("home"))
+    within = near.join(home, ["region", "node"]).where(F.col("apart") <= F.col("home") + 2 * t.b / t.den + 1e-9)
+    rest = cut(within.join(chosen.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti"), "cells")
+    unlinked = rest.groupBy("region", "pivot").agg(F.bool_and("linked").alias("_done")).where("NOT _done").select("region", "pivot")
+    divided = cut(measure(rest.join(unlinked, ["region", "pivot"], "left_semi").select("node", "pivot").distinct(), sets, t, divide=True), "divided")
+    for used in (chosen, placed, rest):
+        drop_cut(used)
+    return stars, divided.select(F.explode("elements").alias("_e"), "node", "pivot", "d", "n").select(F.xxhash64("pivot", "_e").alias("region"), "node", "d", "n")
 
 
 def open_regions(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(region, node, dn) to (region, node, d, n, component, size, own): regions of several components; own: nodes of the node's component."""
-    met = cut(several_nodes(rows), "met")
-    release(rows.sparkSession)
-    several = cut(without_repeats(met), "several")
-    drop_cut(met)
-    whole, part = Window.partitionBy("region"), Window.partitionBy("region", "component")
+    """(region, node, d, n) to (region, node, d, n, component, size): regions of several components."""
     small = labels.count() <= MAX_BROADCAST_ROWS
-    named = several.join(F.broadcast(labels) if small else labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = named.withColumns({"_lo": F.min("component").over(whole), "_hi": F.max("component").over(whole)}).where("_lo <> _hi").drop("_lo", "_hi")
-    sized = mixed.withColumns({"size": F.count("*").over(whole), "own": F.count("*").over(part)})
-    return sized.select("region", "node", F.shiftright("dn", 32).alias("d"), F.col("dn").bitwiseAND(F.lit(0xFFFFFFFF)).alias("n"), "component", "size", "own")
-
-
-def first_pivots(regions: DataFrame) -> DataFrame:
-    """(region, node, pivot): the pivot has most company over all regions, then the greatest number; it is no row itself."""
-    sized = regions.join(regions.groupBy("region").agg((F.count("*") - 1).alias("_c")), "region")
-    weight = sized.groupBy("node").agg(F.sum("_c").alias("_deg"))
-    ranked = regions.join(weight, "node")
-    pivot = ranked.groupBy("region").agg(F.max(F.struct("_deg", "node")).alias("_p")).select("region", F.col("_p.node").alias("pivot"))
-    return regions.join(pivot, "region").where(F.col("node") != F.col("pivot"))
-
-
-def undecided(placed: DataFrame, done: DataFrame) -> DataFrame:
-    """(node, pivot), distinct: nodes that may link with another node of a region, once distances to its pivot are known.
-
-    Two nodes outside the ball may; so may one outside and one in it, but only
-    if the outer one is within twice the radius, by the triangle inequality.
-    """
-    whole = Window.partitionBy("region")
-    known = placed.join(done.select("node", "pivot", "linked", "near"), ["node", "pivot"])
-    out = F.sum(F.when(F.col("linked"), 0).otherwise(1)).over(whole)
-    ball = F.sum(F.when(F.col("linked"), 1).otherwise(0)).over(whole)
-    rim = F.sum(F.when(~F.col("linked") & F.col("near"), 1).otherwise(0)).over(whole)
-    counted = known.withColumns({"_out": out, "_ball": ball, "_rim": rim})
-    open_ = F.when(F.col("linked"), F.col("_rim") > 0).otherwise((F.col("_out") > 1) | (F.col("near") & (F.col("_ball") > 0)))
-    return counted.where(open_).select("node", "pivot").distinct()
+    known = cut(rows.join(F.broadcast(labels) if small else labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
+    mixed = known.groupBy("region").agg(F.count("*").alias("size"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("region", "size")
+    out = cut(known.join(mixed, "region"), "regions")
+    drop_cut(known)
+    return out
 
 
 def direct_pairs(regions: DataFrame, t: Threshold) -> DataFrame:
@@ -298,69 +331,85 @@ def components(links: DataFrame) -> DataFrame:
         moved = stepped.where("was <> component").limit(1).count()
         drop_cut(labels)
         if not moved:
+            drop_cut(edges)
             return stepped.select("node", "component")
         labels = stepped.select("node", "component")
         labels._graphloom_path = stepped._graphloom_path
 
 
-def join_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, num: int = 9, den: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node, n) of every document and links (a, b) between nodes.
-
-    ``links`` connect the same nodes as all pairs of Jaccard >= num / den would.
-    """
-    spark = docs.sparkSession
-    limit_batches(spark)
-    t = Threshold(num, den)
-    own = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    keyed = cut(describe(own, k, t), "sets")
-    met = cut(shared_regions(keyed.select(F.explode("keys").alias("region"), "node")), "met")
-    regions = cut(without_repeats(met), "regions")
-    drop_cut(met)
-    table = cut(keyed.select("doc_id", "node", "n"), "nodes")
-    drop_cut(keyed)
-    release(spark)
-    active = regions.select("node").distinct()
+def fetch_sets(own: DataFrame, table: DataFrame, active: DataFrame, k: int, name_bits: int, clash: DataFrame | None) -> DataFrame:
+    """(node, shingles) of the active nodes, in buckets of node, from one document of each."""
     least = cut(table.join(active, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "representatives")
-    release(spark)
     reps = least.where("doc_id IS NOT NULL").select("doc_id").distinct()
     wanted = F.broadcast(reps) if reps.count() <= MAX_BROADCAST_ROWS else reps
-    fetched = sets_of(own.join(wanted, "doc_id", "left_semi"), k)
+    fetched = sets_of(own.join(wanted, "doc_id", "left_semi"), k, name_bits, clash)
     # Nodes that stand under null ids only are fetched by node: no id finds them.
     nameless = least.where("doc_id IS NULL").select("node")
     if n_nameless := nameless.count():
         missing = F.broadcast(nameless) if n_nameless <= MAX_BROADCAST_ROWS else nameless
-        fetched = fetched.unionByName(sets_of(own.where("doc_id IS NULL"), k).join(missing, "node", "left_semi"))
+        fetched = fetched.unionByName(sets_of(own.where("doc_id IS NULL"), k, name_bits, clash).join(missing, "node", "left_semi"))
     sets = bucket(fetched, "node", "shingles")
-    release(spark)
-    placed = cut(first_pivots(regions), "placed")
-    drop_cut(regions)
-    done = cut(measure(placed.select("node", "pivot").distinct(), sets, t, divide=False), "stars")
-    release(spark)
+    drop_cut(least)
+    return sets
+
+
+def join_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, num: int = 9, den: int = 10, name_bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, node, n) of every document and links (a, b) between nodes.
+
+    ``links`` connect the same nodes as all pairs of Jaccard >= num / den would.
+    """
+    limit_batches(docs.sparkSession)
+    t = Threshold(num, den)
+    body = F.col(f"`{text}`")
+    own = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
+    described = cut(describe(own, k, t, name_bits), "described")
+    clash = clashes(described)
+    table = cut(named(described.select("doc_id", "text_hash", "h1", "h2", "n"), clash), "nodes")
+    counts = cut(described.select(F.explode("low").alias("element")).groupBy("element").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    first = named(prefixes(described, t, frequent(counts)), clash).select(F.explode("keys").alias("element"), "node", "n")
+    met = cut(first.join(counts.select("element"), "element").select(F.col("element").alias("region"), "node", "n").distinct(), "met")
+    drop_cut(described)
+    drop_cut(counts)
+    sizes = met.groupBy("region").agg(F.count("*").alias("size")).where("size > 1")
+    regions = cut(met.join(sizes, "region"), "regions")
+    drop_cut(met)
+    large = regions.where(F.col("size") > DIRECT)
+    any_large = large.limit(1).count() > 0
+    pairs = cut(small_pairs(regions, large if any_large else None, t), "pairs")
+    active = pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).unionByName(large.select("node")).distinct()
+    sets = fetch_sets(own.select("doc_id", "text"), table, active, k, name_bits, clash)
     as_links = lambda rows: rows.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    links = as_links(done)
-    divided = cut(measure(undecided(placed, done), sets, t), "divided")
-    drop_cut(placed)
-    release(spark)
-    both = F.shiftleft("d", 32).bitwiseOR(F.col("n")).alias("dn")
-    spread = divided.select(F.explode("elements").alias("element"), "node", "pivot", both).select(F.xxhash64("pivot", "element").alias("region"), "node", "dn")
-    while True:
-        regions = cut(open_regions(spread, components(links)), "regions")
-        release(spark)
+    links = as_links(cut(measure(pairs, sets, t).drop("elements"), "direct"))
+    spread = None
+    if any_large:
+        weights = cut(large.groupBy("node").agg(F.count("*").alias("weight")), "weights")
+        stars, spread = voronoi(large, sets, weights, t)
+        links = links.unionByName(as_links(stars))
+    drop_cut(pairs)
+    while spread is not None:
+        regions = open_regions(spread, components(links))
         kinds = {r["big"] for r in regions.select((F.col("size") > DIRECT).alias("big")).distinct().collect()}
         if False in kinds:
-            links = links.unionByName(as_links(cut(measure(direct_pairs(regions, t), sets, t, divide=False), "direct")))
-        if True not in kinds:
-            drop_cut(sets)
-            return table.select("doc_id", "node", "n"), links
-        big = regions.where(F.col("size") > DIRECT)
-        pivot = big.groupBy("region").agg(F.max(F.struct((-F.col("own")).alias("few"), "node")).alias("_p")).select("region", F.col("_p.node").alias("pivot"))
-        placed = big.select("region", "node").join(pivot, "region").where("node <> pivot")
-        stars = cut(measure(placed.select("node", "pivot").distinct(), sets, t), "stars")
-        links = links.unionByName(as_links(stars))
-        spread = placed.join(stars, ["node", "pivot"]).select("region", F.explode("elements").alias("element"), "node", both).select(F.xxhash64("region", "element").alias("region"), "node", "dn")
+            links = links.unionByName(as_links(cut(measure(direct_pairs(regions, t), sets, t).drop("elements"), "direct")))
+        spread = None
+        if True in kinds:
+            stars, spread = voronoi(regions.where(F.col("size") > DIRECT), sets, weights, t)
+            links = links.unionByName(as_links(stars))
+    drop_cut(sets)
+    return table, links
+
+
+def group_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, num: int = 9, den: int = 10, name_bits: int = 64) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, node, component, n_links) of every document; component: the least node that links reach, null for empty sets."""
+    table, links = join_sets(docs, key, text, k, num, den, name_bits)
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    linked = cut(components(links).join(ends, "node"), "linked")
+    known = F.broadcast(linked) if linked.count() <= MAX_BROADCAST_ROWS else linked
+    component = F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("component")
+    return table.join(known, "node", "left").select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), "node", component, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, num: int = 9, den: int = 10) -> DataFrame:
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, num: int = 9, den: int = 10, name_bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id and n_links of every document.
 
     Words are runs of characters other than ASCII white space, A-Z
@@ -373,13 +422,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     an empty table gives none. A null key is never the smallest, but its text
     links as any other; where all keys are null, component_id and class_id are.
     """
-    table, links = join_sets(docs, key, text, k, num, den)
-    classes = table.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("class_id"))
-    label = components(links)
-    named = classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    ids = named.join(smallest, "component").join(ends, "node", "left").select("node", "class_id", "component_id", "n_links")
-    empty = table.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    rest = table.where("n > 0").join(ids, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return rest.unionByName(empty)
+    grouped = cut(group_documents(docs, key, text, k, num, den, name_bits), "grouped")
+    full = grouped.where("component IS NOT NULL")
+    classes = full.groupBy("component", "node").agg(F.min("doc_id").alias("class_id"))
+    smallest = full.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named_rows = full.join(classes, ["component", "node"]).join(smallest, "component").select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
+    empty = grouped.where("component IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), "n_links")
+    return named_rows.unionByName(empty)

@@ -355,8 +355,12 @@ def test_jaccard_components(spark, monkeypatch, k, num, den):
             docs.append((len(docs), " ".join(own)))
     docs += [(500, None), (501, ""), (502, " \n"), (503, "Two words"), (504, "two WORDS"), (505, docs[0][1]), (505, docs[0][1])]
     df = spark.createDataFrame([(d, t, "x") for d, t in docs], DOCS + ", node string")
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, k=k, num=num, den=den).collect())
-    assert got == brute_components(docs, k, num, den)
+    found = lambda **options: sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, k=k, num=num, den=den, **options).collect())
+    assert found() == brute_components(docs, k, num, den)
+    # Names of 5 bits, so that most sets share theirs with others; another order of shingles.
+    monkeypatch.setattr(jaccard_join, "RARE", 1)
+    monkeypatch.setattr(jaccard_join, "LISTED", 40)
+    assert found(name_bits=5) == brute_components(docs, k, num, den)
 
 
 def test_jaccard_links_texts_under_null_ids(spark):
@@ -376,18 +380,41 @@ def test_jaccard_empty(spark):
     assert [tuple(r)[:3] for r in jaccard_join.jaccard_components(spark.createDataFrame([(4, None)], DOCS)).collect()] == [(4, 0, 4)]
 
 
-def test_linked_sets_share_a_region():
+def test_large_regions_are_divided(spark, monkeypatch):
+    """Near copies around three texts that share a passage, all at several distances, in regions far beyond ``DIRECT``."""
+    monkeypatch.setattr(jaccard_join, "DIRECT", 8)
+    rng = random.Random(23)
+    passage = ["p%d" % i for i in range(70)]
+    docs = []
+    for f in range(3):
+        base = passage + ["b%d_%d" % (f, i) for i in range(30)]
+        for j in range(20):
+            own = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 6, 12])):
+                own[rng.randrange(len(own))] = "e%d" % rng.randrange(10**6)
+            docs.append((len(docs), " ".join(own)))
+    for k, num, den in ((3, 9, 10), (5, 4, 5)):
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(docs, DOCS), k=k, num=num, den=den).collect())
+        assert got == brute_components(docs, k, num, den)
+
+
+def test_linked_sets_share_enough_of_their_prefixes(spark):
     rng = np.random.default_rng(5)
+    rows = []
     for num, den in ((9, 10), (4, 5), (1, 2)):
         t = jaccard_join.Threshold(num, den)
-        bands = jaccard_join.Bands(t)
         for _ in range(400):
-            x = np.unique(rng.integers(0, 1 << 62, rng.integers(1, 90), dtype=np.int64)).astype(np.uint64)
-            y = np.unique(np.concatenate([x[rng.random(len(x)) > 0.06], rng.integers(0, 1 << 62, rng.integers(0, 6)).astype(np.uint64)]))
+            x = np.unique(rng.integers(0, 1 << 62, rng.integers(1, 90), dtype=np.int64))
+            y = np.unique(np.concatenate([x[rng.random(len(x)) > 0.06], rng.integers(0, 1 << 62, rng.integers(0, 6))]))
             both = len(np.intersect1d(x, y))
             if t.linked(both, len(x), len(y)):
-                a, b = (set(np.concatenate(jaccard_join.region_keys(z, bands)).tolist()) for z in (x, y))
-                assert a & b
+                assert t.prefix(len(x)) > 0 and (len(x) == len(y) == both or not t.alone(len(x)))
+                rows.append((num, den, len(x), len(y), len(np.intersect1d(x[: t.prefix(len(x))], y[: t.prefix(len(y))]))))
+    for num, den in ((9, 10), (4, 5), (1, 2)):
+        t = jaccard_join.Threshold(num, den)
+        own = spark.createDataFrame(rows, "num int, den int, x int, y int, shared int").where((F.col("num") == num) & (F.col("den") == den))
+        least = own.select("shared", t.shared_prefix(F.col("x"), F.col("y")).alias("need"), t.sizes_fit(F.col("x"), F.col("y")).alias("fit"))
+        assert least.count() > 50 and least.where("shared < need OR need < 1 OR NOT fit").count() == 0
 
 
 def test_word_hashes_in_parts(monkeypatch):
