@@ -15,9 +15,11 @@ Shingles in the lowest part of the hash range (twice as wide as the prefixes)
 are counted over all documents. Those that stand in more than ``RARE``
 documents are listed, the most frequent ``LISTED`` if there are more, and come
 after the other counted ones, by count; shingles beyond that part come last.
+A region of up to ``DIRECT`` nodes is joined directly. The nodes of larger ones
+are divided once more, now with all their shingles ordered by how many of these
+nodes hold them, in narrow bands of sizes, so that prefixes are shorter.
 
-*Voronoi regions.* A region of up to ``DIRECT`` nodes is joined directly. A
-larger one gets ``PIVOTS`` pivots: its first nodes in an order of all nodes, by
+*Voronoi regions.* A region that is still larger gets ``PIVOTS`` pivots: its first nodes in an order of all nodes, by
 how many large regions hold them. Exact distances to all of them are measured.
 Each node belongs to the Voronoi region of its nearest pivot.
 
@@ -27,18 +29,19 @@ the regions of all pivots q with d(x, q) <= d(x, p) + 2 r, and each linked pair
 meets in a region. Nodes within r of the pivot link with it; they are one
 component, so no pair among them needs a look.
 
-*Recursion.* Let D(x) be the symmetric difference of x and the region's pivot.
-The triangle inequality bounds how much D(x) and D(y) of a linked pair must
-have in common: at least o(x) = max(1, |D| - |x| / 9, (19 |D| - |x| +- |p| + 1) / 38)
-elements (the sign is + within r of the pivot). So x goes on with the first
-|D| - o + 1 elements of D(x), those that the pivot lacks first, and nodes that
-share (pivot, element) are a region of the next round. Regions whose nodes are
-one component by now are done; small ones are joined directly, pairs whose
-distances to the pivot differ by more than r left out; larger ones get new
-pivots. All nodes of a pivot's region come after it in the order of pivots, so
-the recursion ends, and a node has one row for each pivot and element however
-many regions they come from. A group of near copies costs a star, not its
-pairs, and no step holds a region in one task.
+*Recursion.* Let D(x) be the symmetric difference of x and the region's pivot p.
+A linked pair has at least (|D(x)| + |D(y)| - (|x| + |y|) / 19) / 2 elements of
+D in common, and one at least unless both are within r of p. So nodes stand in
+rings of |D|; x goes on in its ring and in the inner ones in which a linked set
+can be, with the first |D| - o + 1 elements of D(x), elements that few nodes
+around p have in D first, where o is the least common part for that ring.
+Nodes that share (pivot, ring, element) are a region of the next round.
+Regions whose nodes are one component by now are done; small ones are joined
+directly, pairs whose common element comes too late for a link left out; larger
+ones get new pivots. All nodes of a pivot's region come after it in the order
+of pivots, so the recursion ends, and a node has one row for each pivot, ring
+and element however many regions they come from. A group of near copies costs a
+star, not its pairs, and no step holds a region in one task.
 
 A set's name has 64 bits, checked against 64 more: names that two sets share
 are replaced. Hashes of 64 bits stand for shingles.
@@ -58,7 +61,7 @@ from .shingles import U, mix, shingle_hashes, text_buffers, word_hashes
 
 MAX_BROADCAST_ROWS = 500_000
 DIRECT = 32
-PIVOTS = 4
+PIVOTS = 3
 RARE, LISTED = 8, 1_000_000
 
 
@@ -83,21 +86,45 @@ class Threshold:
         """Of how many first elements linked sets share one."""
         return n + 1 - -(-self.num * n // self.den)
 
+    def prefix_of(self, x: Column) -> Column:
+        return x.cast("long") + 1 - _up(self.num * x.cast("long"), self.den)
+
+    def both(self, x: Column, y: Column) -> Column:
+        """How many elements linked sets of x and y elements share at least."""
+        return _up(self.num * (x.cast("long") + y.cast("long")), self.a)
+
     def shared_prefix(self, x: Column, y: Column) -> Column:
         """How many elements the prefixes of linked sets of x and y elements share at least."""
-        x, y = x.cast("long"), y.cast("long")
-        up = lambda top, by: (top + by - 1 - F.pmod(top + by - 1, F.lit(by))) / by  # noqa: E731  the quotient rounded up
-        return up(self.num * (x + y), self.a) + 1 - F.greatest(up(self.num * x, self.den), up(self.num * y, self.den))
+        return self.both(x, y) - F.greatest(x.cast("long") - self.prefix_of(x), y.cast("long") - self.prefix_of(y))
+
+    def early(self, x: Column, at: Column, y: Column) -> Column:
+        """Whether the first element that a set of x elements shares with a linked one of y can have the place ``at``, from 0."""
+        return x.cast("long") - at >= self.both(x, y)
 
     def sizes_fit(self, x: Column, y: Column) -> Column:
         x, y = x.cast("long"), y.cast("long")
         return (self.den * x >= self.num * y) & (self.den * y >= self.num * x)
 
-    def shared(self, d: int, x: int, p: int, ball: bool) -> int:
-        """The least part of D(x) that a linked partner outside the ball shares (in it: a partner not in it)."""
-        by_pivot = -(-(self.a * d + self.b * (p - x) + 1) // (2 * self.a)) if ball else -(-(self.a * d - self.b * (x + p) + self.a - self.b) // (2 * self.a))
-        # Partners are at most x * den / num large, and their own D is smaller by the pair's difference at most.
-        return max(1, by_pivot, d - self.b * x // self.num)
+    def apart(self, x: Column, y: Column) -> Column:
+        """The greatest symmetric difference of linked sets of x and y elements."""
+        return F.floor(self.b * (x.cast("long") + y.cast("long")) / self.a)
+
+    def common(self, d: Column, x: Column, p: Column, ball: Column, least: Column) -> Column:
+        """How many elements of D(x), of d elements, a linked set y has in D(y) too, if that has ``least`` or more and, where x is in the ball, y is not."""
+        a, b = self.a, self.b
+        outside = _up(F.when(ball, a * d + b * (p - x) + 1).otherwise(a * d - b * (x + p) + a - b), 2 * a)
+        # y has at most |p| + |D(y)| and at most den / num |x| elements.
+        by_pivot = _up(a * d - b * (x + p) + (a - b) * least, 2 * a)
+        by_size = _up(a * (d + least) - b * (x + F.floor(self.den * x / self.num)), 2 * a)
+        return F.greatest(F.lit(1), outside, by_pivot, by_size)
+
+    def common_of_pair(self, dx: Column, x: Column, dy: Column, y: Column) -> Column:
+        return _up(self.a * (dx + dy) - self.b * (x + y), 2 * self.a)
+
+
+def _up(top: Column, by: int) -> Column:
+    """top / by, rounded up, in whole numbers."""
+    return ((top + by - 1 - F.pmod(top + by - 1, F.lit(by))) / by).cast("long")
 
 
 def _sets(batch: pa.RecordBatch, k: int, name_bits: int) -> Iterator[tuple[np.ndarray, int, int]]:
@@ -215,8 +242,8 @@ def sets_of(docs: DataFrame, k: int, name_bits: int, clash: DataFrame | None) ->
     return named(docs.mapInArrow(run, "h1 long, h2 long, shingles binary"), clash)
 
 
-def measure(pairs: DataFrame, sets: DataFrame, t: Threshold, divide: bool = False) -> DataFrame:
-    """(node, pivot) to (node, pivot, linked, d, n, p, elements): whether they link, |D|, |x|, |pivot|, and the elements with which x goes on (only if ``divide``)."""
+def measure(pairs: DataFrame, sets: DataFrame, t: Threshold, differences: bool = False) -> DataFrame:
+    """(node, pivot) to (node, pivot, linked, d, n, p): whether they link, |D|, |x| and |pivot|; with ``differences`` the elements of D as well."""
     left = sets.withColumnRenamed("shingles", "x")
     right = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("p"))
     full = pairs.join(left, "node").join(right, "pivot").select("node", "pivot", "x", "p")
@@ -229,35 +256,27 @@ def measure(pairs: DataFrame, sets: DataFrame, t: Threshold, divide: bool = Fals
                 at = np.searchsorted(p, x)
                 there = p[np.minimum(at, len(p) - 1)] == x
                 both = int(there.sum())
-                ok = t.linked(both, len(x), len(p))
-                d = len(x) + len(p) - 2 * both
-                linked.append(ok)
-                ds.append(d)
+                linked.append(t.linked(both, len(x), len(p)))
+                ds.append(len(x) + len(p) - 2 * both)
                 ns.append(len(x))
                 ps.append(len(p))
-                if divide:
-                    first = d - t.shared(d, len(x), len(p), ok) + 1
-                    more = x[~there]
-                    if first > len(more):
-                        gone = np.ones(len(p), bool)
-                        gone[at[there]] = False
-                        more = np.concatenate([more, p[gone]])
-                    elements.append(more[: max(0, first)].view(np.int64))
-                else:
-                    elements.append(np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("pivot"), pa.array(linked, pa.bool_()), pa.array(ds, pa.int64()), pa.array(ns, pa.int64()), pa.array(ps, pa.int64()), pa.array(elements, pa.list_(pa.int64()))],
-                names=["node", "pivot", "linked", "d", "n", "p", "elements"])
+                if differences:
+                    gone = np.ones(len(p), bool)
+                    gone[at[there]] = False
+                    elements.append(np.concatenate([x[~there], p[gone]]).view(np.int64))
+            out = [batch.column("node"), batch.column("pivot"), pa.array(linked, pa.bool_()), pa.array(ds, pa.int64()), pa.array(ns, pa.int64()), pa.array(ps, pa.int64())]
+            names = ["node", "pivot", "linked", "d", "n", "p"]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(elements, pa.list_(pa.int64()))], names=[*names, "elements"]) if differences else pa.RecordBatch.from_arrays(out, names=names)
 
-    return full.mapInArrow(run, "node long, pivot long, linked boolean, d long, n long, p long, elements array<long>")
+    return full.mapInArrow(run, "node long, pivot long, linked boolean, d long, n long, p long" + ", elements array<long>" * differences)
 
 
 def small_pairs(regions: DataFrame, large: DataFrame | None, t: Threshold) -> DataFrame:
-    """(node, pivot): pairs that share as many prefix elements as a link needs; those in large regions, which are not joined here, count as shared."""
-    small = regions.where(F.col("size") <= DIRECT)
-    other = small.select("region", F.col("node").alias("pivot"), F.col("n").alias("m"))
-    met = small.join(other, (small["region"] == other["region"]) & (F.col("node") < F.col("pivot")) & t.sizes_fit(F.col("n"), F.col("m")))
-    pairs = met.groupBy("node", "pivot").agg(F.count("*").alias("_c"), F.first(t.shared_prefix(F.col("n"), F.col("m"))).alias("_need"))
+    """(node, pivot): pairs of regions of at most ``DIRECT`` nodes that share as many prefix elements as a link needs, and one of them early enough.
+
+    Elements of large regions, which are not joined here, count as shared; pairs without an early one outside these are found there.
+    """
+    pairs = _met(regions, t).groupBy("node", "pivot").agg(F.count("*").alias("_c"), F.first(t.shared_prefix(F.col("n"), F.col("m"))).alias("_need"), F.bool_or(_early(t)).alias("_early")).where("_early")
     if large is None:
         return pairs.where("_c >= _need").select("node", "pivot")
     held = cut(large.groupBy("node").agg(F.count("*").alias("_h")), "held")
@@ -267,6 +286,51 @@ def small_pairs(regions: DataFrame, large: DataFrame | None, t: Threshold) -> Da
     return pairs.where(F.col("_c") + F.least(F.coalesce("_h1", F.lit(0)), F.coalesce("_h2", F.lit(0))) >= F.col("_need")).select("node", "pivot")
 
 
+def _met(regions: DataFrame, t: Threshold) -> DataFrame:
+    """(node, n, at, pivot, m, pivot_at): the pairs of each small region whose sizes allow a link."""
+    small = regions.where(F.col("size") <= DIRECT)
+    other = small.select("region", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("at").alias("pivot_at"))
+    return small.join(other, (small["region"] == other["region"]) & (F.col("node") < F.col("pivot")) & t.sizes_fit(F.col("n"), F.col("m")))
+
+
+def _early(t: Threshold) -> Column:
+    return t.early(F.col("n"), F.col("at"), F.col("m")) & t.early(F.col("m"), F.col("pivot_at"), F.col("n"))
+
+
+def banded_regions(sets: DataFrame, nodes: DataFrame, t: Threshold) -> DataFrame:
+    """(region, node, n, at, size) of ``nodes``, with shingles ordered by how many of these nodes hold them.
+
+    A region is a shingle in a band of sizes. A set stands in its own band and
+    in the lower ones that linked sets can have, with the shingles that come
+    early enough for the smallest size of that band.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(b.as_py(), np.int64) for b in batch.column("shingles")]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+            flat = np.concatenate(own) if own else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in own], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["node", "n", "elements"])
+
+    known = F.broadcast(nodes) if nodes.count() <= MAX_BROADCAST_ROWS else nodes
+    rows = sets.join(known, "node", "left_semi").mapInArrow(run, "node long, n int, elements array<long>").select("node", "n", F.explode("elements").alias("element"))
+    rows = cut(rows, "elements")
+    counts = rows.groupBy("element").agg(F.count("*").alias("c")).where("c > 1")
+    held = rows.join(counts, "element").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "element"))).alias("_e"))
+    # Shingles of one node alone come first.
+    placed = held.select("node", "n", F.posexplode("_e").alias("_i", "_x"), (F.col("n") - F.size("_e")).alias("_alone")).select("node", "n", F.col("_x.element").alias("element"), (F.col("_alone") + F.col("_i")).alias("at"))
+    ratio = (t.den / t.num) ** 0.25
+    band = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(ratio))).cast("int")
+    least = F.greatest(F.lit(1), F.floor(F.pow(F.lit(ratio), F.col("_band")) - 1e-6))
+    banded = placed.where(F.col("at") < t.prefix_of(F.col("n"))).withColumn("_band", F.explode(F.sequence(band(_up(t.num * F.col("n").cast("long"), t.den)), band(F.col("n")))))
+    early = cut(banded.where(t.early(F.col("n"), F.col("at"), least)).select(F.xxhash64("element", "_band").alias("region"), "node", "n", "at"), "early")
+    drop_cut(rows)
+    sizes = early.groupBy("region").agg(F.count("*").alias("size")).where("size > 1")
+    regions = cut(early.join(sizes, "region"), "banded")
+    drop_cut(early)
+    return regions
+
+
 def pivots_of(rows: DataFrame, weights: DataFrame) -> DataFrame:
     """(region, pivot): the ``PIVOTS`` nodes of most weight, then of greatest number; a task keeps no more of a region before rows are dealt out."""
     known = F.broadcast(weights) if weights.count() <= MAX_BROADCAST_ROWS else weights
@@ -276,32 +340,52 @@ def pivots_of(rows: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def voronoi(rows: DataFrame, sets: DataFrame, weights: DataFrame, t: Threshold) -> tuple[DataFrame, DataFrame]:
-    """Links of large regions with their pivots, and (region, node, d, n) of the next round.
+    """Links of large regions with their pivots, and (region, node, d, n, at) of the next round.
 
     Each node is measured with all pivots of its regions and goes on in the
     Voronoi regions of its nearest pivot and of those within the window. A
     Voronoi region all of whose nodes link with its pivot is done. The next
-    regions are named by (pivot, element), whatever region the pivot was
+    regions are named by (pivot, ring, element), whatever region the pivot was
     chosen in; all their nodes come after the pivot in the order of weights.
     """
     chosen = cut(pivots_of(rows, weights), "pivots")
     known = F.broadcast(chosen) if chosen.count() <= MAX_BROADCAST_ROWS else chosen
     placed = cut(rows.select("region", "node").join(known, "region").where("node <> pivot"), "placed")
-    stars = cut(measure(placed.select("node", "pivot").distinct(), sets, t).drop("elements"), "stars")
+    stars = cut(measure(placed.select("node", "pivot").distinct(), sets, t), "stars")
     apart = 2 * F.col("d") / (F.col("n") + F.col("p") + F.col("d"))
     near = placed.join(stars.select("node", "pivot", "linked", apart.alias("apart")), ["node", "pivot"])
     home = near.groupBy("region", "node").agg(F.min("apart").alias("home"))
     within = near.join(home, ["region", "node"]).where(F.col("apart") <= F.col("home") + 2 * t.b / t.den + 1e-9)
     rest = cut(within.join(chosen.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti"), "cells")
     unlinked = rest.groupBy("region", "pivot").agg(F.bool_and("linked").alias("_done")).where("NOT _done").select("region", "pivot")
-    divided = cut(measure(rest.join(unlinked, ["region", "pivot"], "left_semi").select("node", "pivot").distinct(), sets, t, divide=True), "divided")
+    divided = measure(rest.join(unlinked, ["region", "pivot"], "left_semi").select("node", "pivot").distinct(), sets, t, differences=True)
+    spread = cut(ringed(cut(divided, "divided"), t), "rings")
     for used in (chosen, placed, rest):
         drop_cut(used)
-    return stars, divided.select(F.explode("elements").alias("_e"), "node", "pivot", "d", "n").select(F.xxhash64("pivot", "_e").alias("region"), "node", "d", "n")
+    return stars, spread
+
+
+def ringed(divided: DataFrame, t: Threshold) -> DataFrame:
+    """(region, node, d, n, at): the nodes around each pivot by ring of |D| and element of D, elements that few nodes have in D first.
+
+    A node stands in its own ring and in the inner ones in which linked sets
+    can be, with the elements that come early enough for the least |D| there.
+    """
+    rows = divided.select("pivot", "node", "d", "n", "p", "linked", F.explode("elements").alias("element"))
+    counts = divided.select("pivot", F.explode("elements").alias("element")).groupBy("pivot", "element").agg(F.count("*").alias("c")).where("c > 1")
+    held = rows.join(counts, ["pivot", "element"]).groupBy("pivot", "node", "d", "n", "p", "linked").agg(F.sort_array(F.collect_list(F.struct("c", "element"))).alias("_e"))
+    width = F.greatest(F.lit(1), F.floor(t.b * F.col("p") / (2 * t.a))).cast("long")
+    ring = lambda d: F.floor(d / width).cast("int")
+    inner = F.greatest(F.lit(0), F.col("d") - t.apart(F.col("n"), F.floor(t.den * F.col("n") / t.num)))
+    spans = held.withColumn("_ring", F.explode(F.sequence(ring(inner), ring(F.col("d")))))
+    most = F.col("d") - t.common(F.col("d"), F.col("n"), F.col("p"), F.col("linked"), F.col("_ring") * width) + 1
+    alone = F.col("d") - F.size("_e")
+    kept = F.slice("_e", 1, F.greatest(F.lit(0), most - alone).cast("int"))
+    return spans.select("pivot", "_ring", "node", "d", "n", alone.alias("_alone"), F.posexplode(kept).alias("_i", "_x")).select(F.xxhash64("pivot", "_ring", "_x.element").alias("region"), "node", "d", "n", (F.col("_alone") + F.col("_i")).alias("at"))
 
 
 def open_regions(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(region, node, d, n) to (region, node, d, n, component, size): regions of several components."""
+    """(region, node, d, n, at) to the same with component and size: regions of several components."""
     small = labels.count() <= MAX_BROADCAST_ROWS
     known = cut(rows.join(F.broadcast(labels) if small else labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
     mixed = known.groupBy("region").agg(F.count("*").alias("size"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("region", "size")
@@ -311,10 +395,11 @@ def open_regions(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def direct_pairs(regions: DataFrame, t: Threshold) -> DataFrame:
-    """(node, pivot): pairs to measure in regions of at most ``DIRECT`` nodes, so at most as many a node and region."""
+    """(node, pivot): pairs of regions of at most ``DIRECT`` nodes whose first common element comes early enough for a link."""
     small = regions.where(F.col("size") <= DIRECT)
-    other = small.select("region", F.col("node").alias("pivot"), F.col("component").alias("_c"), F.col("d").alias("_d"), F.col("n").alias("_n"))
-    near = t.a * F.abs(F.col("d") - F.col("_d")) <= t.b * (F.col("n") + F.col("_n"))
+    other = small.select("region", F.col("node").alias("pivot"), F.col("component").alias("_c"), F.col("d").alias("_d"), F.col("n").alias("_n"), F.col("at").alias("_at"))
+    need = t.common_of_pair(F.col("d"), F.col("n"), F.col("_d"), F.col("_n"))
+    near = (F.col("d") - F.col("at") >= need) & (F.col("_d") - F.col("_at") >= need)
     return small.join(other, (small["region"] == other["region"]) & (F.col("node") < F.col("pivot")) & (F.col("component") != F.col("_c")) & near).select("node", "pivot").distinct()
 
 
@@ -366,8 +451,8 @@ def join_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     clash = clashes(described)
     table = cut(named(described.select("doc_id", "text_hash", "h1", "h2", "n"), clash), "nodes")
     counts = cut(described.select(F.explode("low").alias("element")).groupBy("element").agg(F.count("*").alias("c")).where("c > 1"), "counts")
-    first = named(prefixes(described, t, frequent(counts)), clash).select(F.explode("keys").alias("element"), "node", "n")
-    met = cut(first.join(counts.select("element"), "element").select(F.col("element").alias("region"), "node", "n").distinct(), "met")
+    first = named(prefixes(described, t, frequent(counts)), clash).select(F.posexplode("keys").alias("at", "element"), "node", "n")
+    met = cut(first.join(counts.select("element"), "element").select(F.col("element").alias("region"), "node", "n", "at").distinct(), "met")
     drop_cut(described)
     drop_cut(counts)
     sizes = met.groupBy("region").agg(F.count("*").alias("size")).where("size > 1")
@@ -379,13 +464,20 @@ def join_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     active = pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).unionByName(large.select("node")).distinct()
     sets = fetch_sets(own.select("doc_id", "text"), table, active, k, name_bits, clash)
     as_links = lambda rows: rows.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    links = as_links(cut(measure(pairs, sets, t).drop("elements"), "direct"))
+    links = as_links(cut(measure(pairs, sets, t), "direct"))
+    drop_cut(pairs)
     spread = None
     if any_large:
-        weights = cut(large.groupBy("node").agg(F.count("*").alias("weight")), "weights")
-        stars, spread = voronoi(large, sets, weights, t)
-        links = links.unionByName(as_links(stars))
-    drop_cut(pairs)
+        crowd = cut(large.select("node").distinct(), "crowd")
+        drop_cut(regions)
+        regions = banded_regions(sets, crowd, t)
+        links = links.unionByName(as_links(cut(measure(_met(regions, t).where(_early(t)).select("node", "pivot").distinct(), sets, t), "direct")))
+        large = regions.where(F.col("size") > DIRECT)
+        if large.limit(1).count():
+            weights = cut(large.groupBy("node").agg(F.count("*").alias("weight")), "weights")
+            stars, spread = voronoi(large, sets, weights, t)
+            links = links.unionByName(as_links(stars))
+    drop_cut(regions)
     while spread is not None:
         regions = open_regions(spread, components(links))
         kinds = {r["big"] for r in regions.select((F.col("size") > DIRECT).alias("big")).distinct().collect()}
