@@ -36,9 +36,10 @@ rings of |D|; x goes on in its ring and in the inner ones in which a linked set
 can be, with the first |D| - o + 1 elements of D(x), elements that few nodes
 around p have in D first, where o is the least common part for that ring.
 Nodes that share (pivot, ring, element) are a region of the next round.
-Regions whose nodes are one component by now are done; small ones are joined
-directly, pairs whose common element comes too late for a link left out; larger
-ones get new pivots. All nodes of a pivot's region come after it in the order
+Regions whose nodes are one component by now are done. Where up to ``DIRECT``
+nodes are outside a region's main component, these are joined with all others
+directly, pairs whose common element comes too late for a link left out; other
+regions get new pivots. All nodes of a pivot's region come after it in the order
 of pivots, so the recursion ends, and a node has one row for each pivot, ring
 and element however many regions they come from. A group of near copies costs a
 star, not its pairs, and no step holds a region in one task.
@@ -385,22 +386,33 @@ def ringed(divided: DataFrame, t: Threshold) -> DataFrame:
 
 
 def open_regions(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(region, node, d, n, at) to the same with component and size: regions of several components."""
+    """(region, node, d, n, at) to the same with component, size and outside, in regions of several components.
+
+    outside: whether the node is not of the region's largest component; size:
+    how many such nodes there are.
+    """
     small = labels.count() <= MAX_BROADCAST_ROWS
     known = cut(rows.join(F.broadcast(labels) if small else labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
-    mixed = known.groupBy("region").agg(F.count("*").alias("size"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("region", "size")
-    out = cut(known.join(mixed, "region"), "regions")
+    parts = known.groupBy("region", "component").agg(F.count("*").alias("_c"))
+    mixed = parts.groupBy("region").agg(F.sum("_c").alias("_all"), F.max(F.struct("_c", "component")).alias("_top"))
+    mixed = mixed.where(F.col("_all") > F.col("_top._c")).select("region", (F.col("_all") - F.col("_top._c")).alias("size"), F.col("_top.component").alias("_main"))
+    out = cut(known.join(mixed, "region").withColumn("outside", F.col("component") != F.col("_main")).drop("_main"), "regions")
     drop_cut(known)
     return out
 
 
 def direct_pairs(regions: DataFrame, t: Threshold) -> DataFrame:
-    """(node, pivot): pairs of regions of at most ``DIRECT`` nodes whose first common element comes early enough for a link."""
+    """(node, pivot): pairs of different components, whose first common element comes early enough for a link, in regions of at most ``DIRECT`` nodes outside the main component.
+
+    Only these meet all others, so a node has at most as many pairs in a region.
+    """
     small = regions.where(F.col("size") <= DIRECT)
-    other = small.select("region", F.col("node").alias("pivot"), F.col("component").alias("_c"), F.col("d").alias("_d"), F.col("n").alias("_n"), F.col("at").alias("_at"))
+    other = small.select("region", F.col("node").alias("pivot"), F.col("component").alias("_c"), F.col("d").alias("_d"), F.col("n").alias("_n"), F.col("at").alias("_at"), F.col("outside").alias("_o"))
     need = t.common_of_pair(F.col("d"), F.col("n"), F.col("_d"), F.col("_n"))
     near = (F.col("d") - F.col("at") >= need) & (F.col("_d") - F.col("_at") >= need)
-    return small.join(other, (small["region"] == other["region"]) & (F.col("node") < F.col("pivot")) & (F.col("component") != F.col("_c")) & near).select("node", "pivot").distinct()
+    once = ~F.col("_o") | (F.col("node") < F.col("pivot"))
+    met = small.where("outside").join(other, (small["region"] == other["region"]) & once & (F.col("component") != F.col("_c")) & near)
+    return met.select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
