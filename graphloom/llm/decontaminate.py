@@ -1,12 +1,10 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-Items are grouped by length into classes of a ratio of 1.2. A class of items
-of n to 1.2 n words has windows of w = n/2 words. Documents are read at every
-s-th word, s = n/4, and items at every word; so wherever w + s - 1 words of an
-item stand unchanged, some window of the document and one of the item cover
-the same words, and their fingerprints are equal. Changed words are left to
-the radius. A window's 64-bit SimHash is the sign of the sums of its
-words' bits, each word weighted by its rarity among the items.
+Items are grouped by length into classes of a ratio of 1.2. The windows of a
+class have the length of its shortest item; documents and items are
+fingerprinted at every place, from running sums. A window's 64-bit SimHash is
+the sign of the sums of its words' bits, each word weighted by its rarity
+among the items.
 
 Fingerprints are cut into four blocks of 16 bits. Two fingerprints within
 ``radius`` differ by at most radius // 4 bits in some block, so tables of all
@@ -14,11 +12,12 @@ block values that near an item's block find every item fingerprint within the
 radius. Candidates are verified exactly: the weighted share of the item's
 word shingles that stand in the document around the aligned place.
 
-Fingerprints alone would miss items whose passages are edited or cut, by how
-they fall on the stride. So items are looked up by their shingles as well: the
-rarest that together weigh more than what an item may lack. A text without
-any of them cannot reach the similarity, and for each that has one the
-greatest share is computed over all places.
+Edited or cut passages may reach the similarity and yet leave the radius. So
+items are looked up by their shingles as well: the rarest that together weigh
+more than what an item may lack. A text without any of them cannot reach the
+similarity, and for each that has one the greatest share is computed over all
+places. Items of fewer than ``MIN_WORDS`` words, whose shingles chance would
+find, count only where all their words stand consecutively.
 """
 
 from __future__ import annotations
@@ -29,8 +28,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import limit_batches
 from .shingles import U, fold_latin, shingle_hashes, text_buffers, word_hashes
@@ -39,9 +39,9 @@ RADIUS, BLOCKS = 11, 4
 SHINGLE = 3
 SIMILARITY = 0.5
 MIN_WORDS = 6
-ITEMS_PER_PASS = 20_000
+PASS_BYTES = 128 << 20
+NARROW = 8191  # words of weights up to 4 whose sums 16 bits hold
 RATIO = 1.2
-MAX_STRIDE = 256
 ROWS = 1 << 14
 # White space and ASCII punctuation part words.
 SPLIT = np.zeros(256, bool)
@@ -58,7 +58,6 @@ class LengthClass:
     """Items of about one length, the fingerprints of their windows, and for each block the table of near values."""
 
     window: int
-    stride: int
     owner: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     offset: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     prints: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
@@ -70,13 +69,21 @@ def near_masks(bits: int, most: int) -> np.ndarray:
 
 
 class Items:
-    """Everything that executors need of one pass of items; bounded by ``ITEMS_PER_PASS``."""
+    """Everything that executors need of one pass of items; ``item_bytes`` says how much an item takes."""
 
     def __init__(self, ids: list[int], texts: list[str], radius: int = RADIUS, shingle: int = SHINGLE, min_words: int = MIN_WORDS, least: float = SIMILARITY):
         self.radius, self.shingle, self.least = radius, shingle, least
         words, ends = words_of(pa.array(texts, pa.string()))
         own = {i: words[ends[i] : ends[i + 1]] for i in range(len(ids)) if ends[i + 1] - ends[i] >= min_words}
         self.ids = ids
+        # Short items by their number of words: the hash of all words, sorted, and whose it is.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in range(1, min_words):
+            those = np.flatnonzero(np.diff(ends) == n)
+            if len(those):
+                hashes = np.array([shingle_hashes(words[ends[i] : ends[i + 1]], n)[0] for i in those])
+                order = np.argsort(hashes, kind="stable")
+                self.short[n] = hashes[order], those[order]
         # A word's weight: 4 if at most one item in 100 holds it, down to 1; words of no item weigh 4.
         held = np.concatenate([np.unique(w) for w in own.values()]) if own else np.zeros(0, np.uint64)
         self.known, counts = np.unique(held, return_counts=True)
@@ -92,18 +99,17 @@ class Items:
         at = 0
         while at < len(order):
             n = len(own[order[at]])
-            window = min(-(-n // 2), 8000)
+            window = n
             members = [i for i in order[at:] if len(own[i]) <= RATIO * n]
             at += len(members)
-            c = LengthClass(window, max(1, min(n // 4, MAX_STRIDE)))
+            c = LengthClass(window)
             rows = [(i, o) for i in members for o in range(len(own[i]) - window + 1)]
             c.owner, c.offset = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
             joined = np.concatenate([own[i] for i in members])
             starts = np.cumsum([0] + [len(own[i]) for i in members[:-1]])
             first = dict(zip(members, starts.tolist(), strict=True))
-            sums = self.bit_sums(joined)
             places = np.array([first[i] + o for i, o in rows])
-            c.prints = fingerprints(sums, places, window)
+            c.prints = fingerprints(self.bit_sums(joined), window)[places]
             for b in range(BLOCKS):
                 value = ((c.prints >> U(16 * b)) & U(0xFFFF)).astype(np.int64)
                 near = (value[:, None] ^ near_masks(16, radius // BLOCKS)[None, :]).ravel()
@@ -145,24 +151,28 @@ class Items:
         return sought, np.append(first, len(joined)), np.concatenate(owners)[order]
 
     def bit_sums(self, words: np.ndarray) -> np.ndarray:
-        """Running sums of the words' weighted bits; 16 bits wrap around, which differences undo."""
+        """Running sums of the words' weighted bits; 16 bits where they hold all sums, so that they can be compared."""
         bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1).view(np.int8)
         bits = (2 * bits - 1) * self.weights(words)[:, None]
-        sums = np.zeros((len(words) + 1, 64), np.int16)
-        np.cumsum(bits, axis=0, dtype=np.int16, out=sums[1:])
+        kind = np.int16 if len(words) <= NARROW else np.int32
+        sums = np.zeros((len(words) + 1, 64), kind)
+        np.cumsum(bits, axis=0, dtype=kind, out=sums[1:])
         return sums
 
     def candidates(self, c: LengthClass, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in ``prints``, item window) for all pairs within the radius."""
         at, to = [], []
+        quarters = prints.astype("<u8").view("<u2").reshape(-1, BLOCKS).astype(np.int32)
         for b, (starts, owner) in enumerate(c.tables):
-            value = ((prints >> U(16 * b)) & U(0xFFFF)).astype(np.int64)
+            value = quarters[:, b]
             first = starts[value]
             n = starts[value + 1] - first
+            met = np.flatnonzero(n)
+            first, n = first[met], n[met]
             total = int(n.sum())
             if not total:
                 continue
-            place = np.repeat(np.arange(len(prints)), n)
+            place = np.repeat(met, n)
             item = owner[np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
             close = np.bitwise_count(prints[place] ^ c.prints[item]) <= self.radius
             at.append(place[close])
@@ -236,27 +246,41 @@ class Items:
                 return value, start
         return value, best + n // 4
 
+    def consecutive(self, words: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int]]:
+        """(text, item, place) of the short items' first occurrences."""
+        found = {}
+        for n, (hashes, owner) in self.short.items():
+            for lo in range(0, len(words), ROWS):
+                own = words[lo : lo + ROWS + n - 1]
+                if len(own) < n:
+                    break
+                grams = shingle_hashes(own, n)
+                at, to = np.searchsorted(hashes, grams, "left"), np.searchsorted(hashes, grams, "right")
+                for place in np.flatnonzero(to > at).tolist():
+                    text = int(np.searchsorted(ends, place + lo, "right")) - 1
+                    if place + lo + n <= ends[text + 1]:
+                        for item in owner[at[place] : to[place]].tolist():
+                            found.setdefault((text, item), int(place + lo - ends[text]))
+        return [(t, i, place) for (t, i), place in found.items()]
+
     def find(self, words: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], tuple[float, int]]:
-        """(text, item) to (greatest similarity, word where the item begins) of all verified candidates."""
+        """(text, item) to (greatest similarity, minus the word where the item begins) of all verified candidates."""
         tried: dict[tuple[int, int, int], float] = {}
-        best: dict[tuple[int, int], tuple[float, int]] = {}
+        best: dict[tuple[int, int], tuple[float, int]] = {(t, i): (1.0, -place) for t, i, place in self.consecutive(words, ends)}
         widest = max((c.window for c in self.classes), default=0)
-        for lo in range(0, len(words), ROWS):
-            # Windows that begin in this part of the words; each text counts its words from its own start.
-            hi = min(len(words), lo + ROWS)
+        step = NARROW - widest if widest <= NARROW // 2 else max(ROWS, widest)
+        for lo in range(0, len(words) if self.classes else 0, step):
+            # Windows that begin in this part of the words; none leaves its text.
+            hi = min(len(words), lo + step)
             sums = self.bit_sums(words[lo : min(len(words), hi + widest)])
-            texts = np.arange(np.searchsorted(ends, lo, "right") - 1, np.searchsorted(ends, hi, "left"))
+            text_of = np.searchsorted(ends, np.arange(lo, hi), "right") - 1
             for c in self.classes:
-                begin = np.maximum(ends[texts], lo)
-                begin += (ends[texts] - begin) % c.stride
-                last = np.minimum(ends[texts + 1] - c.window, hi - 1)
-                n = np.maximum(0, (last - begin) // c.stride + 1)
-                if not n.sum():
-                    continue
-                text = np.repeat(texts, n)
-                place = np.repeat(begin, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * c.stride
-                at, to = self.candidates(c, fingerprints(sums, place - lo, c.window))
-                for t, item, start in sorted(set(zip(text[at].tolist(), c.owner[to].tolist(), (place[at] - ends[text[at]] - c.offset[to]).tolist(), strict=True))):
+                prints = fingerprints(sums, c.window)[: hi - lo]
+                place = np.flatnonzero(np.arange(lo, lo + len(prints)) + c.window <= ends[text_of[: len(prints)] + 1])
+                at, to = self.candidates(c, prints[place])
+                place = place[at]
+                text = text_of[place]
+                for t, item, start in sorted(set(zip(text.tolist(), c.owner[to].tolist(), (lo + place - ends[text] - c.offset[to]).tolist(), strict=True))):
                     if (t, item, start) not in tried:
                         tried[t, item, start] = value = self.similarity(item, words[ends[t] : ends[t + 1]], start)
                         best[t, item] = max(best.get((t, item), (0.0, 0)), (value, -max(0, start)))
@@ -269,32 +293,41 @@ class Items:
         return best
 
 
-def fingerprints(sums: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
-    out = np.empty(len(places), np.uint64)
-    for at in range(0, len(places), ROWS):
-        own = places[at : at + ROWS]
-        out[at : at + ROWS] = np.packbits((sums[own + window] - sums[own]) > 0, axis=1).view(np.uint64).ravel()
-    return out
+def fingerprints(sums: np.ndarray, window: int) -> np.ndarray:
+    """Fingerprints of the windows at all places of the running sums."""
+    n = max(0, len(sums) - window)
+    return np.packbits(sums[window:] > sums[:n], axis=1).view(np.uint64).ravel() if n else np.zeros(0, np.uint64)
+
+
+def item_bytes(text: Column, radius: int) -> Column:
+    """At most what an item takes in ``Items``: a word has two bytes of text, a class's items are a fifth longer than its windows at most."""
+    words = F.octet_length(text) / 2 + 1
+    near = len(near_masks(16, radius // BLOCKS)) * BLOCKS
+    return (words * (RATIO - 1) / RATIO + 1) * (12 * near + 32) + 64 * words
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, item_id, similarity, start_word) for each text and each item that it holds.
+    """(key, item_id, similarity, start_word) for each text and each item that it holds.
 
     Words part at ASCII white space and punctuation; ASCII and Latin-1
     capitals count as small letters. similarity: the greatest weighted share of
     the item's 3-word shingles found in one place of the text, at least
     ``similarity``, and no place that reaches it is missed; start_word: where that
-    is (ties: the first aligned one). Items of fewer
-    than ``min_words`` words and null items are left out: chance would find
-    them. Items pass in blocks of ``ITEMS_PER_PASS``. Null and empty texts hold
-    nothing. Repeated rows give repeated results; other columns are dropped.
+    is (ties: the first aligned one). Items of fewer than ``min_words`` words
+    are held by texts in which all their words stand consecutively. Items
+    without words and null items are held by none. Items pass in blocks of
+    about ``PASS_BYTES`` in memory; a longer item is a block of its own size.
+    ``key`` can be of any type and null. Null and empty texts hold nothing.
+    Repeated rows give repeated results; other columns are dropped.
     """
     spark = docs.sparkSession
     limit_batches(spark)
     listed = items.select(F.col(f"`{item_key}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").alias("text")).where("text IS NOT NULL").distinct()
-    own = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    total = listed.count()
-    passes = max(1, -(-total // ITEMS_PER_PASS))
+    own = docs.select(F.col(f"`{key}`").alias("c0"), F.col(f"`{text}`").alias("c1"))
+    total = listed.agg(F.sum(item_bytes(F.col("text"), radius)).alias("n")).first()["n"] or 0
+    passes = max(1, int(-(-total // PASS_BYTES)))
+    kind = own.schema["c0"].dataType
+    shape = T.StructType([T.StructField("c0", kind), T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("start_word", T.LongType())])
     out = None
     for p in range(passes):
         block = listed if passes == 1 else listed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p)
@@ -304,24 +337,23 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             table = known.value
             for batch in batches:
-                words, ends = words_of(batch.column("text"))
+                words, ends = words_of(batch.column("c1"))
                 best: dict[tuple[int, int | None], tuple[float, int]] = {}
                 for (t, item), value in table.find(words, ends).items():
                     if value[0] >= similarity:
                         name = (t, table.ids[item])
                         best[name] = max(best.get(name, (0.0, 0)), value)
-                names = batch.column("doc_id").to_pylist()
                 keys = list(best)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[t] for t, _ in keys], pa.int64()), pa.array([i for _, i in keys], pa.int64()), pa.array([best[x][0] for x in keys], pa.float64()), pa.array([-best[x][1] for x in keys], pa.int64())],
-                    names=["doc_id", "item_id", "similarity", "start_word"])
+                    [batch.column("c0").take(pa.array([t for t, _ in keys], pa.int64())), pa.array([i for _, i in keys], pa.int64()), pa.array([best[x][0] for x in keys], pa.float64()), pa.array([-best[x][1] for x in keys], pa.int64())],
+                    names=["c0", "item_id", "similarity", "start_word"])
 
-        found = own.mapInArrow(run, "doc_id long, item_id long, similarity double, start_word long")
+        found = own.mapInArrow(run, shape).withColumnRenamed("c0", key)
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose key holds no item; rows with a null key stay unless a null-keyed row holds one."""
-    bad = find_leaks(docs, items, key=key, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(f"`{key}`").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = find_leaks(docs, items, key=key, **options).select(F.col(f"`{key}`").alias("_bad")).distinct()
+    return docs.join(bad, F.col(f"`{key}`").eqNullSafe(F.col("_bad")), "left_anti")

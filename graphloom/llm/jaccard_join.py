@@ -36,7 +36,7 @@ rings of |D|; x goes on in its ring and in the inner ones in which a linked set
 can be, with the first |D| - o + 1 elements of D(x), elements that few nodes
 around p have in D first, where o is the least common part for that ring.
 Nodes that share (pivot, ring, element) are a region of the next round.
-Regions whose nodes are one component by now are done. Where up to ``DIRECT``
+Regions whose nodes are one component by now are done. Where up to ``OUTSIDE``
 nodes are outside a region's main component, these are joined with all others
 directly, pairs whose common element comes too late for a link left out; other
 regions get new pivots. All nodes of a pivot's region come after it in the order
@@ -61,7 +61,7 @@ from .common import bucket, cut, drop_cut, limit_batches
 from .shingles import U, mix, shingle_hashes, text_buffers, word_hashes
 
 MAX_BROADCAST_ROWS = 500_000
-DIRECT = 32
+DIRECT, OUTSIDE = 32, 128
 PIVOTS = 3
 RARE, LISTED = 8, 1_000_000
 
@@ -402,11 +402,11 @@ def open_regions(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def direct_pairs(regions: DataFrame, t: Threshold) -> DataFrame:
-    """(node, pivot): pairs of different components, whose first common element comes early enough for a link, in regions of at most ``DIRECT`` nodes outside the main component.
+    """(node, pivot): pairs of different components, whose first common element comes early enough for a link, in regions of at most ``OUTSIDE`` nodes outside the main component.
 
     Only these meet all others, so a node has at most as many pairs in a region.
     """
-    small = regions.where(F.col("size") <= DIRECT)
+    small = regions.where(F.col("size") <= OUTSIDE)
     other = small.select("region", F.col("node").alias("pivot"), F.col("component").alias("_c"), F.col("d").alias("_d"), F.col("n").alias("_n"), F.col("at").alias("_at"), F.col("outside").alias("_o"))
     need = t.common_of_pair(F.col("d"), F.col("n"), F.col("_d"), F.col("_n"))
     near = (F.col("d") - F.col("at") >= need) & (F.col("_d") - F.col("_at") >= need)
@@ -492,12 +492,12 @@ def join_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     drop_cut(regions)
     while spread is not None:
         regions = open_regions(spread, components(links))
-        kinds = {r["big"] for r in regions.select((F.col("size") > DIRECT).alias("big")).distinct().collect()}
+        kinds = {r["big"] for r in regions.select((F.col("size") > OUTSIDE).alias("big")).distinct().collect()}
         if False in kinds:
             links = links.unionByName(as_links(cut(measure(direct_pairs(regions, t), sets, t).drop("elements"), "direct")))
         spread = None
         if True in kinds:
-            stars, spread = voronoi(regions.where(F.col("size") > DIRECT), sets, weights, t)
+            stars, spread = voronoi(regions.where(F.col("size") > OUTSIDE), sets, weights, t)
             links = links.unionByName(as_links(stars))
     drop_cut(sets)
     return table, links

@@ -190,6 +190,37 @@ def test_edited_and_cut_items_against_every_place(least):
     assert sum(table.similarity(i, words[ends[t] : ends[t + 1]], -v[1]) == v[0] for (t, i), v in got.items()) == len(got)
 
 
+def test_short_items_and_passes(spark, monkeypatch):
+    items = [(1, "Alpha"), (2, "alpha, beta"), (3, "one two three four five"), (4, "..."), (5, " ".join(f"long{i}" for i in range(30))), (6, "alpha beta")]
+    docs = [(1, "x ALPHA beta y"), (2, "beta alpha"), (None, "zero one two; three four five"), (4, "one two three four six five"), (5, f"a {items[4][1]} b"), (6, "")]
+    frames = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    want = {(1, 1), (1, 2), (1, 6), (2, 1), (None, 3), (5, 5)}
+    found = lambda: {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(*frames).collect()}
+    assert found() == want
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", 20_000)
+    assert found() == want
+
+
+def test_recall_of_windows_alone(monkeypatch):
+    """Of edited items that reach the similarity, how many the fingerprints find by themselves; with the shingles all are."""
+    rng = random.Random(77)
+    vocab = ["w%d" % i for i in range(3000)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [text(n) for n in (14, 20, 30, 37, 45, 60) for _ in range(5)]
+    whole = decontaminate.Items(list(range(len(items))), [" ".join(i) for i in items])
+    alone = decontaminate.Items(list(range(len(items))), [" ".join(i) for i in items])
+    monkeypatch.setattr(alone, "sharing", lambda words, ends: [])
+    for share, least in ((0.05, 0.9), (0.1, 0.75), (0.2, 0.4), (0.3, 0.2)):
+        texts = [text(rng.randint(5, 60)) + [rng.choice(vocab) if rng.random() < share else w for w in i] + text(rng.randint(5, 60)) for i in items for _ in range(8)]
+        words, ends = decontaminate.words_of(pa.array([" ".join(t) for t in texts]))
+        want, brute = {k for k, v in whole.find(words, ends).items() if v[0] >= 0.5}, set()
+        for t in range(len(texts)):
+            own = words[ends[t] : ends[t + 1]]
+            brute |= {(t, t // 8)} if max(whole.similarity(t // 8, own, s) for s in range(len(own))) >= 0.5 else set()
+        found = {k for k, v in alone.find(words, ends).items() if v[0] >= 0.5}
+        assert want == brute and len(found & brute) >= least * len(brute)
+
+
 # ---- op4
 
 
@@ -341,6 +372,7 @@ def brute_components(docs, k, num, den):
 @pytest.mark.parametrize("k,num,den", [(3, 9, 10), (5, 4, 5)])
 def test_jaccard_components(spark, monkeypatch, k, num, den):
     monkeypatch.setattr(jaccard_join, "DIRECT", 3)
+    monkeypatch.setattr(jaccard_join, "OUTSIDE", 2)
     rng = random.Random(11)
     vocab = ["v%d" % i for i in range(400)]
     docs, passage = [], [rng.choice(vocab) for _ in range(60)]
@@ -383,6 +415,7 @@ def test_jaccard_empty(spark):
 def test_large_regions_are_divided(spark, monkeypatch):
     """Near copies around three texts that share a passage, all at several distances, in regions far beyond ``DIRECT``."""
     monkeypatch.setattr(jaccard_join, "DIRECT", 8)
+    monkeypatch.setattr(jaccard_join, "OUTSIDE", 4)
     rng = random.Random(23)
     passage = ["p%d" % i for i in range(70)]
     docs = []
