@@ -61,7 +61,7 @@ class LengthClass:
     owner: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     offset: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     prints: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    tables: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
 
 def near_masks(bits: int, most: int) -> np.ndarray:
@@ -115,7 +115,8 @@ class Items:
                 near = (value[:, None] ^ near_masks(16, radius // BLOCKS)[None, :]).ravel()
                 order_of = np.argsort(near, kind="stable")
                 owner = np.repeat(np.arange(len(value), dtype=np.int32), len(near) // max(1, len(value)))[order_of]
-                c.tables.append((np.searchsorted(near[order_of], np.arange(65537)), owner))
+                starts = np.searchsorted(near[order_of], np.arange(65537)).astype(np.int32)
+                c.tables.append((starts, owner, starts[1:] > starts[:-1]))
             self.classes.append(c)
 
     def weights(self, words: np.ndarray) -> np.ndarray:
@@ -162,16 +163,15 @@ class Items:
     def candidates(self, c: LengthClass, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in ``prints``, item window) for all pairs within the radius."""
         at, to = [], []
-        quarters = prints.astype("<u8").view("<u2").reshape(-1, BLOCKS).astype(np.int32)
-        for b, (starts, owner) in enumerate(c.tables):
-            value = quarters[:, b]
-            first = starts[value]
-            n = starts[value + 1] - first
-            met = np.flatnonzero(n)
-            first, n = first[met], n[met]
-            total = int(n.sum())
-            if not total:
+        quarters = np.ascontiguousarray(prints.astype("<u8").view("<u2").reshape(-1, BLOCKS).T)
+        for value, (starts, owner, any_) in zip(quarters, c.tables, strict=True):
+            met = np.flatnonzero(any_[value])
+            if not len(met):
                 continue
+            own = value[met].astype(np.int32)
+            first = starts[own]
+            n = starts[own + 1] - first
+            total = int(n.sum())
             place = np.repeat(met, n)
             item = owner[np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
             close = np.bitwise_count(prints[place] ^ c.prints[item]) <= self.radius
