@@ -39,11 +39,14 @@ def fold_messages(log: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     Events: message (sets role and text), delta (appends), edit (replaces the
     text), regenerate (empties the text and drops messages of greater turns
     whose last event came before it), delete. Null or unknown events count as
-    message. Without ``event`` every row is a message of its own: rows that
+    message. Events of one sequence number come in the order given above, then
+    by role and text; without ``seq`` that holds for all events of a turn.
+    Without ``event`` every row is a message of its own: rows that
     share a turn stay apart, ordered by role, then text (tie 0, 1, ...).
     Without ``seq`` the turn is the sequence. Null texts and roles are empty;
-    null conversations are one conversation; null turns come first. Extra
-    columns of the input are ignored.
+    null conversations are one conversation; null turns come first; other
+    columns are dropped; an empty table gives none. A message's events, and a
+    conversation's turns, meet in one row, as they do in the output.
     """
     pick = lambda c: F.col(f"`{c}`")
     rows = log.select(
@@ -53,7 +56,8 @@ def fold_messages(log: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
         rows = rows.withColumn("tie", F.row_number().over(Window.partitionBy("conv", "turn").orderBy("role", "text")) - 1)
     else:
         rows = rows.withColumn("tie", F.lit(0))
-    events = F.array_sort(F.collect_list(F.struct("seq", "event", "role", "text")))
+    kinds = F.create_map(*[F.lit(x) for pair in (("message", 0), ("delta", 1), ("edit", 2), ("regenerate", 3), ("delete", 4)) for x in pair])
+    events = F.array_sort(F.collect_list(F.struct("seq", F.coalesce(kinds[F.col("event")], F.lit(0)).alias("kind"), "event", "role", "text")))
     log_of = rows.groupBy("conv", "turn", "tie").agg(events.alias("events"))
     e = "element"
     zero = F.struct(F.lit("").alias("role"), F.lit("").alias("text"), F.lit(False).alias("gone"))
@@ -72,7 +76,7 @@ def fold_messages(log: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
 
 
 def format_chats(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """One row a conversation: conv, formatted, mask.
+    """One row a conversation: conv, formatted, mask; repeated turns each stand in it, null texts and roles as empty ones, and an empty table gives none.
 
     mask: for each text of ``loss_role``, in order, struct(turn, start, end):
     code points of the turn's own rendering, turns counted from 0.
@@ -86,7 +90,7 @@ def format_chats(messages: DataFrame, loss_role: str = "assistant") -> DataFrame
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
-    """Adds turns (array of role, text) and loss_text, read from formatted and mask alone."""
+    """Adds turns (array of role, text) and loss_text, read from formatted and mask alone; a conversation without turns of the loss role has an empty loss_text."""
     pieces = F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda x: x != "")
     parsed = formatted.withColumn("_pieces", pieces)
 
@@ -100,6 +104,7 @@ def read_chats(formatted: DataFrame) -> DataFrame:
 
 
 def chat_digest(read: DataFrame) -> DataFrame:
+    """Counts and digests of turns and of the text under the loss mask; one row a conversation, the null one included."""
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         F.col("conv").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),

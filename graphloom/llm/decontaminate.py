@@ -43,6 +43,7 @@ PASS_BYTES = 128 << 20
 NARROW = 8191  # words of weights up to 4 whose sums 16 bits hold
 RATIO = 1.2
 ROWS = 1 << 14
+SIEVE = 1 << 18  # low bits of shingles that let most be passed over
 # White space and ASCII punctuation part words.
 SPLIT = np.zeros(256, bool)
 SPLIT[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
@@ -94,6 +95,8 @@ class Items:
         for i, w in own.items():
             self.parts[i] = self.weighted_shingles(w)
         self.sought, self.sought_at, self.sought_of = self.needed_shingles()
+        self.sought_bits = np.zeros(SIEVE, bool)
+        self.sought_bits[self.sought & U(SIEVE - 1)] = True
         self.classes: list[LengthClass] = []
         order = sorted(own, key=lambda i: (len(own[i]), i))
         at = 0
@@ -198,9 +201,10 @@ class Items:
             if len(own) < k:
                 break
             hashes = shingle_hashes(own, k)
-            at = np.minimum(np.searchsorted(self.sought, hashes), len(self.sought) - 1)
-            place = np.flatnonzero(self.sought[at] == hashes)
-            at, place = at[place], place + lo
+            maybe = np.flatnonzero(self.sought_bits[hashes & U(SIEVE - 1)])
+            at = np.minimum(np.searchsorted(self.sought, hashes[maybe]), len(self.sought) - 1)
+            there = self.sought[at] == hashes[maybe]
+            at, place = at[there], maybe[there] + lo
             text = np.searchsorted(ends, place, "right") - 1
             inside = place + k <= ends[text + 1]
             # A text meets a shingle once however often it has it.

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import limit_batches, map_arrow, without
+from .common import cut, drop_cut, limit_batches, map_arrow, without
 from .shingles import fold_latin, text_buffers
 
 HASH_BITS = 16
@@ -138,52 +138,53 @@ class Model:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, curve_rows: int = CURVE_ROWS) -> Model | None:
     """A model from a sample of about ``sample_rows`` rows (all, if there are fewer); None without labelled texts.
 
-    Rows enter by a hash of their text, so the sample is the same however the
-    table is partitioned. Whole texts are counted on the executors; sums by
-    language come to the driver, and for the bits' curves the counts of about
-    ``curve_rows`` texts, again chosen by a hash of the text.
+    Rows enter by a hash of their text, and rows alike in text and label once,
+    so the sample is the same however the table is partitioned and bounded
+    however often a text is repeated. Whole texts are counted; sums by
+    language and bucket are made in Spark, so at most languages x 65536
+    numbers come to the driver, and for the bits' curves the counts of about
+    ``curve_rows`` texts, again chosen by a hash of the text. Rows with a null
+    text or label teach nothing.
     """
     limit_batches(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     total = rows.count()
     if total > sample_rows:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(sample_rows / total * (1 << 30)))
-
+    rows = rows.dropDuplicates(["text", "lang"])
     for_curve = F.pmod(F.xxhash64(F.lit(1), F.col("text")), F.lit(1 << 20)) < int(min(1.0, curve_rows / max(1, min(total, sample_rows))) * (1 << 20))
     rows = rows.withColumn("curve", for_curve)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        own: list[tuple[str, bytes]] = []
         for batch in batches:
             names, curve = batch.column("lang").to_pylist(), batch.column("curve").to_pylist()
             data, ends = text_buffers(batch.column("text"))
+            langs, places, counts, curves = [], [], [], []
             for i, name in enumerate(names):
                 place = trigram_places(data[ends[i] : ends[i + 1]], np.array([0, ends[i + 1] - ends[i]]))
-                counts = np.bincount(place, minlength=NONE + 1)[:NONE]
-                if not counts.any():
-                    continue
-                # A text counts once, whatever its length, up to a thousand trigrams' worth.
-                sums[name] = sums.get(name, np.zeros(NONE)) + counts * min(1.0, 1000 / counts.sum())
-                at = np.flatnonzero(counts)
-                if curve[i]:
-                    own.append((name, np.concatenate([at, counts[at]]).astype("<u4").tobytes()))
-        names = list(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(names + [n for n, _ in own], pa.string()), pa.array([sums[n].astype("<f4").tobytes() for n in names] + [None] * len(own), pa.binary()), pa.array([None] * len(names) + [b for _, b in own], pa.binary())], names=["lang", "sums", "own"])
-
-    got = rows.mapInArrow(run, "lang string, sums binary, own binary").collect()
-    languages = sorted({r["lang"] for r in got})
+                own = np.bincount(place, minlength=NONE + 1)[:NONE]
+                at = np.flatnonzero(own)
+                if len(at):
+                    langs.append(name)
+                    places.append(at.astype(np.int32))
+                    counts.append(own[at].astype(np.int32))
+                    curves.append(curve[i])
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(places, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(curves, pa.bool_())], names=["lang", "places", "counts", "curve"])
+
+    counted = cut(rows.mapInArrow(run, "lang string, places array<int>, counts array<int>, curve boolean"), "trigrams")
+    # A text counts once, whatever its length, up to a thousand trigrams' worth; whole millionths add up alike in any order.
+    all_ = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    share = F.least(F.lit(1.0), F.lit(1000.0) / all_)
+    each = counted.select("lang", share.alias("share"), F.explode(F.arrays_zip("places", "counts")).alias("z"))
+    sums = each.groupBy("lang", F.col("z.places").alias("place")).agg(F.sum(F.round(F.col("z.counts") * F.col("share") * 1e6).cast("long")).alias("n")).toArrow()
+    names = sums.column("lang").to_pylist()
+    languages = sorted(set(names))
     if not languages:
         return None
     counts = np.zeros((len(languages), NONE))
-    documents = []
-    for r in got:
-        k = languages.index(r["lang"])
-        if r["sums"] is not None:
-            counts[k] += np.frombuffer(r["sums"], "<f4")
-        else:
-            both = np.frombuffer(r["own"], "<u4").reshape(2, -1).astype(np.int64)
-            documents.append((k, both[0], both[1]))
+    np.add.at(counts, (np.searchsorted(languages, names), sums.column("place").to_numpy()), sums.column("n").to_numpy() / 1e6)
+    documents = [(languages.index(r["lang"]), np.array(r["places"]), np.array(r["counts"])) for r in sorted(counted.where("curve").select("lang", "places", "counts").collect())]
+    drop_cut(counted)
     return Model(languages, counts, documents)
 
 

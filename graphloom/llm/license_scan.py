@@ -2,10 +2,13 @@
 
 The rolling word k-gram hashes of every text are joined to the places where
 templates hold them. A hit votes for the diagonal (place in the text minus
-place in the template); votes are summed by text, template and diagonal,
-neighbouring diagonals are merged, so that inserted or missing words do not
-break a span, and spans are verified against the template's length. Hits are
-compared word by word in the join, so no hash collision counts.
+place in the template); votes are aggregated by text, template and diagonal,
+as the set of template places that have one. Neighbouring diagonals are
+merged, so that inserted or missing words do not break a span; a span is
+verified if enough different places of the template stand within it. Hits are
+compared word by word in the join, so no hash collision counts. Texts are
+named by 128 bits of hash, so repeated rows are one text and a task that runs
+again names its rows as before.
 """
 
 from __future__ import annotations
@@ -65,17 +68,23 @@ def template_grams(spark: SparkSession, templates: tuple[Template, ...]) -> Data
     return table.withColumn("h", F.xxhash64(F.xxhash64("w0"), F.xxhash64("w1")))
 
 
+def span_gap(grams: Column, gap: int) -> Column:
+    """How far the diagonals of a span may be from its middle: a quarter of the template at most, so that its order counts."""
+    return F.least(F.lit(gap), F.floor(grams / 4).cast("int"))
+
+
 def scan_licenses(df: DataFrame, text: str = "text", templates: tuple[Template, ...] = BASE + KNOWN, gap: int = GAP, agreement: float = AGREEMENT) -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels, score and spans.
 
     n_base: places of exact templates, with the smallest and largest start
     (else null). labels: those of exact templates found, and of others of
-    which a span of merged diagonals (each at most ``gap`` from the next)
-    holds at least ``agreement`` of the k-grams. score: the greatest such
-    share (0: none). spans: (label, start, votes share) of what was verified,
-    sorted. Null and wordless texts give zeros, nulls and empty strings.
-    Input columns of these names are replaced; repeated rows each get a row.
-    k is 2, the length of the shortest phrase.
+    which a span holds at least ``agreement`` of the k-grams: different ones,
+    each within ``span_gap`` words of where the span's middle diagonal puts it.
+    score: the greatest such share (0: none). spans: (label, start, share) of
+    what was verified, the best of neighbouring ones (ties: the first), sorted.
+    Null and wordless texts give zeros, nulls and empty strings.
+    Input columns of these names are replaced, others of any name stay;
+    repeated rows each get a row. k is 2, the length of the shortest phrase.
     """
     spark = df.sparkSession
     grams = template_grams(spark, templates)
@@ -88,24 +97,28 @@ def scan_licenses(df: DataFrame, text: str = "text", templates: tuple[Template,
         hits = F.filter(F.transform(rolled, lambda h, i: F.struct(i.alias("i"), h.alias("h"))), lambda p: p["h"].isin(known))
         return F.transform(hits, lambda p: F.struct(p["i"].alias("i"), p["h"].alias("h"), F.get(w, p["i"]).alias("w0"), F.get(w, p["i"] + 1).alias("w1")))
 
-    keyed = base.withColumn("_row", F.monotonically_increasing_id())
-    words = words_of(F.col(f"`{text}`"))
-    hit = keyed.select("_row", F.explode(let(words, pairs)).alias("_hit"))
-    votes = hit.join(F.broadcast(grams), (F.col("_hit.h") == F.col("h")) & (F.col("_hit.w0") == F.col("w0")) & (F.col("_hit.w1") == F.col("w1")))
-    diagonals = votes.groupBy("_row", "template", "label", "exact", "grams", (F.col("_hit.i") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"))
-    by_place = Window.partitionBy("_row", "template").orderBy("diagonal")
-    fresh = F.when(F.col("exact") | (F.col("diagonal") - F.coalesce(F.lag("diagonal").over(by_place), F.col("diagonal")) > gap), 1).otherwise(0)
-    spans = diagonals.withColumn("_new", fresh).withColumn("_span", F.sum("_new").over(by_place))
-    spans = spans.groupBy("_row", "template", "label", "exact", "grams", "_span").agg(F.min("diagonal").alias("start"), F.sum("votes").alias("votes"))
-    share = F.least(F.lit(1.0), F.col("votes") / F.col("grams"))
-    good = spans.withColumn("share", share).where(F.when(F.col("exact"), F.col("votes") == F.col("grams")).otherwise(F.col("share") >= agreement))
-    per_row = good.groupBy("_row").agg(
-        F.count(F.when(F.col("exact"), 1)).alias("n_base"), F.min(F.when(F.col("exact"), F.col("start"))).cast("long").alias("first_word"), F.max(F.when(F.col("exact"), F.col("start"))).cast("long").alias("last_word"),
+    body = F.col(f"`{text}`")
+    hit = base.select(F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2"), F.explode(let(words_of(body), pairs)).alias("hit"))
+    # As many rows as the templates have words, whatever the input.
+    votes = hit.join(F.broadcast(grams), (F.col("hit.h") == F.col("h")) & (F.col("hit.w0") == F.col("w0")) & (F.col("hit.w1") == F.col("w1")))
+    diagonals = votes.groupBy("k1", "k2", "template", "label", "exact", "grams", (F.col("hit.i") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("places"))
+    # One window for each width of span; there are gap + 1 of them.
+    width = F.when(F.col("exact"), 0).otherwise(span_gap(F.col("grams"), gap))
+    near = lambda g: Window.partitionBy("k1", "k2", "template").orderBy("diagonal").rangeBetween(-g, g)
+    found = F.coalesce(*[F.when(F.col("width") == g, F.size(F.array_distinct(F.flatten(F.collect_list("places").over(near(g)))))) for g in range(gap + 1)])
+    spans = diagonals.withColumn("width", width).withColumn("found", found).withColumn("share", F.col("found") / F.col("grams"))
+    rank = F.struct(F.col("found"), (-F.col("diagonal")).alias("d"))
+    best = F.coalesce(*[F.when(F.col("width") == g, F.max(rank).over(near(g))) for g in range(gap + 1)])
+    good = spans.withColumn("best", rank == best).where(F.when(F.col("exact"), F.col("found") == F.col("grams")).otherwise(F.col("share") >= agreement))
+    per_text = good.groupBy("k1", "k2").agg(
+        F.count(F.when(F.col("exact"), 1)).alias("n_base"), F.min(F.when(F.col("exact"), F.col("diagonal"))).cast("long").alias("first_word"), F.max(F.when(F.col("exact"), F.col("diagonal"))).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("exact"), F.col("label")))), ",").alias("base_labels"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
-        F.max("share").alias("score"), F.array_sort(F.collect_list(F.struct("label", "start", "share"))).alias("spans"))
-    joined = keyed.withColumn("n_words", F.size(words).cast("long")).join(per_row, "_row", "left")
+        F.max("share").alias("score"), F.array_sort(F.collect_list(F.when(F.col("best"), F.struct("label", F.col("diagonal").alias("start"), "share")))).alias("spans"))
+    columns = [f"c{i}" for i in range(len(base.columns))]
+    keyed = base.select(F.size(words_of(body)).cast("long"), F.xxhash64(body), F.xxhash64(F.lit(1), body), *[F.col(f"`{c}`") for c in base.columns]).toDF("n_words", "k1", "k2", *columns)
+    joined = keyed.join(per_text, ["k1", "k2"], "left")
     return joined.select(
-        *[F.col(f"`{c}`") for c in base.columns], "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word",
+        *[F.col(p).alias(c) for p, c in zip(columns, base.columns, strict=True)], "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"), "spans")
 
 
@@ -116,11 +129,11 @@ grams AS (SELECT template, label, exact, len(words) - 1 AS grams, i - 1 AS place
 d AS (SELECT row_number() OVER () AS k, doc_id,
   list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 p AS (SELECT k, unnest(w[:-2]) AS w0, unnest(w[2:]) AS w1, unnest(range(len(w) - 1)) AS i FROM d WHERE len(w) > 1),
-diagonals AS (SELECT k, template, label, exact, grams, i - place AS diagonal, count(*) AS votes FROM p JOIN grams USING (w0, w1) GROUP BY ALL),
-marked AS (SELECT *, CASE WHEN exact OR diagonal - lag(diagonal, 1, diagonal) OVER (PARTITION BY k, template ORDER BY diagonal) > {GAP} THEN 1 ELSE 0 END AS fresh FROM diagonals),
-merged AS (SELECT *, sum(fresh) OVER (PARTITION BY k, template ORDER BY diagonal) AS span FROM marked),
-spans AS (SELECT k, template, label, exact, grams, span, min(diagonal) AS start, sum(votes) AS votes FROM merged GROUP BY ALL),
-good AS (SELECT *, least(1.0, votes / grams) AS share FROM spans WHERE CASE WHEN exact THEN votes = grams ELSE least(1.0, votes / grams) >= {AGREEMENT} END),
+diagonals AS (SELECT DISTINCT k, template, label, exact, grams, place, i - place AS diagonal FROM p JOIN grams USING (w0, w1)),
+spans AS (SELECT x.k, x.template, x.label, x.exact, x.grams, x.diagonal AS start, count(DISTINCT y.place) AS votes
+  FROM (SELECT DISTINCT k, template, label, exact, grams, diagonal FROM diagonals) x
+  JOIN diagonals y ON x.k = y.k AND x.template = y.template AND abs(x.diagonal - y.diagonal) <= CASE WHEN x.exact THEN 0 ELSE least({GAP}, x.grams // 4) END GROUP BY ALL),
+good AS (SELECT *, votes / grams AS share FROM spans WHERE CASE WHEN exact THEN votes = grams ELSE votes / grams >= {AGREEMENT} END),
 r AS (SELECT k, count(*) FILTER (WHERE exact) AS n_base, min(start) FILTER (WHERE exact) AS first_word, max(start) FILTER (WHERE exact) AS last_word,
   coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE exact)), ','), '') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(share) AS score FROM good GROUP BY k)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,

@@ -22,6 +22,7 @@ def shard_of(key: Column, weights: list[float]) -> Column:
 
     Scores tie with a chance of 2**-53; then the greater shard number wins.
     A null key hashes as its shard number alone, so all null keys share a shard.
+    Repeated and very long keys are like any other; no other column is read.
     """
     table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(w)).alias("w")) for i, w in enumerate(weights) if w > 0])
 
@@ -43,13 +44,15 @@ def assign_shards(df: DataFrame, key: str = "doc_id", weights: list[float] | Non
     weights = list(weights or [1.0] * n_shards)
     k = F.col(f"`{key}`")
     base = without(df, "shard", "slot", "grown_shard")
+    columns, sorts = [f"c{i}" for i in range(len(base.columns))], [f"s{i}" for i in range(len(order))]
     part = F.pmod(F.xxhash64(F.lit(7), k), F.lit(parts))
-    placed = base.withColumns({"shard": shard_of(k, weights), "_part": part})
+    placed = base.select(k, shard_of(k, weights), part, *[F.col(f"`{c}`") for c in order], *[F.col(f"`{c}`") for c in base.columns]).toDF("key", "shard", "part", *sorts, *columns)
     # At most shards * parts rows, whatever the input.
-    counts = base.select(k.alias("_key")).select(shard_of(F.col("_key"), weights).alias("shard"), F.pmod(F.xxhash64(F.lit(7), F.col("_key")), F.lit(parts)).alias("_part")).groupBy("shard", "_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("shard").alias("_shard"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inner = Window.partitionBy("shard", "_part").orderBy(k, *[F.col(f"`{c}`") for c in order])
-    ranked = placed.withColumn("_rank", F.row_number().over(inner) - 1)
-    joined = ranked.join(F.broadcast(starts), (F.col("shard") == F.col("_shard")) & (F.col("_part") == F.col("_p")))
-    return joined.select(*[F.col(f"`{c}`") for c in base.columns], "shard", (F.col("_start") + F.col("_rank")).cast("long").alias("slot"), shard_of(k, [*weights, grown_weight]).alias("grown_shard"))
+    counts = base.select(shard_of(k, weights).alias("shard"), part.alias("part")).groupBy("shard", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("shard").alias("of_shard"), F.col("part").alias("of_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inner = Window.partitionBy("shard", "part").orderBy("key", *sorts)
+    ranked = placed.withColumn("rank", F.row_number().over(inner) - 1)
+    joined = ranked.join(F.broadcast(starts), (F.col("shard") == F.col("of_shard")) & (F.col("part") == F.col("of_part")))
+    own = [F.col(p).alias(c) for p, c in zip(columns, base.columns, strict=True)]
+    return joined.select(*own, "shard", (F.col("start") + F.col("rank")).cast("long").alias("slot"), shard_of(F.col("key"), [*weights, grown_weight]).alias("grown_shard"))

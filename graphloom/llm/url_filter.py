@@ -132,7 +132,8 @@ def judge_urls(df: DataFrame, url: str = "url", rules: tuple[UrlRule, ...] = SIT
     u = F.col(f"`{url}`")
     host, path = url_parts(u)
     base = without(df, *({"host", "path", "rule", "verdict", "fired"} - {url.lower()}))
-    out = base.withColumns({"_url": F.coalesce(u, F.lit("")), "_host": host, "_path": path})
+    columns = [f"c{i}" for i in range(len(base.columns))]
+    out = base.select(F.coalesce(u, F.lit("")), host, path, *[F.col(f"`{c}`") for c in base.columns]).toDF("_url", "_host", "_path", *columns)
     fetched = F.flatten(F.transform(F.filter(url_tokens(F.col("_url")), lambda t: t != ""), lambda t: F.filter(F.get(index, _place_column(t, n)), lambda e: e["token"] == t)))
     fits = lambda e: F.regexp_like(F.when(e["scope"] == "url", F.col("_url")).otherwise(F.concat("_host", "_path")), e["pattern"])
     # A rule filed under several tokens of the URL is fetched by each and counts once.
@@ -142,7 +143,7 @@ def judge_urls(df: DataFrame, url: str = "url", rules: tuple[UrlRule, ...] = SIT
     other = F.transform(F.filter("_fired", lambda e: e["kind"] != "site"), lambda e: e["verdict"])
     out = out.withColumns({"_site": site, "_other": other})
     verdict = F.coalesce(F.col("_site.verdict"), F.when(F.array_contains("_other", "block"), "block").when(F.size("_other") > 0, "allow").otherwise(default))
-    keep = [F.col(f"`{c}`") for c in base.columns]
+    keep = [F.col(p).alias(c) for p, c in zip(columns, base.columns, strict=True)]
     return out.select(*keep, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_site.name").alias("rule"), verdict.alias("verdict"), F.array_join(F.array_sort(F.transform("_fired", lambda e: e["name"])), ",").alias("fired"))
 
 

@@ -279,6 +279,11 @@ def test_license_scan(spark, odd):
     got = [(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in license_scan.scan_licenses(df).orderBy("doc_id").collect()]
     assert got[0][:6] == (1, 33, 4, 1, 9, "cc-by,gpl,reserved") and got[0][6] == "cc-by,gpl,mit,reserved"
     assert got[1:] == [(2, 0, 0, None, None, "", ""), (3, 0, 0, None, None, "", ""), (4, 1, 0, None, None, "", ""), (5, 4, 2, 0, 2, "cc-by", "cc-by"), (5, 4, 2, 0, 2, "cc-by", "cc-by")]
+    # Words of a template that repeat, stand in another order or far apart are no template.
+    odd_ones = [(1, "spdx license spdx license"), (2, "license identifier license identifier"), (3, "license identifier spdx license"), (4, "this software " * 20), (5, "spdx license identifier"),
+                (6, "licensed under the apache " + "x " * 30 + "license version 2 0"), (7, "licensed under the apache license version 2 0 " * 2)]
+    found = {r.doc_id: (r.labels, r.score, len(r.spans or [])) for r in license_scan.scan_licenses(spark.createDataFrame(odd_ones, DOCS)).collect()}
+    assert found == {1: ("", 0.0, 0), 2: ("", 0.0, 0), 3: ("", 0.0, 0), 4: ("", 0.0, 0), 5: ("spdx", 1.0, 1), 6: ("", 0.0, 0), 7: ("apache-2", 1.0, 2)}
     assert license_scan.scan_licenses(odd).count() == 11 and license_scan.scan_licenses(df.limit(0)).count() == 0
 
 
@@ -307,6 +312,21 @@ def test_chat_events(spark):
     assert got == [(0, "user", "hello"), (1, "assistant", "Good day"), (4, "user", "bye")]
 
 
+def test_chat_events_without_sequence(spark):
+    rows = [(1, 0, "user", "hi", "message", 5), (1, 1, "assistant", " more", "delta", 7), (1, 1, "assistant", "base", "message", 7), (1, 2, "user", "x", None, 9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, event string, seq long")
+    for options in ({"event": "event"}, {"event": "event", "seq": "seq"}):
+        assert [r.text for r in chat.fold_messages(df, **options).orderBy("turn").collect()] == ["hi", "base more", "x"]
+
+
+def test_inner_names_leave_the_input_alone(spark):
+    """Columns that are called like the operators' own inner ones come back as they were."""
+    inner = ["_url", "_host", "_path", "_fired", "_site", "_other", "_part", "_rank", "_start", "_shard", "_p", "_row", "k1", "k2", "key", "part", "rank", "start", "n", "c0", "s0", "of_shard", "of_part", "hit", "label"]
+    df = spark.createDataFrame([("http://ads.x.org/", 1, *range(len(inner)))] * 2, "url string, doc_id long, " + ", ".join(f"`{c}` long" for c in inner))
+    for out in (url_filter.judge_urls(df), sharding.assign_shards(df, order=("url",)), license_scan.scan_licenses(df, text="url")):
+        assert [tuple(r) for r in out.select(*inner).collect()] == [tuple(range(len(inner)))] * 2
+
+
 # ---- op8
 
 
