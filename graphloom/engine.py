@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import slug
-from .operators import code, graph, memory, search, similarity
+from .operators import code, graph, lookup, memory, search, similarity
 from .plans import context
 from .sources import code_files, store as stores
 
@@ -39,6 +39,33 @@ class Engine:
         r = own.agg(F.max("id").alias("id"), F.count("*").alias("n")).first()
         return {"id": r["id"], "topic": name, "summarize": r["n"] >= memory.SUMMARIZE_AT}
 
+    def log_interaction(self, topic: str, decision: str = "", fact: str = "", summary: str = "", current_state: str = "", next_step: str = "", activity: str = "") -> None:
+        """Up to three notes, a change of the planet and a turn in one call."""
+        names = ("topic", "decision", "fact", "summary", "current_state", "next_step", "activity")
+        row = self.spark.createDataFrame([(topic, decision, fact, summary, current_state, next_step, activity, 0)], ", ".join(f"{n} string" for n in names) + ", ord long")
+        planets, notes = memory.log_interaction(self.table("planets"), self.table("notes"), row, self.now)
+        self.store.write("notes", graph.cut(notes))
+        self.store.write("planets", graph.cut(planets))
+
+    def archive(self, topic: str, transcript: str, agent_id: str, archive_id: str) -> None:
+        """A transcript as a conversation node of an existing planet; without that planet nothing changes."""
+        row = self.spark.createDataFrame([(topic, transcript, agent_id, archive_id, 0)], "topic string, transcript string, agent_id string, archive_id string, ord long")
+        for name, df in zip(("planets", "notes", "nodes"), memory.archive_transcripts(self.table("planets"), self.table("notes"), self.table("nodes"), row, self.now), strict=True):
+            self.store.write(name, graph.cut(df))
+
+    def folder_hub(self, folder: str) -> None:
+        self.store.write("nodes", memory.folder_hub(self.table("nodes"), folder, self.now))
+
+    def ensure_planet(self, topic: str) -> None:
+        self.store.write("planets", graph.cut(memory.ensure_planets(self.table("planets"), self.spark.createDataFrame([(topic,)], "topic string"), self.now)))
+
+    def link_planets(self, a: str, b: str, relation: str = "related", weight: float = 1.0) -> None:
+        row = self.spark.createDataFrame([(a, b, relation, weight, 0)], "from_topic string, to_topic string, relation string, weight double, ord long")
+        links, refused = memory.link_planets(self.table("planets"), self.table("planet_links"), row, self.now)
+        if (r := refused.first()) is not None:
+            raise ValueError(r["reason"])
+        self.store.write("planet_links", graph.cut(links))
+
     def log_turn(self, topic: str, message: str, agent_id: str = "default") -> dict:
         return self.add_note(topic, message, "turn", "", agent_id, auto_link=False)
 
@@ -109,6 +136,40 @@ class Engine:
 
     # reads
 
+    def node(self, node: str) -> DataFrame:
+        return lookup.by_key(self.table("nodes"), node)
+
+    def note(self, note: int) -> DataFrame:
+        return lookup.by_key(self.table("notes"), note)
+
+    def symbol(self, symbol: int) -> DataFrame:
+        return lookup.by_key(self.table("code_symbols"), symbol)
+
+    def symbols_by_name(self, name: str, file_path: str = "") -> DataFrame:
+        return lookup.symbols_by_name(self.table("code_symbols"), name, file_path)
+
+    def edges(self, from_id: str | None = None, to_id: str | None = None) -> DataFrame:
+        return lookup.get_edges(self.table("edges"), from_id, to_id)
+
+    def planets(self) -> DataFrame:
+        return lookup.list_planets(self.table("planets"))
+
+    def planet_page(self, topic: str) -> str | None:
+        name = self.slug(topic)
+        row = context.planet_pages(*[self.table(t).where(F.col("topic") == name) for t in ("planets", "notes")]).first()
+        return row["text"] if row else None
+
+    def briefing(self) -> DataFrame:
+        return context.briefing(self.table("planets"))
+
+    def rebuild_index(self) -> None:
+        """Writes the search index of the nodes anew."""
+        search.write_index(self.table("nodes"), "id", ["title", "content"], f"{self.store.root}/index/nodes")
+
+    def search_nodes(self, query: str, limit: int = 10) -> DataFrame:
+        """Nodes by BM25 from the index that ``rebuild_index`` wrote last."""
+        return search.bm25_indexed(self.spark, f"{self.store.root}/index/nodes", query, limit)
+
     def neighbors(self, note: int, depth: int = 1, min_weight: float = 0.0) -> DataFrame:
         links = self._milli().select(F.col("from_note_id").alias("from_id"), F.col("to_note_id").alias("to_id"), "weight_milli")
         return graph.weighted_neighbors(links, self.spark.createDataFrame([(note,)], "id long"), depth, round(1000 * min_weight))
@@ -133,6 +194,7 @@ class Engine:
     # tasks
 
     def create_task(self, topic: str, title: str, priority: str = "medium", depends_on: list[int] | None = None, notes: list[int] | None = None) -> int:
+        self.ensure_planet(topic)
         row = self.spark.createDataFrame([(topic, title, priority, depends_on or [], [], notes or [], 1)], "topic string, title string, priority string, depends_on array<long>, files array<string>, notes array<long>, ord int")
         self.store.write("tasks", memory.create_tasks(self.table("tasks"), row, self.now))
         return self.table("tasks").agg(F.max("id")).first()[0]

@@ -17,15 +17,22 @@ from pyspark.sql import functions as F
 _local: list[str] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes a step to the folder that the cluster shares (``spark.checkpoint.dir``) and reads it again."""
-    spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+def shared_steps(spark) -> str:
+    """The folder for steps below ``spark.checkpoint.dir``; only a session on one machine may go without that setting."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="graphloom-steps-"))
         root = _local[0]
-    path = f"{root.rstrip('/')}/steps/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/steps"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes a step to the folder that the cluster shares (``spark.checkpoint.dir``) and reads it again."""
+    spark = df.sparkSession
+    path = f"{shared_steps(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import MEMORY_STATES, PRIORITIES, STATUSES, add_sorted, new_priority, note_kind, note_title, slug
 from ..sources.schemas import KEYS, migrate
+from .graph import numbered
 
 KEEP_NEWEST = 30
 SUMMARIZE_AT = 50
@@ -32,11 +33,10 @@ def patch(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
     return j.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in change else F.col(c) for c in base.columns])
 
 
-def next_ids(base: DataFrame, delta: DataFrame, order: list[Column], key: str = "id") -> DataFrame:
-    """``delta`` with ids after the greatest of ``base``, in ``order``; ``delta`` is a batch of new rows."""
+def next_ids(base: DataFrame, delta: DataFrame, order: str, key: str = "id") -> DataFrame:
+    """``delta`` with ids after the greatest of ``base``, in the order of a column, dealt out by its ranges."""
     top = base.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top")).first()["_top"]
-    rank = F.row_number().over(Window.orderBy(*order))
-    return delta.withColumn(key, (F.lit(top) + rank).cast("long"))
+    return numbered(delta, order, "_rank").withColumn(key, (F.lit(top) + F.col("_rank")).cast("long")).drop("_rank")
 
 
 def latest(df: DataFrame, order: str = "updated_at", tie: str = "id") -> DataFrame:
@@ -51,14 +51,83 @@ def add_notes(planets: DataFrame, notes: DataFrame, batch: DataFrame, now: Colum
     tidy = batch.select(
         slug(F.col("topic")).alias("topic"), note_kind(F.col("kind")).alias("kind"), "content", note_title(F.col("title"), F.col("content")).alias("title"),
         F.coalesce("agent_id", F.lit("default")).alias("agent_id"), F.coalesce("status", F.lit("open")).alias("status"), now.alias("created_at"), now.alias("updated_at"), "ord")
-    numbered = next_ids(notes, tidy, [F.col("ord")]).drop("ord")
+    numbered = next_ids(notes, tidy, "ord").drop("ord")
     touched = tidy.select("topic").distinct()
-    fresh = next_ids(planets, touched.join(planets.select("topic"), "topic", "left_anti"), [F.col("topic")])
+    fresh = next_ids(planets, touched.join(planets.select("topic"), "topic", "left_anti"), "topic")
     fresh = migrate("planets", fresh.select("id", "topic", F.col("topic").alias("display_topic"), F.array("topic").alias("aliases"), now.alias("created_at"), now.alias("updated_at")))
     mark = touched.withColumn("updated_at", now)
     return patch(planets, mark, ["topic"]).unionByName(fresh), notes.unionByName(migrate("notes", numbered))
 
 
+def ensure_planets(planets: DataFrame, topics: DataFrame, now: Column) -> DataFrame:
+    """Planets with those of (topic, as written): new ones are added, known ones gain the name as an alias and are touched."""
+    asked = topics.select(F.col("topic").alias("_said"), slug(F.col("topic")).alias("topic")).groupBy("topic").agg(F.array_sort(F.collect_set("_said")).alias("_names"))
+    known = planets.join(asked, "topic", "left")
+    every = F.array_sort(F.array_union(F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), F.col("_names")), F.array("topic")))
+    hit = F.col("_names").isNotNull()
+    shown = F.when(F.coalesce("display_topic", F.lit("")) != "", F.col("display_topic")).otherwise(F.coalesce(F.get("_names", F.lit(0)), "display_topic"))
+    change = {"aliases": F.when(hit, every).otherwise(F.col("aliases")), "updated_at": F.when(hit, now).otherwise(F.col("updated_at")), "display_topic": F.when(hit, shown).otherwise(F.col("display_topic"))}
+    old = known.select(*[change[c].alias(c) if c in change else F.col(c) for c in planets.columns])
+    fresh = next_ids(planets, asked.join(planets.select("topic"), "topic", "left_anti"), "topic")
+    name = F.get("_names", F.lit(0))
+    fresh = fresh.select(
+        "id", "topic", name.alias("display_topic"), F.array_sort(F.array_union("_names", F.array("topic"))).alias("aliases"),
+        F.concat(F.lit("Unified task context for: "), name).alias("current_state"), now.alias("created_at"), now.alias("updated_at"))
+    return old.unionByName(migrate("planets", fresh).select(*planets.columns))
+
+
+def link_planets(planets: DataFrame, links: DataFrame, batch: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(links, refused) after a batch of (from_topic, to_topic, relation, weight, ord).
+
+    refused: (ord, reason) of links to the same planet or to one that does not
+    exist. The smaller id comes first; a link that is there already stays.
+    """
+    ids = planets.select("id", "topic")
+    named = batch.select("ord", "relation", "weight", slug(F.col("from_topic")).alias("_a"), slug(F.col("to_topic")).alias("_b"))
+    found = named.join(ids.select(F.col("topic").alias("_a"), F.col("id").alias("_ia")), "_a", "left").join(ids.select(F.col("topic").alias("_b"), F.col("id").alias("_ib")), "_b", "left")
+    missing = lambda c: F.concat(F.lit("no planet "), F.col(c))
+    judged = found.withColumn("reason", F.when(F.col("_a") == F.col("_b"), "a planet does not link to itself").when(F.col("_ia").isNull(), missing("_a")).when(F.col("_ib").isNull(), missing("_b")))
+    good = judged.where("reason IS NULL").select(F.least("_ia", "_ib").alias("from_planet_id"), F.greatest("_ia", "_ib").alias("to_planet_id"), "relation", "weight", "ord")
+    fresh = good.groupBy("from_planet_id", "to_planet_id", "relation").agg(F.min_by("weight", "ord").alias("weight"), F.min("ord").alias("ord"))
+    fresh = fresh.join(links.select("from_planet_id", "to_planet_id", "relation"), ["from_planet_id", "to_planet_id", "relation"], "left_anti")
+    grown = migrate("planet_links", next_ids(links, fresh, "ord").withColumn("created_at", now))
+    return migrate("planet_links", links).unionByName(grown), judged.where("reason IS NOT NULL").select("ord", "reason")
+
+
+def log_interaction(planets: DataFrame, notes: DataFrame, batch: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(planets, notes) after (topic, decision, fact, summary, current_state, next_step, activity, ord): a note for each part given, the planet's change and a turn."""
+    kinds = (("decision", "decision"), ("fact", "fact"), ("summary", "summary"), ("turn", "activity"))
+    parts = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("content"), F.lit(i).alias("i")) for i, (k, c) in enumerate(kinds)])
+    rows = batch.select("topic", F.col("ord").alias("_o"), F.explode(F.filter(parts, lambda x: F.coalesce(x["content"], F.lit("")) != "")).alias("x"))
+    none = F.lit(None).cast("string")
+    agent = F.when(F.col("x.kind") == "turn", "system")
+    new = rows.select("topic", F.col("x.kind").alias("kind"), F.col("x.content").alias("content"), none.alias("title"), agent.alias("agent_id"), none.alias("status"), (F.col("_o") * 4 + F.col("x.i")).alias("ord"))
+    planets, notes = add_notes(planets, notes, new, now)
+    given = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c)).alias(c)
+    change = batch.select("topic", none.alias("status"), none.alias("goal"), given("current_state"), none.alias("handoff"), given("next_step"), none.alias("file"), none.alias("command"))
+    return update_planets(planets, change.where("current_state IS NOT NULL OR next_step IS NOT NULL"), now), notes
+
+
+def archive_transcripts(planets: DataFrame, notes: DataFrame, nodes: DataFrame, batch: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(planets, notes, nodes) after (topic, transcript, agent_id, archive_id, ord): a conversation node and a turn each; topics without a planet are left out."""
+    own = batch.withColumn("topic", slug(F.col("topic"))).join(planets.select("topic"), "topic", "left_semi")
+    node = own.select(
+        F.col("archive_id").alias("id"), F.concat(F.lit("History ("), "agent_id", F.lit("): "), "topic").alias("title"), F.col("transcript").alias("content"), F.lit("conversation").alias("node_type"),
+        F.array("topic", "agent_id", F.lit("archive"), F.lit("moon")).alias("keywords"), F.create_map(F.lit("topic"), F.col("topic"), F.lit("agent_id"), F.col("agent_id"), F.lit("scope"), F.lit("moon")).alias("metadata"), now.alias("created_at"))
+    said = own.select("topic", F.lit("turn").alias("kind"), F.concat(F.lit("Archived moon "), "archive_id", F.lit(".")).alias("content"), F.lit("").alias("title"), "agent_id", F.lit(None).cast("string").alias("status"), "ord")
+    planets, notes = add_notes(planets, notes, said, now)
+    return planets, notes, upsert(nodes, migrate("nodes", node), ["id"])
+
+
+def folder_hub(nodes: DataFrame, folder: str, now: Column) -> DataFrame:
+    """Nodes with the summary node of a folder, added if there is none."""
+    spark, title = nodes.sparkSession, f"Session: {folder}"
+    have = nodes.where((F.col("node_type") == "summary") & (F.col("title") == title)).limit(1)
+    row = spark.createDataFrame([(f"hub-{folder}", title, f"Global hub for project folder: {folder}", "summary", folder)], "id string, title string, content string, node_type string, folder string")
+    row = row.withColumns({"metadata": F.create_map(F.lit("is_folder_hub"), F.lit("true"), F.lit("folder"), F.col("folder")), "created_at": now}).drop("folder")
+    return nodes.unionByName(migrate("nodes", row.join(have.select("title"), "title", "left_anti")))
+
+
 def update_planets(planets: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
     """Sparse change of (topic, status, goal, current_state, handoff, next_step, file, command); the last three join sorted sets."""
     j = planets.join(changes.select(slug(F.col("topic")).alias("topic"), *[F.col(c).alias(f"_{c}") for c in ("status", "goal", "current_state", "handoff", "next_step", "file", "command")]).withColumn("_hit", F.lit(True)), "topic", "left")
@@ -97,11 +166,21 @@ def link(links: DataFrame, batch: DataFrame, a: str, b: str, kind: str) -> DataF
     return insert_ignore(links, tidy, [a, b, kind])
 
 
+def _existing(notes: DataFrame, ids: list[int]) -> None:
+    found = {r["id"] for r in notes.where(F.col("id").isin(ids)).select("id").distinct().collect()}
+    if missing := sorted(set(ids) - found):
+        raise ValueError(f"no such notes: {missing}")
+
+
 def pin(notes: DataFrame, ids: list[int], pinned: bool = True) -> DataFrame:
+    """The given notes pinned or not; an id without a note is an error."""
+    _existing(notes, ids)
     return notes.withColumn("pinned", F.when(F.col("id").isin(ids), F.lit(pinned)).otherwise(F.col("pinned")))
 
 
 def tag(notes: DataFrame, note: int, tags: list[str]) -> DataFrame:
+    """The note with these tags in place of its own; an id without a note is an error."""
+    _existing(notes, [note])
     return notes.withColumn("tags", F.when(F.col("id") == note, F.array(*[F.lit(t) for t in tags]).cast("array<string>")).otherwise(F.col("tags")))
 
 
@@ -151,14 +230,14 @@ def task_summary(tasks: DataFrame) -> DataFrame:
 def create_tasks(tasks: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
     """Adds (topic, title, priority, depends_on, files, notes, ord); dependencies that do not exist are dropped, the rest sorted."""
     known = tasks.select(F.col("id").alias("_dep"))
-    numbered = next_ids(tasks, batch, [F.col("ord")]).withColumns({"topic": slug(F.col("topic")), "priority": new_priority(F.col("priority"))})
+    numbered = next_ids(tasks, batch, "ord").withColumns({"topic": slug(F.col("topic")), "priority": new_priority(F.col("priority"))})
     deps = numbered.select("id", F.explode("depends_on").alias("_dep")).join(known, "_dep", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("_dep")).alias("depends_on"))
     out = numbered.drop("depends_on", "ord").join(deps, "id", "left").withColumns({"status": F.lit("todo"), "created_at": now})
     return tasks.unionByName(migrate("tasks", out))
 
 
-def update_task(tasks: DataFrame, task: int, now: Column, status: str | None = None, priority: str | None = None, depends_on: list[int] | None = None, title: str | None = None) -> DataFrame:
-    """One task changed. Unknown values, missing dependencies and cycles are errors; done sets completed_at, leaving it clears it."""
+def update_task(tasks: DataFrame, task: int, now: Column, status: str | None = None, priority: str | None = None, depends_on: list[int] | None = None, title: str | None = None, files: list[str] | None = None, notes: list[int] | None = None) -> DataFrame:
+    """One task changed; files and notes are sorted and distinct. An unknown task or value, missing dependencies and cycles are errors; done sets completed_at, leaving it clears it."""
     from .graph import cycles
 
     if status is not None and status.lower() not in STATUSES:
@@ -174,8 +253,15 @@ def update_task(tasks: DataFrame, task: int, now: Column, status: str | None = N
         arcs = tasks.where(F.col("id") != task).select("id", F.explode("depends_on").alias("dep"))
         if cycles(arcs, asked).where("closes").limit(1).count():
             raise ValueError("the dependencies close a cycle")
+    if tasks.where(F.col("id") == task).limit(1).count() == 0:
+        raise ValueError(f"no task {task}")
     me = F.col("id") == task
     out = tasks
+    for name, value in (("files", files), ("notes", notes)):
+        if value is not None:
+            kind = "string" if name == "files" else "long"
+            array = F.array(*[F.lit(v).cast(kind) for v in sorted(set(value))]).cast(f"array<{kind}>")
+            out = out.withColumn(name, F.when(me, array).otherwise(F.col(name)))
     if status is not None:
         s = status.lower()
         done = F.when(me, now if s == "done" else F.lit(None).cast("timestamp")).otherwise(F.col("completed_at"))

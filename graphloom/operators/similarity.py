@@ -27,14 +27,15 @@ def token_table(notes: DataFrame, key: str = "id", group: str | None = "topic",
     return rows.where(F.col("n") >= least)
 
 
-def jaccard_pairs(notes: DataFrame, num: int, den: int, key: str = "id", group: str | None = "topic", text: str = "content", least: int = MIN_TOKENS) -> DataFrame:
+def jaccard_pairs(notes: DataFrame, num: int, den: int, key: str = "id", group: str | None = "topic", text: str = "content", least: int = MIN_TOKENS, fresh: DataFrame | None = None) -> DataFrame:
     """(grp, a, b, inter, uni) with a < b for all pairs of a group whose token sets have Jaccard >= num / den > 0.
 
     Prefix filter: with tokens in one order, here rarest first over all notes,
     linked sets share one of the first n - ceil(t n) + 1 tokens of each. Only
     these are joined, so a token that most notes hold never forms a hot key
     unless it is in a prefix; sizes are compared in the join. Candidates are
-    verified on the whole sets.
+    verified on the whole sets. ``fresh``: (id) of notes of which a pair must
+    have one; only their prefixes then meet all others.
     """
     table = token_table(notes, key, group, text, least)
     flat = table.select("grp", "id", "n", F.explode("tokens").alias("token"))
@@ -44,7 +45,12 @@ def jaccard_pairs(notes: DataFrame, num: int, den: int, key: str = "id", group:
     prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1).select("grp", "id", "n", "token")
     other = prefix.select(F.col("grp").alias("g2"), F.col("id").alias("b"), F.col("n").alias("n2"), F.col("token").alias("t2"))
     fits = (F.col("n2") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("n2") * num)
-    candidates = prefix.join(other, (F.col("grp") == F.col("g2")) & (F.col("token") == F.col("t2")) & (F.col("id") < F.col("b")) & fits).select("grp", F.col("id").alias("a"), "b").distinct()
+    meet = (F.col("grp") == F.col("g2")) & (F.col("token") == F.col("t2")) & fits
+    if fresh is None:
+        candidates = prefix.join(other, meet & (F.col("id") < F.col("b"))).select("grp", F.col("id").alias("a"), "b").distinct()
+    else:
+        met = prefix.join(fresh.select(F.col("id")).distinct(), "id", "left_semi").join(other, meet & (F.col("id") != F.col("b")))
+        candidates = met.select("grp", F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
     sets = table.select("grp", "id", "tokens")
     full = candidates.join(sets.select("grp", F.col("id").alias("a"), F.col("tokens").alias("ta")), ["grp", "a"]).join(sets.select("grp", F.col("id").alias("b"), F.col("tokens").alias("tb")), ["grp", "b"])
     inter = F.size(F.array_intersect("ta", "tb")).cast("long")
@@ -57,9 +63,9 @@ def confidence_milli(weight: Column) -> Column:
     return F.least(F.lit(1000).cast("long"), F.floor((3 * weight + 1) / 2).cast("long"))
 
 
-def auto_links(notes: DataFrame, num: int = 1, den: int = 5, existing: DataFrame | None = None, group: str | None = "topic") -> DataFrame:
+def auto_links(notes: DataFrame, num: int = 1, den: int = 5, existing: DataFrame | None = None, group: str | None = "topic", fresh: DataFrame | None = None) -> DataFrame:
     """New links (topic, from_note_id, to_note_id, inter, uni, weight_milli, confidence_milli); pairs in ``existing`` are left alone."""
-    pairs = jaccard_pairs(notes, num, den, group=group)
+    pairs = jaccard_pairs(notes, num, den, group=group, fresh=fresh)
     weight = milli(F.col("inter"), F.col("uni"))
     out = pairs.select(F.col("grp").alias("topic"), F.col("a").alias("from_note_id"), F.col("b").alias("to_note_id"), "inter", "uni", weight.alias("weight_milli"), confidence_milli(weight).alias("confidence_milli"))
     if existing is not None:

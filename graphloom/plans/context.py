@@ -101,3 +101,38 @@ def graph_document(planets: DataFrame, notes: DataFrame, links: DataFrame, plane
     if planet_links is not None:
         edges = edges.unionByName(planet_links.select(F.concat(F.lit("planet-"), "from_topic").alias("source"), F.concat(F.lit("planet-"), "to_topic").alias("target"), F.col("relation").alias("type"), F.lit(1000).cast("long").alias("weight_milli")))
     return p.unionByName(n), edges
+
+
+# The headings of a planet's page, and what stands under those without content.
+PAGE = (("## Goal", "Not set."), ("## Status", "active"), ("## Current State", "No current state recorded."), ("## Decisions", "- None"), ("## Open Issues", "- None"), ("## Next Steps", "- None"),
+        ("## Important Files", "- None"), ("## Commands", "- None"), ("## Recent Activity", "- None"), ("## Agent Handoff", "Read this planet first. Open moons only when detailed transcript history is needed."))
+
+
+def _tail(notes: DataFrame, name: str, line: Column, k: int = 8) -> DataFrame:
+    """(topic, name): the newest k notes of each topic as lines, oldest first."""
+    own = _newest(notes, k).groupBy("topic").agg(F.array_sort(F.collect_list(F.struct((-F.col("ord")).alias("o"), F.concat(F.lit("- "), line).alias("l")))).alias("x"))
+    return own.select("topic", F.array_join(F.transform("x", lambda x: x["l"]), "\n").alias(name))
+
+
+def planet_pages(planets: DataFrame, notes: DataFrame) -> DataFrame:
+    """(topic, text): goal, status, state, last decisions and open issues, steps, files, commands, last activity and handoff of each planet."""
+    from ..operators.lookup import open_issues
+
+    body = F.coalesce(F.when(F.col("content") != "", F.col("content")), F.col("title"), F.lit(""))
+    turn = F.concat(F.coalesce(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"), F.lit("")), F.lit(" "), F.coalesce("agent_id", F.lit("unknown")), F.lit(": "), F.coalesce("content", F.lit("")))
+    rows = planets
+    for name, own, line in (("_dec", notes.where("kind = 'decision'"), body), ("_iss", open_issues(notes), body), ("_act", notes.where("kind = 'turn'"), turn)):
+        rows = rows.join(_tail(own, name, line), "topic", "left")
+    items = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n")
+    parts = (F.col("goal"), F.col("status"), F.col("current_state"), F.col("_dec"), F.col("_iss"), items("next_steps"), items("files"), items("commands"), F.col("_act"), F.col("handoff"))
+    blocks = [F.concat(F.lit(f"\n\n{title}\n"), F.coalesce(F.when(part != "", part), F.lit(other))) for (title, other), part in zip(PAGE, parts, strict=True)]
+    return rows.select("topic", F.concat(F.lit("# Topic: "), F.col("topic"), *blocks).alias("text"))
+
+
+def briefing(planets: DataFrame) -> DataFrame:
+    """(topic, planet, status, preview, next): all planets, those touched last first, with the start of their goal and their last next step."""
+    said = F.coalesce(F.when(F.col("goal") != "", F.col("goal")), F.col("current_state"), F.lit(""))
+    newest = planets.orderBy(F.desc("updated_at"), F.desc("id"))
+    return newest.select(
+        F.coalesce(F.when(F.col("display_topic") != "", F.col("display_topic")), F.col("topic")).alias("topic"), F.concat(F.lit("planet-"), "topic").alias("planet"), F.coalesce(F.when(F.col("status") != "", F.col("status")), F.lit("active")).alias("status"),
+        F.trim(F.replace(F.substring(said, 1, 300), F.lit("\n"), F.lit(" "))).alias("preview"), F.get("next_steps", F.size("next_steps") - 1).alias("next"))

@@ -254,10 +254,12 @@ def connected_components(s, d):
     return graph.components(_call_graph(s, d), fx.symbols(s, d).select("id"))
 
 
-@query(f"WITH {ctes('edges')}, t AS (SELECT unnest(['A', 'N', 'R', 'X']) AS t) SELECT 'nodes' AS metric, (SELECT count(*) FROM part) AS value UNION ALL SELECT 'edges', (SELECT count(*) FROM edges) UNION ALL SELECT 'edges:' || t, (SELECT count(*) FROM edges WHERE edge_type = t) FROM t")
+@query(f"WITH RECURSIVE {ctes('edges')}, st AS (SELECT from_id AS a, to_id AS b FROM edges UNION SELECT to_id, from_id FROM edges), "
+       "lab(id, component) USING KEY (id) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT st.b, min(l.component) FROM lab l JOIN st ON l.id = st.a JOIN recurring.lab x ON x.id = st.b WHERE l.component < x.component GROUP BY st.b), "
+       "t AS (SELECT unnest(['A', 'N', 'R', 'X']) AS t) SELECT 'nodes' AS metric, (SELECT count(*) FROM part) AS value UNION ALL SELECT 'clusters', (SELECT count(DISTINCT component) FROM lab) UNION ALL SELECT 'edges', (SELECT count(*) FROM edges) UNION ALL SELECT 'edges:' || t, (SELECT count(*) FROM edges WHERE edge_type = t) FROM t")
 def graph_stats_edge_types(s, d):
     vertices = fx.table(s, d, "part").select(F.col("p_partkey").alias("id"))
-    return graph.graph_stats(fx.edges(s, d), vertices, ["A", "N", "R", "X"]).where("metric <> 'clusters'")
+    return graph.graph_stats(fx.edges(s, d), vertices, ["A", "N", "R", "X"])
 
 
 @query(f"""WITH {ctes('calls')}, e AS (SELECT DISTINCT least(from_symbol_id, to_symbol_id) AS a, greatest(from_symbol_id, to_symbol_id) AS b FROM calls WHERE from_symbol_id <> to_symbol_id),
@@ -392,7 +394,13 @@ def context_tasks(s, d):
     return context.compact_context(empty, fx.tasks(s, d)).select("topic", F.col("ord").cast("long").alias("ord"), "line")
 
 
-@query()
+@query(f"""WITH {ctes('turn_planets')}, f AS (SELECT topic, kind, pinned, trim(regexp_replace(coalesce(nullif(content, ''), title, ''), '[ \\t-\\r]+', ' ', 'g')) AS f, created_at, id FROM turn_notes),
+n AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY created_at DESC, id DESC) AS k, row_number() OVER (PARTITION BY topic, pinned ORDER BY created_at DESC, id DESC) AS kp FROM f),
+l AS (SELECT topic, pinned, k, kp, '- [' || kind || '] ' || {TRIM.format(n=220)} AS line FROM n),
+g AS (SELECT topic, trim(regexp_replace(coalesce(nullif(goal, ''), 'Not set.'), '[ \\t-\\r]+', ' ', 'g')) AS f FROM turn_planets), h AS (SELECT topic, {TRIM.format(n=300)} AS goal FROM g)
+SELECT topic, '# Knowledge Base Context' || chr(10) || 'Topic: ' || topic || chr(10) || chr(10) || '## Goal' || chr(10) || '- ' || goal || chr(10) || chr(10) || '## Current State' || chr(10) || '- No current state recorded.' || chr(10) || chr(10) || '## Next Steps' || chr(10) || '- review ' || topic
+  || coalesce(chr(10) || chr(10) || '## Pinned Notes' || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY kp) FROM l WHERE l.topic = h.topic AND pinned AND kp <= 100), '')
+  || coalesce(chr(10) || chr(10) || '## Key Notes' || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY k) FROM l WHERE l.topic = h.topic AND k <= 8), '') AS text FROM h""")
 def context_documents(s, d):
     notes = fx.turn_notes(s, d)
     return context.render(context.context_sections(fx.planets_of(notes), notes))
@@ -555,12 +563,10 @@ def debounce_sessions(s, d):
 @query(f"WITH {ctes('turn_notes')} SELECT topic, count(*) AS n FROM turn_notes GROUP BY topic")
 def stream_note_counts(s, d):
     """The same plan as on a table, run as a stream over the conversations' file to its end."""
-    import uuid
-
     schema = fx.table(s, d, "conversations").schema
     turns = s.readStream.schema(schema).parquet(f"{d}/conversations.parquet*")
     notes = turns.select(F.concat(F.lit("conv-"), F.col("conv_id")).alias("topic"))
-    return streams.run_to_memory(streams.note_counts(notes), f"note_counts_{uuid.uuid4().hex}")
+    return streams.run_to_table(streams.note_counts(notes))
 
 
 @query("SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

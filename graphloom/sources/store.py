@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,13 +43,32 @@ class TableStore:
             return empty(self.spark, name)
         return migrate(name, self.spark.read.parquet(f"{self.root}/{name}/v={have[-1]}"))
 
-    def write(self, name: str, df: DataFrame) -> int:
+    def marks(self, name: str) -> dict[str, int]:
+        """The last batch of each stream that the present version holds."""
+        have = self.versions(name)
+        p, fs = self._path(f"{self.root}/{name}/marks-v={have[-1] if have else 0}.json")
+        if not fs.exists(p):
+            return {}
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def write(self, name: str, df: DataFrame, marks: dict[str, int] | None = None) -> int:
+        """A new version. ``marks``: batches of streams that it holds besides those of the version before; they count once the version is whole."""
         have = self.versions(name)
         version = (have[-1] if have else 0) + 1
+        if held := {**self.marks(name), **(marks or {})}:
+            p, fs = self._path(f"{self.root}/{name}/marks-v={version}.json")
+            out = fs.create(p, True)
+            out.write(json.dumps(held).encode())
+            out.close()
         migrate(name, df).write.mode("overwrite").parquet(f"{self.root}/{name}/v={version}")
         for old in [*have, version][: -self.keep] if self.keep else []:
-            p, fs = self._path(f"{self.root}/{name}/v={old}")
-            fs.delete(p, True)
+            for place in (f"v={old}", f"marks-v={old}.json"):
+                p, fs = self._path(f"{self.root}/{name}/{place}")
+                fs.delete(p, True)
         return version
 
     def merge(self, name: str, delta: DataFrame, how: str = "replace") -> int:

@@ -6,11 +6,14 @@ same plan runs on both; ``foreachBatch`` ones take the store they merge into.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import similarity
+from ..operators.graph import cut, shared_steps
 from ..sources import code_files
 from ..sources.store import TableStore
 
@@ -57,29 +60,34 @@ def active_topic(planets: DataFrame) -> DataFrame:
     return planets.agg(F.max_by("topic", F.struct("updated_at", "id")).alias("topic"))
 
 
-def run_to_memory(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """All of a stream's present input through a query, as a table: for tests and batch-like use."""
+def run_to_table(df: DataFrame, mode: str = "complete") -> DataFrame:
+    """All of a stream's present input through a query; the state after its last micro-batch, as a table in the shared folder."""
     spark = df.sparkSession
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    path = f"{shared_steps(spark)}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/state/b={number}")
+
+    query = df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    last = query.lastProgress["batchId"] if query.lastProgress else 0
+    return spark.read.schema(df.schema).parquet(f"{path}/state/b={last}")
 
 
 def link_new_notes(notes: DataFrame, store: TableStore, checkpoint: str, num: int = 1, den: int = 5) -> StreamingQuery:
     """Adds each micro-batch of notes to the store and links them with all notes there.
 
-    A batch that runs again after a failure changes nothing: notes and links
-    merge by key.
+    Only pairs with a note of the batch are looked at. A batch that runs again
+    after a failure changes nothing: notes and links merge by key.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
             return
         store.merge("notes", batch, "ignore")
-        everything = store.read("notes")
         topics = batch.select("topic").distinct()
-        own = everything.join(topics, "topic", "left_semi")
-        new = similarity.auto_links(own.where(~F.col("kind").isin("turn", "summary")), num, den)
+        own = store.read("notes").join(topics, "topic", "left_semi").where(~F.col("kind").isin("turn", "summary"))
+        new = similarity.auto_links(own, num, den, fresh=batch.select("id"))
         rows = new.select(
             "from_note_id", "to_note_id", F.lit("auto").alias("link_type"), (F.col("weight_milli") / 1000).alias("weight"), (F.col("confidence_milli") / 1000).alias("confidence"),
             F.lit("auto").alias("source"), F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"))
@@ -88,20 +96,38 @@ def link_new_notes(notes: DataFrame, store: TableStore, checkpoint: str, num: in
     return notes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def reinforce_on_access(accesses: DataFrame, store: TableStore, checkpoint: str, step: float = 0.05) -> StreamingQuery:
-    """Adds a step to the weight of automatic links for each access, at most to 1."""
+def reinforce_on_access(accesses: DataFrame, store: TableStore, checkpoint: str, step: float = 0.05, name: str = "accesses") -> StreamingQuery:
+    """Adds a step to the weight of automatic links for each access, at most to 1.
 
-    def merge(batch: DataFrame, _: int) -> None:
+    The table's version says which batch of the stream ``name`` it holds, so a
+    batch that runs again adds nothing.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        if store.marks("note_links").get(name, -1) >= number:
+            return
         links = store.read("note_links")
         scaled = links.withColumn("weight_milli", F.round(F.col("weight") * 1000).cast("long"))
         grown = similarity.reinforce(scaled, batch, int(step * 1000))
-        store.write("note_links", grown.withColumn("weight", F.col("weight_milli") / 1000))
+        store.write("note_links", grown.withColumn("weight", F.col("weight_milli") / 1000), marks={name: number})
 
     return accesses.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def forget_deleted(spark: SparkSession, root: str, store: TableStore) -> list[str]:
+    """Drops the rows of files that are no longer below ``root``; their paths. Moved files come back under their new path."""
+    base = root.rstrip("/") + "/"
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_replace("path", r"^[a-z]+:/+", "/").alias("p"))
+    here = listed.select(F.replace("p", F.lit(base), F.lit("")).alias("file_path"))
+    gone = cut(store.read("code_symbols").select("file_path").union(store.read("code_edges").select("file_path")).distinct().join(here, "file_path", "left_anti"))
+    paths = sorted(r["file_path"] for r in gone.collect())
+    for name in ("code_symbols", "code_edges") if paths else ():
+        store.write(name, store.read(name).join(gone, "file_path", "left_anti"))
+    return paths
+
+
 def watch_files(spark: SparkSession, root: str, store: TableStore, checkpoint: str, project: str = "p") -> StreamingQuery:
-    """Indexes files as they appear or change below ``root``; rows of a file are replaced, never doubled."""
+    """Indexes files as they appear or change below ``root``; rows of a file are replaced, never doubled, and those of deleted files go."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     stream = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(root)
 
@@ -114,5 +140,6 @@ def watch_files(spark: SparkSession, root: str, store: TableStore, checkpoint: s
         symbols, edges = code_files.index_files(files, project)
         for name, new in (("code_symbols", symbols), ("code_edges", edges)):
             store.write(name, code_files.replace_files(store.read(name), new, files))
+        forget_deleted(spark, root, store)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

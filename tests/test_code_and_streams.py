@@ -102,7 +102,7 @@ def test_streams_equal_batches(spark, tmp_path):
     assert batch == [("p", 1, [], [], ["c"]), ("p", 3, ["b"], ["a"], []), ("q", 1, ["a"], [], [])]
     events.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    counted = streams.run_to_memory(stream.groupBy("project").count(), "t_counts")
+    counted = streams.run_to_table(stream.groupBy("project").count())
     assert {(r.project, r["count"]) for r in counted.collect()} == {("p", 4), ("q", 1)}
 
 
@@ -118,6 +118,9 @@ def test_incremental_links_equal_batch(spark, tmp_path):
     access = spark.readStream.schema("from_note_id long, to_note_id long").parquet(str(tmp_path / "acc"))
     streams.reinforce_on_access(access, store, str(tmp_path / "ck2")).awaitTermination()
     assert store.read("note_links").where("to_note_id = 2").first().weight == 0.3
+    # The same batch once more, as after a failure: nothing is added twice.
+    streams.reinforce_on_access(access, store, str(tmp_path / "ck3")).awaitTermination()
+    assert store.read("note_links").where("to_note_id = 2").first().weight == 0.3 and store.marks("note_links") == {"accesses": 0}
 
 
 def test_watch_replaces_files(spark, project, tmp_path):
@@ -126,6 +129,10 @@ def test_watch_replaces_files(spark, project, tmp_path):
     first = store.read("code_symbols").where("language = 'python'").count()
     (project / "a2.py").write_text("def later(): pass\n")
     streams.watch_files(spark, str(project), store, str(tmp_path / "ck")).awaitTermination()
+    (project / "a2.py").rename(project / "a3.py")
+    assert streams.forget_deleted(spark, str(project), store) == ["a2.py"] and store.read("code_symbols").where("symbol_name = 'later'").count() == 0
+    streams.watch_files(spark, str(project), store, str(tmp_path / "ck")).awaitTermination()
+    assert store.read("code_symbols").where("symbol_name = 'later'").first().file_path == "a3.py"
     assert store.read("code_symbols").where("symbol_name = 'later'").count() == 1 and store.read("code_symbols").where("language = 'python'").count() == first + 1
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.engine import Engine
@@ -50,3 +51,29 @@ def test_memory_and_code(spark, tmp_path):
     (root / "b.py").unlink()
     assert e.sync(str(root)) == ["modified a.py", "deleted b.py"]
     assert [r.symbol_name for r in e.table("code_symbols").collect()] == ["h"]
+
+
+def test_pages_links_archives_and_index(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"), F.lit("2024-05-01").cast("timestamp"))
+    e.log_interaction("First Topic", decision="use it", current_state="begun", activity="hello")
+    assert e.planet_page("first topic") is not None and "## Decisions\n- use it" in e.planet_page("first topic") and "hello" in e.planet_page("first topic")
+    e.ensure_planet("FIRST topic")
+    assert e.planets().first().aliases == ["FIRST topic", "first-topic"]
+    e.create_task("Second", "a task")
+    e.link_planets("first topic", "second")
+    e.link_planets("second", "first topic")
+    assert e.table("planet_links").count() == 1
+    for a, b in (("second", "second"), ("second", "third")):
+        with pytest.raises(ValueError):
+            e.link_planets(a, b)
+    e.archive("second", "whole talk", "bot", "archive-1")
+    e.archive("third", "lost talk", "bot", "archive-2")
+    e.folder_hub("work")
+    e.folder_hub("work")
+    assert {r.id for r in e.table("nodes").collect()} == {"archive-1", "hub-work"} and e.node("archive-1").first().content == "whole talk"
+    e.rebuild_index()
+    assert [r.id for r in e.search_nodes("talk").collect()] == ["archive-1"] and e.search_nodes("nothing").count() == 0
+    assert e.note(1).first().kind == "decision" and e.note(99).count() == 0 and e.briefing().count() == 2
+    for wrong in (lambda: e.pin(99), lambda: e.tag(99, ["x"]), lambda: e.update_task(99, status="done")):
+        with pytest.raises(ValueError):
+            wrong()
