@@ -188,6 +188,13 @@ class Engine:
         row = context.agent_context(self.table("planets"), self.table("notes"), self.table("nodes"), self.slug(topic), query).first()
         return row["text"] if row else f"# Knowledge Base Context\nTopic: {self.slug(topic)}\n\nNo stored context found for this topic yet."
 
+    def compact_context(self, topic: str, query: str = "") -> str:
+        """State, next step, open tasks, pins and facts of a topic; without a planet, topics that it may have meant."""
+        name = self.slug(topic)
+        own = [self.table(t).where(F.col("topic") == name) for t in ("planets", "notes", "tasks")]
+        row = context.compact_texts(*own, query).first()
+        return row["text"] if row else context.suggestions(self.table("planets"), name).first()["text"]
+
     def stats(self) -> DataFrame:
         return memory.memory_stats(*[self.table(n) for n in ("planets", "notes", "nodes", "edges")])
 

@@ -26,7 +26,8 @@ def context_sections(planets: DataFrame, notes: DataFrame, query: str = "", keep
     for name, place, line in head:
         part = planets.select("topic", F.lit(name).alias("section"), F.lit(place * 1000).alias("ord"), line.alias("line"))
         rows = part if rows is None else rows.unionByName(part)
-    steps = planets.select("topic", F.posexplode("next_steps").alias("i", "s")).select("topic", F.lit("steps").alias("section"), (30_000 + F.col("i")).alias("ord"), trim_text(F.col("s"), 180).alias("line"))
+    # The last five steps, oldest first.
+    steps = planets.select("topic", F.posexplode(F.slice("next_steps", F.greatest(F.lit(1), F.size("next_steps") - 4), 5)).alias("i", "s")).select("topic", F.lit("steps").alias("section"), (30_000 + F.col("i")).alias("ord"), trim_text(F.col("s"), 180).alias("line"))
     body = F.coalesce(F.when(F.col("content") != "", F.col("content")), F.col("title"), F.lit(""))
     line = F.concat(F.lit("["), F.col("kind"), F.lit("] "), trim_text(body, 220))
     facts = notes.where("kind <> 'turn'")
@@ -41,18 +42,27 @@ def context_sections(planets: DataFrame, notes: DataFrame, query: str = "", keep
     return rows
 
 
-def render(sections: DataFrame, titles: dict[str, str] | None = None) -> DataFrame:
-    """(topic, text): the sections of each topic, a bounded number of lines, under their titles."""
-    titles = titles or {"goal": "## Goal", "state": "## Current State", "steps": "## Next Steps", "pinned": "## Pinned Notes", "notes": "## Key Notes", "activity": "## Recent Activity"}
-    name: Column = F.create_map(*[F.lit(x) for kv in titles.items() for x in kv])
-    lines = sections.groupBy("topic", "section").agg(F.min("ord").alias("o"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: F.concat(F.lit("- "), x["line"])), "\n").alias("body"))
+# The headings of a topic's context.
+TITLES = {"goal": "## Goal", "state": "## Current State", "steps": "## Next Steps", "pinned": "## Pinned Notes", "notes": "## Key Notes", "activity": "## Recent Activity"}
+
+
+def render(sections: DataFrame, planets: DataFrame, titles: dict[str, str] | None = None) -> DataFrame:
+    """(topic, text): name and status of each topic, then its sections under their titles; goal and state stand as they are, other lines as items."""
+    name: Column = F.create_map(*[F.lit(x) for kv in (titles or TITLES).items() for x in kv])
+    line = F.when(F.col("section").isin("goal", "state"), F.col("line")).otherwise(F.concat(F.lit("- "), "line"))
+    lines = sections.groupBy("topic", "section").agg(F.min("ord").alias("o"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
     block = F.concat(F.element_at(name, F.col("section")), F.lit("\n"), F.col("body"))
-    return lines.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("o", block.alias("b")))).alias("x")).select("topic", F.concat(F.lit("# Knowledge Base Context\nTopic: "), F.col("topic"), F.lit("\n\n"), F.array_join(F.transform("x", lambda x: x["b"]), "\n\n")).alias("text"))
+    blocks = lines.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("o", block.alias("b")))).alias("x"))
+    shown = F.coalesce(F.when(F.col("display_topic") != "", F.col("display_topic")), F.col("topic"))
+    head = F.concat(F.lit("# Knowledge Base Context\nTopic: "), shown, F.lit("\nStatus: "), F.coalesce("status", F.lit("active")), F.lit("\n\n"))
+    named = planets.select("topic", head.alias("head"))
+    return blocks.join(named, "topic").select("topic", F.concat("head", F.array_join(F.transform("x", lambda x: x["b"]), "\n\n")).alias("text"))
 
 
 def agent_context(planets: DataFrame, notes: DataFrame, nodes: DataFrame | None, topic: str, query: str | None = None, results: int = 5) -> DataFrame:
     """(topic, text) of one topic, with the best nodes for ``query`` at the end."""
-    own = render(context_sections(planets.where(F.col("topic") == topic), notes.where(F.col("topic") == topic)))
+    mine = planets.where(F.col("topic") == topic)
+    own = render(context_sections(mine, notes.where(F.col("topic") == topic)), mine)
     if not query or nodes is None:
         return own
     hits = bm25(nodes, "id", ["title", "content"], query, results).join(nodes, "id")
@@ -77,6 +87,26 @@ def compact_context(notes: DataFrame, tasks: DataFrame, query: str = "", open_ta
     return lines.unionByName(more).unionByName(pins).unionByName(facts)
 
 
+def compact_texts(planets: DataFrame, notes: DataFrame, tasks: DataFrame, query: str = "") -> DataFrame:
+    """(topic, text): state, next step, open tasks, pins and facts of each planet, a line each; of a topic a bounded number of lines."""
+    shown = lambda c, name: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"  {name}: "), c))
+    head = F.concat_ws("\n", F.concat(F.lit("ctx: "), "topic"), shown("current_state", "state"), shown("next_step", "next"))
+    n_open = tasks.where("status <> 'done'").groupBy("topic").agg(F.count("*").alias("n"))
+    lines = compact_context(notes, tasks, query)
+    title = n_open.select("topic", F.lit(0).alias("ord"), F.concat(F.lit("\n  tasks ("), "n", F.lit(" open):")).alias("line"))
+    indent = F.when(F.col("ord") < 1000, "    ").otherwise("  ")
+    body = lines.select("topic", "ord", F.concat(indent, "line").alias("line")).unionByName(title)
+    joined = body.groupBy("topic").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    return planets.select("topic", head.alias("head")).join(joined, "topic", "left").select("topic", F.concat_ws("\n", "head", "body").alias("text"))
+
+
+def suggestions(planets: DataFrame, topic: str, limit: int = 5) -> DataFrame:
+    """(text) for a topic without a planet: the first planets whose name holds it."""
+    found = planets.where(F.col("topic").contains(topic)).select("topic").orderBy("topic").limit(limit)
+    names = found.agg(F.array_join(F.array_sort(F.collect_list("topic")), ", ").alias("names"))
+    return names.select(F.concat(F.lit(f"ctx: {topic}\n  state: (no context yet)"), F.when(F.col("names") != "", F.concat(F.lit("\n  (did you mean: "), "names", F.lit(")"))).otherwise("")).alias("text"))
+
+
 def summaries(notes: DataFrame, limit: int = 50) -> DataFrame:
     """(topic, ord, line): the newest ``limit`` notes that are no summaries, oldest first."""
     own = _newest(notes.where("kind <> 'summary'"), limit)

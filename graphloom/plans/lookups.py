@@ -10,6 +10,8 @@ from ..operators import code, graph, lookup, memory, search
 from ..sources import fixtures as fx
 from ..sources.fixtures import ctes
 from ..sources.schemas import empty, migrate
+from ..sources.store import TableStore
+from ..streaming import operators as streams
 from . import context
 from .queries import BM25_SQL, query
 
@@ -185,3 +187,162 @@ def dead_exports_with_rows(s, d):
     sym, calls = fx.symbols(s, d), fx.call_edges(s, d)
     lonely = sym.withColumns({"file_path": F.concat("file_path", F.lit(".lonely.py")), "symbol_name": F.concat(F.lit("lonely_"), "symbol_name"), "id": F.col("id") + 10_000_000})
     return code.dead_exports(sym.unionByName(lonely), calls).select("file_path")
+
+
+# ---- writes as queries of the state after them
+
+
+@query(f"WITH {ctes('doc_planets')}, t AS (SELECT topic FROM doc_planets WHERE id = 1) SELECT 'notes' AS table_name, id, topic FROM doc_notes WHERE topic NOT IN (FROM t) UNION ALL SELECT 'planets', id, topic FROM doc_planets WHERE id <> 1")
+def delete_planet(s, d):
+    notes = migrate("notes", fx.doc_notes(s, d))
+    planets = graph.cut(migrate("planets", fx.planets_of(fx.doc_notes(s, d))))
+    topic = planets.where("id = 1").first()["topic"]
+    out = memory.delete_planet(topic, planets, notes, empty(s, "note_links"), empty(s, "tasks"), empty(s, "planet_links"))
+    return out["notes"].select(F.lit("notes").alias("table_name"), "id", "topic").unionByName(out["planets"].select(F.lit("planets").alias("table_name"), "id", "topic"))
+
+
+@query(f"WITH {ctes('turn_notes')} SELECT least(id, id + x) AS from_note_id, greatest(id, id + x) AS to_note_id, link_type FROM turn_notes, (VALUES (1, 'related'), (-1, 'causes')) v(x, link_type)")
+def link_notes(s, d):
+    """Either way round, doubled and onto themselves: one link a pair and type."""
+    ids = fx.turn_notes(s, d).select("id")
+    part = lambda step, kind: ids.select(F.col("id").alias("from_note_id"), (F.col("id") + step).alias("to_note_id"), F.lit(kind).alias("link_type"))
+    back = part(1, "related").select(F.col("to_note_id").alias("from_note_id"), F.col("from_note_id").alias("to_note_id"), "link_type")
+    first = memory.link(migrate("note_links", part(1, "related")), part(0, "related").unionByName(back), "from_note_id", "to_note_id", "link_type")
+    return memory.link(first, part(-1, "causes"), "from_note_id", "to_note_id", "link_type").select("from_note_id", "to_note_id", "link_type")
+
+
+@query(f"WITH {ctes('turn_notes')} SELECT id, pinned OR id IN (1000, 2001) AS pinned, CASE WHEN id = 2001 THEN 'a,b' ELSE array_to_string(tags, ',') END AS tags FROM turn_notes")
+def pin_and_tag(s, d):
+    notes = fx.turn_notes(s, d)
+    return memory.tag(memory.pin(notes, [1000, 2001]), 2001, ["a", "b"]).select("id", "pinned", F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"""WITH {ctes('tasks')}, m AS (SELECT min(id) AS first FROM tasks) SELECT 'task' AS what, id, CASE WHEN id = first THEN 'blocked' ELSE status END AS said FROM tasks, m
+UNION ALL SELECT 'note', 1, 'Blocked: ' || title || '/issue/no parts' FROM tasks, m WHERE id = first""")
+def block_task(s, d):
+    tasks = migrate("tasks", fx.tasks(s, d))
+    first = tasks.agg(F.min("id")).first()[0]
+    _, notes, after = memory.block_task(empty(s, "planets"), empty(s, "notes"), tasks, first, "no parts", _now())
+    said = notes.select(F.lit("note").alias("what"), "id", F.concat_ws("/", "title", "kind", "content").alias("said"))
+    return after.select(F.lit("task").alias("what"), "id", F.col("status").alias("said")).unionByName(said)
+
+
+@query(f"WITH {ctes('tasks')}, t AS (SELECT max(id) AS top FROM tasks) SELECT top + v.ord AS id, v.topic, v.priority, v.deps, 'todo' AS status FROM t, (VALUES (1, 'new-work', 'high', '1,2'), (2, 'new-work', 'medium', '')) v(ord, topic, priority, deps)")
+def create_tasks(s, d):
+    batch = s.createDataFrame([("New Work", "a", "high", [2, 1, 2, 99999999], [], [], 1), ("New Work", "b", "odd", [99999999], [], [], 2)], "topic string, title string, priority string, depends_on array<long>, files array<string>, notes array<long>, ord int")
+    tasks = migrate("tasks", fx.tasks(s, d))
+    out = memory.create_tasks(tasks, batch, _now()).join(tasks.select("id"), "id", "left_anti")
+    return out.select("id", "topic", "priority", F.array_join(F.col("depends_on").cast("array<string>"), ",").alias("deps"), "status")
+
+
+@query(f"WITH {ctes('doc_notes')} SELECT id, topic, content, CASE WHEN kind = 'en' THEN 'kept' ELSE 'added' END AS how FROM doc_notes")
+def import_content(s, d):
+    """Rows with known ids keep what the table has; the incoming ones carry another text."""
+    notes = migrate("notes", fx.doc_notes(s, d))
+    base = notes.where("kind = 'en'")
+    incoming = notes.withColumn("content", F.when(F.col("kind") == "en", "other").otherwise(F.col("content")))
+    return memory.import_table("notes", base, incoming)[0].select("id", "topic", "content", F.when(F.col("kind") == "en", "kept").otherwise("added").alias("how"))
+
+
+@query(f"WITH {ctes('turn_planets')}, l AS (SELECT id AS a, lead(id) OVER (ORDER BY id) AS b FROM turn_notes) SELECT 'note' AS what, id AS a, NULL AS b, content FROM turn_notes WHERE topic = 'conv-3' UNION ALL SELECT 'link', a, b, NULL FROM l WHERE b IS NOT NULL AND (a // 1000 = 3 OR b // 1000 = 3) UNION ALL SELECT 'planet', id, NULL, goal FROM turn_planets WHERE topic = 'conv-3'")
+def export_topic(s, d):
+    notes = fx.turn_notes(s, d)
+    after = graph.cut(graph.numbered(notes.select(F.col("id").alias("x")), "x", "n"))
+    links = after.join(after.select(F.col("x").alias("to_note_id"), (F.col("n") - 1).alias("n")), "n").select(F.col("x").alias("from_note_id"), "to_note_id")
+    out = memory.export_tables(fx.planets_of(notes), notes, links, empty(s, "planet_links"), "conv-3")
+    none = F.lit(None).cast("long")
+    rows = out["notes"].select(F.lit("note").alias("what"), F.col("id").alias("a"), none.alias("b"), "content")
+    rows = rows.unionByName(out["note_links"].select(F.lit("link").alias("what"), F.col("from_note_id").alias("a"), F.col("to_note_id").alias("b"), F.lit(None).cast("string").alias("content")))
+    return rows.unionByName(out["planets"].select(F.lit("planet").alias("what"), F.col("id").alias("a"), none.alias("b"), F.col("goal").alias("content")))
+
+
+@query(f"WITH {ctes('nodes')} SELECT id, title, node_type FROM nodes WHERE node_type <> 'ECONOMY'")
+def store_round_trip(s, d):
+    """Written as a version, deleted from, read again."""
+    store = TableStore(s, f"{graph.shared_steps(s)}/store-{uuid.uuid4().hex}")
+    store.write("nodes", fx.nodes(s, d))
+    store.delete("nodes", F.col("node_type") == "ECONOMY")
+    return store.read("nodes").select("id", "title", "node_type")
+
+
+# ---- searches and contexts
+
+
+@query(f"""WITH {ctes('turn_planets')}, h AS (SELECT 0 AS r, 'planet' AS source, CAST(id AS VARCHAR) AS id, topic AS title FROM turn_planets WHERE contains(lower(topic), 'able') OR contains(lower(goal), 'able')
+UNION ALL SELECT 1, 'note', CAST(id AS VARCHAR), title FROM turn_notes WHERE contains(lower(title), 'able') OR contains(lower(content), 'able')) SELECT source, id, title FROM h ORDER BY r, id LIMIT 7""")
+def search_budget(s, d):
+    notes = fx.turn_notes(s, d)
+    return search.search_all(fx.planets_of(notes), notes, None, "able", 7)
+
+
+@query(f"WITH {ctes('nodes')}, x AS (SELECT id, title, list_filter(regexp_split_to_array(lower(title || ' ' || content), '[^a-z0-9]+'), lambda t: starts_with(t, 'bolt')) AS t FROM nodes) SELECT 'node' AS source, id, title FROM x WHERE len(t) > 0")
+def search_nodes_part(s, d):
+    return search.search_all(empty(s, "planets"), empty(s, "notes"), fx.nodes(s, d), "bolt")
+
+
+@query(f"""WITH {ctes('symbols')}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS path, CAST(line AS INTEGER) AS line, text FROM l WHERE contains(text, 'tion') AND line <> 1""")
+def references_without_definitions(s, d):
+    docs = fx.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    return search.references(docs, "tion", docs.select("path", F.lit(1).alias("line")))
+
+
+@query(f"WITH {ctes('symbols')} SELECT file_path, count(*) AS symbol_count, max(language) AS language FROM symbols WHERE contains(file_path, '#1') GROUP BY file_path ORDER BY file_path LIMIT 12")
+def files_rollup_part(s, d):
+    return code.list_files(fx.symbols(s, d), "#1", 12)
+
+
+@query(f"WITH {ctes('symbols')} SELECT id, symbol_name FROM symbols WHERE symbol_type IN ('function', 'method') AND id % 4 = 0")
+def dead_code_left_out(s, d):
+    """A quarter of the symbols as they are; the others are in test folders, implicit names or another kind of language, and nothing calls any."""
+    sym = fx.symbols(s, d)
+    part = F.col("id") % 4
+    sym = sym.withColumns({"file_path": F.when(part == 1, F.concat(F.lit("tests/"), "file_path")).otherwise(F.col("file_path")), "symbol_name": F.when(part == 2, "__init__").otherwise(F.col("symbol_name")), "language": F.when(part == 3, "lua").otherwise("python")})
+    return code.dead_code(sym, fx.call_edges(s, d).where(F.lit(False))).select("id", "symbol_name")
+
+
+@query(f"WITH {ctes('turn_planets')} SELECT topic FROM turn_planets ORDER BY updated_at DESC, id DESC LIMIT 1")
+def active_topic(s, d):
+    return streams.active_topic(fx.planets_of(fx.turn_notes(s, d)))
+
+
+@query(f"WITH {ctes('turn_notes')} SELECT string_agg(x, chr(10) ORDER BY k) AS prompt FROM (SELECT 0 AS k, 'Rank these by relevance to: why' AS x UNION ALL SELECT id, 'note-' || id || ': ' || substr(coalesce(content, ''), 1, 500) FROM turn_notes WHERE id IN (1000, 2000, 2001))")
+def rerank_prompt(s, d):
+    return search.rerank_prompt(fx.turn_notes(s, d), [2001, 1000, 2000], "why")
+
+
+@query(f"WITH {ctes('turn_planets')}, r AS (SELECT topic, id, row_number() OVER (PARTITION BY topic ORDER BY created_at DESC, id DESC) AS k FROM turn_notes) SELECT p.topic, array_to_string(list(r.id ORDER BY k), ',') AS ids FROM turn_planets p LEFT JOIN r ON r.topic = p.topic AND k <= 3 GROUP BY p.topic")
+def nested_planets(s, d):
+    notes = fx.turn_notes(s, d)
+    out = context.nested_planets(fx.planets_of(notes), notes, 3)
+    return out.select("topic", F.array_join(F.transform("notes", lambda n: n["id"].cast("string")), ",").alias("ids"))
+
+
+@query(f"""WITH {ctes('turn_notes')}, p AS (SELECT topic, 1000 + row_number() OVER (PARTITION BY topic ORDER BY created_at DESC, id DESC) AS ord, 'pin: ' || substr(content, 1, 300) AS line FROM turn_notes WHERE pinned),
+f AS (SELECT topic, 2000 + row_number() OVER (PARTITION BY topic ORDER BY created_at DESC, id DESC) AS ord, CASE kind WHEN 'decision' THEN 'dec' WHEN 'issue' THEN 'iss' ELSE 'fact' END || ': ' || substr(content, 1, 300) AS line FROM turn_notes WHERE kind IN ('decision', 'issue', 'fact') AND contains(lower(content), 'the'))
+FROM p UNION ALL FROM f""")
+def context_facts(s, d):
+    return context.compact_context(fx.turn_notes(s, d), empty(s, "tasks"), "The ").select("topic", F.col("ord").cast("long").alias("ord"), "line")
+
+
+@query(f"WITH {ctes('doc_planets')} SELECT 'planet-' || topic AS id, topic AS label, 'planet' AS kind FROM doc_planets UNION ALL SELECT 'note-' || id, substr(coalesce(title, content), 1, 60), kind FROM doc_notes")
+def graph_document_nodes(s, d):
+    notes = fx.doc_notes(s, d)
+    links = s.createDataFrame([], "from_note_id long, to_note_id long, weight_milli long")
+    return context.graph_document(fx.planets_of(notes), notes, links)[0].select("id", "label", "kind")
+
+
+@query(f"""WITH {ctes('turn_planets')}, p AS (SELECT topic, '  pin: ' || substr(content, 1, 300) AS line, 1000 + row_number() OVER (PARTITION BY topic ORDER BY created_at DESC, id DESC) AS o FROM turn_notes WHERE pinned),
+f AS (SELECT topic, '  ' || CASE kind WHEN 'decision' THEN 'dec' WHEN 'issue' THEN 'iss' ELSE 'fact' END || ': ' || substr(content, 1, 300) AS line, 2000 + row_number() OVER (PARTITION BY topic ORDER BY created_at DESC, id DESC) AS o FROM turn_notes WHERE kind IN ('decision', 'issue', 'fact')),
+b AS (SELECT topic, string_agg(line, chr(10) ORDER BY o) AS body FROM (FROM p UNION ALL FROM f) GROUP BY topic)
+SELECT topic, 'ctx: ' || topic || chr(10) || '  state: ok' || coalesce(chr(10) || chr(10) || '  tasks (' || 1 || ' open):' || chr(10) || '    task-' || id || ' [todo/medium] look', '') || coalesce(chr(10) || body, '') AS text FROM turn_planets LEFT JOIN b USING (topic)""")
+def context_compact(s, d):
+    notes = fx.turn_notes(s, d)
+    planets = graph.cut(fx.planets_of(notes).withColumn("current_state", F.lit("ok")))
+    tasks = migrate("tasks", planets.select("id", "topic", F.lit("look").alias("title")))
+    return context.compact_texts(planets, notes, tasks)
+
+
+@query(f"WITH {ctes('turn_planets')} SELECT 'ctx: conv-4' || chr(10) || '  state: (no context yet)' || chr(10) || '  (did you mean: ' || string_agg(topic, ', ' ORDER BY topic) || ')' AS text FROM (SELECT topic FROM turn_planets WHERE contains(topic, 'conv-4') ORDER BY topic LIMIT 5)")
+def context_suggestions(s, d):
+    return context.suggestions(fx.planets_of(fx.turn_notes(s, d)), "conv-4")

@@ -398,12 +398,13 @@ def context_tasks(s, d):
 n AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY created_at DESC, id DESC) AS k, row_number() OVER (PARTITION BY topic, pinned ORDER BY created_at DESC, id DESC) AS kp FROM f),
 l AS (SELECT topic, pinned, k, kp, '- [' || kind || '] ' || {TRIM.format(n=220)} AS line FROM n),
 g AS (SELECT topic, trim(regexp_replace(coalesce(nullif(goal, ''), 'Not set.'), '[ \\t-\\r]+', ' ', 'g')) AS f FROM turn_planets), h AS (SELECT topic, {TRIM.format(n=300)} AS goal FROM g)
-SELECT topic, '# Knowledge Base Context' || chr(10) || 'Topic: ' || topic || chr(10) || chr(10) || '## Goal' || chr(10) || '- ' || goal || chr(10) || chr(10) || '## Current State' || chr(10) || '- No current state recorded.' || chr(10) || chr(10) || '## Next Steps' || chr(10) || '- review ' || topic
+SELECT topic, '# Knowledge Base Context' || chr(10) || 'Topic: ' || topic || chr(10) || 'Status: active' || chr(10) || chr(10) || '## Goal' || chr(10) || goal || chr(10) || chr(10) || '## Current State' || chr(10) || 'No current state recorded.' || chr(10) || chr(10) || '## Next Steps' || chr(10) || '- review ' || topic
   || coalesce(chr(10) || chr(10) || '## Pinned Notes' || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY kp) FROM l WHERE l.topic = h.topic AND pinned AND kp <= 100), '')
   || coalesce(chr(10) || chr(10) || '## Key Notes' || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY k) FROM l WHERE l.topic = h.topic AND k <= 8), '') AS text FROM h""")
 def context_documents(s, d):
     notes = fx.turn_notes(s, d)
-    return context.render(context.context_sections(fx.planets_of(notes), notes))
+    planets = graph.cut(fx.planets_of(notes))
+    return context.render(context.context_sections(planets, notes), planets)
 
 
 @query(f"""WITH {ctes('turn_notes')}, f AS (SELECT topic, kind, trim(regexp_replace(coalesce(content, ''), '[ \\t-\\r]+', ' ', 'g')) AS f, row_number() OVER (PARTITION BY topic ORDER BY created_at DESC, id DESC) AS k FROM turn_notes WHERE kind <> 'summary')

@@ -25,7 +25,7 @@ def test_memory_and_code(spark, tmp_path):
     e.pin(2)
     e.update_planet("graph test", goal="Link things", next_step="write")
     text = e.agent_context("Graph Test")
-    assert "## Goal\n- Link things" in text and "## Pinned Notes\n- [fact] second note about edges" in text
+    assert "Topic: Graph Test\nStatus: active" in text.replace("graph-test", "Graph Test") and "## Goal\nLink things" in text and "## Pinned Notes\n- [fact] second note about edges" in text
     assert "No stored context" in e.agent_context("nothing here")
     assert {r.source for r in e.search("graph").collect()} == {"planet", "note"}
     t = e.create_task("graph test", "do it", notes=[1])
