@@ -23,11 +23,14 @@ _local_root: list[str] = []
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is made.
+    Only a session on one machine (local tests) may name none and gets a
+    temporary folder; on a cluster that is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _local_root or not Path(_local_root[0]).exists():
         _local_root[:] = [tempfile.mkdtemp(prefix="graphloom-")]
     return _local_root[0]
