@@ -159,7 +159,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_ro
         for batch in batches:
             names, curve = batch.column("lang").to_pylist(), batch.column("curve").to_pylist()
             data, ends = text_buffers(batch.column("text"))
-            langs, places, counts, curves = [], [], [], []
+            langs, places, counts, shares, curves = [], [], [], [], []
             for i, name in enumerate(names):
                 place = trigram_places(data[ends[i] : ends[i + 1]], np.array([0, ends[i + 1] - ends[i]]))
                 own = np.bincount(place, minlength=NONE + 1)[:NONE]
@@ -168,14 +168,14 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_ro
                     langs.append(name)
                     places.append(at.astype(np.int32))
                     counts.append(own[at].astype(np.int32))
+                    # A text counts once, whatever its length, up to a thousand trigrams' worth.
+                    shares.append(min(1.0, 1000 / own.sum()))
                     curves.append(curve[i])
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(places, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(curves, pa.bool_())], names=["lang", "places", "counts", "curve"])
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(places, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(shares, pa.float64()), pa.array(curves, pa.bool_())], names=["lang", "places", "counts", "share", "curve"])
 
-    counted = cut(rows.mapInArrow(run, "lang string, places array<int>, counts array<int>, curve boolean"), "trigrams")
-    # A text counts once, whatever its length, up to a thousand trigrams' worth; whole millionths add up alike in any order.
-    all_ = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
-    share = F.least(F.lit(1.0), F.lit(1000.0) / all_)
-    each = counted.select("lang", share.alias("share"), F.explode(F.arrays_zip("places", "counts")).alias("z"))
+    counted = cut(rows.mapInArrow(run, "lang string, places array<int>, counts array<int>, share double, curve boolean"), "trigrams")
+    # Whole millionths add up alike in any order.
+    each = counted.select("lang", "share", F.explode(F.arrays_zip("places", "counts")).alias("z"))
     sums = each.groupBy("lang", F.col("z.places").alias("place")).agg(F.sum(F.round(F.col("z.counts") * F.col("share") * 1e6).cast("long")).alias("n")).toArrow()
     names = sums.column("lang").to_pylist()
     languages = sorted(set(names))
