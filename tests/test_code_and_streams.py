@@ -89,7 +89,7 @@ def test_context(spark):
     rows = [(i, "t", "turn" if i % 2 else "decision", f"text {i}", i == 4, f"2024-01-01 00:00:{i:02d}") for i in range(30)]
     notes = migrate("notes", spark.createDataFrame(rows, "id long, topic string, kind string, content string, pinned boolean, created_at string"))
     text = context.agent_context(planets, notes, None, "t").first().text
-    assert text.startswith("# Knowledge Base Context\nTopic: t\n\n## Goal\n- Goal here\n\n## Current State\n- No current state recorded.\n\n## Next Steps\n- s\n\n## Pinned Notes\n- [decision] text 4\n\n## Key Notes\n- [decision] text 28\n")
+    assert text.startswith("# Knowledge Base Context\nTopic: t\nStatus: active\n\n## Goal\nGoal here\n\n## Current State\nNo current state recorded.\n\n## Next Steps\n- s\n\n## Pinned Notes\n- [decision] text 4\n\n## Key Notes\n- [decision] text 28\n")
     assert text.count("default: ") == 6
     assert context.nested_planets(planets, notes, 3).first().notes[0].id == 29
 
