@@ -33,7 +33,10 @@ def jaccard_pairs(notes: DataFrame, num: int, den: int, key: str = "id", group:
     Prefix filter: with tokens in one order, here rarest first over all notes,
     linked sets share one of the first n - ceil(t n) + 1 tokens of each. Only
     these are joined, so a token that most notes hold never forms a hot key
-    unless it is in a prefix; sizes are compared in the join. Candidates are
+    unless it is in a prefix; sizes are compared in the join. The shared tokens
+    of two prefixes are counted: all others that the sets share lie in the rest
+    of the set whose prefix ends first, so the count and the longer rest bound
+    the intersection, and only pairs whose bound reaches the threshold are
     verified on the whole sets. ``fresh``: (id) of notes of which a pair must
     have one; only their prefixes then meet all others.
     """
@@ -41,16 +44,19 @@ def jaccard_pairs(notes: DataFrame, num: int, den: int, key: str = "id", group:
     flat = table.select("grp", "id", "n", F.explode("tokens").alias("token"))
     counts = flat.groupBy("token").agg(F.count("*").alias("df"))
     order = Window.partitionBy("grp", "id").orderBy("df", "token")
-    ranked = flat.join(counts, "token").withColumn("r", F.row_number().over(order))
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1).select("grp", "id", "n", "token")
-    other = prefix.select(F.col("grp").alias("g2"), F.col("id").alias("b"), F.col("n").alias("n2"), F.col("token").alias("t2"))
+    ranked = flat.join(counts, "token").withColumn("r", F.row_number().over(order)).withColumn("rest", F.ceil(F.col("n") * num / den) - 1)
+    prefix = ranked.where(F.col("r") <= F.col("n") - F.col("rest")).select("grp", "id", "n", "rest", "token")
+    other = prefix.select(F.col("grp").alias("g2"), F.col("id").alias("b"), F.col("n").alias("n2"), F.col("rest").alias("rest2"), F.col("token").alias("t2"))
     fits = (F.col("n2") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("n2") * num)
     meet = (F.col("grp") == F.col("g2")) & (F.col("token") == F.col("t2")) & fits
     if fresh is None:
-        candidates = prefix.join(other, meet & (F.col("id") < F.col("b"))).select("grp", F.col("id").alias("a"), "b").distinct()
+        met = prefix.join(other, meet & (F.col("id") < F.col("b")))
     else:
         met = prefix.join(fresh.select(F.col("id")).distinct(), "id", "left_semi").join(other, meet & (F.col("id") != F.col("b")))
-        candidates = met.select("grp", F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+    # A pair of two fresh notes is met from both sides, which only raises its bound.
+    most = F.count("*") + F.max(F.greatest("rest", "rest2"))
+    reach = most * (num + den) >= F.max(F.col("n") + F.col("n2")) * num
+    candidates = met.groupBy("grp", F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).agg(reach.alias("reach")).where("reach").drop("reach")
     sets = table.select("grp", "id", "tokens")
     full = candidates.join(sets.select("grp", F.col("id").alias("a"), F.col("tokens").alias("ta")), ["grp", "a"]).join(sets.select("grp", F.col("id").alias("b"), F.col("tokens").alias("tb")), ["grp", "b"])
     inter = F.size(F.array_intersect("ta", "tb")).cast("long")
@@ -135,18 +141,19 @@ def hybrid_links(nodes: DataFrame, threshold: float = 0.3, k: int = 3) -> DataFr
     keywords; ties go to the smaller id. Scores are whole thousandths.
     """
     base = nodes.select("id", F.array_distinct(F.transform("keywords", lambda w: F.lower(w))).alias("kw"), words(F.concat_ws(" ", "title", "content")).alias("tx"))
-    flat = base.select("id", F.explode("kw").alias("w"))
-    pairs = flat.join(flat.select(F.col("id").alias("id2"), "w"), "w").where("id <> id2").select("id", "id2").distinct()
-    full = pairs.join(base, "id").join(base.select(F.col("id").alias("id2"), F.col("kw").alias("kw2"), F.col("tx").alias("tx2")), "id2")
-
-    def parts(x: str, y: str) -> tuple[Column, Column]:
-        both = F.size(F.array_intersect(x, y)).cast("long")
-        return both, F.size(x) + F.size(y) - both
-
-    ki, ku = parts("kw", "kw2")
-    ti, tu = parts("tx", "tx2")
+    flat = base.select("id", F.size("kw").alias("n"), F.explode("kw").alias("w"))
+    other = flat.select(F.col("id").alias("id2"), F.col("n").alias("n2"), "w")
+    shared = flat.join(other, "w").where("id < id2").groupBy("id", "id2", "n", "n2").agg(F.count("*").alias("ki")).withColumn("ku", F.col("n") + F.col("n2") - F.col("ki"))
+    # Texts add 0.2 at most, so keywords must give the rest; texts are joined for such pairs only.
+    need = 2 * int(round(1000 * threshold)) - 401
+    likely = shared.where(1600 * F.col("ki") >= need * F.col("ku")).select("id", "id2", "ki", "ku")
+    text = base.select("id", "tx")
+    full = likely.join(text, "id").join(text.select(F.col("id").alias("id2"), F.col("tx").alias("tx2")), "id2")
+    ki, ku = F.col("ki"), F.col("ku")
+    ti = F.size(F.array_intersect("tx", "tx2")).cast("long")
+    tu = F.size("tx") + F.size("tx2") - ti
     # floor(1000 * (0.8 ki/ku + 0.2 ti/tu) + 1/2) without fractions
     score = F.floor((1600 * ki * tu + 400 * ti * ku + ku * tu) / (2 * ku * tu)).cast("long")
-    scored = full.select("id", "id2", score.alias("score_milli")).where(F.col("score_milli") >= int(round(1000 * threshold)))
+    scored = symmetrize(full.select("id", "id2", score.alias("score_milli")).where(F.col("score_milli") >= int(round(1000 * threshold))), "id", "id2", "score_milli").toDF("id", "id2", "score_milli")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score_milli"), "id2"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("id").alias("from_id"), F.col("id2").alias("to_id"), "score_milli", "rank")
