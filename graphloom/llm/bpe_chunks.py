@@ -7,11 +7,12 @@ encoded once and its ids are reused in all documents that a worker sees.
 Ids near a cut may differ from those of the whole text, so each join is
 repaired: what stands around the cut is encoded again, and this window grows
 on either side until both sides must agree with the whole text. That is
-certain at an anchor, a blank between two characters that are not white space:
-the vocabulary's pattern begins a piece at every such blank, whatever stands
-before or after it, and pieces are encoded independently. A chunk without an
-anchor joins the window. So a text's ids equal those of the text encoded
-whole.
+certain at an anchor: the end of a word before a blank, a tab or a line end,
+or between a letter and a mark such as a comma or an ideographic full stop.
+The vocabulary's pattern begins a piece at every anchor, whatever stands
+before or after it, no piece that ends there looks further, and pieces are
+encoded independently. A chunk without an anchor joins the window. So a
+text's ids equal those of the text encoded whole.
 """
 
 from __future__ import annotations
@@ -37,7 +38,11 @@ SEGMENT = 1 << 18
 # Fixed value: the byte-level pre-tokenizer's pattern.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-ANCHOR = re.compile(r"(?<=[^\s\x1c-\x1f\x85\xa0]) (?=[^\s\x1c-\x1f\x85\xa0])")
+# Not white space and white space, letters and marks, by every version of Unicode; a place that needs a later version's tables is no anchor.
+SOLID = r"[^\s\x1c-\x1f\x85\xa0]"
+LETTER = r"[A-Za-z\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]"
+MARK = r"[,.;:!?\u3001\u3002\uff0c\uff1b\uff1a\uff01\uff1f]"
+ANCHOR = re.compile(rf"(?<={SOLID})(?=[ \t\r\n])|(?<={LETTER})(?={MARK})")
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -68,7 +73,11 @@ class ByteBpe:
         merges = [m.split(" ") if isinstance(m, str) else m for m in raw["model"]["merges"]]
         ids = [vocab["".join(m)] for m in merges]
         plain = raw["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        self.ranked = plain and raw.get("normalizer") is None and ids == sorted(ids) and (not ids or ids[0] >= 256)
+        # The rank-based encoder takes no blanks beside special tokens. Chunks are sound only with this pattern, and with special tokens that hold no anchor.
+        strips = any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in raw.get("added_tokens", []))
+        plain = plain and raw.get("normalizer") is None and not strips
+        self.ranked = plain and ids == sorted(ids) and (not ids or ids[0] >= 256)
+        self.anchored = plain and not any(ANCHOR.search(t) for t in special)
         self.path, self.special, self._rank, self._whole = path, special, None, None
 
     def _load(self) -> None:
@@ -174,7 +183,7 @@ class ChunkEncoder:
 
     def encode(self, text: str) -> array:
         data = text.encode("utf-8", "replace")
-        ends = cut_points(data, self.bits)
+        ends = cut_points(data, self.bits) if self.v.anchored else []
         if not ends:
             return array("i", self.v.encode(text))
         ids = array("i")
@@ -194,12 +203,13 @@ class ChunkEncoder:
 
 
 def _last_anchor(text: str) -> int:
-    at = text.rfind(" ")
-    while at > 0:
-        if ANCHOR.match(text, at):
-            return at
-        at = text.rfind(" ", 0, at)
-    return -1
+    """The last anchor's place, or -1; looks at twice as much of the end each time."""
+    back = 64
+    while True:
+        found = [m.start() for m in ANCHOR.finditer(text, max(0, len(text) - back))]
+        if found or back >= len(text):
+            return found[-1] if found else -1
+        back *= 2
 
 
 _encoders: dict[tuple, ChunkEncoder] = {}
@@ -246,7 +256,8 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
     """Adds ``ids``, an array of int: what the tokenizers library gives for the whole text without special tokens added.
 
     ``path``: a byte-level BPE file of that library, present on every
-    executor. Null and empty texts have empty arrays. Lone surrogates cannot
+    executor; with another pattern, or special tokens that could hide an
+    anchor, texts are encoded whole. Null and empty texts have empty arrays. Lone surrogates cannot
     occur in a text column. A column called ``ids`` (in any case) is
     replaced; all others stay, ``text`` unless ``keep_text`` is false.
     Repeated rows and texts of any length are fine; a chunk's memory is

@@ -90,7 +90,7 @@ def test_chunk_reuse_equals_library():
     path = tokenizer_file("byte_bpe_50k.json")
     whole, v = Tokenizer.from_file(path), bpe_chunks.vocabulary(path)
     rng = random.Random(2)
-    parts = list("ab c  \n\t'sré1٣ \u0085\x1c😀<|>_.,\u0301") + ["<|endoftext|>", " the", "don't", "\r\n", "日本語", "zz" * 30]
+    parts = list("ab c  \n\t'sré1٣ \u0085\x1c😀<|>_.,\u0301") + ["<|endoftext|>", " the", "don't", "\r\n", "日本語", "zz" * 30, "、", "語。", "한국", "カナ", "?", "it's,", ":'s", "\u3000", "\xa0"]
     for bits in (2, 5):
         enc = bpe_chunks.ChunkEncoder(v, bits=bits, cache_bytes=20_000)
         for _ in range(300):
@@ -100,6 +100,42 @@ def test_chunk_reuse_equals_library():
             assert v.decode(ids) == whole.decode(ids, skip_special_tokens=False)
 
 
+def test_chunks_are_reused_without_blanks():
+    """Texts parted by tabs, line ends or ideographic marks alone have anchors too: a second copy sends the encoder next to nothing."""
+    v = bpe_chunks.vocabulary(tokenizer_file("byte_bpe_50k.json"))
+    rng = random.Random(12)
+    kanji = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(n))
+    for part in (lambda: kanji(12) + "。", lambda: rng.choice(WORDS) + "\t", lambda: rng.choice(WORDS) + "\r\n"):
+        text = "".join(part() for _ in range(3000))
+        enc = bpe_chunks.ChunkEncoder(v)
+        first, sent = enc.encode(text), []
+
+        class Counting:
+            anchored = True
+            encode = staticmethod(lambda t: (sent.append(len(t)), v.encode(t))[1])
+
+        enc.v = Counting
+        assert enc.encode(text) == first and first.tolist() == v.encode(text)
+        assert sum(sent) < len(text) / 5
+
+
+def test_unsuited_vocabularies_encode_whole(tmp_path):
+    """Special tokens that hold an anchor or take blanks: no chunks, the library's ids."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    raw = json.load(open(tokenizer_file("byte_bpe_50k.json"), encoding="utf-8"))
+    for i, change in enumerate(({"content": "<a, b>"}, {"lstrip": True}, {"rstrip": True})):
+        path = tmp_path / f"{i}.json"
+        path.write_text(json.dumps(raw | {"added_tokens": [raw["added_tokens"][0] | change]}))
+        v, whole = bpe_chunks.ByteBpe(str(path)), Tokenizer.from_file(str(path))
+        mark = change.get("content", "<|endoftext|>")
+        text = f"some words {mark} and more , {mark}, " * 30
+        assert not v.anchored
+        assert bpe_chunks.ChunkEncoder(v, bits=2).encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_cut_points_follow_content():
     rng = random.Random(4)
     shared = words(rng, 3000).encode()
