@@ -51,11 +51,11 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again, so that no later loss repeats its lineage."""
     path = new_path(df.sparkSession, label)
     with shuffles_removed(df.sparkSession):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._graphloom_path = path
     return back

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, chat, decontaminate, id_coder, jaccard_join, language_id, license_scan, sharding, url_filter, winnow
+from . import bpe_chunks, chat, decontaminate, hard_negatives, id_coder, jaccard_join, language_id, license_scan, near_vectors, sharding, token_alignment, url_filter, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,12 +77,30 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_alignment.align_tokens(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.mine_hard_negatives(vectors, F.col("id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_id_output, op2_bpe_round_trip, op3_benchmark_decontamination, op4_url_filters, op5_sharding, op6_license_scans, op7_chat_formatting, op8_language_id, op9_jaccard_join, op10_document_fingerprints)
+    for f in (op1_token_id_output, op2_bpe_round_trip, op3_benchmark_decontamination, op4_url_filters, op5_sharding, op6_license_scans, op7_chat_formatting, op8_language_id, op9_jaccard_join, op10_document_fingerprints,
+              op11_embedding_near_dedup, op12_token_alignment, op13_hard_negatives)
 }
 ORACLES = {
     "op4_url_filters": url_filter.ORACLE_OP4,
     "op6_license_scans": license_scan.ORACLE_OP6,
     "op7_chat_formatting": chat.ORACLE_OP7,
+    "op11_embedding_near_dedup": near_vectors.ORACLE_OP11,
+    "op13_hard_negatives": hard_negatives.ORACLE_OP13,
 }
