@@ -34,18 +34,17 @@ MAX_BROADCAST_PAIRS = 4_000_000
 
 OWN = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
+#: The number of common starts up to an A token is the number of its group, and that of the B tokens that start inside it.
 _OVERLAPS = """
 CREATE OR REPLACE TEMP TABLE over_a AS SELECT a.d, a.s, a.id AS a, b.id AS b, a.s = b.s AS both_start FROM a ASOF JOIN b ON a.s >= b.s;
-CREATE OR REPLACE TEMP TABLE over_b AS SELECT b.d, b.s, a.id AS a, b.id AS b, a.s = b.s AS both_start FROM b ASOF JOIN a ON b.s >= a.s;
+CREATE OR REPLACE TEMP TABLE numbered AS SELECT s, a, sum(both_start::INT) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING)::INT AS g FROM over_a;
+CREATE OR REPLACE TEMP TABLE over_b AS SELECT b.d, b.s, n.a AS a, b.id AS b, n.s = b.s AS both_start, n.g AS g FROM b ASOF JOIN numbered n ON b.s >= n.s;
 """
 #: Links by document; those of ``over_b`` whose tokens start together are in ``over_a`` already.
 _PAIRS = """
 CREATE OR REPLACE TEMP TABLE pairs AS
-SELECT d, a * {wide} + b AS pair, count(*) AS n FROM (SELECT d, a, b FROM over_a UNION ALL SELECT d, a, b FROM over_b WHERE NOT both_start) GROUP BY ALL
+SELECT d, a::BIGINT * {wide} + b AS pair, count(*) AS n FROM (SELECT d, a, b FROM over_a UNION ALL SELECT d, a, b FROM over_b WHERE NOT both_start) GROUP BY ALL
 """
-#: The number of common starts up to each token is the number of its group.
-_GROUPS = "SELECT sum(both_start::INT) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING)::BIGINT AS g FROM over_{} ORDER BY s"
-
 
 def byte_level_table(path: str) -> list[bytes]:
     """Bytes of each id of a byte-level vocabulary; ids of special tokens stand for their own text."""
@@ -109,18 +108,19 @@ class Aligner:
         self.fast, self.wide = rank_encoder(path_a, self.bytes_a), len(self.bytes_b)
         # The text of an id by what follows it: the same side, the other side, or another group.
         self.said = [f"{i}{end}" for end in ",|" for i in range(len(self.bytes_a))] + [f"{i}{end}" for end in ",;" for i in range(self.wide)]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "preserve_insertion_order": True})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "preserve_insertion_order": True})
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, int] | None:
-        """Ids of both and the number of bytes; None where a side's bytes are not those of the space and the text."""
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of both; None where a side's bytes are not those of the space and the text."""
         whole = " " + text
         data = whole.encode()
         fast = self.fast is not None and len(text) < 1 << 20 and not _SETTLED.search(text)
-        a = self.fast.encode_ordinary(whole) if fast else self.a.encode(whole, add_special_tokens=False).ids
+        a = self.fast.encode_to_numpy(whole, disallowed_special=()) if fast else self.a.encode(whole, add_special_tokens=False).ids
         b = self.b.encode(text, num_threads=1)
-        if b"".join(map(self.bytes_a.__getitem__, a)) != data or b"".join(map(self.bytes_b.__getitem__, b)) != data:
+        # Ranks cut every text into its own bytes; what the libraries give is compared with them.
+        if not fast and b"".join(map(self.bytes_a.__getitem__, a)) != data or b"".join(map(self.bytes_b.__getitem__, b)) != data:
             return None
-        return np.array(a, np.int64), np.array(b, np.int64), len(data)
+        return np.asarray(a, np.int64), np.array(b, np.int64)
 
     def align(self, texts: list[str | None]) -> tuple[list[tuple], tuple[np.ndarray, np.ndarray]]:
         """(n_a, n_b, n_groups, n_links, groups_sha256, packed pairs) of each text, and the pairs of all texts with their counts."""
@@ -133,10 +133,13 @@ class Aligner:
         ends_a, ends_b = (np.cumsum([0] + [len(c[i]) for c in known]) for i in (0, 1))
         for name, ids, ends, length in (("a", a, ends_a, self.len_a), ("b", b, ends_b, self.len_b)):
             # The intervals of a document follow those of the one before, so both sides cover one axis.
-            self.db.register(name, pa.table({"d": np.repeat(np.arange(len(known), dtype=np.int32), np.diff(ends)), "s": np.cumsum(length[ids]) - length[ids], "id": ids}))
+            own = length[ids]
+            start = np.cumsum(own) - own
+            narrow = np.int32 if start[-1] < 1 << 31 else np.int64
+            self.db.register(name, pa.table({"d": np.repeat(np.arange(len(known), dtype=np.int32), np.diff(ends)), "s": start.astype(narrow), "id": ids.astype(np.int32)}))
         self.db.execute(_OVERLAPS)
         self.db.execute(_PAIRS.format(wide=self.wide))
-        group_a, group_b = (self.db.execute(_GROUPS.format(x)).fetchnumpy()["g"] for x in "ab")
+        group_a, group_b = (self._in_order(x) for x in ("numbered", "over_b"))
         d, pair, n = self.db.execute("SELECT d, pair, n FROM pairs ORDER BY d, pair").fetchnumpy().values()
         whole = tuple(self.db.execute("SELECT pair, sum(n)::BIGINT AS n FROM pairs GROUP BY pair ORDER BY pair").fetchnumpy().values())
         self.db.unregister("a")
@@ -155,6 +158,11 @@ class Aligner:
             k += 1
         return rows, whole
 
+    def _in_order(self, table: str) -> np.ndarray:
+        """The groups of tokens in the order of the axis."""
+        s, g = self.db.execute(f"SELECT s, g FROM {table}").fetchnumpy().values()
+        return g[np.argsort(s, kind="stable")].astype(np.int64)
+
     def _render(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of texts in ``said`` in the order of the groups, A's tokens first in each, and the places where documents begin."""
         n = int(group_a[-1])
