@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import slug
 from .operators import code, graph, lookup, memory, search, similarity
+from .operators.fulltext import TextIndex
 from .plans import context
 from .sources import code_files, store as stores
 
@@ -26,35 +27,84 @@ class Engine:
 
     # notes and planets
 
+    def _index(self, name: str, kind: type, *args) -> TextIndex:
+        """The index of a table, built from its rows when it is first asked for and kept by writes from then on."""
+        index = kind(self.spark, f"{self.store.root}/index/{name}", *args)
+        if not index.exists():
+            index.write(self.table(name))
+        return index
+
+    def node_index(self) -> TextIndex:
+        return self._index("nodes", search.TextIndex, search.NODE_TEXTS)
+
+    def note_index(self) -> similarity.NoteIndex:
+        return self._index("notes", similarity.NoteIndex)
+
+    def _save_notes(self, notes: DataFrame, planets: DataFrame) -> DataFrame:
+        """Stores new states of both tables and gives the notes that are new; the index learns of them and of those that are gone."""
+        index, before = self.note_index(), self.table("notes").select("id")
+        # What is new is told by key, so that both states can be read again.
+        grown = graph.cut(notes.join(before, "id", "left_anti"))
+        gone = graph.cut(before.join(notes.select("id"), "id", "left_anti"))
+        lost = gone.limit(1).count() > 0
+        if lost:
+            self.store.write("notes", notes)
+        else:
+            self.store.write("notes", grown, append=True)
+        self.store.write("planets", graph.cut(planets))
+        index.write(grown, gone if lost else None)
+        return grown
+
     def add_note(self, topic: str, content: str, kind: str = "fact", title: str | None = None, agent_id: str | None = None, status: str | None = None, auto_link: bool = True) -> dict:
-        """Adds a note, links it within its topic unless it is a turn or summary, and says whether a summary is due."""
+        """Adds a note, links it with the notes of its topic unless it is a turn or summary, and says whether a summary is due.
+
+        Links that are there keep their weight, and links that were pruned
+        stay so: only pairs with the new note are looked at.
+        """
         row = self.spark.createDataFrame([(topic, kind, content, title, agent_id, status, 1)], "topic string, kind string, content string, title string, agent_id string, status string, ord int")
         planets, notes = memory.add_notes(self.table("planets"), self.table("notes"), row, self.now)
-        self.store.write("notes", notes)
-        self.store.write("planets", planets)
+        grown = self._save_notes(graph.cut(notes), planets)
+        if auto_link:
+            self._link(grown)
         name = self.slug(topic)
-        if auto_link and kind.strip().lower() not in ("turn", "summary"):
-            self.link_topic(name)
-        own = self.table("notes").where(F.col("topic") == name)
-        r = own.agg(F.max("id").alias("id"), F.count("*").alias("n")).first()
-        return {"id": r["id"], "topic": name, "summarize": r["n"] >= memory.SUMMARIZE_AT}
+        n = self.table("notes").where(F.col("topic") == name).count()
+        return {"id": grown.first()["id"], "topic": name, "summarize": n >= memory.SUMMARIZE_AT}
+
+    def _link(self, batch: DataFrame, num: int = 1, den: int = 5) -> None:
+        new = graph.cut(link_rows(self.note_index().links(batch, num, den), self.now))
+        if new.limit(1).count():
+            self.store.merge("note_links", new, "ignore")
 
     def log_interaction(self, topic: str, decision: str = "", fact: str = "", summary: str = "", current_state: str = "", next_step: str = "", activity: str = "") -> None:
         """Up to three notes, a change of the planet and a turn in one call."""
         names = ("topic", "decision", "fact", "summary", "current_state", "next_step", "activity")
         row = self.spark.createDataFrame([(topic, decision, fact, summary, current_state, next_step, activity, 0)], ", ".join(f"{n} string" for n in names) + ", ord long")
         planets, notes = memory.log_interaction(self.table("planets"), self.table("notes"), row, self.now)
-        self.store.write("notes", graph.cut(notes))
-        self.store.write("planets", graph.cut(planets))
+        self._link(self._save_notes(graph.cut(notes), planets))
 
     def archive(self, topic: str, transcript: str, agent_id: str, archive_id: str) -> None:
         """A transcript as a conversation node of an existing planet; without that planet nothing changes."""
         row = self.spark.createDataFrame([(topic, transcript, agent_id, archive_id, 0)], "topic string, transcript string, agent_id string, archive_id string, ord long")
-        for name, df in zip(("planets", "notes", "nodes"), memory.archive_transcripts(self.table("planets"), self.table("notes"), self.table("nodes"), row, self.now), strict=True):
-            self.store.write(name, graph.cut(df))
+        planets, notes, nodes = memory.archive_transcripts(self.table("planets"), self.table("notes"), self.table("nodes"), row, self.now)
+        self._save_notes(graph.cut(notes), planets)
+        self.add_nodes(nodes.where(F.col("id") == archive_id))
+
+    def add_nodes(self, nodes: DataFrame) -> None:
+        """Nodes in place of those of their ids, in the table and in its index; of several of one id the last (``ord``) stays."""
+        one = graph.cut(memory.one_per_key(nodes, ["id"]))
+        index = self.node_index()
+        self.store.merge("nodes", one)
+        index.write(one)
+
+    def delete_node(self, node: str) -> None:
+        """The node, its edges and its postings."""
+        index = self.node_index()
+        self.store.delete_node(node)
+        index.write(gone=self.spark.createDataFrame([(node,)], "id string"))
 
     def folder_hub(self, folder: str) -> None:
-        self.store.write("nodes", memory.folder_hub(self.table("nodes"), folder, self.now))
+        grown = memory.folder_hub(self.table("nodes"), folder, self.now)
+        self.add_nodes(grown.join(self.table("nodes").select("id"), "id", "left_anti"))
 
     def ensure_planet(self, topic: str) -> None:
         self.store.write("planets", graph.cut(memory.ensure_planets(self.table("planets"), self.spark.createDataFrame([(topic,)], "topic string"), self.now)))
@@ -70,9 +120,10 @@ class Engine:
         return self.add_note(topic, message, "turn", "", agent_id, auto_link=False)
 
     def link_topic(self, topic: str, num: int = 1, den: int = 5) -> None:
-        own = self.table("notes").where((F.col("topic") == topic) & ~F.col("kind").isin("turn", "summary"))
-        new = similarity.auto_links(own, num, den)
-        self.store.merge("note_links", _link_rows(new, self.now), "ignore")
+        """Links all notes of a topic anew, each with those before it; links that are there stay as they are."""
+        own = self.table("notes").where(F.col("topic") == topic)
+        new = similarity.auto_links(own, num, den, fresh=own.where(~F.col("kind").isin("turn", "summary")).select("id"))
+        self.store.merge("note_links", link_rows(new, self.now), "ignore")
 
     def link_notes(self, a: int, b: int, link_type: str = "related", weight: float = 1.0) -> None:
         if a == b:
@@ -95,13 +146,15 @@ class Engine:
 
     def delete_planet(self, topic: str) -> None:
         names = ("planets", "notes", "note_links", "tasks", "planet_links")
-        for name, df in memory.delete_planet(self.slug(topic), *[self.table(n) for n in names]).items():
-            self.store.write(name, df)
+        out = memory.delete_planet(self.slug(topic), *[self.table(n) for n in names])
+        for name in ("note_links", "tasks", "planet_links"):
+            self.store.write(name, out[name])
+        self._save_notes(out["notes"], out["planets"])
 
     def compact(self, topic: str) -> None:
         planets, notes, links = memory.compact_topic(self.slug(topic), self.table("planets"), self.table("notes"), self.table("tasks"), self.table("note_links"))
-        for name, df in (("note_links", links), ("notes", notes), ("planets", planets)):
-            self.store.write(name, df)
+        self.store.write("note_links", links)
+        self._save_notes(graph.cut(notes), planets)
 
     def set_memory_state(self, topic: str, state: str) -> None:
         self.store.write("planets", memory.set_memory_state(self.table("planets"), self.slug(topic), state))
@@ -131,7 +184,7 @@ class Engine:
         out = graph.cut(similarity.recompute_links(notes, links, num, den, group="topic" if topic else None))
         kept = out.where("action <> 'deleted'").select(F.col("from_note_id"), F.col("to_note_id"), "weight_milli", similarity.confidence_milli(F.col("weight_milli")).alias("confidence_milli"))
         explicit = self.table("note_links").where("link_type <> 'auto'")
-        self.store.write("note_links", explicit.unionByName(_link_rows(kept, self.now)))
+        self.store.write("note_links", explicit.unionByName(link_rows(kept, self.now)))
         return out.groupBy("action").count()
 
     # reads
@@ -162,13 +215,9 @@ class Engine:
     def briefing(self) -> DataFrame:
         return context.briefing(self.table("planets"))
 
-    def rebuild_index(self) -> None:
-        """Writes the search index of the nodes anew."""
-        search.write_index(self.table("nodes"), "id", ["title", "content"], f"{self.store.root}/index/nodes")
-
-    def search_nodes(self, query: str, limit: int = 10) -> DataFrame:
-        """Nodes by BM25 from the index that ``rebuild_index`` wrote last."""
-        return search.bm25_indexed(self.spark, f"{self.store.root}/index/nodes", query, limit)
+    def search_nodes(self, query: str, limit: int = 10, raw: bool = False) -> DataFrame:
+        """(id, score) of nodes, best first, by their index; ``raw``: a query as ``fulltext.parse`` reads it."""
+        return self.node_index().search(query, limit, raw)
 
     def neighbors(self, note: int, depth: int = 1, min_weight: float = 0.0) -> DataFrame:
         links = self._milli().select(F.col("from_note_id").alias("from_id"), F.col("to_note_id").alias("to_id"), "weight_milli")
@@ -179,13 +228,13 @@ class Engine:
         return graph.subgraph(links, self.spark.createDataFrame([(note,)], "id long"), depth, round(1000 * min_weight))
 
     def search(self, query: str, limit: int = 10) -> DataFrame:
-        return search.search_all(self.table("planets"), self.table("notes"), self.table("nodes"), query, limit)
+        return search.search_all(self.table("planets"), self.table("notes"), self.table("nodes"), query, limit, self.node_index())
 
     def search_notes(self, topic: str = "", kind: str = "", query: str = "", tags: tuple[str, ...] = (), limit: int = 10) -> DataFrame:
         return search.search_notes(self.table("notes"), self.slug(topic) if topic else "", kind, query, tags, limit)
 
     def agent_context(self, topic: str, query: str | None = None) -> str:
-        row = context.agent_context(self.table("planets"), self.table("notes"), self.table("nodes"), self.slug(topic), query).first()
+        row = context.agent_context(self.table("planets"), self.table("notes"), self.table("nodes"), self.slug(topic), query, index=self.node_index() if query else None).first()
         return row["text"] if row else f"# Knowledge Base Context\nTopic: {self.slug(topic)}\n\nNo stored context found for this topic yet."
 
     def compact_context(self, topic: str, query: str = "") -> str:
@@ -210,33 +259,43 @@ class Engine:
         self.store.write("tasks", memory.update_task(self.table("tasks"), task, self.now, **change))
 
     def block_task(self, task: int, reason: str = "") -> None:
-        for name, df in zip(("planets", "notes", "tasks"), memory.block_task(self.table("planets"), self.table("notes"), self.table("tasks"), task, reason, self.now), strict=True):
-            self.store.write(name, graph.cut(df))
+        planets, notes, tasks = memory.block_task(self.table("planets"), self.table("notes"), self.table("tasks"), task, reason, self.now)
+        self.store.write("tasks", graph.cut(tasks))
+        self._save_notes(graph.cut(notes), planets)
 
     # code
 
     def index(self, root: str, project: str = "p") -> DataFrame:
-        """Indexes all files below ``root``, in place of what was there."""
-        symbols, edges = code_files.index_files(code_files.discover(self.spark, root), project)
+        """Indexes all files below ``root``, in place of what was there; files that cannot be read are in ``code_failures``."""
+        files = code_files.discover(self.spark, root)
+        found = graph.cut(code_files.extract(files))
+        symbols, edges = code_files.index_files(files, project, found)
         symbols = graph.cut(symbols)
         self.store.write("code_edges", code.resolve(symbols, edges))
         self.store.write("code_symbols", symbols)
+        self.store.write("code_failures", code_files.failures(found).withColumnRenamed("path", "file_path"))
         return code.project_stats(self.table("code_symbols"), self.table("code_edges"))
 
-    def sync(self, root: str, project: str = "p") -> list[str]:
-        """Indexes the files whose content is not what the index has seen, and forgets deleted ones."""
+    def symbol_index(self) -> TextIndex:
+        return self._index("code_symbols", search.TextIndex, search.SYMBOL_TEXTS, "id", "long")
+
+    def sync(self, root: str, project: str = "p") -> DataFrame:
+        """Indexes the files whose content is not what the index has seen, and forgets deleted ones; (path, change) of each."""
         files = code_files.discover(self.spark, root)
         whole = files.select("path", F.sha2("content", 256).alias("hash"))
         seen = f"{self.store.root}/code_manifest"
         p, fs = self.store._path(seen)
         manifest = self.spark.read.parquet(seen) if fs.exists(p) else self.spark.createDataFrame([], "path string, hash string")
         changed = graph.cut(code_files.changed_files(files, graph.cut(manifest)))
-        symbols, edges = code_files.index_files(files.join(changed, "path", "left_semi"), project)
+        own = files.join(changed, "path", "left_semi")
+        found = graph.cut(code_files.extract(own))
+        symbols, edges = code_files.index_files(own, project, found)
         symbols = graph.cut(code_files.replace_files(self.table("code_symbols"), symbols, changed))
-        self.store.write("code_edges", code.resolve(symbols, code_files.replace_files(self.table("code_edges"), edges, changed)))
+        self.store.write("code_edges", code.relink(symbols, code_files.replace_files(self.table("code_edges"), edges, changed)))
         self.store.write("code_symbols", symbols)
+        self.store.write("code_failures", code_files.replace_files(self.table("code_failures"), code_files.failures(found).withColumnRenamed("path", "file_path"), changed))
         whole.write.mode("overwrite").parquet(seen)
-        return [f"{r['change']} {r['path']}" for r in changed.orderBy("path").collect()]
+        return changed
 
     # export and import
 
@@ -248,13 +307,17 @@ class Engine:
         """Adds rows with new keys; (created, skipped) by table."""
         counts = {}
         for name, df in stores.import_json(self.spark, path).items():
-            grown, n = memory.import_table(name, self.table(name), df)
+            grown, n = memory.import_table(name, self.table(name), graph.cut(df))
             counts[name] = tuple(n.first())
-            self.store.write(name, grown)
+            if name == "notes":
+                self._save_notes(graph.cut(grown), self.table("planets"))
+            else:
+                self.store.write(name, grown)
         return counts
 
 
-def _link_rows(links: DataFrame, now: Column) -> DataFrame:
+def link_rows(links: DataFrame, now: Column) -> DataFrame:
+    """Derived links as rows of ``note_links``."""
     return links.select(
         "from_note_id", "to_note_id", F.lit("auto").alias("link_type"), (F.col("weight_milli") / 1000).alias("weight"), (F.col("confidence_milli") / 1000).alias("confidence"), F.lit("auto").alias("source"),
         now.alias("created_at"), now.alias("updated_at"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,11 +46,35 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != ""))
 
 
-def query_terms(query: str) -> list[str]:
-    """The prefix terms of a search text: its runs of word characters."""
-    import re
+def _accents() -> tuple[str, str]:
+    """Latin letters with accents and the letters below them, then the combining accents, which have no counterpart."""
+    kept, plain = [], []
+    for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        parts = unicodedata.normalize("NFD", chr(c))
+        if len(parts) > 1 and all(unicodedata.combining(x) for x in parts[1:]):
+            kept.append(chr(c))
+            plain.append(parts[0])
+    return "".join(kept) + "".join(map(chr, range(0x300, 0x370))), "".join(plain)
+
+
+ACCENTED, UNACCENTED = _accents()
+
+
+def fold(text: Column) -> Column:
+    """Lower-case, without accents on Latin letters; null is empty."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(low.rlike("[^\\x00-\\x7f]"), F.translate(low, ACCENTED, UNACCENTED)).otherwise(low)
 
-    return [t.lower() for t in re.findall(r"\w+", query or "")]
+
+def terms(text: Column) -> Column:
+    """The terms of a text, in order: runs of letters and digits of any script, folded."""
+    return F.filter(F.split(fold(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
+def query_terms(query: str) -> list[str]:
+    """``terms`` of a search text, outside Spark."""
+    low = (query or "").lower().translate(str.maketrans(ACCENTED[: len(UNACCENTED)], UNACCENTED, ACCENTED[len(UNACCENTED) :]))
+    return re.findall(r"[^\W_]+", low)
 
 
 def trim_text(text: Column, limit: int = 600) -> Column:
@@ -84,11 +111,6 @@ def new_priority(priority: Column) -> Column:
     return F.when(priority.isin(*PRIORITIES), priority).otherwise("medium")
 
 
-def add_sorted(array: Column, value: Column) -> Column:
-    grown = F.array_sort(F.array_distinct(F.concat(F.coalesce(array, F.array().cast("array<string>")), F.array(value))))
-    return F.when(value.isNull() | (value == ""), array).otherwise(grown)
-
-
 def module_of(path: Column) -> Column:
     out = F.replace(path, F.lit("/"), F.lit("."))
     for suffix in (".py", ".lua", ".js"):

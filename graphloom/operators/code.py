@@ -116,6 +116,15 @@ def resolve(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select(*rest, fill("to_symbol_id", F.col("_to")), fill("from_symbol_id", F.col("_from")))
 
 
+def relink(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """``resolve`` after files changed: ends whose symbol is gone are looked for anew."""
+    ids = symbols.select(F.col("id").alias("_id"))
+    for column in ("to_symbol_id", "from_symbol_id"):
+        met = edges.join(ids, F.col(column) == F.col("_id"), "left")
+        edges = met.withColumn(column, F.when(F.col("_id").isNotNull(), F.col(column)).otherwise(0)).select(*edges.columns)
+    return resolve(symbols, edges)
+
+
 def project_stats(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: symbol_count, file_count, edge_count."""
     zero = F.lit(0).cast("long")
@@ -131,9 +140,23 @@ def file_tree(paths: DataFrame) -> DataFrame:
     return paths.select("file_path").distinct().select(F.inline(steps)).groupBy("parent", "name").agg(F.count("*").alias("files"))
 
 
+def normal_path(path: str) -> str:
+    """A path below the project without empty, ``.`` and ``..`` parts; one that leaves the project is an error."""
+    parts: list[str] = []
+    for part in path.split("/"):
+        if part == ".." and parts:
+            parts.pop()
+        elif part == "..":
+            raise ValueError("the path leaves the project")
+        elif part not in ("", "."):
+            parts.append(part)
+    if path.startswith("/") or not parts:
+        raise ValueError("the path leaves the project")
+    return "/".join(parts)
+
+
 def read_lines(files: DataFrame, path: str, offset: int = 0, limit: int = 200) -> DataFrame:
     """(line, text) of one file, numbered from 1; paths that leave the project are refused."""
-    if path.startswith("/") or ".." in path.split("/"):
-        raise ValueError("the path leaves the project")
-    lines = files.where(F.col("path") == path).select(F.posexplode(F.split("content", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    wanted = normal_path(path)
+    lines = files.where(F.col("path") == wanted).select(F.posexplode(F.split("content", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
     return lines.where((F.col("line") > offset) & (F.col("line") <= offset + limit))

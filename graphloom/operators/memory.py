@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import MEMORY_STATES, PRIORITIES, STATUSES, add_sorted, new_priority, note_kind, note_title, slug
+from ..functions.text import MEMORY_STATES, PRIORITIES, STATUSES, new_priority, note_kind, note_title, slug
 from ..sources.schemas import KEYS, migrate
 from .graph import numbered
 
@@ -16,20 +16,35 @@ SUMMARIZE_AT = 50
 # ---- merging by key
 
 
+def _order(delta: DataFrame) -> Column:
+    """What orders rows of one key: ``ord`` where there is such a column, then the rows' own texts, so that a batch run again keeps the same one."""
+    return F.struct(*(["ord"] if "ord" in delta.columns else []), F.to_json(F.struct("*")))
+
+
+def one_per_key(delta: DataFrame, keys: list[str], last: bool = True) -> DataFrame:
+    """The last row of each key, or the first."""
+    pick = F.max_by if last else F.min_by
+    return delta.groupBy(*keys).agg(pick(F.struct("*"), _order(delta)).alias("_row")).select("_row.*")
+
+
 def upsert(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-    """``base`` with the rows of ``delta`` in place of those of the same key."""
-    return base.join(delta.select(*keys), keys, "left_anti").unionByName(delta, allowMissingColumns=True)
+    """``base`` with the rows of ``delta`` in place of those of the same key; of several of one key the last (by ``ord``) stays."""
+    one = one_per_key(delta, keys).drop(*({"ord"} - set(base.columns)))
+    return base.join(one.select(*keys), keys, "left_anti").unionByName(one, allowMissingColumns=True)
 
 
 def insert_ignore(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-    """``base`` with the rows of ``delta`` whose key it lacks."""
-    return base.unionByName(delta.join(base.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+    """``base`` with the rows of ``delta`` whose key it lacks, the first (by ``ord``) of each."""
+    one = one_per_key(delta.join(base.select(*keys), keys, "left_anti").select(*delta.columns), keys, last=False).drop(*({"ord"} - set(base.columns)))
+    return base.unionByName(one, allowMissingColumns=True)
 
 
 def patch(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``base`` with the non-null values of ``delta``; keys that it lacks are ignored."""
-    change = [c for c in delta.columns if c not in keys]
-    j = base.join(delta.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in change]), keys, "left")
+    """Rows of ``base`` with the non-null values of ``delta``, of each column the last (by ``ord``); keys that it lacks are ignored."""
+    change = [c for c in delta.columns if c not in keys and c in base.columns]
+    order = _order(delta)
+    folded = delta.groupBy(*keys).agg(F.lit(True).alias("_hit"), *[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"_new_{c}") for c in change])
+    j = base.join(folded, keys, "left")
     return j.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in change else F.col(c) for c in base.columns])
 
 
@@ -104,7 +119,7 @@ def log_interaction(planets: DataFrame, notes: DataFrame, batch: DataFrame, now:
     new = rows.select("topic", F.col("x.kind").alias("kind"), F.col("x.content").alias("content"), none.alias("title"), agent.alias("agent_id"), none.alias("status"), (F.col("_o") * 4 + F.col("x.i")).alias("ord"))
     planets, notes = add_notes(planets, notes, new, now)
     given = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c)).alias(c)
-    change = batch.select("topic", none.alias("status"), none.alias("goal"), given("current_state"), none.alias("handoff"), given("next_step"), none.alias("file"), none.alias("command"))
+    change = batch.select("topic", none.alias("status"), none.alias("goal"), given("current_state"), none.alias("handoff"), given("next_step"), none.alias("file"), none.alias("command"), "ord")
     return update_planets(planets, change.where("current_state IS NOT NULL OR next_step IS NOT NULL"), now), notes
 
 
@@ -129,14 +144,23 @@ def folder_hub(nodes: DataFrame, folder: str, now: Column) -> DataFrame:
 
 
 def update_planets(planets: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
-    """Sparse change of (topic, status, goal, current_state, handoff, next_step, file, command); the last three join sorted sets."""
-    j = planets.join(changes.select(slug(F.col("topic")).alias("topic"), *[F.col(c).alias(f"_{c}") for c in ("status", "goal", "current_state", "handoff", "next_step", "file", "command")]).withColumn("_hit", F.lit(True)), "topic", "left")
-    sets = {"next_steps": "_next_step", "files": "_file", "commands": "_command"}
+    """Sparse changes of (topic, status, goal, current_state, handoff, next_step, file, command[, ord]).
+
+    Of several changes of a topic, the last value that is given counts; next
+    steps, files and commands all join their sorted sets.
+    """
+    sets, single = {"next_steps": "next_step", "files": "file", "commands": "command"}, ("status", "goal", "current_state", "handoff")
+    named = changes.withColumn("topic", slug(F.col("topic")))
+    order = _order(named)
+    folded = named.groupBy("topic").agg(
+        F.lit(True).alias("_hit"), *[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"_{c}") for c in single],
+        *[F.collect_set(F.when(F.col(c) != "", F.col(c))).alias(f"_{c}") for c in sets.values()])
+    j = planets.join(folded, "topic", "left")
     out = []
     for c in planets.columns:
         if c in sets:
-            out.append(F.when(F.col("_hit"), add_sorted(F.col(c), F.col(sets[c]))).otherwise(F.col(c)).alias(c))
-        elif c in ("status", "goal", "current_state", "handoff"):
+            out.append(F.when(F.size(f"_{sets[c]}") > 0, F.array_sort(F.array_union(F.coalesce(c, F.array().cast("array<string>")), f"_{sets[c]}"))).otherwise(F.col(c)).alias(c))
+        elif c in single:
             out.append(F.coalesce(f"_{c}", c).alias(c))
         elif c == "updated_at":
             out.append(F.when(F.col("_hit"), now).otherwise(F.col(c)).alias(c))

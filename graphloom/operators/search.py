@@ -7,44 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import query_terms
-
-
-def postings(docs: DataFrame, key: str, *columns: str) -> DataFrame:
-    """(term, id, tf, length): terms (runs of a-z and 0-9, lower-cased) of the columns taken together; a row without terms has one of the empty term, which no query asks for."""
-    text = F.lower(F.concat_ws(" ", *[F.col(f"`{c}`") for c in columns]))
-    split = docs.select(F.col(key).alias("id"), F.filter(F.split(text, "[^a-z0-9]+"), lambda t: t != "").alias("terms")).withColumn("length", F.size("terms"))
-    return split.select("id", "length", F.explode_outer("terms").alias("term")).withColumn("term", F.coalesce("term", F.lit(""))).groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
-
-
-def write_index(docs: DataFrame, key: str, columns: list[str], path: str) -> None:
-    """A stored inverted index: postings sorted by term, so that a query reads only its terms, and one row of statistics."""
-    posted = postings(docs, key, *columns)
-    posted.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    stored = docs.sparkSession.read.parquet(f"{path}/postings")
-    each = stored.groupBy("id").agg(F.first("length").alias("length"))
-    each.agg(F.count("*").alias("N"), F.avg("length").alias("avg")).write.mode("overwrite").parquet(f"{path}/stats")
-
-
-def bm25_indexed(spark, path: str, query: str, limit: int | None = None) -> DataFrame:
-    """What ``bm25`` gives, from a stored index: each prefix is a range of the terms that the scan skips to."""
-    posted, stats = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
-    terms = query_terms(query)
-    if not terms:
-        return posted.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
-    found = None
-    for i, prefix in enumerate(terms):
-        part = posted.where(F.col("term").startswith(prefix)).select("id", F.lit(i).alias("q"), "tf", "length")
-        found = part if found is None else found.unionByName(part)
-    each = found.groupBy("id", "q").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
-    held = each.groupBy("q").agg(F.count("*").alias("hold"))
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("N") - F.col("hold") + 0.5) / (F.col("hold") + 0.5)))
-    part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("length") / F.col("avg")))
-    # One row of statistics and one row a prefix.
-    scored = each.join(F.broadcast(held), "q").join(F.broadcast(stats)).groupBy("id").agg(F.count("*").alias("_k"), F.array_sort(F.collect_list(F.struct("q", part.alias("s")))).alias("_s")).where(F.col("_k") == len(terms))
-    score = F.aggregate("_s", F.lit(0.0), lambda a, x: a + x["s"])
-    out = scored.select("id", F.round(score, 6).alias("score"))
-    return out.orderBy(F.desc("score"), "id").limit(limit) if limit else out
+from ..functions.text import query_terms, terms
+from .fulltext import TextIndex
 
 
 def bm25(docs: DataFrame, key: str, columns: list[str], query: str, limit: int | None = None) -> DataFrame:
@@ -57,44 +21,51 @@ def bm25(docs: DataFrame, key: str, columns: list[str], query: str, limit: int |
     Terms are only split and filtered on the row; a posting leaves it just
     for a prefix of the query, so the shuffle carries hits, not the corpus.
     """
-    terms = query_terms(query)
-    text = F.lower(F.concat_ws(" ", *[F.col(f"`{c}`") for c in columns]))
-    split = docs.select(F.col(key).alias("id"), F.filter(F.split(text, "[^a-z0-9]+"), lambda t: t != "").alias("t"))
-    if not terms:
+    words = query_terms(query)
+    split = docs.select(F.col(key).alias("id"), terms(F.concat_ws(" ", *[F.col(f"`{c}`") for c in columns])).alias("t"))
+    if not words:
         return split.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
 
     def with_prefix(prefix: str) -> Column:
         return F.size(F.filter("t", lambda t: t.startswith(prefix)))
 
-    counts = F.array(*[F.struct(F.lit(i).alias("q"), with_prefix(p).alias("tf")) for i, p in enumerate(terms)])
+    counts = F.array(*[F.struct(F.lit(i).alias("q"), with_prefix(p).alias("tf")) for i, p in enumerate(words)])
     rows = split.select("id", F.size("t").alias("length"), counts.alias("c"))
-    marks = [F.sum(F.when(F.get("c", F.lit(i))["tf"] > 0, 1).otherwise(0)).alias(f"n{i}") for i in range(len(terms))]
+    marks = [F.sum(F.when(F.get("c", F.lit(i))["tf"] > 0, 1).otherwise(0)).alias(f"n{i}") for i in range(len(words))]
     # One row of corpus statistics, joined on a constant key.
     stats = rows.agg(F.count("*").alias("N"), F.avg("length").alias("avg"), *marks).withColumn("_k", F.lit(1))
-    hits = rows.where(reduce(lambda a, b: a & b, [F.get("c", F.lit(i))["tf"] > 0 for i in range(len(terms))])).withColumn("_k", F.lit(1))
+    hits = rows.where(reduce(lambda a, b: a & b, [F.get("c", F.lit(i))["tf"] > 0 for i in range(len(words))])).withColumn("_k", F.lit(1))
 
     def part(i: int) -> Column:
         tf, n = F.get("c", F.lit(i))["tf"], F.col(f"n{i}")
         idf = F.greatest(F.lit(1e-6), F.log((F.col("N") - n + 0.5) / (n + 0.5)))
         return idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("length") / F.col("avg")))
 
-    scored = hits.join(F.broadcast(stats), "_k").select("id", F.round(reduce(lambda a, b: a + b, [part(i) for i in range(len(terms))]), 6).alias("score"))
+    scored = hits.join(F.broadcast(stats), "_k").select("id", F.round(reduce(lambda a, b: a + b, [part(i) for i in range(len(words))]), 6).alias("score"))
     return scored.orderBy(F.desc("score"), "id").limit(limit) if limit else scored
 
 
+#: What a search of nodes looks at.
+NODE_TEXTS = ["title", "content", "keywords"]
+SYMBOL_TEXTS = ["symbol_name", "signature", "docstring", "file_path", "symbol_type", "kind"]
+
+
 def contains_any(df: DataFrame, query: str, *columns: str) -> DataFrame:
-    """Rows of which a column holds ``query``, ASCII case aside; null columns hold nothing."""
+    """Rows of which a column holds ``query``, case aside; ``%`` and ``_`` in it stand for any characters and any one; null columns hold nothing."""
     low = query.lower()
+    if set(low) & set("%_"):
+        wide = "%" + low.replace("\\", "\\\\") + "%"
+        return df.where(reduce(lambda a, b: a | b, [F.coalesce(F.lower(F.col(c)).like(wide), F.lit(False)) for c in columns]))
     return df.where(reduce(lambda a, b: a | b, [F.coalesce(F.lower(F.col(c)).contains(low), F.lit(False)) for c in columns]))
 
 
-def search_all(planets: DataFrame, notes: DataFrame, nodes: DataFrame | None, query: str, limit: int | None = None) -> DataFrame:
-    """(source, id, title) hits in planets, then notes, then nodes, sharing one budget of ``limit``."""
+def search_all(planets: DataFrame, notes: DataFrame, nodes: DataFrame | None, query: str, limit: int | None = None, index: TextIndex | None = None) -> DataFrame:
+    """(source, id, title) hits in planets, then notes, then nodes, sharing one budget of ``limit``; ``index``: that of the nodes, so that their texts are not scanned."""
     p = contains_any(planets, query, "topic", "display_topic", "goal", "current_state").select(F.lit(0).alias("rank"), F.lit("planet").alias("source"), F.col("id").cast("string").alias("id"), F.col("topic").alias("title"))
     n = contains_any(notes, query, "title", "content").select(F.lit(1).alias("rank"), F.lit("note").alias("source"), F.col("id").cast("string").alias("id"), F.col("title"))
     hits = p.unionByName(n)
     if nodes is not None:
-        found = bm25(nodes, "id", ["title", "content"], query).select(F.col("id").cast("string").alias("id"))
+        found = (index.search(query) if index is not None else bm25(nodes, "id", NODE_TEXTS, query)).select(F.col("id").cast("string").alias("id"))
         hits = hits.unionByName(nodes.select(F.col("id").cast("string").alias("id"), "title").join(found, "id", "left_semi").select(F.lit(2).alias("rank"), F.lit("node").alias("source"), "id", "title"))
     return (hits.orderBy("rank", "id").limit(limit) if limit else hits).select("source", "id", "title")
 
@@ -119,17 +90,19 @@ def regex_search(df: DataFrame, pattern: str, columns: list[str], order: list[st
     return out.orderBy(*order).limit(limit) if limit > 0 else out
 
 
-def search_symbols(symbols: DataFrame, query: str, limit: int = 20, use_regex: bool = False) -> DataFrame:
-    """Symbols by regular expression, or by BM25, or, where that finds none, by substring."""
-    columns = ["symbol_name", "signature", "docstring", "file_path", "symbol_type", "kind"]
-    if not query.strip():
+def search_symbols(symbols: DataFrame, query: str, limit: int = 20, use_regex: bool = False, index: TextIndex | None = None) -> DataFrame:
+    """Symbols by regular expression; or by a query as ``fulltext.parse`` reads it, best first, where there is an index, else by BM25; or, where that finds none or cannot be read, by substring."""
+    if query.strip() in ("", ".", "*", "%"):
         return symbols.where(F.lit(False))
     if use_regex:
-        return regex_search(symbols, query, columns, ["symbol_name", "id"], limit)
-    ranked = bm25(symbols, "id", columns, query, limit)
-    if ranked.limit(1).count():
-        return symbols.join(ranked, "id")
-    return contains_any(symbols, query, "symbol_name", "symbol_type", "kind").orderBy("symbol_name", "id").limit(limit)
+        return regex_search(symbols, query, SYMBOL_TEXTS, ["symbol_name", "id"], limit)
+    try:
+        ranked = index.search(query, limit, raw=True) if index is not None else bm25(symbols, "id", SYMBOL_TEXTS, query, limit)
+        if ranked.limit(1).count():
+            return symbols.join(ranked, "id")
+    except ValueError:
+        pass
+    return contains_any(symbols, query.strip(), "symbol_name", "symbol_type", "kind").orderBy("symbol_name", "id").limit(limit)
 
 
 def references(files: DataFrame, name: str, definitions: DataFrame | None = None, path: str = "path", text: str = "content") -> DataFrame:

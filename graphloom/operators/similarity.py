@@ -6,10 +6,12 @@ up), so every engine and every order of evaluation gives the same numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import milli, tokens, words
+from .fulltext import TextIndex
+from .graph import cut
 
 MIN_TOKENS = 3
 
@@ -37,8 +39,8 @@ def jaccard_pairs(notes: DataFrame, num: int, den: int, key: str = "id", group:
     of two prefixes are counted: all others that the sets share lie in the rest
     of the set whose prefix ends first, so the count and the longer rest bound
     the intersection, and only pairs whose bound reaches the threshold are
-    verified on the whole sets. ``fresh``: (id) of notes of which a pair must
-    have one; only their prefixes then meet all others.
+    verified on the whole sets. ``fresh``: (id) of notes that look for links;
+    their prefixes meet notes of smaller keys, the ones before them.
     """
     table = token_table(notes, key, group, text, least)
     flat = table.select("grp", "id", "n", F.explode("tokens").alias("token"))
@@ -52,8 +54,7 @@ def jaccard_pairs(notes: DataFrame, num: int, den: int, key: str = "id", group:
     if fresh is None:
         met = prefix.join(other, meet & (F.col("id") < F.col("b")))
     else:
-        met = prefix.join(fresh.select(F.col("id")).distinct(), "id", "left_semi").join(other, meet & (F.col("id") != F.col("b")))
-    # A pair of two fresh notes is met from both sides, which only raises its bound.
+        met = prefix.join(fresh.select(F.col("id")).distinct(), "id", "left_semi").join(other, meet & (F.col("b") < F.col("id")))
     most = F.count("*") + F.max(F.greatest("rest", "rest2"))
     reach = most * (num + den) >= F.max(F.col("n") + F.col("n2")) * num
     candidates = met.groupBy("grp", F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).agg(reach.alias("reach")).where("reach").drop("reach")
@@ -79,6 +80,43 @@ def auto_links(notes: DataFrame, num: int = 1, den: int = 5, existing: DataFrame
     return out
 
 
+#: Parts a topic and a token in a term of the index of notes.
+APART = "\u0001"
+
+
+class NoteIndex(TextIndex):
+    """The tokens of notes by topic: what a new note shares with earlier ones is a count over the postings of its own tokens."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, path, ["content"], "id", "long")
+
+    def _terms(self, rows: DataFrame) -> DataFrame:
+        table = token_table(rows)
+        return table.select(F.explode("tokens").alias("token"), "grp", "id", "n").select(F.concat("grp", F.lit(APART), "token").alias("term"), "id", "n")
+
+    def _post(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        posted = self._terms(rows).select("term", "id", F.lit("content").alias("col"), F.array().cast("array<int>").alias("positions"), F.col("n").alias("length"))
+        return posted, rows.select("id", F.size(tokens(F.col("content"))).alias("length"))
+
+    def links(self, batch: DataFrame, num: int = 1, den: int = 5) -> DataFrame:
+        """(topic, from_note_id, to_note_id, inter, uni, weight_milli, confidence_milli) of the notes of ``batch`` with others of their topic that came before them.
+
+        The index holds the batch already. Turns and summaries do not look for
+        links but are found by others; within the batch, the greater id came
+        later. Work follows the batch's tokens and their postings.
+        """
+        own = cut(self._terms(batch.where(~F.col("kind").isin("turn", "summary"))))
+        met = self.postings_of(own.select("term").distinct()).select("term", F.col("id").alias("b"), F.col("length").alias("n2"))
+        here = batch.select(F.col("id").alias("b")).distinct().withColumn("_here", F.lit(True))
+        pairs = own.join(met, "term").where(F.col("id") != F.col("b")).groupBy("id", "b", "n", "n2").agg(F.count("*").alias("inter"), F.min("term").alias("_t"))
+        close = pairs.withColumn("uni", F.col("n") + F.col("n2") - F.col("inter")).where(F.col("inter") * den >= F.col("uni") * num)
+        earlier = close.join(here, "b", "left").where(F.col("_here").isNull() | (F.col("b") < F.col("id")))
+        weight = milli(F.col("inter"), F.col("uni"))
+        return earlier.select(
+            F.substring_index("_t", APART, 1).alias("topic"), F.least("id", "b").alias("from_note_id"), F.greatest("id", "b").alias("to_note_id"), "inter", F.col("uni").cast("long").alias("uni"),
+            weight.alias("weight_milli"), confidence_milli(weight).alias("confidence_milli"))
+
+
 def recompute_links(notes: DataFrame, links: DataFrame, num: int = 1, den: int = 10, min_weight_milli: int = 50, group: str | None = "topic") -> DataFrame:
     """The links after all pairs are measured again, with ``action``.
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import note_color, trim_text
-from ..operators.search import bm25
+from ..operators.fulltext import TextIndex
+from ..operators.search import NODE_TEXTS, bm25
 
 TAGS = {"decision": "dec", "issue": "iss", "fact": "fact"}
 
@@ -59,13 +60,14 @@ def render(sections: DataFrame, planets: DataFrame, titles: dict[str, str] | Non
     return blocks.join(named, "topic").select("topic", F.concat("head", F.array_join(F.transform("x", lambda x: x["b"]), "\n\n")).alias("text"))
 
 
-def agent_context(planets: DataFrame, notes: DataFrame, nodes: DataFrame | None, topic: str, query: str | None = None, results: int = 5) -> DataFrame:
-    """(topic, text) of one topic, with the best nodes for ``query`` at the end."""
+def agent_context(planets: DataFrame, notes: DataFrame, nodes: DataFrame | None, topic: str, query: str | None = None, results: int = 5, index: TextIndex | None = None) -> DataFrame:
+    """(topic, text) of one topic, with the best nodes for ``query`` at the end, found by ``index`` where that is given."""
     mine = planets.where(F.col("topic") == topic)
     own = render(context_sections(mine, notes.where(F.col("topic") == topic)), mine)
     if not query or nodes is None:
         return own
-    hits = bm25(nodes, "id", ["title", "content"], query, results).join(nodes, "id")
+    best = index.search(query, results) if index is not None else bm25(nodes, "id", NODE_TEXTS, query, results)
+    hits = best.join(nodes, "id")
     line = F.concat(F.lit("- ["), F.col("node_type"), F.lit("] "), F.col("title"), F.lit(": "), trim_text(F.col("content"), 220))
     found = hits.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", line.alias("line")))), lambda x: x["line"]), "\n").alias("found")).withColumn("topic", F.lit(topic))
     return own.join(found, "topic", "left").select("topic", F.when(F.coalesce("found", F.lit("")) != "", F.concat("text", F.lit("\n\n## Query-Relevant Memories\n"), "found")).otherwise(F.col("text")).alias("text"))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import code, graph, lookup, memory, search
+from ..operators.fulltext import TextIndex
 from ..sources import fixtures as fx
 from ..sources.fixtures import ctes
 from ..sources.schemas import empty, migrate
@@ -169,15 +170,17 @@ def update_task(s, d):
     return out.select("id", "status", F.array_join("files", ",").alias("files"), F.array_join(F.col("notes").cast("array<string>"), ",").alias("notes"))
 
 
-def _documents_index(s, d, text: str):
-    path = f"{graph.shared_steps(s)}/index-{uuid.uuid4().hex}"
-    search.write_index(fx.table(s, d, "documents"), "doc_id", ["text"], path)
-    return search.bm25_indexed(s, path, text)
+def _index(s, rows, columns: list[str], key: str = "id", kind: str = "string") -> TextIndex:
+    """An index of the rows in the shared folder; one after another, as two writes."""
+    return TextIndex(s, f"{graph.shared_steps(s)}/index-{uuid.uuid4().hex}", columns, key, kind)
 
 
 @query("WITH z AS (SELECT 1)" + BM25_SQL.format(text="text", table="(SELECT doc_id AS id, text FROM documents)", a="re", b="th"))
 def bm25_from_index(s, d):
-    return _documents_index(s, d, "re th")
+    docs = fx.table(s, d, "documents")
+    index = _index(s, docs, ["text"], "doc_id", "long")
+    index.write(docs)
+    return index.search("re th")
 
 
 @query(f"""WITH {ctes('call_edges')}, used AS (SELECT DISTINCT s.file_path FROM symbols s JOIN call_edges e ON e.to_name = s.symbol_name AND e.file_path <> s.file_path)
@@ -275,7 +278,7 @@ def search_budget(s, d):
     return search.search_all(fx.planets_of(notes), notes, None, "able", 7)
 
 
-@query(f"WITH {ctes('nodes')}, x AS (SELECT id, title, list_filter(regexp_split_to_array(lower(title || ' ' || content), '[^a-z0-9]+'), lambda t: starts_with(t, 'bolt')) AS t FROM nodes) SELECT 'node' AS source, id, title FROM x WHERE len(t) > 0")
+@query(f"WITH {ctes('nodes')}, x AS (SELECT id, title, list_filter(regexp_extract_all(lower(title || ' ' || content || ' ' || array_to_string(keywords, ' ')), '[a-z0-9]+'), lambda t: starts_with(t, 'bolt')) AS t FROM nodes) SELECT 'node' AS source, id, title FROM x WHERE len(t) > 0")
 def search_nodes_part(s, d):
     return search.search_all(empty(s, "planets"), empty(s, "notes"), fx.nodes(s, d), "bolt")
 

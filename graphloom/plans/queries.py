@@ -423,7 +423,7 @@ def graph_document(s, d):
 # ---- search
 
 PREFIXES = ("re", "bolt")
-BM25_SQL = """, x AS (SELECT id, list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9]+'), lambda t: t <> '') AS t FROM {table}),
+BM25_SQL = """, x AS (SELECT id, regexp_extract_all(strip_accents(lower({text})), '[\\p{{L}}\\p{{N}}]+') AS t FROM {table}),
 c AS (SELECT id, len(t) AS dl, len(list_filter(t, lambda t: starts_with(t, '{a}'))) AS a, len(list_filter(t, lambda t: starts_with(t, '{b}'))) AS b FROM x),
 s AS (SELECT count(*) AS n, avg(dl) AS avg, sum((a > 0)::INT) AS na, sum((b > 0)::INT) AS nb FROM c)
 SELECT c.id, round(greatest(1e-6, ln((n - na + 0.5) / (na + 0.5))) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avg)) + greatest(1e-6, ln((n - nb + 0.5) / (nb + 0.5))) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / avg)), 6) AS score

@@ -1,7 +1,9 @@
 """Source files to symbols and edges.
 
 Files are read by Spark's binary source. Python is parsed by its own parser
-on the executors, one file a row; other languages by regular expressions.
+on the executors, one file a row; languages of braces by plans over tokens
+(``brace_code``); others by regular expressions. A file that cannot be read
+gives a row that says why, and the others go on.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .brace_code import BRACE_LANGUAGES, extract_braces
+
 # Folders that are not searched, and languages by extension.
 SKIP_DIRS = (
     "node_modules", "vendor", "dist", "build", "target", ".venv", "venv", ".git", ".hg", ".svn", "__pycache__", ".pytest_cache", ".next",
@@ -41,40 +45,42 @@ def discover(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     return out.select("path", "language", "content") if content else out.select("path", "language")
 
 
+def _failed(path: str, error: BaseException) -> tuple:
+    return (path, "failure", type(error).__name__, "failure", None, None, None, None, str(error)[:200], None, None, None, None)
+
+
 def _python(path: str, source: str) -> Iterator[tuple]:
-    """Symbols (what: symbol) and edges (what: calls, imports) of a file; one with a syntax error has none."""
+    """Symbols (what: symbol) and edges (what: calls, imports) of a file, in the order of its text; of one that cannot be parsed, the failure."""
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
+        yield _failed(path, error)
         return
     lines = source.splitlines()
-
-    def visit(node: ast.AST, scope: str, cls: str | None) -> Iterator[tuple]:
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                if isinstance(child, ast.ClassDef):
-                    kind = "class"
-                else:
-                    kind = ("async_" if isinstance(child, ast.AsyncFunctionDef) else "") + ("method" if cls is not None and scope == cls else "function")
-                text = "\n".join(lines[child.lineno - 1 : child.end_lineno])
-                yield (path, "symbol", child.name, kind, child.lineno, child.end_lineno, child.col_offset + 1, (child.end_col_offset or 0) + 1, lines[child.lineno - 1].strip(), ast.get_docstring(child) or "", cls or "", None, hashlib.sha256(text.encode()).hexdigest()[:16])
-                inner_cls = child.name if isinstance(child, ast.ClassDef) else cls
-                yield from visit(child, child.name, inner_cls)
-                continue
-            if isinstance(child, ast.Call):
-                f = child.func
-                name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
-                if name:
-                    yield (path, "calls", scope, "calls", child.lineno, None, None, None, None, None, None, name, None)
-            elif isinstance(child, ast.Import):
-                for a in child.names:
-                    yield (path, "imports", a.name, "imports", child.lineno, None, None, None, None, None, None, None, None)
-            elif isinstance(child, ast.ImportFrom):
-                for a in child.names:
-                    yield (path, "imports", f"{child.module or ''}.{a.name}", "imports", child.lineno, None, None, None, None, None, None, None, None)
-            yield from visit(child, scope, cls)
-
-    yield from visit(tree, "", None)
+    edge = lambda what, name, at, target: (path, what, name, what, at.lineno, None, at.col_offset + 1, None, None, None, None, target, None)
+    # (node, scope, class around): a stack, as trees can be deeper than calls.
+    stack = [(child, "", None) for child in reversed(list(ast.iter_child_nodes(tree)))]
+    while stack:
+        node, scope, cls = stack.pop()
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            if isinstance(node, ast.ClassDef):
+                kind = "class"
+            else:
+                kind = ("async_" if isinstance(node, ast.AsyncFunctionDef) else "") + ("method" if cls is not None and scope == cls else "function")
+            text = "\n".join(lines[node.lineno - 1 : node.end_lineno])
+            yield (path, "symbol", node.name, kind, node.lineno, node.end_lineno, node.col_offset + 1, (node.end_col_offset or 0) + 1, lines[node.lineno - 1].strip(), ast.get_docstring(node) or "", cls or "", None, hashlib.sha256(text.encode()).hexdigest()[:16])
+            scope, cls = node.name, node.name if isinstance(node, ast.ClassDef) else cls
+        elif isinstance(node, ast.Call):
+            name = node.func.id if isinstance(node.func, ast.Name) else node.func.attr if isinstance(node.func, ast.Attribute) else None
+            if name:
+                yield edge("calls", scope, node, name)
+        elif isinstance(node, ast.Import):
+            for a in node.names:
+                yield edge("imports", a.name, a, None)
+        elif isinstance(node, ast.ImportFrom):
+            for a in node.names:
+                yield edge("imports", f"{node.module or ''}.{a.name}", a, None)
+        stack += [(child, scope, cls) for child in reversed(list(ast.iter_child_nodes(node)))]
 
 
 _GENERIC = re.compile(r"^[ \t]*(?:export\s+|pub(?:\([^)]*\))?\s+|public\s+|private\s+|static\s+|async\s+|default\s+)*(function|fn|func|def|class|struct|enum|trait|interface|module)\s+([A-Za-z_]\w*)", re.M)
@@ -92,7 +98,7 @@ def _generic(path: str, source: str) -> Iterator[tuple]:
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """What (path, language, content) files hold: symbols, calls and imports, one row each."""
+    """What (path, language, content) files hold: symbols, calls, imports and failures, one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in EXTRACTED.split(", ")]
@@ -101,15 +107,25 @@ def extract(files: DataFrame) -> DataFrame:
             rows = []
             for path, language, content in zip(*[batch.column(c).to_pylist() for c in ("path", "language", "content")], strict=True):
                 source = (content or b"").decode("utf-8", "replace") if isinstance(content, (bytes, type(None))) else content
-                rows += list(_python(path, source) if language == "python" else _generic(path, source))
+                try:
+                    rows += list(_python(path, source) if language == "python" else _generic(path, source))
+                except (RecursionError, MemoryError, ValueError) as error:
+                    rows.append(_failed(path, error))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    return files.select("path", "language", "content").mapInArrow(run, EXTRACTED)
+    braces = F.col("language").isin(*BRACE_LANGUAGES)
+    own = files.select("path", "language", "content")
+    return own.where(~braces).mapInArrow(run, EXTRACTED).unionByName(extract_braces(own))
+
+
+def failures(found: DataFrame) -> DataFrame:
+    """(path, reason) of the files that gave nothing."""
+    return found.where("what = 'failure'").select("path", F.concat_ws(": ", "name", "signature").alias("reason"))
 
 
-def index_files(files: DataFrame, project: str = "p") -> tuple[DataFrame, DataFrame]:
-    """(code_symbols, code_edges) of files. Ids are stable: hashes of project, path, place and name; ends of other files are 0."""
-    found = extract(files)
+def index_files(files: DataFrame, project: str = "p", found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(code_symbols, code_edges) of files. Ids are stable: hashes of project, path, place and name; ends of other files are 0. ``found``: what ``extract`` gave for them."""
+    found = extract(files) if found is None else found
     ident = lambda *c: F.shiftrightunsigned(F.xxhash64(*c), 1)
     s = found.where("what = 'symbol'").withColumn("id", ident(F.lit(project), F.col("path"), F.col("start_line"), F.col("start_col"), F.col("name")))
     s = s.join(files.select("path", "language"), "path")
@@ -118,11 +134,11 @@ def index_files(files: DataFrame, project: str = "p") -> tuple[DataFrame, DataFr
     symbols = s.join(parents, ["path", "parent"], "left").select(
         "id", F.lit(project).alias("project_id"), F.col("path").alias("file_path"), F.col("name").alias("symbol_name"), F.col("type").alias("symbol_type"), "language", F.col("type").alias("kind"),
         "start_line", "end_line", "start_col", "end_col", "signature", "docstring", "parent_id", "content_hash")
-    e = found.where("what <> 'symbol'")
+    e = found.where("what IN ('calls', 'imports')")
     own = last.select("path", F.col("name"), F.col("_id").alias("from_symbol_id"))
     to = last.select("path", F.col("name").alias("target"), F.col("_id").alias("to_symbol_id"))
     edges = e.join(own, ["path", "name"], "left").join(to, ["path", "target"], "left").select(
-        ident(F.col("path"), F.col("start_line"), F.col("name"), F.coalesce("target", F.lit("")), F.col("what")).alias("id"), F.lit(project).alias("project_id"), F.coalesce("from_symbol_id", F.lit(0)).alias("from_symbol_id"),
+        ident(F.col("path"), F.col("start_line"), F.coalesce("start_col", F.lit(0)), F.col("name"), F.coalesce("target", F.lit("")), F.col("what")).alias("id"), F.lit(project).alias("project_id"), F.coalesce("from_symbol_id", F.lit(0)).alias("from_symbol_id"),
         F.coalesce("to_symbol_id", F.lit(0)).alias("to_symbol_id"), F.col("name").alias("from_name"), F.col("target").alias("to_name"), F.col("what").alias("edge_type"), F.col("path").alias("file_path"), F.col("start_line").alias("line_number"))
     return symbols, edges
 

@@ -37,13 +37,18 @@ CODE_SYMBOLS = _schema(
 CODE_EDGES = _schema("id long, project_id string, from_symbol_id long, to_symbol_id long, from_name string, to_name string, edge_type string, file_path string, line_number int, created_at timestamp")
 CODE_PROJECTS = _schema("id string, root_path string, name string, file_count int, symbol_count int, last_indexed timestamp, created_at timestamp")
 
+LINK_GAINS = _schema("from_note_id long, to_note_id long, gain_milli long, stream string, batch long")
+CODE_FAILURES = _schema("file_path string, reason string")
+
 TABLES = {
+    "code_failures": CODE_FAILURES, "link_gains": LINK_GAINS,
     "planets": PLANETS, "notes": NOTES, "note_links": NOTE_LINKS, "planet_links": PLANET_LINKS, "tasks": TASKS, "nodes": NODES, "edges": EDGES,
     "code_symbols": CODE_SYMBOLS, "code_edges": CODE_EDGES, "code_projects": CODE_PROJECTS,
 }
 KEYS = {
     "planets": ["topic"], "notes": ["id"], "note_links": ["from_note_id", "to_note_id", "link_type"], "planet_links": ["from_planet_id", "to_planet_id", "relation"],
     "tasks": ["id"], "nodes": ["id"], "edges": ["from_id", "to_id", "edge_type"], "code_symbols": ["id"], "code_edges": ["id"], "code_projects": ["id"],
+    "code_failures": ["file_path"], "link_gains": ["stream", "batch", "from_note_id", "to_note_id"],
 }
 NODE_TYPES = ("concept", "fact", "summary", "conversation", "task", "question", "example")
 EDGE_TYPES = ("is_a", "part_of", "related_to", "causes", "depends_on", "contradicts", "derived_from")

@@ -11,12 +11,23 @@ from ..operators import memory
 from .schemas import KEYS, TABLES, empty, migrate
 
 
+#: Folders of a version beyond which an append writes all rows as one.
+MAX_PARTS = 32
+
+
+class ConflictError(RuntimeError):
+    """Two writers want the same version of a table."""
+
+
 class TableStore:
     """Tables under a root folder of any file system that Spark reads.
 
-    A table's versions are folders ``v=<n>``; one is whole if its writer's
-    success mark is there, so readers take the greatest whole version. No
-    version is written in place, so a query may read the table that it writes.
+    A version is a list of folders ``v=<n>``: a write makes one of its own, an
+    append adds one to those of the version before. It is whole once its note
+    ``version=<n>.json`` is there, so readers take the greatest noted one, and
+    no folder is written in place: a query may read the table that it writes.
+    A writer claims its number first; a second writer of the same number is
+    refused. ``recover`` frees the number of a writer that was lost.
     """
 
     def __init__(self, spark: SparkSession, root: str, keep: int = 3):
@@ -26,55 +37,89 @@ class TableStore:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(text)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def versions(self, name: str) -> list[int]:
+    def _names(self, name: str) -> list[str]:
         p, fs = self._path(f"{self.root}/{name}")
-        if not fs.exists(p):
-            return []
-        found = []
-        for s in fs.listStatus(p):
-            v = s.getPath()
-            if v.getName().startswith("v=") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(v, "_SUCCESS")):
-                found.append(int(v.getName()[2:]))
-        return sorted(found)
+        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+    def versions(self, name: str) -> list[int]:
+        return sorted(int(f[8:-5]) for f in self._names(name) if f.startswith("version=") and f.endswith(".json"))
+
+    def _note(self, name: str, version: int) -> dict:
+        p, fs = self._path(f"{self.root}/{name}/version={version}.json")
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _put(self, path: str, text: str, over: bool) -> None:
+        p, fs = self._path(path)
+        out = fs.create(p, over)
+        out.write(text.encode())
+        out.close()
 
     def read(self, name: str) -> DataFrame:
         have = self.versions(name)
         if not have:
             return empty(self.spark, name)
-        return migrate(name, self.spark.read.parquet(f"{self.root}/{name}/v={have[-1]}"))
+        parts = self._note(name, have[-1])["parts"]
+        return migrate(name, self.spark.read.option("mergeSchema", len(parts) > 1).parquet(*[f"{self.root}/{name}/{p}" for p in parts]))
 
     def marks(self, name: str) -> dict[str, int]:
         """The last batch of each stream that the present version holds."""
         have = self.versions(name)
-        p, fs = self._path(f"{self.root}/{name}/marks-v={have[-1] if have else 0}.json")
-        if not fs.exists(p):
-            return {}
-        stream = fs.open(p)
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return self._note(name, have[-1])["marks"] if have else {}
 
-    def write(self, name: str, df: DataFrame, marks: dict[str, int] | None = None) -> int:
-        """A new version. ``marks``: batches of streams that it holds besides those of the version before; they count once the version is whole."""
+    def write(self, name: str, df: DataFrame, marks: dict[str, int] | None = None, append: bool = False) -> int:
+        """A new version of ``df``, or with ``append`` of the rows before and ``df``. ``marks``: batches of streams that it holds besides those of the version before."""
         have = self.versions(name)
         version = (have[-1] if have else 0) + 1
-        if held := {**self.marks(name), **(marks or {})}:
-            p, fs = self._path(f"{self.root}/{name}/marks-v={version}.json")
-            out = fs.create(p, True)
-            out.write(json.dumps(held).encode())
-            out.close()
-        migrate(name, df).write.mode("overwrite").parquet(f"{self.root}/{name}/v={version}")
-        for old in [*have, version][: -self.keep] if self.keep else []:
-            for place in (f"v={old}", f"marks-v={old}.json"):
-                p, fs = self._path(f"{self.root}/{name}/{place}")
-                fs.delete(p, True)
+        before = self._note(name, have[-1]) if have else {"parts": [], "marks": {}}
+        claim = f"{self.root}/{name}/claim={version}"
+        if self._path(claim)[1].exists(self._path(claim)[0]):
+            raise ConflictError(f"version {version} of {name} is being written; recover() frees it if its writer was lost")
+        try:
+            self._put(claim, "", False)
+        except Exception as error:
+            raise ConflictError(f"version {version} of {name} is being written") from error
+        try:
+            parts = [*before["parts"], f"v={version}"] if append else [f"v={version}"]
+            if len(parts) > MAX_PARTS:
+                df, parts = self.read(name).unionByName(migrate(name, df)), [f"v={version}"]
+            migrate(name, df).write.mode("overwrite").parquet(f"{self.root}/{name}/v={version}")
+            self._put(f"{self.root}/{name}/version={version}.json", json.dumps({"parts": parts, "marks": {**before["marks"], **(marks or {})}}), True)
+        finally:
+            p, fs = self._path(claim)
+            fs.delete(p, False)
+        self._forget(name, [*have, version])
         return version
 
-    def merge(self, name: str, delta: DataFrame, how: str = "replace") -> int:
-        """``how``: replace (upsert), ignore (insert where new) or patch (non-null values)."""
-        act = {"replace": memory.upsert, "ignore": memory.insert_ignore, "patch": memory.patch}[how]
-        return self.write(name, act(self.read(name), delta, KEYS[name]))
+    def recover(self, name: str) -> None:
+        """Frees numbers that lost writers claimed; not to be called while another writes."""
+        for f in self._names(name):
+            if f.startswith("claim="):
+                p, fs = self._path(f"{self.root}/{name}/{f}")
+                fs.delete(p, False)
+
+    def _forget(self, name: str, have: list[int]) -> None:
+        """Removes versions older than the kept ones, and the folders that no kept one lists."""
+        old = have[: -self.keep] if self.keep else []
+        if not old:
+            return
+        used = {p for v in have[len(old) :] for p in self._note(name, v)["parts"]}
+        lost = {p for v in old for p in self._note(name, v)["parts"]} - used
+        for place in [*[f"version={v}.json" for v in old], *sorted(lost)]:
+            p, fs = self._path(f"{self.root}/{name}/{place}")
+            fs.delete(p, True)
+
+    def merge(self, name: str, delta: DataFrame, how: str = "replace", marks: dict[str, int] | None = None) -> int:
+        """``how``: replace (upsert), ignore (insert where new: only the new rows are written) or patch (non-null values)."""
+        keys = KEYS[name]
+        if how == "ignore":
+            fresh = memory.one_per_key(delta, keys, last=False).join(self.read(name).select(*keys), keys, "left_anti")
+            return self.write(name, fresh, marks, append=True)
+        act = {"replace": memory.upsert, "patch": memory.patch}[how]
+        return self.write(name, act(self.read(name), delta, keys), marks)
 
     def delete(self, name: str, condition) -> int:
         return self.write(name, self.read(name).where(~F.coalesce(condition, F.lit(False))))

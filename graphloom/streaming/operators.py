@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import similarity
+from ..operators import code, similarity
 from ..operators.graph import cut, shared_steps
+from ..operators.memory import one_per_key
 from ..sources import code_files
 from ..sources.store import TableStore
+from .folder_source import NAME, FolderChanges
 
 DEBOUNCE = "2 seconds"
 
@@ -63,35 +65,42 @@ def active_topic(planets: DataFrame) -> DataFrame:
 def run_to_table(df: DataFrame, mode: str = "complete") -> DataFrame:
     """All of a stream's present input through a query; the state after its last micro-batch, as a table in the shared folder."""
     spark = df.sparkSession
-    path = f"{shared_steps(spark)}/stream-{uuid.uuid4().hex}"
+    path, done = f"{shared_steps(spark)}/stream-{uuid.uuid4().hex}", []
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/state/b={number}")
+        done.append(number)
 
     query = df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return spark.read.schema(df.schema).parquet(f"{path}/state/b={last}")
+    if not done:  # a stream without input has no batch
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(f"{path}/state/b={done[-1]}")
 
 
 def link_new_notes(notes: DataFrame, store: TableStore, checkpoint: str, num: int = 1, den: int = 5) -> StreamingQuery:
-    """Adds each micro-batch of notes to the store and links them with all notes there.
+    """Adds each micro-batch of notes to the store and links them with the notes of their topics that came before.
 
-    Only pairs with a note of the batch are looked at. A batch that runs again
-    after a failure changes nothing: notes and links merge by key.
+    The index of notes answers for the earlier ones, so work follows the
+    batch; both tables only grow by what is new. A batch that runs again after
+    a failure changes nothing: its notes are stored last, and until they are,
+    it does the same once more.
     """
+    index = similarity.NoteIndex(notes.sparkSession, f"{store.root}/index/notes")
 
     def merge(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
+        if not index.exists():
+            index.write(store.read("notes"))
+        fresh = cut(one_per_key(batch, ["id"], last=False).join(store.read("notes").select("id"), "id", "left_anti"))
+        if fresh.isEmpty():
             return
-        store.merge("notes", batch, "ignore")
-        topics = batch.select("topic").distinct()
-        own = store.read("notes").join(topics, "topic", "left_semi").where(~F.col("kind").isin("turn", "summary"))
-        new = similarity.auto_links(own, num, den, fresh=batch.select("id"))
+        index.write(fresh)
+        new = index.links(fresh, num, den)
+        none = F.lit(None).cast("timestamp")
         rows = new.select(
-            "from_note_id", "to_note_id", F.lit("auto").alias("link_type"), (F.col("weight_milli") / 1000).alias("weight"), (F.col("confidence_milli") / 1000).alias("confidence"),
-            F.lit("auto").alias("source"), F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"))
-        store.merge("note_links", rows, "ignore")
+            "from_note_id", "to_note_id", F.lit("auto").alias("link_type"), (F.col("weight_milli") / 1000).alias("weight"), (F.col("confidence_milli") / 1000).alias("confidence"), F.lit("auto").alias("source"), none.alias("created_at"), none.alias("updated_at"))
+        store.merge("note_links", cut(rows), "ignore")
+        store.write("notes", fresh, append=True)
 
     return notes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -114,32 +123,31 @@ def reinforce_on_access(accesses: DataFrame, store: TableStore, checkpoint: str,
     return accesses.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def forget_deleted(spark: SparkSession, root: str, store: TableStore) -> list[str]:
-    """Drops the rows of files that are no longer below ``root``; their paths. Moved files come back under their new path."""
-    base = root.rstrip("/") + "/"
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_replace("path", r"^[a-z]+:/+", "/").alias("p"))
-    here = listed.select(F.replace("p", F.lit(base), F.lit("")).alias("file_path"))
-    gone = cut(store.read("code_symbols").select("file_path").union(store.read("code_edges").select("file_path")).distinct().join(here, "file_path", "left_anti"))
-    paths = sorted(r["file_path"] for r in gone.collect())
-    for name in ("code_symbols", "code_edges") if paths else ():
-        store.write(name, store.read(name).join(gone, "file_path", "left_anti"))
-    return paths
+def file_changes(spark: SparkSession, root: str, listings: str) -> DataFrame:
+    """A stream of (path, change, modified, content) of the source files below ``root``: created, modified and deleted ones; a moved file is deleted and created. Skipped folders are not entered."""
+    spark.dataSource.register(FolderChanges)
+    source = spark.readStream.format(NAME).option("listings", listings)
+    return source.option("skip", ",".join(code_files.SKIP_DIRS)).option("extensions", ",".join(code_files.LANGUAGES)).load(root)
+
+
+def apply_changes(store: TableStore, changes: DataFrame, project: str = "p") -> None:
+    """The code tables after file changes (path, change, content): rows of changed files give way, those of deleted ones go, and names are looked for again in all files."""
+    listed = cut(changes.select("path", "change", "content").withColumn("language", code_files.language_of(F.col("path"))))
+    files = listed.where("change <> 'deleted' AND language IS NOT NULL")
+    found = cut(code_files.extract(files))
+    symbols, edges = code_files.index_files(files, project, found)
+    symbols = cut(code_files.replace_files(store.read("code_symbols"), symbols, listed))
+    store.write("code_edges", code.relink(symbols, code_files.replace_files(store.read("code_edges"), edges, listed)))
+    store.write("code_symbols", symbols)
+    store.write("code_failures", code_files.replace_files(store.read("code_failures"), code_files.failures(found).withColumnRenamed("path", "file_path"), listed))
 
 
 def watch_files(spark: SparkSession, root: str, store: TableStore, checkpoint: str, project: str = "p") -> StreamingQuery:
-    """Indexes files as they appear or change below ``root``; rows of a file are replaced, never doubled, and those of deleted files go."""
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    stream = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(root)
+    """Indexes files below ``root`` as they appear, change, move or go; a batch without changes does nothing."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        base = root.rstrip("/") + "/"
-        files = batch.select(F.regexp_replace("path", r"^[a-z]+:/+", "/").alias("path"), "content").withColumn("path", F.replace("path", F.lit(base), F.lit("")))
-        files = files.withColumn("language", code_files.language_of(F.col("path"))).where("language IS NOT NULL")
-        if files.isEmpty():
-            return
-        symbols, edges = code_files.index_files(files, project)
-        for name, new in (("code_symbols", symbols), ("code_edges", edges)):
-            store.write(name, code_files.replace_files(store.read(name), new, files))
-        forget_deleted(spark, root, store)
+        if not batch.isEmpty():
+            apply_changes(store, batch, project)
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    changes = file_changes(spark, root, f"{checkpoint.rstrip('/')}-listings")
+    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

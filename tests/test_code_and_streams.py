@@ -10,12 +10,12 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import code, search
+from graphloom.operators import code, search, similarity
 from graphloom.plans import context
 from graphloom.sources import code_files
 from graphloom.sources.schemas import migrate
 from graphloom.sources.store import TableStore
-from graphloom.streaming import operators as streams
+from graphloom.streaming import gains, operators as streams
 
 SOURCE = '''"""Doc."""
 import os
@@ -123,17 +123,73 @@ def test_incremental_links_equal_batch(spark, tmp_path):
     assert store.read("note_links").where("to_note_id = 2").first().weight == 0.3 and store.marks("note_links") == {"accesses": 0}
 
 
-def test_watch_replaces_files(spark, project, tmp_path):
+def test_watch_sees_creations_changes_moves_and_deletions(spark, project, tmp_path):
     store = TableStore(spark, str(tmp_path / "db"))
-    streams.watch_files(spark, str(project), store, str(tmp_path / "ck")).awaitTermination()
-    first = store.read("code_symbols").where("language = 'python'").count()
-    (project / "a2.py").write_text("def later(): pass\n")
-    streams.watch_files(spark, str(project), store, str(tmp_path / "ck")).awaitTermination()
+
+    def watch() -> list[tuple]:
+        streams.watch_files(spark, str(project), store, str(tmp_path / "ck")).awaitTermination()
+        return sorted((r.file_path, r.symbol_name) for r in store.read("code_symbols").collect())
+
+    first = watch()
+    assert ("a.py", "run") in first and ("sub/b.js", "go") in first and not any("node_modules" in p for p, _ in first)
+    assert [r.file_path for r in store.read("code_failures").collect()] == ["bad.py"]
+    before = store.versions("code_symbols")
+    assert watch() == first and store.versions("code_symbols") == before  # a restart repeats nothing
+    (project / "a2.py").write_text("def later():\n    return go()\n")
+    assert watch() == sorted([*first, ("a2.py", "later")])
     (project / "a2.py").rename(project / "a3.py")
-    assert streams.forget_deleted(spark, str(project), store) == ["a2.py"] and store.read("code_symbols").where("symbol_name = 'later'").count() == 0
-    streams.watch_files(spark, str(project), store, str(tmp_path / "ck")).awaitTermination()
-    assert store.read("code_symbols").where("symbol_name = 'later'").first().file_path == "a3.py"
-    assert store.read("code_symbols").where("symbol_name = 'later'").count() == 1 and store.read("code_symbols").where("language = 'python'").count() == first + 1
+    assert watch() == sorted([*first, ("a3.py", "later")])
+    go = store.read("code_symbols").where("symbol_name = 'go'").first().id
+    assert store.read("code_edges").where("to_name = 'go' AND file_path = 'a3.py'").first().to_symbol_id == go
+    (project / "sub" / "b.js").unlink()
+    assert watch() == sorted([("a3.py", "later"), *[r for r in first if r[0] != "sub/b.js"]])
+    # The call stays, and its end, whose file is gone, is open again.
+    assert store.read("code_edges").where("to_name = 'go' AND file_path = 'a3.py'").first().to_symbol_id == 0
+    for file in list(project.rglob("*.py")):
+        file.unlink()
+    assert watch() == [] and store.read("code_edges").count() == 0  # deletions alone empty the tables
+
+
+def test_gains_equal_batch_reinforcement(spark, tmp_path):
+    pytest.importorskip("google.protobuf")
+    store = TableStore(spark, str(tmp_path / "db"))
+    links = [(1, 2, "auto", 0.2), (1, 3, "auto", 0.93), (2, 3, "explicit", 0.5), (3, 4, "auto", 0.1)]
+    store.write("note_links", spark.createDataFrame(links, "from_note_id long, to_note_id long, link_type string, weight double"))
+    place, seen = str(tmp_path / "in"), []
+
+    def access(pairs: list[tuple[int, int]]) -> None:
+        spark.createDataFrame(pairs, "from_note_id long, to_note_id long").coalesce(1).write.mode("append").parquet(place)
+        seen.extend(pairs)
+
+    def run(checkpoint: str = "ck") -> dict:
+        stream = spark.readStream.schema("from_note_id long, to_note_id long").parquet(place)
+        gains.reinforce_as_state(stream, store, str(tmp_path / checkpoint)).awaitTermination()
+        return {(r.from_note_id, r.to_note_id): r.weight for r in gains.weights(store).collect()}
+
+    def batch() -> dict:
+        rows = spark.createDataFrame([(a, b, k, round(1000 * w)) for a, b, k, w in links], "from_note_id long, to_note_id long, link_type string, weight_milli long")
+        out = similarity.reinforce(rows, spark.createDataFrame(seen, "from_note_id long, to_note_id long"))
+        return {(r.from_note_id, r.to_note_id): r.weight_milli / 1000 for r in out.collect()}
+
+    access([(1, 2), (1, 2), (1, 3), (2, 3), (9, 10)])
+    tables = store.versions("note_links")
+    assert run() == batch()
+    access([(1, 3)] * 3 + [(1, 2)])
+    assert run() == batch() and store.versions("note_links") == tables  # no batch rewrites the links
+    rows = store.read("link_gains").count()
+    access([(1, 3)] * 5)
+    assert run() == batch() and store.read("link_gains").count() == rows  # a full link gives no rows
+    # Without its checkpoint the stream runs all batches again under the same numbers: nothing is added.
+    assert run("ck2") == batch()
+    gains.settle(store)
+    assert run() == batch() and store.read("link_gains").count() == 0
+    assert {(r.from_note_id, r.to_note_id): r.weight for r in store.read("note_links").collect()} == batch()
+
+
+def test_streams_without_input(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    stream = spark.readStream.schema("topic string").parquet(str(tmp_path / "none"))
+    assert streams.run_to_table(streams.note_counts(stream)).collect() == []
 
 
 def test_transcripts(spark):
