@@ -10,6 +10,7 @@ from .operators import code, graph, lookup, memory, search, similarity
 from .operators.fulltext import TextIndex
 from .plans import context
 from .sources import code_files, store as stores
+from .streaming import gains
 
 
 class Engine:
@@ -162,10 +163,11 @@ class Engine:
     # links
 
     def _milli(self) -> DataFrame:
-        return self.table("note_links").withColumn("weight_milli", F.round(F.col("weight") * 1000).cast("long"))
+        return gains.weights(self.store).withColumn("weight_milli", F.round(F.col("weight") * 1000).cast("long"))
 
     def _keep(self, links: DataFrame) -> None:
-        self.store.write("note_links", links.withColumn("weight", F.col("weight_milli") / 1000))
+        """New links in place of those with all gains so far, which are in them."""
+        self.store.write("note_links", links.withColumn("weight", F.col("weight_milli") / 1000), marks=self.store.marks("link_gains"))
 
     def _within(self, topic: str | None) -> DataFrame | None:
         return self.table("notes").where(F.col("topic") == self.slug(topic)).select("id") if topic else None
@@ -184,7 +186,7 @@ class Engine:
         out = graph.cut(similarity.recompute_links(notes, links, num, den, group="topic" if topic else None))
         kept = out.where("action <> 'deleted'").select(F.col("from_note_id"), F.col("to_note_id"), "weight_milli", similarity.confidence_milli(F.col("weight_milli")).alias("confidence_milli"))
         explicit = self.table("note_links").where("link_type <> 'auto'")
-        self.store.write("note_links", explicit.unionByName(link_rows(kept, self.now)))
+        self.store.write("note_links", explicit.unionByName(link_rows(kept, self.now)), marks=self.store.marks("link_gains"))
         return out.groupBy("action").count()
 
     # reads

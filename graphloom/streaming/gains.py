@@ -10,9 +10,10 @@ weight.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
@@ -61,8 +62,7 @@ class LinkState(StatefulProcessor):
 
 
 def gains(accesses: DataFrame, links: DataFrame | None = None, step: int = STEP_MILLI, idle_ms: int = 3_600_000) -> DataFrame:
-    """(from_note_id, to_note_id, gain_milli) a link and batch, of a stream of (from_note_id, to_note_id); ``links``: (from_note_id, to_note_id, weight_milli) to begin with, one row a link. Needs the RocksDB state store."""
-    accesses.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    """(from_note_id, to_note_id, gain_milli) a link and batch, of a stream of (from_note_id, to_note_id); ``links``: (from_note_id, to_note_id, weight_milli) to begin with, one row a link. Needs the RocksDB state store (``_settings``)."""
     keys = ["from_note_id", "to_note_id"]
     first = links.select(*keys, F.col("weight_milli").cast("long").alias("weight_milli")).groupBy(*keys) if links is not None else None
     return accesses.select(*keys).groupBy(*keys).transformWithStateInPandas(LinkState(step, idle_ms), GAINS, "Append", "ProcessingTime", first)
@@ -75,9 +75,26 @@ def reinforce_as_state(accesses: DataFrame, store: TableStore, checkpoint: str,
     def keep(batch: DataFrame, number: int) -> None:
         if store.marks("link_gains").get(name, -1) < number:
             store.write("link_gains", batch.withColumns({"stream": F.lit(name), "batch": F.lit(number).cast("long")}), marks={name: number}, append=True)
-
-    out = gains(accesses, links, step, idle_ms)
-    return out.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        else:  # the state still has to go on
+            batch.write.format("noop").mode("overwrite").save()
+
+    with _settings(accesses.sparkSession):
+        out = gains(accesses, links, step, idle_ms)
+        return out.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+@contextmanager
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """What a query of state takes over when it starts: its store, and no batches without data, which timers of the clock would ask for without end."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def weights(store: TableStore) -> DataFrame:
