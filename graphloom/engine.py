@@ -9,7 +9,7 @@ from .functions.text import slug
 from .operators import code, graph, lookup, memory, search, similarity
 from .operators.fulltext import TextIndex
 from .plans import context
-from .sources import code_files, store as stores
+from .sources import code_files, documents, store as stores
 from .streaming import gains
 
 
@@ -305,10 +305,31 @@ class Engine:
         names = ("planets", "notes", "note_links", "planet_links")
         stores.export_json(memory.export_tables(*[self.table(n) for n in names], self.slug(topic) if topic else None), path)
 
+    def export_document(self, topic: str | None = None) -> str:
+        """An export as one JSON text."""
+        names = ("planets", "notes", "note_links", "planet_links")
+        return documents.export_document(memory.export_tables(*[self.table(n) for n in names], self.slug(topic) if topic else None)).first()["document"]
+
+    def import_document(self, path: str) -> dict:
+        """Adds the rows with new keys of an export that is one document; (created, skipped) by table, and how many rows or documents could not be read."""
+        files = self.spark.read.format("binaryFile").load(path).select("path", F.decode("content", "utf-8").alias("content"))
+        tables = documents.read_export(files)
+        errors = tables.pop("errors").count()
+        return {**self._import(tables), "errors": errors}
+
+    def archive_file(self, topic: str, agent_id: str, archive_id: str, *patterns: str) -> None:
+        """Archives the newest transcript among the files that fit the globs; one that says nothing changes nothing."""
+        said = documents.transcripts(documents.newest_file(self.spark, *patterns), topic).first()
+        if said is not None:
+            self.archive(topic, said["transcript"], agent_id, archive_id)
+
     def import_(self, path: str) -> dict[str, tuple[int, int]]:
         """Adds rows with new keys; (created, skipped) by table."""
+        return self._import(stores.import_json(self.spark, path))
+
+    def _import(self, tables: dict[str, DataFrame]) -> dict[str, tuple[int, int]]:
         counts = {}
-        for name, df in stores.import_json(self.spark, path).items():
+        for name, df in tables.items():
             grown, n = memory.import_table(name, self.table(name), graph.cut(df))
             counts[name] = tuple(n.first())
             if name == "notes":

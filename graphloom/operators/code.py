@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import module_of
-from .graph import cut
+from .graph import cut, deal, follow
 
 # What dead-code analysis leaves out.
 DYNAMIC_LANGUAGES = ("bash", "shell", "sh", "lua", "qml", "qmljs", "js")
@@ -80,11 +80,11 @@ def impact(symbols: DataFrame, edges: DataFrame, names: DataFrame, depth: int =
 
     Distinct by (name, id, via) with the least depth.
     """
-    by_name = callers(symbols, edges).select(F.col("to_name").alias("via"), "id", "symbol_name")
+    by_name, heavy = deal(callers(symbols, edges).select(F.col("to_name").alias("src"), F.col("id").alias("dst"), "symbol_name"))
     frontier = names.select(F.col("to_name").alias("name"), F.col("to_name").alias("via")).distinct()
     seen = None
     for d in range(1, depth + 1):
-        step = frontier.join(by_name, "via").select("name", "id", "symbol_name", "via").distinct()
+        step = follow(frontier.withColumnRenamed("via", "src"), by_name, heavy).select("name", F.col("dst").alias("id"), "symbol_name", F.col("src").alias("via")).distinct()
         if seen is not None:
             step = step.join(seen.select("name", "id", "via"), ["name", "id", "via"], "left_anti")
         step = cut(step.withColumn("depth", F.lit(d)))
@@ -96,11 +96,11 @@ def impact(symbols: DataFrame, edges: DataFrame, names: DataFrame, depth: int =
 def trace(edges: DataFrame, names: DataFrame, direction: str = "inbound", depth: int = 2) -> DataFrame:
     """(name, reached, depth): least depth of names met along calls (outbound) or against them (inbound)."""
     a, b = ("to_name", "from_name") if direction == "inbound" else ("from_name", "to_name")
-    steps = edges.where("edge_type = 'calls'").select(F.col(a).alias("src"), F.col(b).alias("dst")).distinct()
+    steps, heavy = deal(edges.where("edge_type = 'calls'").select(F.col(a).alias("src"), F.col(b).alias("dst")).distinct())
     seen = cut(names.select("name", F.col("name").alias("reached"), F.lit(0).alias("depth")).distinct())
     frontier = seen
     for d in range(1, depth + 1):
-        step = frontier.select("name", F.col("reached").alias("src")).join(steps, "src").select("name", F.col("dst").alias("reached")).distinct()
+        step = follow(frontier.select("name", F.col("reached").alias("src")), steps, heavy).select("name", F.col("dst").alias("reached")).distinct()
         frontier = cut(step.join(seen, ["name", "reached"], "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(frontier)
     return seen.where("depth > 0")

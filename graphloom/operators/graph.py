@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,18 +62,39 @@ def neighbors(edges: DataFrame, of: DataFrame | None = None, edge_type: str | No
     return both.join(of, "id", "left_semi") if of is not None else both
 
 
-def k_hop(edges: DataFrame, seeds: DataFrame, depth: int, both_ways: bool = True, known: DataFrame | None = None) -> DataFrame:
+#: Arcs of a vertex that one part of a join holds; vertices with more are heavy.
+HEAVY = 10_000
+
+
+def deal(steps: DataFrame, heavy_at: int = HEAVY) -> tuple[DataFrame, DataFrame]:
+    """(steps with ``part``, (src, parts)): the arcs of heavy vertices are dealt out over parts of about ``heavy_at``; the list holds heavy ones only."""
+    many = steps.groupBy("src").agg(F.count("*").alias("_n")).where(F.col("_n") > heavy_at)
+    heavy = cut(many.select("src", F.ceil(F.col("_n") / heavy_at).cast("int").alias("parts")))
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("dst"), F.col("parts"))).cast("int")
+    return cut(steps.join(heavy, "src", "left").withColumn("part", part).drop("parts")), heavy
+
+
+def follow(frontier: DataFrame, steps: DataFrame, heavy: DataFrame) -> DataFrame:
+    """``frontier`` (src, ...) joined with the dealt steps: a heavy vertex meets each part of its arcs in another task."""
+    spread = frontier.join(heavy, "src", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return spread.join(steps, ["src", "part"]).drop("part")
+
+
+def k_hop(edges: DataFrame, seeds: DataFrame, depth: int, both_ways: bool = True, known: DataFrame | None = None, heavy_at: int = HEAVY) -> DataFrame:
     """(seed, id, depth): least depth of everything within ``depth`` steps, seeds included at 0.
 
     ``known``: (id); other ends are neither returned nor passed through.
     """
     steps = (undirected(edges) if both_ways else edges.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))).select("src", "dst").distinct()
     if known is not None:
-        steps = steps.join(known.select(F.col("id").alias("dst")), "dst", "left_semi")
+        steps = steps.join(known.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
     seen = cut(seeds.select(F.col("id").alias("seed"), "id").distinct().withColumn("depth", F.lit(0)))
+    if depth < 1:
+        return seen
+    dealt, heavy = deal(steps, heavy_at)
     frontier = seen
     for d in range(1, depth + 1):
-        reached = frontier.select("seed", F.col("id").alias("src")).join(steps, "src").select("seed", F.col("dst").alias("id")).distinct()
+        reached = follow(frontier.select("seed", F.col("id").alias("src")), dealt, heavy).select("seed", F.col("dst").alias("id")).distinct()
         frontier = cut(reached.join(seen, ["seed", "id"], "left_anti").withColumn("depth", F.lit(d)))
         if frontier.limit(1).count() == 0:
             break
@@ -82,12 +102,12 @@ def k_hop(edges: DataFrame, seeds: DataFrame, depth: int, both_ways: bool = True
     return seen
 
 
-def weighted_neighbors(links: DataFrame, seeds: DataFrame, depth: int = 1, min_weight: int = 0) -> DataFrame:
+def weighted_neighbors(links: DataFrame, seeds: DataFrame, depth: int = 1, min_weight: int = 0, heavy_at: int = HEAVY) -> DataFrame:
     """(seed, via, id, weight_milli, depth): a row for each link of at least ``min_weight`` from a node nearer than ``depth``; weight 0 and null are left out."""
     useful = links.where((F.coalesce("weight_milli", F.lit(0)) > 0) & (F.col("weight_milli") >= min_weight))
-    near = k_hop(useful.select("from_id", "to_id"), seeds, depth - 1)
-    steps = undirected(useful, "from_id", "to_id", "weight_milli")
-    return near.withColumnRenamed("id", "src").join(steps, "src").select("seed", F.col("src").alias("via"), F.col("dst").alias("id"), "weight_milli", (F.col("depth") + 1).alias("depth"))
+    near = k_hop(useful.select("from_id", "to_id"), seeds, depth - 1, heavy_at=heavy_at)
+    steps, heavy = deal(undirected(useful, "from_id", "to_id", "weight_milli"), heavy_at)
+    return follow(near.withColumnRenamed("id", "src"), steps, heavy).select("seed", F.col("src").alias("via"), F.col("dst").alias("id"), "weight_milli", (F.col("depth") + 1).alias("depth"))
 
 
 def subgraph(links: DataFrame, seeds: DataFrame, depth: int = 2, min_weight: int = 200) -> DataFrame:
@@ -96,23 +116,50 @@ def subgraph(links: DataFrame, seeds: DataFrame, depth: int = 2, min_weight: int
     return rows.groupBy("seed", F.col("via").alias("source"), F.col("id").alias("target")).agg(F.max("weight_milli").alias("weight_milli"))
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, longest: int | None = None) -> DataFrame:
-    """(from_id, to_id, length, path): fewest steps between the ends of each pair, in either direction; of equal ones the least array. Unreached pairs have nulls, as have those further apart than ``longest``, if it is given."""
-    steps = undirected(edges).select("src", "dst").distinct()
-    ends = pairs.select("from_id", "to_id").distinct()
-    paths = cut(ends.select("from_id").distinct().select("from_id", F.col("from_id").alias("id"), F.array("from_id").alias("path")))
-    seen, frontier = paths, paths
-    wanted = ends.select("from_id", F.col("to_id").alias("id"))
-    for _ in count() if longest is None else range(longest):
-        if wanted.join(seen, ["from_id", "id"], "left_anti").limit(1).count() == 0:
-            break
-        grown = frontier.withColumnRenamed("id", "src").join(steps, "src").select("from_id", F.col("dst").alias("id"), F.array_append("path", F.col("dst")).alias("path"))
-        frontier = cut(grown.join(seen.select("from_id", "id"), ["from_id", "id"], "left_anti").groupBy("from_id", "id").agg(F.min("path").alias("path")))
-        if frontier.limit(1).count() == 0:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, longest: int | None = None, both_ends: bool = True, work: list[int] | None = None) -> DataFrame:
+    """(from_id, to_id, length, path): fewest steps between the ends of each pair, in either direction; of equal ones the least array. Unreached pairs have nulls, as have those further apart than ``longest``, if it is given.
+
+    Searches from both ends, each time from the side whose frontier is
+    smaller, until the frontiers of a pair meet: every shortest path then has
+    a vertex in both, and the least of them is the least beginning with the
+    least rest. ``both_ends=False`` searches from the first ends alone.
+    ``work`` gets the number of rows that each step has met.
+    """
+    dealt, heavy = deal(undirected(edges).select("src", "dst").distinct())
+    ends = cut(pairs.select("from_id", "to_id").distinct())
+    open_ = ends
+
+    def start(end: str) -> DataFrame:
+        return cut(ends.select(F.col(end).alias("end")).distinct().select("end", F.col("end").alias("id"), F.array("end").alias("path")))
+
+    seen = {"from_id": start("from_id"), "to_id": start("to_id")}
+    frontier, steps, found = dict(seen), 0, None
+    few_starts = seen["from_id"].count() <= seen["to_id"].count()
+    while True:
+        ours, theirs = (frontier[e].select(F.col("end").alias(e), "id", F.col("path").alias(f"_{e}")) for e in ("from_id", "to_id"))
+        # The pairs come in at the side that has more ends, so a row has few of them.
+        met = theirs.join(open_, "to_id").join(ours, ["from_id", "id"]) if few_starts else ours.join(open_, "from_id").join(theirs, ["to_id", "id"])
+        whole = F.concat("_from_id", F.slice("_to_id", F.lit(2), F.size("_to_id")))
+        done = cut(met.select("from_id", "to_id", whole.alias("path")).groupBy("from_id", "to_id").agg(F.min("path").alias("path")))
+        found = done if found is None else found.unionByName(done)
+        rest = open_.join(done, ["from_id", "to_id"], "left_anti")
+        for e in ("from_id", "to_id"):
+            rest = rest.join(frontier[e].select(F.col("end").alias(e)), e, "left_semi")
+        open_ = cut(rest.select("from_id", "to_id"))
+        if open_.limit(1).count() == 0 or (longest is not None and steps >= longest):
             break
-        seen = seen.unionByName(frontier)
-    found = ends.join(seen.withColumnRenamed("id", "to_id"), ["from_id", "to_id"], "left")
-    return found.select("from_id", "to_id", (F.size("path") - 1).alias("length"), "path").withColumn("length", F.when(F.col("path").isNotNull(), F.col("length")))
+        alive = {e: frontier[e].join(open_.select(F.col(e).alias("end")), "end", "left_semi") for e in frontier}
+        side = "from_id" if not both_ends or alive["from_id"].count() <= alive["to_id"].count() else "to_id"
+        grown = follow(alive[side].withColumnRenamed("id", "src"), dealt, heavy)
+        if work is not None:
+            work.append(grown.count())
+        longer = F.array_append("path", F.col("dst")) if side == "from_id" else F.array_prepend("path", F.col("dst"))
+        fresh = grown.select("end", F.col("dst").alias("id"), longer.alias("path")).join(seen[side].select("end", "id"), ["end", "id"], "left_anti")
+        frontier[side] = cut(fresh.groupBy("end", "id").agg(F.min("path").alias("path")))
+        seen[side] = seen[side].unionByName(frontier[side])
+        steps += 1
+    out = ends.join(found, ["from_id", "to_id"], "left")
+    return out.select("from_id", "to_id", F.when(F.col("path").isNotNull(), F.size("path") - 1).alias("length"), "path")
 
 
 def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -169,22 +216,37 @@ def rank_neighbors(links: DataFrame, by: str = "weight_milli") -> DataFrame:
     return both.withColumn("rank", F.row_number().over(order)).select(F.col("src").alias("id"), F.col("dst").alias("neighbor"), "weight_milli", "confidence_milli", "rank")
 
 
+def cyclic_core(arcs: DataFrame, rounds: int = 4) -> DataFrame:
+    """``arcs`` (src, dst) without those at ends that no cycle holds, peeled ``rounds`` times: vertices that nothing leads to or that lead nowhere."""
+    for _ in range(rounds):
+        out, in_ = arcs.select(F.col("src").alias("dst")).distinct(), arcs.select(F.col("dst").alias("src")).distinct()
+        peeled = cut(arcs.join(out, "dst", "left_semi").join(in_, "src", "left_semi").select("src", "dst"))
+        if peeled.count() == arcs.count():
+            break
+        arcs = peeled
+    return arcs
+
+
 def cycles(dependencies: DataFrame, proposed: DataFrame) -> DataFrame:
     """(id, dep, closes): whether giving ``id`` the dependency ``dep`` closes a cycle.
 
-    ``dependencies``: (id, dep). Walks from each proposed dep along
-    dependencies until nothing new is met.
+    ``dependencies``: (id, dep). A cycle of a proposed arc lies in what is
+    left once ends that no cycle holds are peeled off both lists together;
+    there one closure from the distinct proposed dependencies answers all
+    proposals. Only existing dependencies are walked.
     """
-    arcs = dependencies.select(F.col("id").alias("src"), F.col("dep").alias("dst")).distinct()
-    asked = proposed.select("id", "dep").distinct()
-    seen = cut(asked.select("id", "dep", F.col("dep").alias("at")))
+    arcs = cut(dependencies.select(F.col("id").alias("src"), F.col("dep").alias("dst")).distinct())
+    asked = cut(proposed.select("id", "dep").distinct())
+    core = cut(cyclic_core(cut(arcs.unionByName(asked.select(F.col("id").alias("src"), F.col("dep").alias("dst"))).distinct())))
+    steps, heavy = deal(arcs.join(core, ["src", "dst"], "left_semi").select("src", "dst"))
+    able = asked.join(core.select(F.col("src").alias("id"), F.col("dst").alias("dep")), ["id", "dep"], "left_semi")
+    seen = cut(able.select("dep", F.col("dep").alias("at")).distinct())
     frontier = seen
     while True:
-        # A walk that has met its id needs no further steps.
-        grown = frontier.where("at <> id").withColumnRenamed("at", "src").join(arcs, "src").select("id", "dep", F.col("dst").alias("at")).distinct()
-        frontier = cut(grown.join(seen, ["id", "dep", "at"], "left_anti"))
+        grown = follow(frontier.withColumnRenamed("at", "src"), steps, heavy).select("dep", F.col("dst").alias("at")).distinct()
+        frontier = cut(grown.join(seen, ["dep", "at"], "left_anti"))
         if frontier.limit(1).count() == 0:
             break
         seen = seen.unionByName(frontier)
-    hit = seen.where("at = id").select("id", "dep").distinct().withColumn("closes", F.lit(True))
+    hit = able.join(seen.withColumnRenamed("at", "id"), ["id", "dep"], "left_semi").withColumn("closes", F.lit(True))
     return asked.join(hit, ["id", "dep"], "left").select("id", "dep", F.coalesce("closes", F.lit(False)).alias("closes"))

@@ -576,7 +576,10 @@ def windowed_events(s, d):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-@query()
+@query(f"""WITH RECURSIVE {ctes('calls')}, {STEPS}, walk(id, length, path) USING KEY (id) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT), [CAST(1 AS BIGINT)]
+UNION SELECT st.b, min(w.length) + 1, min(list_append(w.path, st.b)) FROM walk w JOIN st ON w.id = st.a WHERE NOT EXISTS (SELECT 1 FROM recurring.walk x WHERE x.id = st.b) GROUP BY st.b)
+SELECT CAST(1 AS BIGINT) AS from_id, p_partkey + 1 AS to_id, walk.length, array_to_string(walk.path, '-') AS path FROM part LEFT JOIN walk ON walk.id = p_partkey + 1""")
 def shortest_path(s, d):
     pairs = fx.symbols(s, d).select(F.lit(1).cast("long").alias("from_id"), F.col("id").alias("to_id"))
-    return graph.shortest_paths(_call_graph(s, d), pairs)
+    out = graph.shortest_paths(_call_graph(s, d), pairs)
+    return out.select("from_id", "to_id", F.col("length").cast("long").alias("length"), F.array_join(F.col("path").cast("array<string>"), "-").alias("path"))

@@ -138,10 +138,3 @@ def export_json(tables: dict[str, DataFrame], path: str) -> None:
 
 def import_json(spark: SparkSession, path: str, names: tuple[str, ...] = ("planets", "notes", "note_links", "planet_links")) -> dict[str, DataFrame]:
     return {n: migrate(n, spark.read.schema(TABLES[n]).json(f"{path}/{n}")) for n in names}
-
-
-def read_document(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of an export that is one JSON document with an array for each."""
-    parts = ", ".join(f"{n}: array<{TABLES[n].simpleString()}>" for n in ("planets", "notes", "note_links", "planet_links"))
-    doc = spark.read.schema(parts).option("multiLine", True).json(path)
-    return {n: migrate(n, doc.select(F.inline(n))) for n in ("planets", "notes", "note_links", "planet_links")}
