@@ -4,7 +4,7 @@ Items are grouped by length into classes of a ratio of 1.2. The windows of a
 class have the length of its shortest item; documents and items are
 fingerprinted at every place, from running sums. A window's 64-bit SimHash is
 the sign of the sums of its words' bits, each word weighted by its rarity
-among the items.
+among all items.
 
 Fingerprints are cut into four blocks of 16 bits. Two fingerprints within
 ``radius`` differ by at most radius // 4 bits in some block, so tables of all
@@ -54,6 +54,36 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(fold_latin(data), ends, spaces=SPLIT)
 
 
+def common_words(words: np.ndarray, counts: np.ndarray, items: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words, sorted, that weigh less than 4, and their weights: 4 if at most one item in 100 holds the word, down to 1."""
+    share = counts / max(1, items)
+    weight = np.where(share <= 0.01, 4, np.where(share <= 0.05, 3, np.where(share <= 0.2, 2, 1))).astype(np.int8)
+    light = weight < 4
+    order = np.argsort(words[light], kind="stable")
+    return words[light][order], weight[light][order]
+
+
+def count_common_words(items: DataFrame, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """``common_words`` of all (text) items of ``min_words`` words or more, counted by Spark.
+
+    Only words that more than one item in 100 holds come to the driver, so at
+    most 100 times as many as an item has on average.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, ends = words_of(batch.column(0))
+            own = [np.unique(words[ends[i] : ends[i + 1]]) for i in range(len(batch)) if ends[i + 1] - ends[i] >= min_words]
+            some = np.concatenate(own) if own else words[:0]
+            yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(np.zeros(len(some), np.int64))], names=["word", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([len(own)], pa.int64())], names=["word", "items"])
+
+    counted = items.select("text").mapInArrow(run, "word long, items long").groupBy("word").agg(F.count("*").alias("n"), F.sum("items").alias("items"))
+    total = counted.where("word IS NULL").agg(F.sum("items")).first()[0] or 0
+    rows = counted.where("word IS NOT NULL").where(F.col("n") * 100 > total).collect()
+    return common_words(np.array([r["word"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64), total)
+
+
 @dataclass
 class LengthClass:
     """Items of about one length, the fingerprints of their windows, and for each block the table of near values."""
@@ -72,7 +102,7 @@ def near_masks(bits: int, most: int) -> np.ndarray:
 class Items:
     """Everything that executors need of one pass of items; ``item_bytes`` says how much an item takes."""
 
-    def __init__(self, ids: list[int], texts: list[str], radius: int = RADIUS, shingle: int = SHINGLE, min_words: int = MIN_WORDS, least: float = SIMILARITY):
+    def __init__(self, ids: list[int], texts: list[str], radius: int = RADIUS, shingle: int = SHINGLE, min_words: int = MIN_WORDS, least: float = SIMILARITY, common: tuple[np.ndarray, np.ndarray] | None = None):
         self.radius, self.shingle, self.least = radius, shingle, least
         words, ends = words_of(pa.array(texts, pa.string()))
         own = {i: words[ends[i] : ends[i + 1]] for i in range(len(ids)) if ends[i + 1] - ends[i] >= min_words}
@@ -85,11 +115,8 @@ class Items:
                 hashes = np.array([shingle_hashes(words[ends[i] : ends[i + 1]], n)[0] for i in those])
                 order = np.argsort(hashes, kind="stable")
                 self.short[n] = hashes[order], those[order]
-        # A word's weight: 4 if at most one item in 100 holds it, down to 1; words of no item weigh 4.
-        held = np.concatenate([np.unique(w) for w in own.values()]) if own else np.zeros(0, np.uint64)
-        self.known, counts = np.unique(held, return_counts=True)
-        share = counts / max(1, len(own))
-        self.weight = np.where(share <= 0.01, 4, np.where(share <= 0.05, 3, np.where(share <= 0.2, 2, 1))).astype(np.int8)
+        # Without a count over all items these are all there are.
+        self.known, self.weight = common if common is not None else common_words(*np.unique(np.concatenate([np.unique(w) for w in own.values()]) if own else np.zeros(0, np.uint64), return_counts=True), len(own))
         self.words = own
         self.parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for i, w in own.items():
@@ -330,13 +357,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     own = docs.select(F.col(f"`{key}`").alias("c0"), F.col(f"`{text}`").alias("c1"))
     total = listed.agg(F.sum(item_bytes(F.col("text"), radius)).alias("n")).first()["n"] or 0
     passes = max(1, int(-(-total // PASS_BYTES)))
+    # Every pass weighs words alike, so results do not depend on how items fall into passes.
+    common = count_common_words(listed, min_words) if passes > 1 else None
     kind = own.schema["c0"].dataType
     shape = T.StructType([T.StructField("c0", kind), T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("start_word", T.LongType())])
     out = None
     for p in range(passes):
         block = listed if passes == 1 else listed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p)
         rows = sorted(block.collect(), key=lambda r: (r["item_id"] is None, r["item_id"], r["text"]))
-        known = spark.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows], radius, min_words=min_words, least=similarity))
+        known = spark.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows], radius, min_words=min_words, least=similarity, common=common))
 
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             table = known.value
@@ -358,6 +387,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose key holds no item; rows with a null key stay unless a null-keyed row holds one."""
-    bad = find_leaks(docs, items, key=key, **options).select(F.col(f"`{key}`").alias("_bad")).distinct()
-    return docs.join(bad, F.col(f"`{key}`").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of ``docs`` whose key holds no item; rows with a null key stay unless a null-keyed row holds one. Columns can have any names; repeated rows share their fate, an empty table stays empty."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    bad = find_leaks(docs, items, key=key, **options).toDF("b0", "b1", "b2", "b3").select("b0").distinct()
+    own = docs.select(F.col(f"`{key}`").alias("k0"), *[F.col(f"`{c}`") for c in docs.columns]).toDF("k0", *names)
+    return own.join(bad, F.col("k0").eqNullSafe(F.col("b0")), "left_anti").select(*names).toDF(*docs.columns)

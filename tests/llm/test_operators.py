@@ -237,6 +237,28 @@ def test_short_items_and_passes(spark, monkeypatch):
     assert found() == want
 
 
+def test_passes_weigh_shared_words_alike(spark, monkeypatch):
+    """Items that share most of their words: similarities near the threshold move with the weights, so every cut into passes must use those of all items."""
+    rng = random.Random(12)
+    shared, rare = [f"s{i}" for i in range(40)], [f"r{i}" for i in range(400)]
+    items = [[rng.choice(shared) if rng.random() < 0.6 else rng.choice(rare) for _ in range(rng.randint(8, 30))] for _ in range(60)]
+    docs = [[rng.choice(rare) for _ in range(5)] + [w if rng.random() > 0.2 else rng.choice(shared) for w in item] for item in items for _ in range(3)]
+    frames = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], DOCS), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    found = lambda: sorted((r.doc_id, r.item_id, r.similarity) for r in decontaminate.find_leaks(*frames).collect())
+    one = found()
+    assert len(one) > 30
+    for size in (400_000, 60_000):
+        monkeypatch.setattr(decontaminate, "PASS_BYTES", size)
+        assert found() == one
+
+
+def test_dropping_leaks_from_clashing_columns(spark):
+    items = spark.createDataFrame([(1, "some words that make an item of the benchmark")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x some words that make an item of the benchmark y", 1), (2, "clean", 2), (None, "clean too", 3)], DOCS + ", _bad long")
+    assert sorted(r["_bad"] for r in decontaminate.drop_leaks(docs, items).collect()) == [2, 3]
+    assert decontaminate.drop_leaks(docs.limit(0), items).columns == docs.columns
+
+
 def test_recall_of_windows_alone(monkeypatch):
     """Of edited items that reach the similarity, how many the fingerprints find by themselves; with the shingles all are."""
     rng = random.Random(77)
