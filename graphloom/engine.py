@@ -104,7 +104,7 @@ class Engine:
         index.write(gone=self.spark.createDataFrame([(node,)], "id string"))
 
     def folder_hub(self, folder: str) -> None:
-        grown = memory.folder_hub(self.table("nodes"), folder, self.now)
+        grown = memory.folder_hubs(self.table("nodes"), self.spark.createDataFrame([(folder,)], "folder string"), self.now)
         self.add_nodes(grown.join(self.table("nodes").select("id"), "id", "left_anti"))
 
     def ensure_planet(self, topic: str) -> None:
@@ -187,7 +187,7 @@ class Engine:
         kept = out.where("action <> 'deleted'").select(F.col("from_note_id"), F.col("to_note_id"), "weight_milli", similarity.confidence_milli(F.col("weight_milli")).alias("confidence_milli"))
         explicit = self.table("note_links").where("link_type <> 'auto'")
         self.store.write("note_links", explicit.unionByName(link_rows(kept, self.now)), marks=self.store.marks("link_gains"))
-        return out.groupBy("action").count()
+        return similarity.recompute_counts(out, notes, "topic" if topic else None)
 
     # reads
 
@@ -214,6 +214,15 @@ class Engine:
         row = context.planet_pages(*[self.table(t).where(F.col("topic") == name) for t in ("planets", "notes")]).first()
         return row["text"] if row else None
 
+    def planet(self, topic: str) -> DataFrame:
+        """The row of a topic's planet, or none."""
+        return lookup.by_key(self.table("planets"), self.slug(topic), "topic")
+
+    def planet_dump(self, topic: str) -> str | None:
+        name = self.slug(topic)
+        row = context.planet_dumps(self.planet(topic), self.table("notes").where(F.col("topic") == name)).first()
+        return row["text"] if row else None
+
     def briefing(self) -> DataFrame:
         return context.briefing(self.table("planets"))
 

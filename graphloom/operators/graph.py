@@ -199,14 +199,15 @@ def clustering(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def graph_stats(edges: DataFrame, vertices: DataFrame, types: list[str]) -> DataFrame:
-    """(metric, value): counts of nodes, edges, components and edges of each type, zeros included."""
+    """(metric, value): counts of nodes, edges, components and edges of each type, zeros included, and the mean clustering coefficient in thousandths, rounded."""
     spark = edges.sparkSession
     named = spark.createDataFrame([(t,) for t in types], "edge_type string")
     by_type = named.join(edges.groupBy("edge_type").count(), "edge_type", "left").select(F.concat(F.lit("edges:"), "edge_type").alias("metric"), F.coalesce("count", F.lit(0)).alias("value"))
     n = vertices.agg(F.count("*").alias("value")).select(F.lit("nodes").alias("metric"), "value")
     m = edges.agg(F.count("*").alias("value")).select(F.lit("edges").alias("metric"), "value")
     c = components(edges, vertices).agg(F.countDistinct("component").alias("value")).select(F.lit("clusters").alias("metric"), "value")
-    return n.unionByName(m).unionByName(c).unionByName(by_type)
+    mean = clustering(edges, vertices).select(F.lit("clustering_milli").alias("metric"), F.coalesce(F.round("mean_milli"), F.lit(0.0)).cast("long").alias("value"))
+    return n.unionByName(m).unionByName(c).unionByName(by_type).unionByName(mean)
 
 
 def rank_neighbors(links: DataFrame, by: str = "weight_milli") -> DataFrame:

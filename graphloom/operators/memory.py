@@ -134,13 +134,14 @@ def archive_transcripts(planets: DataFrame, notes: DataFrame, nodes: DataFrame,
     return planets, notes, upsert(nodes, migrate("nodes", node), ["id"])
 
 
-def folder_hub(nodes: DataFrame, folder: str, now: Column) -> DataFrame:
-    """Nodes with the summary node of a folder, added if there is none."""
-    spark, title = nodes.sparkSession, f"Session: {folder}"
-    have = nodes.where((F.col("node_type") == "summary") & (F.col("title") == title)).limit(1)
-    row = spark.createDataFrame([(f"hub-{folder}", title, f"Global hub for project folder: {folder}", "summary", folder)], "id string, title string, content string, node_type string, folder string")
-    row = row.withColumns({"metadata": F.create_map(F.lit("is_folder_hub"), F.lit("true"), F.lit("folder"), F.col("folder")), "created_at": now}).drop("folder")
-    return nodes.unionByName(migrate("nodes", row.join(have.select("title"), "title", "left_anti")))
+def folder_hubs(nodes: DataFrame, folders: DataFrame, now: Column) -> DataFrame:
+    """Nodes with a summary node for each of (folder), added where there is none; null folders are left out."""
+    named = folders.where("folder IS NOT NULL").select("folder").distinct().withColumn("title", F.concat(F.lit("Session: "), "folder"))
+    fresh = named.join(nodes.where("node_type = 'summary'").select("title"), "title", "left_anti")
+    metadata = F.create_map(F.lit("is_folder_hub"), F.lit("true"), F.lit("folder"), F.col("folder"))
+    rows = fresh.select(
+        F.concat(F.lit("hub-"), "folder").alias("id"), "title", F.concat(F.lit("Global hub for project folder: "), "folder").alias("content"), F.lit("summary").alias("node_type"), metadata.alias("metadata"), now.alias("created_at"))
+    return nodes.unionByName(migrate("nodes", rows))
 
 
 def update_planets(planets: DataFrame, changes: DataFrame, now: Column) -> DataFrame:

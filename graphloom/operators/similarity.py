@@ -142,6 +142,13 @@ def recompute_links(notes: DataFrame, links: DataFrame, num: int = 1, den: int =
     return old.unionByName(fresh)
 
 
+def recompute_counts(out: DataFrame, notes: DataFrame, group: str | None = "topic") -> DataFrame:
+    """(action, count) of what ``recompute_links`` gave, and total_pairs: how many pairs the notes of each group make."""
+    sizes = notes.groupBy(F.col(group) if group else F.lit("")).agg(F.count("*").alias("n"))
+    pairs = sizes.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).cast("long").alias("count")).select(F.lit("total_pairs").alias("action"), "count")
+    return out.groupBy("action").count().unionByName(pairs)
+
+
 def reinforce(links: DataFrame, accesses: DataFrame, step_milli: int = 50) -> DataFrame:
     """Automatic links gain a step for each access (from_note_id, to_note_id rows), up to 1000."""
     n = accesses.groupBy("from_note_id", "to_note_id").agg(F.count("*").alias("_n"))

@@ -60,17 +60,40 @@ def render(sections: DataFrame, planets: DataFrame, titles: dict[str, str] | Non
     return blocks.join(named, "topic").select("topic", F.concat("head", F.array_join(F.transform("x", lambda x: x["b"]), "\n\n")).alias("text"))
 
 
-def agent_context(planets: DataFrame, notes: DataFrame, nodes: DataFrame | None, topic: str, query: str | None = None, results: int = 5, index: TextIndex | None = None) -> DataFrame:
-    """(topic, text) of one topic, with the best nodes for ``query`` at the end, found by ``index`` where that is given."""
-    mine = planets.where(F.col("topic") == topic)
-    own = render(context_sections(mine, notes.where(F.col("topic") == topic)), mine)
-    if not query or nodes is None:
-        return own
-    best = index.search(query, results) if index is not None else bm25(nodes, "id", NODE_TEXTS, query, results)
-    hits = best.join(nodes, "id")
+# What stands at the end of a topic's context.
+INSTRUCTIONS = (
+    "## Instructions\n- Use this memory before answering.\n- Prefer existing decisions unless the user asks to revisit them.\n"
+    "- After answering, log durable updates back into the knowledge base."
+)
+
+
+def agent_context(planets: DataFrame, notes: DataFrame, nodes: DataFrame | None, topic: str | None, query: str | None = None, results: int = 5, index: TextIndex | None = None) -> DataFrame:
+    """(topic, text) of one topic, or of all if it is None: its sections, the best nodes for ``query`` (found by ``index`` where that is given), the handoff and the instructions."""
+    mine = planets.where(F.col("topic") == topic) if topic is not None else planets
+    own = render(context_sections(mine, notes.where(F.col("topic") == topic) if topic is not None else notes), mine)
     line = F.concat(F.lit("- ["), F.col("node_type"), F.lit("] "), F.col("title"), F.lit(": "), trim_text(F.col("content"), 220))
-    found = hits.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", line.alias("line")))), lambda x: x["line"]), "\n").alias("found")).withColumn("topic", F.lit(topic))
-    return own.join(found, "topic", "left").select("topic", F.when(F.coalesce("found", F.lit("")) != "", F.concat("text", F.lit("\n\n## Query-Relevant Memories\n"), "found")).otherwise(F.col("text")).alias("text"))
+    memories = F.lit(None).cast("string")
+    if query and nodes is not None:
+        best = index.search(query, results) if index is not None else bm25(nodes, "id", NODE_TEXTS, query, results)
+        hits = best.join(nodes, "id")
+        found = hits.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", line.alias("line")))), lambda x: x["line"]), "\n").alias("found"))
+        own = own.join(F.broadcast(found))  # one row
+        memories = F.when(F.col("found") != "", F.concat(F.lit("## Query-Relevant Memories\n"), "found"))
+    left = mine.select("topic", F.when(F.col("handoff") != "", F.concat(F.lit("## Handoff\n"), trim_text(F.col("handoff"), 400))).alias("_handoff"))
+    return own.join(left, "topic", "left").select("topic", F.concat_ws("\n\n", "text", memories, "_handoff", F.lit(INSTRUCTIONS)).alias("text"))
+
+
+def planet_dumps(planets: DataFrame, notes: DataFrame, shown: int = 10, counted: int = 100) -> DataFrame:
+    """(topic, text): all that a planet holds, and the first of its newest notes; ``counted``: how many notes it looks at."""
+    dash = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("\u2014"))
+    named = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(f"  {label}: "), F.array_join(c, ", ")))
+    title = F.concat(F.coalesce(F.nullif(F.col("display_topic"), F.lit("")), "topic"), F.lit(" | "), F.coalesce(F.nullif(F.col("status"), F.lit("")), F.lit("active")))
+    newest = _newest(notes, counted).select("topic", F.struct("ord", F.concat(F.lit("    ["), F.substring("kind", 1, 4), F.lit("] "), F.substring(F.coalesce("content", F.lit("")), 1, 200)).alias("line")).alias("x"))
+    said = newest.groupBy("topic").agg(F.count("*").alias("_n"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("x")), 1, shown), lambda x: x["line"]), "\n").alias("_notes"))
+    head = F.concat_ws(
+        "\n", title, F.concat(F.lit("  goal: "), dash("goal")), F.concat(F.lit("  state: "), dash("current_state")), F.concat(F.lit("  next: "), dash("next_step")), named("steps", "next_steps"), named("files", "files"),
+        named("cmds", "commands"), F.when(F.col("handoff") != "", F.concat(F.lit("  handoff: "), "handoff")), F.when(F.col("_n") > 0, F.concat(F.lit("  notes ("), F.col("_n").cast("string"), F.lit("):\n"), "_notes")))
+    return planets.join(said, "topic", "left").select("topic", head.alias("text"))
 
 
 def compact_context(notes: DataFrame, tasks: DataFrame, query: str = "", open_tasks: int = 5) -> DataFrame:

@@ -157,10 +157,12 @@ def archive_transcripts(s, d):
     return nodes.select("id", "title", "content", F.array_join("keywords", ",").alias("keywords")).join(said, "id")
 
 
-@query("SELECT 'Session: work' AS title, 2 AS calls, 1 AS n")
+@query("WITH f AS (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) SELECT 'hub-' || source AS id, 'Session: ' || source AS title, 'Global hub for project folder: ' || source AS content, 1 AS n FROM f")
 def folder_hub(s, d):
-    once = memory.folder_hub(empty(s, "nodes"), "work", _now())
-    return memory.folder_hub(graph.cut(once), "work", _now()).groupBy("title").agg(F.lit(2).alias("calls"), F.count("*").cast("int").alias("n"))
+    """A hub for every source, asked for twice."""
+    folders = fx.table(s, d, "documents").select(F.col("source").alias("folder"))
+    once = graph.cut(memory.folder_hubs(empty(s, "nodes"), folders, _now()))
+    return memory.folder_hubs(once, folders, _now()).groupBy("id", "title", "content").agg(F.count("*").cast("int").alias("n"))
 
 
 @query(f"""WITH {ctes('tasks')} SELECT id, CASE WHEN id = 1 THEN 'done' ELSE status END AS status, CASE WHEN id = 1 THEN 'a.py,b.py' ELSE '' END AS files, CASE WHEN id = 1 THEN '3,9' ELSE '' END AS notes FROM tasks""")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import code, graph, memory, search, similarity
+from ..operators import code, graph, lookup, memory, search, similarity
 from ..sources import code_files, fixtures as fx
 from ..sources.fixtures import ctes
 from ..streaming import operators as streams
@@ -64,7 +64,7 @@ def planets_latest(s, d):
 
 @query(f"WITH {ctes('turn_planets')} SELECT id, topic, goal FROM turn_planets")
 def planets_list(s, d):
-    return fx.planets_of(fx.turn_notes(s, d)).select("id", "topic", "goal")
+    return lookup.list_planets(fx.planets_of(fx.turn_notes(s, d))).select("id", "topic", "goal")
 
 
 @query(f"WITH {ctes('tasks')} SELECT topic, status, n, CAST(sum(n) OVER (PARTITION BY topic) AS BIGINT) AS total FROM (SELECT topic, status, count(*) AS n FROM tasks GROUP BY ALL)")
@@ -256,7 +256,9 @@ def connected_components(s, d):
 
 @query(f"WITH RECURSIVE {ctes('edges')}, st AS (SELECT from_id AS a, to_id AS b FROM edges UNION SELECT to_id, from_id FROM edges), "
        "lab(id, component) USING KEY (id) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT st.b, min(l.component) FROM lab l JOIN st ON l.id = st.a JOIN recurring.lab x ON x.id = st.b WHERE l.component < x.component GROUP BY st.b), "
-       "t AS (SELECT unnest(['A', 'N', 'R', 'X']) AS t) SELECT 'nodes' AS metric, (SELECT count(*) FROM part) AS value UNION ALL SELECT 'clusters', (SELECT count(DISTINCT component) FROM lab) UNION ALL SELECT 'edges', (SELECT count(*) FROM edges) UNION ALL SELECT 'edges:' || t, (SELECT count(*) FROM edges WHERE edge_type = t) FROM t")
+       "e AS (SELECT DISTINCT least(from_id, to_id) AS a, greatest(from_id, to_id) AS b FROM edges WHERE from_id <> to_id), deg AS (SELECT a AS id, count(*) AS d FROM st WHERE a <> b GROUP BY a), "
+       "tri AS (SELECT x.a AS p, x.b AS q, y.b AS r FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b), c AS (SELECT id, count(*) AS t FROM (SELECT p AS id FROM tri UNION ALL SELECT q FROM tri UNION ALL SELECT r FROM tri) GROUP BY id), "
+       "t AS (SELECT unnest(['A', 'N', 'R', 'X']) AS t) SELECT 'nodes' AS metric, (SELECT count(*) FROM part) AS value UNION ALL SELECT 'clusters', (SELECT count(DISTINCT component) FROM lab) UNION ALL SELECT 'edges', (SELECT count(*) FROM edges) UNION ALL SELECT 'edges:' || t, (SELECT count(*) FROM edges WHERE edge_type = t) FROM t UNION ALL SELECT 'clustering_milli', (SELECT CAST(round(1000 * (SELECT coalesce(sum(coalesce(t, 0) * 2 / (d * (d - 1))), 0) FROM deg LEFT JOIN c USING (id) WHERE d >= 2) / (SELECT count(*) FROM part)) AS BIGINT))")
 def graph_stats_edge_types(s, d):
     vertices = fx.table(s, d, "part").select(F.col("p_partkey").alias("id"))
     return graph.graph_stats(fx.edges(s, d), vertices, ["A", "N", "R", "X"])

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.engine import Engine
+from graphloom.plans import context
 
 
 def test_memory_and_code(spark, tmp_path):
@@ -21,7 +22,7 @@ def test_memory_and_code(spark, tmp_path):
     assert sorted(r.weight for r in e.table("note_links").collect()) == [0.1, 0.1, 0.3, 0.5, 0.8, 0.9]
     e.prune(0.15)
     assert e.table("note_links").count() == 4
-    assert {r.action: r["count"] for r in e.recompute("graph test").collect()} == {"created": 2}
+    assert {r.action: r["count"] for r in e.recompute("graph test").collect()} == {"created": 2, "total_pairs": 6}
     e.pin(2)
     e.update_planet("graph test", goal="Link things", next_step="write")
     text = e.agent_context("Graph Test")
@@ -59,6 +60,9 @@ def test_pages_links_archives_and_index(spark, tmp_path):
     e.log_interaction("First Topic", decision="use it", current_state="begun", activity="hello")
     assert e.planet_page("first topic") is not None and "## Decisions\n- use it" in e.planet_page("first topic") and "hello" in e.planet_page("first topic")
     e.ensure_planet("FIRST topic")
+    e.update_planet("first topic", handoff="carry on")
+    assert e.agent_context("first topic").endswith("\n\n## Handoff\ncarry on\n\n" + context.INSTRUCTIONS) and e.planet("First Topic").first().handoff == "carry on"
+    assert e.planet_dump("first topic") == "first-topic | active\n  goal: \u2014\n  state: begun\n  next: \u2014\n  handoff: carry on\n  notes (2):\n    [turn] hello\n    [deci] use it" and e.planet_dump("none") is None
     assert e.planets().first().aliases == ["FIRST topic", "first-topic"]
     e.create_task("Second", "a task")
     e.link_planets("first topic", "second")
