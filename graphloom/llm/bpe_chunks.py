@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -298,6 +299,8 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
             out = []
             for i in range(len(column)):
                 own = column[i].values
+                if own is not None and len(own) and pc.min(own).as_py() < 0:
+                    raise ValueError(f"{pc.min(own)} is no id")
                 out.append("" if own is None else b"".join([table[k] for k in own.to_numpy(zero_copy_only=False).tolist()]).decode("utf-8", "replace"))
             yield _with_column(batch, pa.array(out, pa.string()), place)
 

@@ -138,9 +138,10 @@ class Model:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, curve_rows: int = CURVE_ROWS) -> Model | None:
     """A model from a sample of about ``sample_rows`` rows (all, if there are fewer); None without labelled texts.
 
-    Rows enter by a hash of their text, and rows alike in text and label once,
-    so the sample is the same however the table is partitioned and bounded
-    however often a text is repeated. Whole texts are counted; sums by
+    Every language has the same share of the sample, or all its texts where
+    they are fewer. Rows enter by a hash of their text, and rows alike in text
+    and label count and enter once, so the sample is the same however the
+    table is partitioned and however often a text is repeated. Whole texts are counted; sums by
     language and bucket are made in Spark, so at most languages x 65536
     numbers come to the driver, and for the bits' curves the counts of about
     ``curve_rows`` texts, again chosen by a hash of the text. Rows with a null
@@ -148,11 +149,15 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_ro
     """
     limit_batches(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    total = rows.count()
-    if total > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(sample_rows / total * (1 << 30)))
+    # One row a language.
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.countDistinct(F.xxhash64("text")).alias("n")).collect()}
+    share = -(-sample_rows // max(1, len(sizes)))
+    total = sum(min(n, share) for n in sizes.values())
+    if large := {k: n for k, n in sizes.items() if n > share}:
+        most = F.create_map(*[F.lit(x) for k, n in large.items() for x in (k, int(share / n * (1 << 30)))])
+        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.coalesce(F.try_element_at(most, F.col("lang")), F.lit(1 << 30)))
     rows = rows.dropDuplicates(["text", "lang"])
-    for_curve = F.pmod(F.xxhash64(F.lit(1), F.col("text")), F.lit(1 << 20)) < int(min(1.0, curve_rows / max(1, min(total, sample_rows))) * (1 << 20))
+    for_curve = F.pmod(F.xxhash64(F.lit(1), F.col("text")), F.lit(1 << 20)) < int(min(1.0, curve_rows / max(1, total)) * (1 << 20))
     rows = rows.withColumn("curve", for_curve)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,8 @@ MAX_RULES = 5000
 class UrlRule:
     """``pattern`` runs on host + path (``scope`` place) or on the whole URL (``scope`` url).
 
-    ``tokens``: lower-case alphanumeric runs that stand, as whole runs, in
+    The place is what stands behind the first ``://``, so no other one in a
+    query counts. ``tokens``: lower-case alphanumeric runs that stand, as whole runs, in
     every URL that the pattern fits. Where the pattern has alternatives,
     ``any_of`` has a run of each instead: one of them stands in every such
     URL, and the rule is filed under all. ``kind`` site: the longest fitting
@@ -57,13 +58,13 @@ SITE_RULES = (
 )
 
 PATTERN_RULES = (
-    UrlRule("ad-host", "block", r"(?i)://(?:[^/?#]*\.)?(?:ads|adserver|doubleclick)\.", (), any_of=("ads", "adserver", "doubleclick")),
-    UrlRule("adserver-host", "block", r"(?i)://(?:[^/?#]*\.)?adserver\.", ("adserver",)),
+    UrlRule("ad-host", "block", r"(?i)^(?:[^/]*\.)?(?:ads|adserver|doubleclick)\.", (), scope="place", any_of=("ads", "adserver", "doubleclick")),
+    UrlRule("adserver-host", "block", r"(?i)^(?:[^/]*\.)?adserver\.", ("adserver",), scope="place"),
     UrlRule("archive-file", "block", r"(?i)\.(?:zip)(?:$|[?#])", ("zip",)),
     UrlRule("binary-file", "block", r"(?i)\.(?:exe)(?:$|[?#])", ("exe",)),
-    UrlRule("login-page", "block", r"(?i)://[^?#]*/login(?:$|[/?#])", ("login",)),
+    UrlRule("login-page", "block", r"(?i)/login(?:$|/)", ("login",), scope="place"),
     UrlRule("session-link", "block", r"(?i)[?&](?:sessionid)=", ("sessionid",)),
-    UrlRule("casino-site", "block", r"(?i)://[^?#]*\bcasino\b", ("casino",)),
+    UrlRule("casino-site", "block", r"(?i)\bcasino\b", ("casino",), scope="place"),
 )
 
 
@@ -154,13 +155,13 @@ WITH p AS (
   FROM pages),
 rules(name, host, path, verdict) AS (VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
   ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
-patterns(name, pattern) AS (VALUES ('ad-host', '(?i)://([^/?#]*\.)?(ads|adserver|doubleclick)\.'), ('adserver-host', '(?i)://([^/?#]*\.)?adserver\.'),
-  ('archive-file', '(?i)\.(zip)($|[?#])'), ('binary-file', '(?i)\.(exe)($|[?#])'), ('login-page', '(?i)://[^?#]*/login($|[/?#])'),
-  ('session-link', '(?i)[?&](sessionid)='), ('casino-site', '(?i)://[^?#]*\bcasino\b')),
+patterns(name, place, pattern) AS (VALUES ('ad-host', true, '(?i)^([^/]*\.)?(ads|adserver|doubleclick)\.'), ('adserver-host', true, '(?i)^([^/]*\.)?adserver\.'),
+  ('archive-file', false, '(?i)\.(zip)($|[?#])'), ('binary-file', false, '(?i)\.(exe)($|[?#])'), ('login-page', true, '(?i)/login($|/)'),
+  ('session-link', false, '(?i)[?&](sessionid)='), ('casino-site', true, '(?i)\bcasino\b')),
 numbered AS (SELECT row_number() OVER () AS k, * FROM p),
 site AS (SELECT k, arg_max(r.name, (length(r.name), r.name)) AS rule, arg_max(r.verdict, (length(r.name), r.name)) AS verdict, string_agg(r.name, ',') AS names
   FROM numbered n JOIN rules r ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path) GROUP BY k),
-pat AS (SELECT k, string_agg(q.name, ',') AS names FROM numbered n JOIN patterns q ON regexp_matches(coalesce(n.url, ''), q.pattern) GROUP BY k)
+pat AS (SELECT k, string_agg(q.name, ',') AS names FROM numbered n JOIN patterns q ON regexp_matches(CASE WHEN q.place THEN n.host || n.path ELSE coalesce(n.url, '') END, q.pattern) GROUP BY k)
 SELECT n.page_id, n.host, n.path, s.rule, coalesce(s.verdict, CASE WHEN t.k IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
        coalesce(array_to_string(list_sort(string_split(concat_ws(',', s.names, t.names), ',')), ','), '') AS fired
 FROM numbered n LEFT JOIN site s ON n.k = s.k LEFT JOIN pat t ON n.k = t.k

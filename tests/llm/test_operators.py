@@ -293,12 +293,34 @@ def test_url_filter_against_brute_force(spark):
         m = re.search(r"://([^/?#]*)([^?#]*)", r.url or "")
         host, path = (m[1].lower(), m[2]) if m else ("", "")
         fit = [(len(h + p), h + p, v) for h, p, v in sites if (host == h or host.endswith("." + h)) and path.startswith(p)]
-        other = [u for u in url_filter.PATTERN_RULES if re.search(u.pattern, r.url or "")]
+        other = [u for u in url_filter.PATTERN_RULES if re.search(u.pattern, (r.url or "") if u.scope == "url" else host + path)]
         assert (r.host, r.path) == (host, path)
         assert (r.rule, r.verdict) == ((max(fit)[1], max(fit)[2]) if fit else (None, "block" if other else "allow"))
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_places_end_where_the_query_begins(spark):
+    urls = ["https://site.org/?u=http://ads.example.org/", "https://site.org/x?next=http://a.b/login", "https://site.org/login?x", "https://ads.site.org", "https://site.org/?q=casino", "https://casino.org"]
+    out = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()
+    assert [r.fired for r in out] == ["", "", "login-page", "ad-host", "", "casino-site"]
+
+
+def test_rare_languages_and_repeats_are_learned(spark):
+    english = "the quick brown fox jumps over the lazy dog and runs away with number %d of them"
+    german = "der schnelle braune Fuchs springt \u00fcber den faulen Hund und l\u00e4uft davon mit Nummer %d"
+    rows = [(i, english % (i % 40), "en") for i in range(3000)] + [(9000 + i, german % i, "de") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(df, sample_rows=30)
+    asked = spark.createDataFrame([(1, english % 99), (2, german % 99)], "doc_id long, text string")
+    assert [r.lang_pred for r in language_id.identify(asked, model).orderBy("doc_id").collect()] == ["en", "de"]
+
+
+def test_negative_ids_are_errors(spark):
+    df = spark.createDataFrame([(1, [5, -1])], "doc_id long, ids array<int>")
+    with pytest.raises(Exception, match="-1 is no id"):
+        bpe_chunks.decode_ids(df, tokenizer_file("byte_bpe_50k.json")).collect()
+
+
 def test_rules_of_alternatives_are_fetched_by_each(spark):
     urls = ["http://ad.doubleclick.net/x", "http://DoubleClick.net", "http://adserver.site.org/", "http://a.ads.b.doubleclick.adserver.org/login", "http://ads.com/x", "http://doubleclicks.org/ads.", "http://x.org/doubleclick.net", "http://x.org/?a=://ads.b"]
     out = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
