@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import slug
+from .functions.text import slug_of
 from .operators import code, graph, lookup, memory, search, similarity
 from .operators.fulltext import TextIndex
 from .plans import context
@@ -24,7 +24,7 @@ class Engine:
         return self.store.read(name)
 
     def slug(self, topic: str) -> str:
-        return self.spark.range(1).select(slug(F.lit(topic)).alias("s")).first()["s"]
+        return slug_of(topic)
 
     # notes and planets
 
@@ -41,19 +41,18 @@ class Engine:
     def note_index(self) -> similarity.NoteIndex:
         return self._index("notes", similarity.NoteIndex)
 
-    def _save_notes(self, notes: DataFrame, planets: DataFrame) -> DataFrame:
-        """Stores new states of both tables and gives the notes that are new; the index learns of them and of those that are gone."""
+    def _save_notes(self, notes: DataFrame, planets: DataFrame, drops: bool = False) -> DataFrame:
+        """Stores new states of both tables and gives the notes that are new; the index learns of them and, with ``drops``, of those that are gone."""
         index, before = self.note_index(), self.table("notes").select("id")
-        # What is new is told by key, so that both states can be read again.
+        # What is new is told by key; no table is written in place, so both states can be read on.
         grown = graph.cut(notes.join(before, "id", "left_anti"))
-        gone = graph.cut(before.join(notes.select("id"), "id", "left_anti"))
-        lost = gone.limit(1).count() > 0
-        if lost:
+        gone = graph.cut(before.join(notes.select("id"), "id", "left_anti")) if drops else None
+        if drops:
             self.store.write("notes", notes)
         else:
             self.store.write("notes", grown, append=True)
-        self.store.write("planets", graph.cut(planets))
-        index.write(grown, gone if lost else None)
+        self.store.write("planets", planets)
+        index.write(grown, gone)
         return grown
 
     def add_note(self, topic: str, content: str, kind: str = "fact", title: str | None = None, agent_id: str | None = None, status: str | None = None, auto_link: bool = True) -> dict:
@@ -64,7 +63,7 @@ class Engine:
         """
         row = self.spark.createDataFrame([(topic, kind, content, title, agent_id, status, 1)], "topic string, kind string, content string, title string, agent_id string, status string, ord int")
         planets, notes = memory.add_notes(self.table("planets"), self.table("notes"), row, self.now)
-        grown = self._save_notes(graph.cut(notes), planets)
+        grown = self._save_notes(notes, planets)
         if auto_link:
             self._link(grown)
         name = self.slug(topic)
@@ -81,13 +80,13 @@ class Engine:
         names = ("topic", "decision", "fact", "summary", "current_state", "next_step", "activity")
         row = self.spark.createDataFrame([(topic, decision, fact, summary, current_state, next_step, activity, 0)], ", ".join(f"{n} string" for n in names) + ", ord long")
         planets, notes = memory.log_interaction(self.table("planets"), self.table("notes"), row, self.now)
-        self._link(self._save_notes(graph.cut(notes), planets))
+        self._link(self._save_notes(notes, planets))
 
     def archive(self, topic: str, transcript: str, agent_id: str, archive_id: str) -> None:
         """A transcript as a conversation node of an existing planet; without that planet nothing changes."""
         row = self.spark.createDataFrame([(topic, transcript, agent_id, archive_id, 0)], "topic string, transcript string, agent_id string, archive_id string, ord long")
         planets, notes, nodes = memory.archive_transcripts(self.table("planets"), self.table("notes"), self.table("nodes"), row, self.now)
-        self._save_notes(graph.cut(notes), planets)
+        self._save_notes(notes, planets)
         self.add_nodes(nodes.where(F.col("id") == archive_id))
 
     def add_nodes(self, nodes: DataFrame) -> None:
@@ -150,12 +149,12 @@ class Engine:
         out = memory.delete_planet(self.slug(topic), *[self.table(n) for n in names])
         for name in ("note_links", "tasks", "planet_links"):
             self.store.write(name, out[name])
-        self._save_notes(out["notes"], out["planets"])
+        self._save_notes(out["notes"], out["planets"], drops=True)
 
     def compact(self, topic: str) -> None:
         planets, notes, links = memory.compact_topic(self.slug(topic), self.table("planets"), self.table("notes"), self.table("tasks"), self.table("note_links"))
         self.store.write("note_links", links)
-        self._save_notes(graph.cut(notes), planets)
+        self._save_notes(notes, planets, drops=True)
 
     def set_memory_state(self, topic: str, state: str) -> None:
         self.store.write("planets", memory.set_memory_state(self.table("planets"), self.slug(topic), state))
@@ -271,8 +270,8 @@ class Engine:
 
     def block_task(self, task: int, reason: str = "") -> None:
         planets, notes, tasks = memory.block_task(self.table("planets"), self.table("notes"), self.table("tasks"), task, reason, self.now)
-        self.store.write("tasks", graph.cut(tasks))
-        self._save_notes(graph.cut(notes), planets)
+        self.store.write("tasks", tasks)
+        self._save_notes(notes, planets)
 
     # code
 
@@ -342,7 +341,7 @@ class Engine:
             grown, n = memory.import_table(name, self.table(name), graph.cut(df))
             counts[name] = tuple(n.first())
             if name == "notes":
-                self._save_notes(graph.cut(grown), self.table("planets"))
+                self._save_notes(grown, self.table("planets"))
             else:
                 self.store.write(name, grown)
         return counts

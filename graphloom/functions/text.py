@@ -35,6 +35,11 @@ def slug(topic: Column) -> Column:
     return F.coalesce(F.when(trimmed != "", trimmed), F.lit("general"))
 
 
+def slug_of(topic: str | None) -> str:
+    """``slug`` of one text, outside Spark."""
+    return re.sub("^-|-$", "", re.sub("[^a-z0-9]+", "-", (topic or "").lower())) or "general"
+
+
 def tokens(text: Column) -> Column:
     """Distinct runs of three or more letters a-z, lower-cased, without stopwords."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-zA-Z]{3,}"), F.lit(0))

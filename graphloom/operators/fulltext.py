@@ -298,13 +298,13 @@ class TextIndex:
             return rows
         return rows.join(changed, "id", "left").where(F.col("seg") >= F.coalesce("last", "seg")).drop("last")
 
-    def _lengths(self, ids: DataFrame, gen: str, segments: list[int]) -> DataFrame:
-        """(id, length) of the rows among ``ids`` that the index holds."""
+    def _lengths(self, ids: DataFrame, gen: str, segments: list[int]) -> tuple[int, int]:
+        """(rows, terms) of the rows among ``ids`` that the index holds."""
         docs = self._table("docs", gen, segments, "id length live seg")
         some = [r[0] for r in ids.limit(NAMED_KEYS + 1).collect()]
         own = docs.where(F.col("id").isin(some)) if len(some) <= NAMED_KEYS else docs.join(ids, "id", "left_semi")
         newest = own.groupBy("id").agg(F.max_by(F.struct("length", "live"), "seg").alias("x"))
-        return newest.where("x.live").select("id", "x.length")
+        return tuple(newest.where("x.live").agg(F.count("*"), F.coalesce(F.sum("x.length"), F.lit(0))).first())
 
     def _post(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         return post(rows, self.key, self.columns)
@@ -331,7 +331,7 @@ class TextIndex:
         reduce(DataFrame.unionByName, parts).repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{place}/docs")
         own = self.spark.read.schema(self._schema("id length live")).parquet(f"{place}/docs")
         new = own.agg(F.count(F.when(F.col("live"), 1)), F.coalesce(F.sum("length"), F.lit(0))).first()
-        old = (0, 0) if not have else self._lengths(own.select("id"), gen, have).agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        old = (0, 0) if not have else self._lengths(own.select("id"), gen, have)
         self._note(place, "note", json.dumps({"rows": new[0] - old[0], "terms": new[1] - old[1]}))
         if len(have) + 1 > MAX_SEGMENTS:
             self.merge()

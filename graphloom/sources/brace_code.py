@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.text import content_hash
 from ..operators.graph import cut
 
+#: What a file holds, a row each.
+EXTRACTED = "path string, what string, name string, type string, start_line int, end_line int, start_col int, end_col int, signature string, docstring string, parent string, target string, content_hash string"
 #: Languages that are read here.
 BRACE_LANGUAGES = ("javascript", "typescript", "tsx", "rust")
 
@@ -143,13 +145,15 @@ def definitions(tokens: DataFrame, round_: DataFrame) -> DataFrame:
 
 
 def extract_braces(files: DataFrame) -> DataFrame:
-    """What (path, language, content) files of ``BRACE_LANGUAGES`` hold, in the columns of ``code_files.EXTRACTED``.
+    """What (path, language, content) files of ``BRACE_LANGUAGES`` hold, in the columns of ``EXTRACTED``.
 
     Null and empty files hold nothing; a brace that is never closed ends
     nowhere, so its definition ends on its own line. Repeated paths are not
     told apart: give each file once.
     """
     own = files.where(F.col("language").isin(*BRACE_LANGUAGES)).select("path", "language", F.coalesce(F.col("content").cast("string"), F.lit("")).alias("content"))
+    if own.limit(1).count() == 0:
+        return own.sparkSession.createDataFrame([], EXTRACTED)
     tokens = cut(around(code_tokens(own)))
     round_ = blocks_of(tokens, "(", ")", "p")
     braces = cut(blocks_of(tokens, "{", "}", "d"))

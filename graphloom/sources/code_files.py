@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .brace_code import BRACE_LANGUAGES, extract_braces
+from .brace_code import BRACE_LANGUAGES, EXTRACTED, extract_braces
 
 # Folders that are not searched, and languages by extension.
 SKIP_DIRS = (
@@ -26,8 +26,6 @@ SKIP_DIRS = (
 )
 LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "tsx", "rs": "rust", "go": "go", "java": "java", "rb": "ruby", "c": "c", "h": "c", "cpp": "cpp", "lua": "lua", "sh": "bash"}
 
-EXTRACTED = "path string, what string, name string, type string, start_line int, end_line int, start_col int, end_col int, signature string, docstring string, parent string, target string, content_hash string"
-
 
 def language_of(path: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])

@@ -21,6 +21,9 @@ def rows_of(index, query, raw=True):
 
 
 def test_terms_are_the_same_on_both_sides(spark):
+    slugs = ["Two  Words!", "-a-", "", None, "É x", "ABC_d"]
+    made = [r.s for r in spark.createDataFrame(list(enumerate(slugs)), "i int, x string").orderBy("i").select(fn.slug(F.col("x")).alias("s")).collect()]
+    assert made == [fn.slug_of(x) for x in slugs]
     texts = ["Café CRÈME", "foo_bar-baz", "Ünïcödé ñandú x2", "数学 и Язык", "éclair", "", None, "a.b,c!", "İstanbul ß"]
     got = [r.t for r in spark.createDataFrame(list(enumerate(texts)), "i int, x string").orderBy("i").select(fn.terms(F.col("x")).alias("t")).collect()]
     assert got == [fn.query_terms(t) for t in texts]
