@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,17 @@ from .sources import code_files, documents, store as stores
 from .streaming import gains
 
 
+def _stores(method):
+    """For methods whose results are stored or plain values when they return: the steps on the way are removed."""
+
+    @wraps(method)
+    def run(self, *args, **options):
+        with graph.steps_removed(self.spark):
+            return method(self, *args, **options)
+
+    return run
+
+
 class Engine:
     """Reads give DataFrames; writes make new versions of tables."""
 
@@ -55,6 +68,7 @@ class Engine:
         index.write(grown, gone)
         return grown
 
+    @_stores
     def add_note(self, topic: str, content: str, kind: str = "fact", title: str | None = None, agent_id: str | None = None, status: str | None = None, auto_link: bool = True) -> dict:
         """Adds a note, links it with the notes of its topic unless it is a turn or summary, and says whether a summary is due.
 
@@ -75,6 +89,7 @@ class Engine:
         if new.limit(1).count():
             self.store.merge("note_links", new, "ignore")
 
+    @_stores
     def log_interaction(self, topic: str, decision: str = "", fact: str = "", summary: str = "", current_state: str = "", next_step: str = "", activity: str = "") -> None:
         """Up to three notes, a change of the planet and a turn in one call."""
         names = ("topic", "decision", "fact", "summary", "current_state", "next_step", "activity")
@@ -82,6 +97,7 @@ class Engine:
         planets, notes = memory.log_interaction(self.table("planets"), self.table("notes"), row, self.now)
         self._link(self._save_notes(notes, planets))
 
+    @_stores
     def archive(self, topic: str, transcript: str, agent_id: str, archive_id: str) -> None:
         """A transcript as a conversation node of an existing planet; without that planet nothing changes."""
         row = self.spark.createDataFrame([(topic, transcript, agent_id, archive_id, 0)], "topic string, transcript string, agent_id string, archive_id string, ord long")
@@ -89,6 +105,7 @@ class Engine:
         self._save_notes(notes, planets)
         self.add_nodes(nodes.where(F.col("id") == archive_id))
 
+    @_stores
     def add_nodes(self, nodes: DataFrame) -> None:
         """Nodes in place of those of their ids, in the table and in its index; of several of one id the last (``ord``) stays."""
         one = graph.cut(memory.one_per_key(nodes, ["id"]))
@@ -96,19 +113,23 @@ class Engine:
         self.store.merge("nodes", one)
         index.write(one)
 
+    @_stores
     def delete_node(self, node: str) -> None:
         """The node, its edges and its postings."""
         index = self.node_index()
         self.store.delete_node(node)
         index.write(gone=self.spark.createDataFrame([(node,)], "id string"))
 
+    @_stores
     def folder_hub(self, folder: str) -> None:
         grown = memory.folder_hubs(self.table("nodes"), self.spark.createDataFrame([(folder,)], "folder string"), self.now)
         self.add_nodes(grown.join(self.table("nodes").select("id"), "id", "left_anti"))
 
+    @_stores
     def ensure_planet(self, topic: str) -> None:
         self.store.write("planets", graph.cut(memory.ensure_planets(self.table("planets"), self.spark.createDataFrame([(topic,)], "topic string"), self.now)))
 
+    @_stores
     def link_planets(self, a: str, b: str, relation: str = "related", weight: float = 1.0) -> None:
         row = self.spark.createDataFrame([(a, b, relation, weight, 0)], "from_topic string, to_topic string, relation string, weight double, ord long")
         links, refused = memory.link_planets(self.table("planets"), self.table("planet_links"), row, self.now)
@@ -119,6 +140,7 @@ class Engine:
     def log_turn(self, topic: str, message: str, agent_id: str = "default") -> dict:
         return self.add_note(topic, message, "turn", "", agent_id, auto_link=False)
 
+    @_stores
     def link_topic(self, topic: str, num: int = 1, den: int = 5) -> None:
         """Links all notes of a topic anew, each with those before it; links that are there stay as they are."""
         own = self.table("notes").where(F.col("topic") == topic)
@@ -139,11 +161,13 @@ class Engine:
     def tag(self, note: int, tags: list[str]) -> None:
         self.store.write("notes", memory.tag(self.table("notes"), note, tags))
 
+    @_stores
     def update_planet(self, topic: str, **change: str | None) -> None:
         names = ("status", "goal", "current_state", "handoff", "next_step", "file", "command")
         row = self.spark.createDataFrame([(topic, *[change.get(n) for n in names])], ", ".join(f"{n} string" for n in ("topic", *names)))
         self.store.write("planets", memory.update_planets(self.table("planets"), row, self.now))
 
+    @_stores
     def delete_planet(self, topic: str) -> None:
         names = ("planets", "notes", "note_links", "tasks", "planet_links")
         out = memory.delete_planet(self.slug(topic), *[self.table(n) for n in names])
@@ -151,6 +175,7 @@ class Engine:
             self.store.write(name, out[name])
         self._save_notes(out["notes"], out["planets"], drops=True)
 
+    @_stores
     def compact(self, topic: str) -> None:
         planets, notes, links = memory.compact_topic(self.slug(topic), self.table("planets"), self.table("notes"), self.table("tasks"), self.table("note_links"))
         self.store.write("note_links", links)
@@ -171,9 +196,11 @@ class Engine:
     def _within(self, topic: str | None) -> DataFrame | None:
         return self.table("notes").where(F.col("topic") == self.slug(topic)).select("id") if topic else None
 
+    @_stores
     def decay(self, factor: float = 0.9, topic: str | None = None) -> None:
         self._keep(similarity.decay(self._milli(), round(1000 * factor), self._within(topic)))
 
+    @_stores
     def prune(self, threshold: float = 0.05, topic: str | None = None) -> None:
         self._keep(similarity.prune(self._milli(), round(1000 * threshold), self._within(topic)))
 
@@ -208,6 +235,7 @@ class Engine:
     def planets(self) -> DataFrame:
         return lookup.list_planets(self.table("planets"))
 
+    @_stores
     def planet_page(self, topic: str) -> str | None:
         name = self.slug(topic)
         row = context.planet_pages(*[self.table(t).where(F.col("topic") == name) for t in ("planets", "notes")]).first()
@@ -243,6 +271,7 @@ class Engine:
     def search_notes(self, topic: str = "", kind: str = "", query: str = "", tags: tuple[str, ...] = (), limit: int = 10) -> DataFrame:
         return search.search_notes(self.table("notes"), self.slug(topic) if topic else "", kind, query, tags, limit)
 
+    @_stores
     def agent_context(self, topic: str, query: str | None = None) -> str:
         row = context.agent_context(self.table("planets"), self.table("notes"), self.table("nodes"), self.slug(topic), query, index=self.node_index() if query else None).first()
         return row["text"] if row else f"# Knowledge Base Context\nTopic: {self.slug(topic)}\n\nNo stored context found for this topic yet."
@@ -259,15 +288,18 @@ class Engine:
 
     # tasks
 
+    @_stores
     def create_task(self, topic: str, title: str, priority: str = "medium", depends_on: list[int] | None = None, notes: list[int] | None = None) -> int:
         self.ensure_planet(topic)
         row = self.spark.createDataFrame([(topic, title, priority, depends_on or [], [], notes or [], 1)], "topic string, title string, priority string, depends_on array<long>, files array<string>, notes array<long>, ord int")
         self.store.write("tasks", memory.create_tasks(self.table("tasks"), row, self.now))
         return self.table("tasks").agg(F.max("id")).first()[0]
 
+    @_stores
     def update_task(self, task: int, **change) -> None:
         self.store.write("tasks", memory.update_task(self.table("tasks"), task, self.now, **change))
 
+    @_stores
     def block_task(self, task: int, reason: str = "") -> None:
         planets, notes, tasks = memory.block_task(self.table("planets"), self.table("notes"), self.table("tasks"), task, reason, self.now)
         self.store.write("tasks", tasks)
@@ -318,6 +350,7 @@ class Engine:
         names = ("planets", "notes", "note_links", "planet_links")
         return documents.export_document(memory.export_tables(*[self.table(n) for n in names], self.slug(topic) if topic else None)).first()["document"]
 
+    @_stores
     def import_document(self, path: str) -> dict:
         """Adds the rows with new keys of an export that is one document; (created, skipped) by table, and how many rows or documents could not be read."""
         files = self.spark.read.format("binaryFile").load(path).select("path", F.decode("content", "utf-8").alias("content"))
@@ -325,12 +358,14 @@ class Engine:
         errors = tables.pop("errors").count()
         return {**self._import(tables), "errors": errors}
 
+    @_stores
     def archive_file(self, topic: str, agent_id: str, archive_id: str, *patterns: str) -> None:
         """Archives the newest transcript among the files that fit the globs; one that says nothing changes nothing."""
         said = documents.transcripts(documents.newest_file(self.spark, *patterns), topic).first()
         if said is not None:
             self.archive(topic, said["transcript"], agent_id, archive_id)
 
+    @_stores
     def import_(self, path: str) -> dict[str, tuple[int, int]]:
         """Adds rows with new keys; (created, skipped) by table."""
         return self._import(stores.import_json(self.spark, path))

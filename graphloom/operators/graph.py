@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _local: list[str] = []
+_scopes: list[list[str]] = []
 
 
 def shared_steps(spark) -> str:
@@ -32,10 +35,24 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes a step to the folder that the cluster shares (``spark.checkpoint.dir``) and reads it again."""
     spark = df.sparkSession
     path = f"{shared_steps(spark)}/{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def steps_removed(spark) -> Iterator[None]:
+    """Removes the steps that were cut within it, for work whose results are stored when it ends."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def numbered(df: DataFrame, key: str, name: str = "id") -> DataFrame:
     """Adds ``name``: 1, 2, ... in the order of a unique ``key``, without one task seeing all rows.
 

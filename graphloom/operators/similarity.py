@@ -42,7 +42,11 @@ def jaccard_pairs(notes: DataFrame, num: int, den: int, key: str = "id", group:
     verified on the whole sets. ``fresh``: (id) of notes that look for links;
     their prefixes meet notes of smaller keys, the ones before them.
     """
-    table = token_table(notes, key, group, text, least)
+    return set_pairs(token_table(notes, key, group, text, least), num, den, fresh)
+
+
+def set_pairs(table: DataFrame, num: int, den: int, fresh: DataFrame | None = None) -> DataFrame:
+    """``jaccard_pairs`` of the sets in (id, grp, n, tokens)."""
     flat = table.select("grp", "id", "n", F.explode("tokens").alias("token"))
     counts = flat.groupBy("token").agg(F.count("*").alias("df"))
     order = Window.partitionBy("grp", "id").orderBy("df", "token")
@@ -182,16 +186,17 @@ def prune(links: DataFrame, threshold_milli: int = 50, within: DataFrame | None
 def hybrid_links(nodes: DataFrame, threshold: float = 0.3, k: int = 3) -> DataFrame:
     """(from_id, to_id, score_milli, rank): the k best partners of each node by 0.8 keyword and 0.2 text Jaccard.
 
-    Score >= threshold > 0.2 needs a shared keyword, so candidates come from
-    keywords; ties go to the smaller id. Scores are whole thousandths.
+    Texts add 0.2 at most, so a score of ``threshold`` > 0.2 needs a keyword
+    Jaccard of (threshold - 0.2) / 0.8: candidates come from a prefix join of
+    the keywords, and a keyword of most nodes meets few. Ties go to the
+    smaller id. Scores are whole thousandths.
     """
     base = nodes.select("id", F.array_distinct(F.transform("keywords", lambda w: F.lower(w))).alias("kw"), words(F.concat_ws(" ", "title", "content")).alias("tx"))
-    flat = base.select("id", F.size("kw").alias("n"), F.explode("kw").alias("w"))
-    other = flat.select(F.col("id").alias("id2"), F.col("n").alias("n2"), "w")
-    shared = flat.join(other, "w").where("id < id2").groupBy("id", "id2", "n", "n2").agg(F.count("*").alias("ki")).withColumn("ku", F.col("n") + F.col("n2") - F.col("ki"))
-    # Texts add 0.2 at most, so keywords must give the rest; texts are joined for such pairs only.
     need = 2 * int(round(1000 * threshold)) - 401
-    likely = shared.where(1600 * F.col("ki") >= need * F.col("ku")).select("id", "id2", "ki", "ku")
+    if need <= 0:
+        raise ValueError("the threshold is over 0.2")
+    sets = base.select("id", F.lit("").alias("grp"), F.size("kw").alias("n"), F.col("kw").alias("tokens")).where("n > 0")
+    likely = set_pairs(sets, need, 1600).select(F.col("a").alias("id"), F.col("b").alias("id2"), F.col("inter").alias("ki"), F.col("uni").alias("ku"))
     text = base.select("id", "tx")
     full = likely.join(text, "id").join(text.select(F.col("id").alias("id2"), F.col("tx").alias("tx2")), "id2")
     ki, ku = F.col("ki"), F.col("ku")

@@ -10,7 +10,7 @@ from ..functions import text as fn
 from ..operators import code, graph, memory, similarity
 from ..sources import brace_code, documents, fixtures as fx
 from ..sources.fixtures import ctes
-from ..sources.schemas import empty, migrate
+from ..sources.schemas import empty, from_texts, migrate
 from . import context
 from .lookups import _now
 from .queries import IMPORTS_SQL, MILLI, PAIR_SQL, TOKEN_SQL, query
@@ -142,3 +142,16 @@ def recompute_counts(s, d):
     notes = fx.turn_notes(s, d)
     none = s.createDataFrame([], "from_note_id long, to_note_id long, weight_milli long")
     return similarity.recompute_counts(similarity.recompute_links(notes, none), notes)
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, CASE WHEN p_size % 4 = 0 THEN '' ELSE array_to_string(string_split(p_name, ' '), ',') END AS keywords, p_type AS type, CASE WHEN p_size % 3 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01' + to_days(p_size) END AS created_at, p_type <> 'SMALL' AS kept FROM part""")
+def rows_of_texts(s, d):
+    """Nodes whose arrays, maps and times are texts, some of them broken; one type is not allowed."""
+    p = fx.table(s, d, "part")
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size")), "yyyy-MM-dd")
+    rows = p.select(
+        F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.when(F.col("p_size") % 4 == 0, "[broken").otherwise(F.to_json(F.split("p_name", " "))).alias("keywords"), F.col("p_type").alias("node_type"),
+        F.when(F.col("p_size") % 3 == 0, "never").otherwise(F.concat(day, F.lit("T00:00:00"))).alias("created_at"), F.concat(F.lit('{"type": "'), "p_type", F.lit('"}')).alias("metadata"))
+    good, refused = from_texts("nodes", rows, {"node_type": ("ECONOMY", "LARGE", "STANDARD", "PROMO", "MEDIUM")})
+    both = good.withColumn("kept", F.lit(True)).unionByName(refused.withColumn("kept", F.lit(False)))
+    return both.select("id", "title", F.array_join("keywords", ",").alias("keywords"), F.col("metadata")["type"].alias("type"), F.col("created_at").cast("timestamp_ntz").alias("created_at"), "kept")

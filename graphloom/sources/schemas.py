@@ -81,5 +81,30 @@ def migrate(name: str, df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def from_texts(name: str, df: DataFrame, allowed: dict[str, tuple[str, ...]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(table, refused) of rows whose columns are texts: arrays and maps as JSON, times in ISO form, numbers and booleans as written.
+
+    What cannot be read becomes null, and arrays empty. ``allowed``: the values
+    that columns can have; rows with another are refused, null ones are not.
+    """
+    out = []
+    for field in TABLES[name].fields:
+        if field.name not in df.columns:
+            continue
+        kind, text = field.dataType.simpleString(), F.col(field.name).cast("string")
+        if kind.startswith(("array", "map")):
+            value = F.from_json(text, kind)
+        elif kind == "timestamp":
+            value = F.try_to_timestamp(text)
+        else:
+            value = text.try_cast(kind)
+        out.append(value.alias(field.name))
+    rows = df.select(*out)
+    good = F.lit(True)
+    for column, values in (allowed or {}).items():
+        good = good & F.coalesce(F.col(column).isin(*values), F.lit(True))
+    return migrate(name, rows.where(good)), migrate(name, rows.where(~good))
+
+
 def empty(spark, name: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[name])

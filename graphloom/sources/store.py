@@ -138,3 +138,21 @@ def export_json(tables: dict[str, DataFrame], path: str) -> None:
 
 def import_json(spark: SparkSession, path: str, names: tuple[str, ...] = ("planets", "notes", "note_links", "planet_links")) -> dict[str, DataFrame]:
     return {n: migrate(n, spark.read.schema(TABLES[n]).json(f"{path}/{n}")) for n in names}
+
+
+def find_projects(spark: SparkSession, *patterns: str) -> DataFrame:
+    """(root, symbols, files) of the stores below the folders that fit the globs, by root; one that cannot be read has zeros."""
+    jvm, found = spark._jvm, set()
+    for pattern in patterns:
+        p = jvm.org.apache.hadoop.fs.Path(f"{pattern.rstrip('/')}/code_symbols")
+        for status in p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []:
+            found.add(status.getPath().getParent().toString())
+    rows = []
+    for root in sorted(found):
+        try:
+            symbols = TableStore(spark, root).read("code_symbols")
+            n = symbols.agg(F.count("*"), F.countDistinct("file_path")).first()
+        except Exception:  # noqa: BLE001  a broken store must not hide the others
+            n = (0, 0)
+        rows.append((root, n[0], n[1]))
+    return spark.createDataFrame(rows, "root string, symbols long, files long")

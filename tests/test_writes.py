@@ -79,3 +79,18 @@ def test_the_index_of_notes_finds_what_pairs_find(spark, tmp_path):
         found += [(r.from_note_id, r.to_note_id, r.weight_milli) for r in index.links(part).collect()]
     want = similarity.auto_links(notes, fresh=notes.where("kind NOT IN ('turn', 'summary')").select("id"))
     assert sorted(found) == sorted((r.from_note_id, r.to_note_id, r.weight_milli) for r in want.collect()) and len(found) > 50
+
+
+def test_projects_are_found_and_steps_removed(spark, tmp_path):
+    from graphloom.operators import graph
+
+    e = Engine(spark, str(tmp_path / "a" / "db"), now())
+    e.store.write("code_symbols", migrate("code_symbols", spark.createDataFrame([(1, "f.py"), (2, "f.py")], "id long, file_path string")))
+    (tmp_path / "b" / "db" / "code_symbols").mkdir(parents=True)
+    (tmp_path / "b" / "db" / "code_symbols" / "version=1.json").write_text("broken")
+    got = [(r.root.rsplit("/", 2)[-2], r.symbols, r.files) for r in stores.find_projects(spark, f"{tmp_path}/*/db").collect()]
+    assert got == [("a", 2, 1), ("b", 0, 0)] and stores.find_projects(spark, f"{tmp_path}/none/*").count() == 0
+    steps = __import__("pathlib").Path(graph.shared_steps(spark))
+    before = set(steps.iterdir()) if steps.exists() else set()
+    e.ensure_planet("One Topic")
+    assert set(steps.iterdir()) - before == set() and e.planets().count() == 1
