@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import code, graph, memory, similarity
+from ..operators import code, graph, lookup, memory, search, similarity
 from ..sources import brace_code, documents, fixtures as fx
 from ..sources.fixtures import ctes
 from ..sources.schemas import empty, from_texts, migrate
@@ -155,3 +155,56 @@ def rows_of_texts(s, d):
     good, refused = from_texts("nodes", rows, {"node_type": ("ECONOMY", "LARGE", "STANDARD", "PROMO", "MEDIUM")})
     both = good.withColumn("kept", F.lit(True)).unionByName(refused.withColumn("kept", F.lit(False)))
     return both.select("id", "title", F.array_join("keywords", ",").alias("keywords"), F.col("metadata")["type"].alias("type"), F.col("created_at").cast("timestamp_ntz").alias("created_at"), "kept")
+
+
+@query(f"""WITH {ctes('edges')} SELECT CAST(from_id AS VARCHAR) AS from_id, CAST(to_id AS VARCHAR) AS to_id, edge_type, CASE WHEN edge_type = 'A' THEN 0.5 ELSE 1.0 END AS weight FROM edges
+UNION ALL SELECT CAST(from_id AS VARCHAR), CAST(to_id AS VARCHAR), 'new', 0.25 FROM edges WHERE edge_type = 'N'""")
+def upsert_edges(s, d):
+    """By all three parts of the key: the weight of one type changes, another type stands beside it."""
+    e = fx.edges(s, d)
+    base = graph.cut(migrate("edges", e))
+    changed = e.where("edge_type = 'A'").withColumn("weight", F.lit(0.5)).unionByName(e.where("edge_type = 'N'").withColumns({"edge_type": F.lit("new"), "weight": F.lit(0.25)}))
+    return memory.upsert(base, migrate("edges", changed), ["from_id", "to_id", "edge_type"]).select("from_id", "to_id", "edge_type", "weight")
+
+
+@query(f"WITH {ctes('turn_planets')} SELECT id, topic, goal FROM turn_planets WHERE topic = 'conv-7'")
+def planet_by_topic(s, d):
+    return lookup.by_key(fx.planets_of(fx.turn_notes(s, d)), fn.slug_of("  Conv 7!"), "topic").select("id", "topic", "goal")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'fact' ELSE lower(role) END AS kind, CASE WHEN turn % 2 = 0 THEN substr(text, 1, 80) ELSE role END AS title, CASE WHEN turn % 4 = 0 THEN 'high' ELSE 'medium' END AS priority,
+  CASE WHEN turn % 5 = 0 THEN '' ELSE role || ',t' END AS listed FROM conversations""")
+def defaults_of_notes(s, d):
+    c = fx.table(s, d, "conversations")
+    kind = F.when(F.col("turn") % 3 == 0, "  ").otherwise(F.concat(F.lit(" "), F.upper("role")))
+    return c.select(
+        "conv_id", "turn", fn.note_kind(kind).alias("kind"), fn.note_title(F.when(F.col("turn") % 2 == 0, "").otherwise(F.col("role")), F.col("text")).alias("title"),
+        fn.new_priority(F.when(F.col("turn") % 4 == 0, "high").when(F.col("turn") % 4 == 1, "High")).alias("priority"),
+        F.array_join(fn.json_array(F.when(F.col("turn") % 5 == 0, "[oops").otherwise(F.concat(F.lit('["'), "role", F.lit('", "t"]')))), ",").alias("listed"))
+
+
+@query("SELECT doc_id AS id FROM documents WHERE lower(text) LIKE '%t_e of%an%'")
+def like_wildcards(s, d):
+    return search.contains_any(fx.table(s, d, "documents"), "T_e of%AN", "text").select(F.col("doc_id").alias("id"))
+
+
+@query(f"""WITH {ctes('symbols')}, t AS (SELECT id, regexp_extract_all(lower(symbol_name), '[a-z0-9]+') AS n, regexp_extract_all(lower(symbol_name || ' ' || signature || ' ' || docstring || ' ' || file_path || ' ' || symbol_type), '[a-z0-9]+') AS w FROM symbols)
+SELECT id FROM t WHERE (list_contains(n, 'red') AND list_contains(w, 'class')) AND NOT list_contains(w, 'economy')""")
+def symbols_by_syntax(s, d):
+    """Symbols by a query with a column, AND and NOT, from their index."""
+    sym = fx.symbols(s, d)
+    index = search.TextIndex(s, f"{graph.shared_steps(s)}/index-{uuid.uuid4().hex}", search.SYMBOL_TEXTS, "id", "long")
+    index.write(sym)
+    return search.search_symbols(sym, "symbol_name : red class NOT economy", 1_000_000, index=index).select("id")
+
+
+@query(f"WITH {ctes('call_edges')} SELECT id, file_path, symbol_name FROM symbols s WHERE symbol_type IN ('function', 'method') AND NOT EXISTS (SELECT 1 FROM call_edges e WHERE e.to_name = s.symbol_name) ORDER BY file_path, start_line, id LIMIT 40")
+def dead_code_page(s, d):
+    return code.dead_code(fx.symbols(s, d), fx.call_edges(s, d), limit=40).select("id", "file_path", "symbol_name")
+
+
+@query(f"WITH {ctes('turn_notes')} SELECT id, topic, 'open' AS status, 'default' AS agent_id, 0 AS turn_index, false AS pinned, '' AS tags FROM turn_notes")
+def migrated_notes(s, d):
+    """Rows of a table that lacks the columns added later."""
+    old = fx.turn_notes(s, d).select("id", "topic", "content")
+    return migrate("notes", migrate("notes", old)).select("id", "topic", "status", "agent_id", "turn_index", "pinned", F.array_join("tags", ",").alias("tags"))
