@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
+from graphloom.operators import similarity
 from graphloom.plans.queries import ORACLES, QUERIES
 
 
@@ -31,3 +34,19 @@ def test_path_lengths_end_where_their_sql_ends(spark, tmp_path):
     path = _tables(spark, tmp_path, part=part, lineitem=ends.withColumn("l_returnflag", F.lit("R")))
     got = _same(spark, "shortest_path_len", path, "part", "lineitem")
     assert sum("None" in r for r in got) == 9
+
+
+def test_loosely_related_notes_meet_in_blocks(spark):
+    """All pairs of groups over several blocks, of small groups that share a unit, and of null and short texts; no candidates are moved."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("bcdfg", k=4)) for _ in range(60)]
+    rows = [(i, rng.choice(["big", "big", "s1", "s2", None]), None if i % 41 == 0 else " ".join(rng.choices(words, k=rng.randint(1, 12)))) for i in range(300)]
+    notes = spark.createDataFrame(rows, "id long, topic string, content string")
+    sets = {i: (g, set(t.split())) for i, g, t in rows if g and t and len(set(t.split())) >= 3}
+    want = {(g, a, b, len(x & y), len(x | y)) for a, (g, x) in sets.items() for b, (h, y) in sets.items() if a < b and g == h and 10 * len(x & y) >= len(x | y)}
+    named = notes.select("id", F.col("topic").alias("grp"), F.col("content").alias("text"))
+    for block, shared in ((1500, 2500), (32_000_000, 1_000_000), (700, 100)):
+        got = [tuple(r) for r in similarity.block_pairs(named, 1, 10, block=block, shared=shared).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
+    plan = similarity.jaccard_pairs(notes, 1, 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan
