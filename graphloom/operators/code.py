@@ -80,17 +80,17 @@ def impact(symbols: DataFrame, edges: DataFrame, names: DataFrame, depth: int =
 
     Distinct by (name, id, via) with the least depth.
     """
-    by_name, heavy = deal(callers(symbols, edges).select(F.col("to_name").alias("src"), F.col("id").alias("dst"), "symbol_name"))
-    frontier = names.select(F.col("to_name").alias("name"), F.col("to_name").alias("via")).distinct()
-    seen = None
-    for d in range(1, depth + 1):
-        step = follow(frontier.withColumnRenamed("via", "src"), by_name, heavy).select("name", F.col("dst").alias("id"), "symbol_name", F.col("src").alias("via")).distinct()
-        if seen is not None:
-            step = step.join(seen.select("name", "id", "via"), ["name", "id", "via"], "left_anti")
-        step = cut(step.withColumn("depth", F.lit(d)))
-        seen = step if seen is None else seen.unionByName(step)
-        frontier = step.select("name", F.col("symbol_name").alias("via")).distinct()
-    return seen.select("name", "depth", "id", "symbol_name", "via")
+    arcs = cut(callers(symbols, edges).select(F.col("to_name").alias("src"), F.col("id").alias("dst"), "symbol_name").distinct())
+    # Depths belong to pairs of a name and a name that is called, so only these are told apart; rows are made from them last, and not moved again.
+    by_name = arcs.select("src", F.col("symbol_name").alias("dst")).distinct()
+    seen = frontier = cut(names.select(F.col("to_name").alias("name"), F.col("to_name").alias("via"), F.lit(1).alias("depth")).distinct())
+    dealt, heavy = deal(by_name) if depth > 1 else (None, None)
+    for d in range(2, depth + 1):
+        step = follow(frontier.select("name", F.col("via").alias("src")), dealt, heavy).select("name", F.col("dst").alias("via")).distinct()
+        frontier = cut(step.join(seen, ["name", "via"], "left_anti").withColumn("depth", F.lit(d)))
+        seen = seen.unionByName(frontier)
+    rows, many = deal(arcs)
+    return follow(seen.withColumnRenamed("via", "src"), rows, many).select("name", "depth", F.col("dst").alias("id"), "symbol_name", F.col("src").alias("via"))
 
 
 def trace(edges: DataFrame, names: DataFrame, direction: str = "inbound", depth: int = 2) -> DataFrame:

@@ -7,7 +7,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from graphloom.operators import similarity
+from graphloom.operators import code, similarity
 from graphloom.plans.queries import ORACLES, QUERIES
 
 
@@ -50,3 +50,22 @@ def test_loosely_related_notes_meet_in_blocks(spark):
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
     plan = similarity.jaccard_pairs(notes, 1, 10)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner" not in plan
+
+
+def test_rows_of_impact_are_made_last(spark):
+    """Depths are found on pairs of names; the rows come from one join and are not written or told apart again."""
+    symbols = spark.createDataFrame([(i, f"f{i % 7}", "a.py") for i in range(1, 40)], "id long, symbol_name string, file_path string")
+    pairs = sorted({(i, (i * i + k) % 7) for i in range(1, 40) for k in (1, 3)})
+    edges = spark.createDataFrame([("calls", i, f"f{t}") for i, t in pairs], "edge_type string, from_symbol_id long, to_name string")
+    one = {(f"f{t}", i) for i, t in pairs}
+    want = {}
+    frontier = {(n, n) for n, _ in one}
+    for depth in (1, 2, 3):
+        rows = {(n, i, f"f{i % 7}", via) for n, via in frontier for v, i in one if v == via}
+        for r in rows:
+            want.setdefault(r, depth)
+        frontier = {(n, name) for n, _, name, _ in rows}
+    out = code.impact(symbols, edges, edges.select("to_name").distinct(), 3)
+    got = [((r["name"], r["id"], r["symbol_name"], r["via"]), r["depth"]) for r in out.collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert "Join" in out._jdf.queryExecution().optimizedPlan().toString()
