@@ -8,7 +8,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from graphloom.operators import code, similarity
+from graphloom.operators import code, graph, similarity
 from graphloom.plans.queries import ORACLES, QUERIES
 from graphloom.sources import brace_code
 
@@ -86,3 +86,21 @@ def test_a_long_script_is_read_in_time_that_follows_its_length(spark):
     tokens = brace_code.around(brace_code.code_tokens(files.where("content IS NOT NULL")))
     plan = brace_code.definitions(tokens, brace_code.blocks_of(tokens, "(", ")", "p"))._jdf.queryExecution().optimizedPlan().toString()
     assert "unboundedfollowing" not in plan.lower()
+
+
+def test_steps_of_graph_loops_do_not_pass_through_the_driver(spark, monkeypatch):
+    plans, cut = [], graph.cut
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(graph, "cut", watched)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "from_id long, to_id long")
+    vertices = spark.createDataFrame([(i,) for i in range(1, 7)], "id long")
+    assert {r.id: r.component for r in graph.components(edges, vertices).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
+    loops = len(plans)
+    pairs = vertices.select(F.lit(1).cast("long").alias("from_id"), F.col("id").alias("to_id"))
+    assert {r.to_id: r.length for r in graph.shortest_paths(edges, pairs).collect()} == {1: 0, 2: 1, 3: 2, 4: None, 5: None, 6: None}
+    # The list of heavy vertices alone may be broadcast.
+    assert loops > 3 and not [p for p in plans[:loops] if "BroadcastHashJoin" in p] and not [p for p in plans[loops:] if "BroadcastHashJoin" in p and "parts" not in p]
