@@ -104,3 +104,14 @@ def test_steps_of_graph_loops_do_not_pass_through_the_driver(spark, monkeypatch)
     assert {r.to_id: r.length for r in graph.shortest_paths(edges, pairs).collect()} == {1: 0, 2: 1, 3: 2, 4: None, 5: None, 6: None}
     # The list of heavy vertices alone may be broadcast.
     assert loops > 3 and not [p for p in plans[:loops] if "BroadcastHashJoin" in p] and not [p for p in plans[loops:] if "BroadcastHashJoin" in p and "parts" not in p]
+
+
+def test_a_subgraph_is_not_told_apart_row_by_row(spark):
+    """Parallel links, either way round, and loops: the greatest weight of each step, found before the seeds' rows are made."""
+    links = spark.createDataFrame([(1, 2, 300), (2, 1, 700), (1, 2, 500), (2, 3, 400), (3, 3, 900), (3, 3, 950), (3, 4, 100)], "from_id long, to_id long, weight_milli long")
+    out = graph.subgraph(links, spark.createDataFrame([(1,), (3,)], "id long"), 2, 200)
+    want = {(1, 1, 2, 700), (1, 2, 1, 700), (1, 2, 3, 400), (3, 3, 3, 950), (3, 3, 2, 400), (3, 2, 3, 400), (3, 2, 1, 700)}
+    got = [tuple(r) for r in out.select("seed", "source", "target", "weight_milli").collect()]
+    assert set(got) == want and len(got) == len(want)
+    steps = out.where("source <> target")._jdf.queryExecution().optimizedPlan().toString()
+    assert "max(weight_milli" not in steps
