@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import MEMORY_STATES, PRIORITIES, STATUSES, new_priority, note_kind, note_title, slug
 from ..sources.schemas import KEYS, migrate
-from .graph import numbered
+from .graph import FEW, cut, numbered
 
 KEEP_NEWEST = 30
 SUMMARIZE_AT = 50
@@ -325,11 +325,13 @@ def export_tables(planets: DataFrame, notes: DataFrame, links: DataFrame, planet
 
 
 def touching(links: DataFrame, ids: DataFrame, a: str, b: str) -> DataFrame:
-    """Links with either end in ``ids``: (id)."""
-    own = ids.select(F.col("id").alias("_id")).distinct()
-    first = links.join(own, F.col(a) == F.col("_id"), "left_semi")
-    second = links.join(own, F.col(b) == F.col("_id"), "left_semi").join(own, F.col(a) == F.col("_id"), "left_anti")
-    return first.unionByName(second)
+    """Links with either end in ``ids``: (id). One pass over the links; a short list of ids goes to them."""
+    own = cut(ids.select(F.col("id").alias("_id")).distinct())
+    own = F.broadcast(own) if own.count() <= FEW else own
+    marked = links
+    for end, name in ((a, "_first"), (b, "_second")):
+        marked = marked.join(own, F.col(end) == F.col("_id"), "left").withColumnRenamed("_id", name)
+    return marked.where("_first IS NOT NULL OR _second IS NOT NULL").drop("_first", "_second")
 
 
 def import_table(name: str, base: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
