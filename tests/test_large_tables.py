@@ -8,7 +8,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from graphloom.operators import code, graph, similarity
+from graphloom.operators import code, graph, memory, similarity
 from graphloom.plans.queries import ORACLES, QUERIES
 from graphloom.sources import brace_code
 
@@ -115,3 +115,33 @@ def test_a_subgraph_is_not_told_apart_row_by_row(spark):
     assert set(got) == want and len(got) == len(want)
     steps = out.where("source <> target")._jdf.queryExecution().optimizedPlan().toString()
     assert "max(weight_milli" not in steps
+
+
+def test_sets_that_move_are_packed(spark):
+    """Frequent tokens move as numbers and others as words, and any division between the two gives the same pairs; the rows are much shorter than the tokens."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=9)) for _ in range(400)]
+    rows = [(i, rng.choice("xy"), " ".join(rng.choices(words, k=rng.randint(1, 90)))) for i in range(120)] + [(200, "x", None), (201, "x", "")]
+    notes = spark.createDataFrame(rows, "id long, grp string, text string")
+    sets = {i: (g, set(t.split())) for i, g, t in rows if t and len(set(t.split())) >= 3}
+    want = {(g, a, b, len(x & y), len(x | y)) for a, (g, x) in sets.items() for b, (h, y) in sets.items() if a < b and g == h and 10 * len(x & y) >= len(x | y)}
+    for coded in (1, 130, 1 << 16):
+        for shared in (10, 1_000_000):
+            got = [tuple(r) for r in similarity.block_pairs(notes, 1, 10, block=9_000, shared=shared, coded=coded).collect()]
+            assert len(got) == len(set(got)) and set(got) == want and want
+    tokens = notes.where("length(text) > 400").select("id", F.array_distinct(F.split("text", " ")).alias("tokens"))
+    moved = similarity._packed(tokens, sorted(words), 3).collect()
+    spelled = sum(len(" ".join(r["tokens"])) for r in tokens.collect())
+    assert len(moved) > 20 and 6 * sum(len(r["codes"]) + len(r["words"]) for r in moved) < spelled
+
+
+def test_links_are_found_once(spark):
+    """What reads links to rank them, or to pick those of some notes, meets their source once and does not move them for a short list."""
+    links = spark.range(50).select(F.col("id").alias("from_id"), (F.col("id") + 1).alias("to_id"), F.lit(5).alias("weight_milli"), F.lit(6).alias("confidence_milli"))
+    plan = graph.rank_neighbors(links)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1
+    ids = spark.createDataFrame([(3,), (3,), (4,), (90,)], "id long")
+    out = memory.touching(links, ids, "from_id", "to_id")
+    assert sorted(r["from_id"] for r in out.collect()) == [2, 3, 4]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1 and plan.count("strategy=broadcast") == 2
