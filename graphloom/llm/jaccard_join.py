@@ -38,8 +38,9 @@ around p have in D first, where o is the least common part for that ring.
 Nodes that share (pivot, ring, element) are a region of the next round.
 Regions whose nodes are one component by now are done. Where up to ``OUTSIDE``
 nodes are outside a region's main component, these are joined with all others
-directly, pairs whose common element comes too late for a link left out; other
-regions get new pivots. All nodes of a pivot's region come after it in the order
+directly, pairs whose common element comes too late for a link left out, and
+those that meet before: in the ring of the inner one of the two, at an earlier
+element. Other regions get new pivots. All nodes of a pivot's region come after it in the order
 of pivots, so the recursion ends, and a node has one row for each pivot, ring
 and element however many regions they come from. A group of near copies costs a
 star, not its pairs, and no step holds a region in one task.
@@ -64,6 +65,8 @@ MAX_BROADCAST_ROWS = 500_000
 DIRECT, OUTSIDE = 32, 128
 PIVOTS = 3
 RARE, LISTED = 8, 1_000_000
+#: Of how many first elements a row in a ring knows that they come before its own.
+BEFORE = 32
 
 
 class Threshold:
@@ -341,7 +344,7 @@ def pivots_of(rows: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def voronoi(rows: DataFrame, sets: DataFrame, weights: DataFrame, t: Threshold) -> tuple[DataFrame, DataFrame]:
-    """Links of large regions with their pivots, and (region, node, d, n, at) of the next round.
+    """Links of large regions with their pivots, and (region, node, d, n, at, home, before) of the next round.
 
     Each node is measured with all pivots of its regions and goes on in the
     Voronoi regions of its nearest pivot and of those within the window. A
@@ -367,10 +370,12 @@ def voronoi(rows: DataFrame, sets: DataFrame, weights: DataFrame, t: Threshold)
 
 
 def ringed(divided: DataFrame, t: Threshold) -> DataFrame:
-    """(region, node, d, n, at): the nodes around each pivot by ring of |D| and element of D, elements that few nodes have in D first.
+    """(region, node, d, n, at, home, before): the nodes around each pivot by ring of |D| and element of D, elements that few nodes have in D first.
 
-    A node stands in its own ring and in the inner ones in which linked sets
-    can be, with the elements that come early enough for the least |D| there.
+    A node stands in its own ring (``home``) and in the inner ones in which
+    linked sets can be, with the elements that come early enough for the least
+    |D| there. ``before``: which of its first ``BEFORE`` elements in the ring
+    come before this one.
     """
     rows = divided.select("pivot", "node", "d", "n", "p", "linked", F.explode("elements").alias("element"))
     counts = divided.select("pivot", F.explode("elements").alias("element")).groupBy("pivot", "element").agg(F.count("*").alias("c")).where("c > 1")
@@ -382,11 +387,12 @@ def ringed(divided: DataFrame, t: Threshold) -> DataFrame:
     most = F.col("d") - t.common(F.col("d"), F.col("n"), F.col("p"), F.col("linked"), F.col("_ring") * width) + 1
     alone = F.col("d") - F.size("_e")
     kept = F.slice("_e", 1, F.greatest(F.lit(0), most - alone).cast("int"))
-    return spans.select("pivot", "_ring", "node", "d", "n", alone.alias("_alone"), F.posexplode(kept).alias("_i", "_x")).select(F.xxhash64("pivot", "_ring", "_x.element").alias("region"), "node", "d", "n", (F.col("_alone") + F.col("_i")).alias("at"))
+    placed = spans.select("pivot", "_ring", "node", "d", "n", alone.alias("_alone"), (F.col("_ring") == ring(F.col("d"))).alias("home"), F.slice("_e.element", 1, BEFORE).alias("_first"), F.posexplode(kept).alias("_i", "_x"))
+    return placed.select(F.xxhash64("pivot", "_ring", "_x.element").alias("region"), "node", "d", "n", (F.col("_alone") + F.col("_i")).alias("at"), "home", F.slice("_first", F.lit(1), F.col("_i")).alias("before"))
 
 
 def open_regions(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(region, node, d, n, at) to the same with component, size and outside, in regions of several components.
+    """(region, node, d, n, at, home, before) to the same with component, size and outside, in regions of several components.
 
     outside: whether the node is not of the region's largest component; size:
     how many such nodes there are.
@@ -402,17 +408,27 @@ def open_regions(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def direct_pairs(regions: DataFrame, t: Threshold) -> DataFrame:
+    """(node, pivot): the pairs of ``meetings``, each once; several pivots can have one."""
+    return meetings(regions, t).distinct()
+
+
+def meetings(regions: DataFrame, t: Threshold) -> DataFrame:
     """(node, pivot): pairs of different components, whose first common element comes early enough for a link, in regions of at most ``OUTSIDE`` nodes outside the main component.
 
     Only these meet all others, so a node has at most as many pairs in a region.
+    Where two nodes share several elements, all but the first (as far as
+    ``before`` tells) are passed over, as are rings in which neither is at
+    home: the two meet in the ring of the inner one, and at the first element
+    that they share. If the region of that is large, its pivots part them.
     """
     small = regions.where(F.col("size") <= OUTSIDE)
-    other = small.select("region", F.col("node").alias("pivot"), F.col("component").alias("_c"), F.col("d").alias("_d"), F.col("n").alias("_n"), F.col("at").alias("_at"), F.col("outside").alias("_o"))
+    other = small.select("region", F.col("node").alias("pivot"), F.col("component").alias("_c"), F.col("d").alias("_d"), F.col("n").alias("_n"), F.col("at").alias("_at"), F.col("outside").alias("_o"), F.col("home").alias("_home"), F.col("before").alias("_before"))
     need = t.common_of_pair(F.col("d"), F.col("n"), F.col("_d"), F.col("_n"))
     near = (F.col("d") - F.col("at") >= need) & (F.col("_d") - F.col("_at") >= need)
     once = ~F.col("_o") | (F.col("node") < F.col("pivot"))
-    met = small.where("outside").join(other, (small["region"] == other["region"]) & once & (F.col("component") != F.col("_c")) & near)
-    return met.select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot")).distinct()
+    first = (F.col("home") | F.col("_home")) & ~F.arrays_overlap("before", "_before")
+    met = small.where("outside").join(other, (small["region"] == other["region"]) & once & (F.col("component") != F.col("_c")) & near & first)
+    return met.select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -420,11 +436,13 @@ def components(links: DataFrame) -> DataFrame:
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct()
     edges = cut(both, "edges")
     labels = cut(edges.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component")), "labels")
+    # A short list of labels is sent to the edges instead of both being shuffled each time.
+    sent = F.broadcast if labels.count() <= MAX_BROADCAST_ROWS else (lambda df: df)
     while True:
-        near = edges.join(labels.select(F.col("node").alias("other"), F.col("component").alias("theirs")), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
-        hooked = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "theirs").alias("new"))
+        near = edges.join(sent(labels.select(F.col("node").alias("other"), F.col("component").alias("theirs"))), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
+        hooked = near.join(sent(labels), "node").select("node", F.col("component").alias("was"), F.least("component", "theirs").alias("new"))
         up = labels.select(F.col("node").alias("new"), F.col("component").alias("above"))
-        stepped = cut(hooked.join(up, "new", "left").select("node", "was", F.least("new", F.coalesce("above", "new")).alias("component")), "labels")
+        stepped = cut(hooked.join(sent(up), "new", "left").select("node", "was", F.least("new", F.coalesce("above", "new")).alias("component")), "labels")
         moved = stepped.where("was <> component").limit(1).count()
         drop_cut(labels)
         if not moved:

@@ -8,6 +8,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
+from graphloom.llm import jaccard_join
 from graphloom.operators import code, graph, memory, similarity
 from graphloom.plans.queries import ORACLES, QUERIES
 from graphloom.sources import brace_code
@@ -145,3 +146,21 @@ def test_links_are_found_once(spark):
     assert sorted(r["from_id"] for r in out.collect()) == [2, 3, 4]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Range (") == 1 and plan.count("strategy=broadcast") == 2
+
+
+def test_nodes_of_a_region_meet_once(spark):
+    """Near copies that share many elements around a pivot, over several rings, meet in one region only; no pair that links is lost."""
+    rng = random.Random(5)
+    pivot = set(range(200))
+    middles = [(pivot - set(rng.sample(range(200), 22 + f))) | set(rng.sample(range(300, 330), 12)) for f in range(6)]
+    sets = {i: middles[i % 6] ^ set(rng.sample(range(330), rng.randint(1, 14))) for i in range(1, 40)}
+    t = jaccard_join.Threshold(9, 10)
+    rows = [(0, i, len(x ^ pivot), len(x), len(pivot), t.linked(len(x & pivot), len(x), len(pivot)), sorted(x ^ pivot)) for i, x in sets.items()]
+    divided = spark.createDataFrame(rows, "pivot long, node long, d long, n long, p long, linked boolean, elements array<long>")
+    spread = jaccard_join.ringed(divided, t).withColumns({"component": F.col("node"), "size": F.lit(len(sets)), "outside": F.lit(True)})
+    got = [tuple(r) for r in jaccard_join.meetings(spread, t).collect()]
+    linked = {(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and 10 * len(x & y) >= 9 * len(x | y)}
+    # Pairs in the ball of the pivot are one component by way of it.
+    ball = {r[1] for r in rows if r[5]}
+    assert {p for p in linked if not set(p) <= ball} <= set(got) and len([p for p in linked if not set(p) <= ball]) > 20
+    assert len(got) <= 1.2 * len(set(got))
