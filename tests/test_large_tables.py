@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from graphloom.llm import jaccard_join
-from graphloom.operators import code, graph, memory, similarity
+from graphloom.operators import code, fulltext, graph, memory, similarity
 from graphloom.plans.queries import ORACLES, QUERIES
 from graphloom.sources import brace_code, fixtures
 
@@ -194,3 +194,15 @@ def test_a_unit_of_sets_is_held_in_few_bytes(spark):
     finally:
         tracemalloc.stop()
     assert peak < 45 * sum(len(r[2]) for r in rows)
+
+
+def test_an_index_is_written_without_moving_texts_or_postings(spark, tmp_path):
+    """Postings are made beside their rows: only rows of keys that stand there twice are moved."""
+    docs = spark.createDataFrame([(i, "a b a" if i % 2 else "Über a", ["b c", "a"]) for i in range(20)], "id long, x string, y array<string>")
+    plan = fulltext.post(fulltext.one_text(docs, "id"), "id", ["x", "y"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    got = {(r.term, r.col, tuple(r.positions), r.length) for r in fulltext.post(docs, "id", ["x", "y"]).collect()}
+    assert got == {("a", "x", (0, 2), 6), ("b", "x", (1,), 6), ("uber", "x", (0,), 5), ("a", "x", (1,), 5), *((t, "y", (i,), n) for n in (5, 6) for i, t in enumerate("bca"))}
+    twice = docs.unionByName(docs.where("id = 3").withColumn("x", F.lit("z")))
+    one = fulltext.one_text(twice, "id")
+    assert one.count() == 20 and [r.x for r in one.where("id = 3").collect()] == ["z"]
