@@ -252,13 +252,22 @@ def task_summary(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("topic", "status").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy("topic")))
 
 
-def create_tasks(tasks: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
-    """Adds (topic, title, priority, depends_on, files, notes, ord); dependencies that do not exist are dropped, the rest sorted."""
-    known = tasks.select(F.col("id").alias("_dep"))
-    numbered = next_ids(tasks, batch, "ord").withColumns({"topic": slug(F.col("topic")), "priority": new_priority(F.col("priority"))})
-    deps = numbered.select("id", F.explode("depends_on").alias("_dep")).join(known, "_dep", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("_dep")).alias("depends_on"))
+def new_tasks(tasks: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
+    """The tasks of (topic, title, priority, depends_on, files, notes, ord), as they are added to ``tasks``; dependencies that do not exist are dropped, the rest sorted."""
+    numbered = cut(next_ids(tasks, batch, "ord").withColumns({"topic": slug(F.col("topic")), "priority": new_priority(F.col("priority"))}))
+    asked = numbered.select("id", F.explode("depends_on").alias("_dep"))
+    wanted = asked.select("_dep").distinct()
+    # A short list goes to the tasks, whose ids then stay where they are.
+    wanted = F.broadcast(wanted) if wanted.limit(FEW + 1).count() <= FEW else wanted
+    known = tasks.select(F.col("id").alias("_dep")).join(wanted, "_dep", "left_semi")
+    deps = asked.join(known, "_dep", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("_dep")).alias("depends_on"))
     out = numbered.drop("depends_on", "ord").join(deps, "id", "left").withColumns({"status": F.lit("todo"), "created_at": now})
-    return tasks.unionByName(migrate("tasks", out))
+    return migrate("tasks", out)
+
+
+def create_tasks(tasks: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
+    """``tasks`` with those of a batch (``new_tasks``)."""
+    return tasks.unionByName(new_tasks(tasks, batch, now))
 
 
 def update_task(tasks: DataFrame, task: int, now: Column, status: str | None = None, priority: str | None = None, depends_on: list[int] | None = None, title: str | None = None, files: list[str] | None = None, notes: list[int] | None = None) -> DataFrame:
