@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import jaccard_join
 from graphloom.operators import code, fulltext, graph, memory, similarity
 from graphloom.plans.queries import ORACLES, QUERIES
-from graphloom.sources import brace_code, fixtures
+from graphloom.sources import brace_code, fixtures, schemas
 
 
 def _tables(spark, path, **tables):
@@ -206,3 +206,32 @@ def test_an_index_is_written_without_moving_texts_or_postings(spark, tmp_path):
     twice = docs.unionByName(docs.where("id = 3").withColumn("x", F.lit("z")))
     one = fulltext.one_text(twice, "id")
     assert one.count() == 20 and [r.x for r in one.where("id = 3").collect()] == ["z"]
+
+
+def test_new_tasks_do_not_move_the_tasks_that_are_there(spark):
+    tasks = schemas.migrate("tasks", spark.createDataFrame([(i, f"t{i % 3}") for i in range(1, 9)], "id long, topic string"))
+    batch = spark.createDataFrame([("New Work", "a", "high", [2, 1, 2, 99], [], [], 1), ("New Work", "b", "odd", None, [], [], 2)], "topic string, title string, priority string, depends_on array<long>, files array<string>, notes array<long>, ord int")
+    now = F.lit("2030-01-01").cast("timestamp")
+    new = memory.new_tasks(tasks, batch, now)
+    assert [(r.id, r.topic, r.priority, r.depends_on) for r in new.orderBy("id").collect()] == [(9, "new-work", "high", [1, 2]), (10, "new-work", "medium", [])]
+    assert memory.create_tasks(tasks, batch, now).count() == 10
+    joins = [x for x in new._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftSemi" in x]
+    assert any("strategy=broadcast" in x for x in joins)
+
+
+def test_edges_of_statistics_are_made_once(spark):
+    """Counts, components and clustering read a written list of edges, so a join that makes edges runs once."""
+    x = spark.createDataFrame([(1, 2, "A"), (2, 3, "A"), (1, 3, "R"), (5, 6, "A")], "from_id long, to_id long, edge_type string")
+    edges = x.join(spark.range(1, 9).withColumnRenamed("id", "from_id"), "from_id")
+    out = graph.graph_stats(edges, spark.range(1, 7).toDF("id"), ["A", "N", "R"])
+    assert "Range (1, 9" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.metric: r.value for r in out.collect()} == {"nodes": 6, "edges": 4, "clusters": 3, "edges:A": 3, "edges:N": 0, "edges:R": 1, "clustering_milli": 500}
+
+
+def test_a_step_is_dealt_by_the_rows_it_makes(spark):
+    """More rows to a step make more tasks, not larger ones."""
+    steps, heavy = graph.deal(spark.range(60).select((F.col("id") % 20).alias("src"), F.col("id").alias("dst")))
+    frontier = spark.range(400).select(F.col("id").alias("name"), (F.col("id") % 20).alias("src"))
+    wide = graph.follow(frontier, steps, heavy, 20)
+    assert wide.count() == 1200 and "hashpartitioning(src" in wide._jdf.queryExecution().executedPlan().toString()
+    assert wide.rdd.getNumPartitions() == 60
