@@ -235,3 +235,42 @@ def test_a_step_is_dealt_by_the_rows_it_makes(spark):
     wide = graph.follow(frontier, steps, heavy, 20)
     assert wide.count() == 1200 and "hashpartitioning(src" in wide._jdf.queryExecution().executedPlan().toString()
     assert wide.rdd.getNumPartitions() == 60
+
+
+def test_chains_of_tasks_are_not_walked_step_by_step(spark, tmp_path, monkeypatch):
+    """Steps follow the logarithm of the longest chain: 6 of 100 tasks and 200 tasks of single customers, equal to SQL."""
+    steps = []
+    cut = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: steps.append(1) or cut(df))
+    customer = F.when(F.col("id") < 600, F.col("id") % 6).otherwise(F.col("id"))
+    orders = spark.range(800).select(F.col("id").alias("o_orderkey"), customer.alias("o_custkey"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") * 7 % 31).cast("int")).alias("o_orderdate"), F.lit("F").alias("o_orderstatus"), F.lit("1-URGENT").alias("o_orderpriority"))
+    got = _same(spark, "task_cycle_check", _tables(spark, tmp_path, orders=orders), "orders")
+    assert len(got) == 594 and all("True" in r for r in got)
+    assert len(steps) <= 16, len(steps)
+
+
+def test_cycles_on_chains_rings_and_branches(spark):
+    """Proposals within chains both ways, on rings, between chains that meet, at loops, of unknown tasks and of nulls."""
+    rng = random.Random(11)
+    arcs = [(i, i + 1) for i in range(20)] + [(30 + i, 30 + (i + 1) % 7) for i in range(7)] + [(40, 40), (41, 42), (42, 41)]
+    # A chain that leads into another's middle, a chain back to its own first, a diamond, a ring with a tail.
+    arcs += [(50, 51), (51, 52), (52, 10), (60, 61), (61, 62), (62, 60), (62, 63), (63, 64), (70, 71), (70, 72), (71, 73), (72, 73), (73, 74), (80, 81), (81, 82), (82, 80), (83, 80)]
+    arcs += [(rng.randrange(90, 120), rng.randrange(90, 120)) for _ in range(25)]
+    near = {}
+    for a, b in arcs:
+        near.setdefault(a, set()).add(b)
+
+    def reaches(a, b):
+        seen, todo = {a}, [a]
+        while todo:
+            fresh = near.get(todo.pop(), set()) - seen
+            seen |= fresh
+            todo += fresh
+        return b in seen
+
+    ends = sorted({x for arc in arcs for x in arc}) + [500]
+    asked = [(a, b) for a in ends for b in ends]
+    proposed = spark.createDataFrame(asked + [(None, 3), (3, None), (3, 3)], "id long, dep long")
+    got = graph.cycles(spark.createDataFrame(arcs + arcs[:9] + [(3, None), (None, 3)], "id long, dep long"), proposed).collect()
+    want = {(a, b): reaches(b, a) for a, b in asked} | {(None, 3): False, (3, None): False}
+    assert len(got) == len(want) and {(r.id, r.dep): r.closes for r in got} == want
