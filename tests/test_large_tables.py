@@ -324,3 +324,16 @@ def test_no_task_explodes_a_whole_script(spark):
     out = brace_code.extract_braces(files)
     assert out.where("what = 'symbol'").count() == 800 and out.where("what = 'calls'").count() == 400
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_weighted_steps_are_not_written_again(spark, monkeypatch):
+    """The last step of a traversal reads the links' own table both ways; with heavy vertices it gives the same rows."""
+    written, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(set(df.columns)) or cut(df))
+    rng = random.Random(14)
+    rows = sorted({(rng.randrange(20), rng.randrange(20)) for _ in range(70)})
+    links = spark.createDataFrame([(a, b, 100 + 7 * i) for i, (a, b) in enumerate(rows)], "from_id long, to_id long, weight_milli long")
+    seeds = links.select(F.col("from_id").alias("id")).distinct()
+    got = sorted(map(tuple, graph.weighted_neighbors(links, seeds, 2, 150).collect()))
+    assert len(got) > 200 and not [c for c in written if {"part", "weight_milli"} <= c]
+    assert got == sorted(map(tuple, graph.weighted_neighbors(links, seeds, 2, 150, heavy_at=2).collect()))
